@@ -31,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, for tables that outlive one plan."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder; later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
