@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, url_filter
+from . import decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_template_decontamination": decontaminate.query,
     "op3_ordinal_quality": quality.query,
+    "op5_kneser_ney_toxicity": toxicity.query,
     "op7_bloom_cascade_url_filter": url_filter.query,
     "op8_linear_grouping_packing": packing.query,
+    "op9_randomness_secret_scan": secret_scan.query,
     "op10_site_spread_line_dedup": line_dedup.query,
 }
 
