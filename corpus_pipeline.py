@@ -1,10 +1,71 @@
-"""Corpus pipeline: stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: five stages that turn raw documents into packed training sequences.
+
+Each stage takes the documents that its predecessor kept, written as Parquet
+and read again, and all but the last return the columns of ``documents``:
+documents of low quality go; boilerplate lines are cut; one document of each
+near-duplicate class stays; documents that hold benchmark items go; the rest is
+packed.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gaugeframe.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from gaugeframe.llm.storage import shared_folder, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the ordinal model rejects; it is fit on the labelled documents of this stage's input."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut lines that stand on many sites; a document that loses every line goes."""
+    cut = line_dedup.cut_lines(docs)
+    emptied = (F.col("n_cut") > 0) & (F.col("n_cut") == F.col("n_lines"))
+    kept = cut.filter(~emptied)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each class of near duplicates."""
+    return ngram_join.keep_one_per_class(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: The stages are a fitted model, min-hashes and byte-pair ids, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
