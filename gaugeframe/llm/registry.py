@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, toxicity, url_filter
+from . import decontaminate, line_dedup, neighbours, ngram_join, packing, quality, secret_scan, token_tree, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_template_decontamination": decontaminate.query,
     "op3_ordinal_quality": quality.query,
+    "op4_multi_index_hashing": neighbours.query,
     "op5_kneser_ney_toxicity": toxicity.query,
+    "op6_edit_aware_token_counts": token_tree.query,
     "op7_bloom_cascade_url_filter": url_filter.query,
     "op8_linear_grouping_packing": packing.query,
     "op9_randomness_secret_scan": secret_scan.query,
