@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from .plans.catalogue import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "point_metrics"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
