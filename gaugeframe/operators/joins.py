@@ -63,8 +63,10 @@ def differences(expected: DataFrame, observed: DataFrame, key: str, value: str)
 
 def multiset_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row of ``only_first, only_second``: rows, with repetitions, that the other side lacks."""
-    sides = a.exceptAll(b).select(F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.exceptAll(a).select(F.lit(0).alias("x"), F.lit(1).alias("y")))
-    return sides.agg(F.coalesce(F.sum("x"), F.lit(0)).cast("bigint").alias("only_first"), F.coalesce(F.sum("y"), F.lit(0)).cast("bigint").alias("only_second"))
+    # sums per distinct row combine before the shuffle, unlike exceptAll
+    one, minus = F.lit(1).alias("_n"), F.lit(-1).alias("_n")
+    net = a.select("*", one).unionByName(b.select("*", minus)).groupBy(*a.columns).agg(F.sum("_n").alias("_n"))
+    return net.agg(F.coalesce(F.sum(F.greatest("_n", F.lit(0))), F.lit(0)).alias("only_first"), F.coalesce(-F.sum(F.least("_n", F.lit(0))), F.lit(0)).alias("only_second"))
 
 
 def expected_checks(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ define (a single class, constant values) is null, never 0 or NaN.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import erfc, sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,12 +192,8 @@ def signed_rank_p(statistic: Column, n: Column, mean: Column, variance: Column,
 
 
 def _upper_tail(z: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
-        from math import erfc, sqrt
-
         return z.map(lambda x: None if pd.isna(x) else 0.5 * erfc(x / sqrt(2)))
 
     return tail(z)

@@ -45,7 +45,7 @@ def read_predictions(spark: SparkSession, path: str, sep: str = "\t", key: str =
 
 def read_sequence_folders(spark: SparkSession, folder: str) -> DataFrame:
     """``split, class, name, sequence`` from files ``<folder>/<split>/<class>/<name>.txt``."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).withColumn("_path", F.col("_metadata.file_path"))
+    t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumn("_path", F.col("_metadata.file_path"))
     part = r"([^/]+)/([^/]+)/([^/]+)\.txt$"
     return t.select(F.regexp_extract("_path", part, 1).alias("split"), F.regexp_extract("_path", part, 2).alias("class"), F.regexp_extract("_path", part, 3).alias("name"), F.trim("value").alias("sequence"))
 
@@ -85,7 +85,7 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     """Columns of GTF lines (column ``value``), with ``attributes`` as a map of names to arrays of values."""
     c = F.split("value", "\t")
     t = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    t = t.select(*[c[i].alias(n) for i, n in enumerate(("contig", "source", "feature", "start", "stop", "score", "strand", "frame", "attribute_text"))], F.size(c).alias("_n"))
+    t = t.select(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(("contig", "source", "feature", "start", "stop", "score", "strand", "frame", "attribute_text"))], F.size(c).alias("_n"))
     names, values = F.regexp_extract_all("attribute_text", F.lit(r'(\w+) "([^"]*)"'), F.lit(1)), F.regexp_extract_all("attribute_text", F.lit(r'(\w+) "([^"]*)"'), F.lit(2))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     keys = F.array_distinct(names)
@@ -132,7 +132,7 @@ def fetch(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:
     """``motif, width`` of a motif file."""
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     pattern = r"MOTIF\s+(\S+)[\s\S]*?w=\s*(\d+)"
     z = F.arrays_zip(F.regexp_extract_all("value", F.lit(pattern), F.lit(1)).alias("motif"), F.regexp_extract_all("value", F.lit(pattern), F.lit(2)).alias("width"))
     return t.select(F.explode(z).alias("m")).select("m.motif", F.col("m.width").cast("int").alias("width"))
