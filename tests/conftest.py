@@ -8,7 +8,6 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 sys.path.insert(0, ROOT)
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from testpaths import SMALL
 
 from gaugeframe import registry
 
