@@ -47,7 +47,7 @@ def read_sequence_folders(spark: SparkSession, folder: str) -> DataFrame:
     """``split, class, name, sequence`` from files ``<folder>/<split>/<class>/<name>.txt``."""
     t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumn("_path", F.col("_metadata.file_path"))
     part = r"([^/]+)/([^/]+)/([^/]+)\.txt$"
-    return t.select(F.regexp_extract("_path", part, 1).alias("split"), F.regexp_extract("_path", part, 2).alias("class"), F.regexp_extract("_path", part, 3).alias("name"), F.trim("value").alias("sequence"))
+    return t.select(F.regexp_extract("_path", part, 1).alias("split"), F.regexp_extract("_path", part, 2).alias("class"), F.regexp_extract("_path", part, 3).alias("name"), F.btrim("value", F.lit(" \t\r\n")).alias("sequence"))
 
 
 def read_many(spark: SparkSession, folder: str, reference: DataFrame, id_column: str, file_column: str, columns: Sequence[str]) -> DataFrame:
