@@ -30,40 +30,41 @@ MIN_LITERALS = 5
 MIN_WINDOWS = 6
 #: Benchmark windows up to which their table (about 0.5 kB a row) is broadcast and their filter is a constant.
 BROADCAST_WINDOWS = 200_000
+#: Ids of leaking documents up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|liters?|litres?|ml|l|meters?|metres?|mph|kmh|degrees?"
-_NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand"
 _IS_NAME, _IS_UNIT = "\u0001", "\u0002"
 
 
 def _raw_tokens(text: Column) -> Column:
-    """Words and numbers in order; words used as names or units carry a mark in front."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002]", " ")
-    named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", _IS_NAME)
-    digits = text.rlike(r"\p{N}")
-    marked = F.when(digits, F.regexp_replace(named, rf"(?i)(?<=\p{{N}} ?)(?=(?:{_UNITS})\b)", _IS_UNIT)).otherwise(named)
-    return F.regexp_extract_all(marked, F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?[\p{{L}}\p{{M}}]+|\p{{N}}+(?:[.,:/]\p{{N}}+)*"), F.lit(0))
+    """Lower-case words and numbers in order; words used as names or units carry a mark in front.
+
+    A name is a capitalised word after a lower-case letter, digit or comma and
+    a space, so not at the start of a sentence; a unit stands after a number.
+    """
+    text = F.coalesce(text, F.lit(""))
+    # the capital, which is rare, is looked for first
+    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;:] )", _IS_NAME)
+    marked = F.when(named.rlike("[0-9]"), F.regexp_replace(named, rf"(?i)(?<=[0-9] ?)(?=(?:{_UNITS})\b)", _IS_UNIT)).otherwise(named)
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
 
 
 def _template(token: Column) -> Column:
-    return (
-        F.when(token.startswith(_IS_NAME), NAME)
-        .when(token.startswith(_IS_UNIT), UNIT)
-        .when(token.rlike(r"^\p{N}"), NUMBER)
-        .otherwise(F.lower(token))
-    )
+    """A token or its placeholder, told by its first character."""
+    first = F.ascii(token)
+    return F.when(first > 57, token).when(first == ord(_IS_NAME), NAME).when(first == ord(_IS_UNIT), UNIT).when(first >= 48, NUMBER).otherwise(token)
 
 
 def _value(token: Column) -> Column:
-    return F.lower(F.ltrim(token, F.lit(_IS_NAME + _IS_UNIT)))
+    return F.ltrim(token, F.lit(_IS_NAME + _IS_UNIT))
 
 
 def _with_templates(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_raw`` and ``_tpl`` (arrays of tokens) and ``_th`` (hashes of the template tokens)."""
+    """Adds ``_raw`` (array of tokens) and ``_th`` (hashes of their templates)."""
     df = df.withColumn("_raw", _raw_tokens(F.col(f"`{text}`")))
-    df = df.withColumn("_tpl", F.transform("_raw", _template))
-    return df.withColumn("_th", F.transform("_tpl", lambda t: F.xxhash64(t)))
+    return df.withColumn("_th", F.transform("_raw", lambda t: F.xxhash64(_template(t))))
 
 
 def _window_hashes(length: int) -> Column:
@@ -88,10 +89,10 @@ def _windows(items: DataFrame) -> DataFrame:
     parts = [
         tokens.filter(F.col("length") == n)
         .withColumn("_w", _window_hashes(n))
-        .select("item_id", "length", "_raw", "_tpl", F.size("_w").alias("n_windows"), F.posexplode("_w").alias("at", "h"))
+        .select("item_id", "length", "_raw", F.size("_w").alias("n_windows"), F.posexplode("_w").alias("at", "h"))
         for n in range(MIN_LITERALS, WINDOW + 1)
     ]
-    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "n_windows", "at", "length", "h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw"), F.slice("_tpl", F.col("at") + 1, F.col("length")).alias("b_tpl"))
+    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "n_windows", "at", "length", "h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
     literals = F.size(F.filter("b_tpl", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
     return windows.filter(literals >= MIN_LITERALS)
 
@@ -129,8 +130,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     # The rows carry only the slices that the comparison needs.
     found = found.withColumns({f"_w{n}": _window_hashes(n) for n in lengths})
     found = found.withColumn("_c", F.concat(*[candidates(n) for n in lengths]))
-    window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw"), F.slice("_tpl", c["d_at"] + 1, c["length"]).alias("d_tpl")))
-    found = found.select("doc_id", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "c.*")
+    window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
+    found = found.select("doc_id", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
     hits = found.join(F.broadcast(windows) if small else windows, ["h", "length"]).filter(F.col("d_tpl") == F.col("b_tpl"))
 
     slots = F.filter(
@@ -157,7 +158,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    leaking = find_leaks(docs, benchmark).select("doc_id").distinct()
+    leaking = materialise(find_leaks(docs, benchmark).select("doc_id").distinct())
+    if leaking.count() <= BROADCAST_IDS:
+        leaking = F.broadcast(leaking)
     return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
 
 
