@@ -72,7 +72,9 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MAR
     sketched = sketched.filter("low <> high").withColumn("estimate", F.hll_sketch_estimate("sketch"))
     likely = materialise(sketched.filter(F.col("estimate") >= min_sites * (1 - margin)).select("line", "estimate", "n_lines", "first_doc"))
     near = likely.filter(F.col("estimate") < min_sites * (1 + margin)).select("line")
-    exact = rows.select("line", "site").join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact"))
+    # found where they are read while they are few, so that a hot line is a few rows per task from there on
+    near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
+    exact = rows.select("line", "site").join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count_distinct("site").alias("exact"))
     counted = likely.join(exact, "line", "left").withColumn("n_sites", F.coalesce("exact", "estimate"))
     return counted.filter(F.col("n_sites") >= min_sites).select("line", "n_sites", "n_lines", "first_doc")
 
