@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from . import hashing
-from .components import connected_components
 from .groups import complete_groups
 from .storage import materialise, table
 
@@ -296,6 +296,8 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id; rows with a null id stay."""
     classes = materialise(similarity_classes(docs, **options))
     copies = classes.filter("doc_id <> class_id").select("doc_id").distinct()
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
     kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
     n = classes.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n[0] != n[1]:  # rows that repeat an id

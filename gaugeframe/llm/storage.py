@@ -1,43 +1,5 @@
 """Where the operators of this subpackage cut lineage, and how they read their tables."""
 
-from __future__ import annotations
+from ..storage import ensure_checkpoint_dir, materialise, shared_folder, table
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by a path that Spark resolves."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a missing setting is an error, because executors do not share
-    machine-local folders.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeframe-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, for tables that outlive one plan."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; later reads survive lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["ensure_checkpoint_dir", "materialise", "shared_folder", "table"]

@@ -97,7 +97,7 @@ class Cascade:
         """``pages`` with an exact boolean column ``name``, for keys of the universe."""
         if self.rows is not None:
             kept = pages.columns
-            joined = pages.withColumn("_shard", self.shard(key)).join(self.rows, "_shard", "left")
+            joined = pages.withColumn("_gf_shard", self.shard(key)).join(self.rows, "_gf_shard", "left")
             return joined.withColumn(name, self._verdict(key)).select(*[f"`{c}`" for c in kept if c != name], name)
         return pages.withColumn(name, self._verdict(key))
 
@@ -129,7 +129,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BI
     # later levels add about as many bits again as there are listed keys
     shards = max(1, math.ceil(2 * 64 * BloomShape.sized(inside, first_rate).words / max_bits))
     shard = F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(shards)).cast("int")
-    keys = keys.withColumn("_shard", shard)
+    keys = keys.withColumn("_gf_shard", shard)
 
     shapes: list[BloomShape] = []
     words: list[Column] = []
@@ -139,11 +139,11 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BI
         # a level encodes the keys of its own side that have passed every filter so far
         encoded = keys.filter(F.col("is_listed") == F.lit(level % 2 == 0))
         if shards > 1 and rows is not None:
-            encoded = encoded.join(rows, "_shard", "left")
+            encoded = encoded.join(rows, "_gf_shard", "left")
         for s, w in zip(shapes, words, strict=True):
             if (s.seed - level) % 2:  # the filters that encode the other side; a key always passes those of its own
                 encoded = encoded.filter(F.coalesce(s.might_contain(w, F.col("key")), F.lit(False)))
-        largest = encoded.groupBy("_shard").count().agg(F.max("count")).first()[0] or 0
+        largest = encoded.groupBy("_gf_shard").count().agg(F.max("count")).first()[0] or 0
         if largest == 0:
             break
         if level >= MAX_LEVELS:
@@ -153,10 +153,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BI
             words.append(literal_words(shape.word_rows(encoded, "key").collect(), shape.words))
         else:
             # a shard's words are bounded by max_bits, so they fit one row
-            filled = shape.word_rows(encoded.select("key", "_shard"), "key", "_shard").groupBy("_shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_m"))
-            at = f"_w{level}"
-            dense = filled.select("_shard", F.transform(F.sequence(F.lit(0), F.lit(shape.words - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("bigint"))).alias(at))
-            rows = materialise(dense if rows is None else rows.join(dense, "_shard", "full"))
+            filled = shape.word_rows(encoded.select("key", "_gf_shard"), "key", "_gf_shard").groupBy("_gf_shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_m"))
+            at = f"_gf_w{level}"
+            dense = filled.select("_gf_shard", F.transform(F.sequence(F.lit(0), F.lit(shape.words - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("bigint"))).alias(at))
+            rows = materialise(dense if rows is None else rows.join(dense, "_gf_shard", "full"))
             words.append(F.col(at))
         shapes.append(shape)
     return Cascade(tuple(shapes), shards, tuple(words), rows)
