@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bits import BloomShape, literal_words
@@ -89,12 +89,13 @@ def _windows(items: DataFrame) -> DataFrame:
     parts = [
         tokens.filter(F.col("length") == n)
         .withColumn("_w", _window_hashes(n))
-        .select("item_id", "length", "_raw", F.size("_w").alias("n_windows"), F.posexplode("_w").alias("at", "h"))
+        .select("item_id", "length", "_raw", F.posexplode("_w").alias("at", "h"))
         for n in range(MIN_LITERALS, WINDOW + 1)
     ]
-    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "n_windows", "at", "length", "h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
+    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "at", "length", "h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
     literals = F.size(F.filter("b_tpl", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    return windows.filter(literals >= MIN_LITERALS)
+    kept = windows.filter(literals >= MIN_LITERALS)
+    return kept.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")).cast("int"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
