@@ -43,12 +43,16 @@ def _hash(normal: str) -> bytes:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, site, pos, line`` of each non-empty line: its position from 0 and 128-bit hash; a null source is a site of its own."""
+    """``doc_id, row, site, pos, line`` of each non-empty line: its position from 0 and 128-bit hash.
+
+    ``row`` is a hash of the text, which tells rows of one id (or none) apart; a
+    null source is a site of its own.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, pos, line = array("q"), array("i"), []
-            for i, text in enumerate(batch.column(2)):
+            for i, text in enumerate(batch.column(3)):
                 for k, x in enumerate((text.as_py() or "").split("\n")):
                     if normal := _normal(x):
                         row.append(i)
@@ -56,12 +60,12 @@ def line_rows(docs: DataFrame) -> DataFrame:
                         line.append(_hash(normal))
             of = pa.array(np.frombuffer(row, np.int64) if len(row) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.frombuffer(pos, np.int32) if len(pos) else np.zeros(0, np.int32)), pa.array(line, pa.binary())],
-                names=["doc_id", "site", "pos", "line"],
+                [*[batch.column(c).take(of) for c in range(3)], pa.array(np.frombuffer(pos, np.int32) if len(pos) else np.zeros(0, np.int32)), pa.array(line, pa.binary())],
+                names=["doc_id", "row", "site", "pos", "line"],
             )
 
-    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string").alias("text"))
-    return wanted.mapInArrow(run, "doc_id bigint, site string, pos int, line binary")
+    wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string").alias("text"))
+    return wanted.mapInArrow(run, "doc_id bigint, row bigint, site string, pos int, line binary")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
@@ -138,12 +142,12 @@ def _cut(text: str | None, doc_id: int | None, known: dict[bytes, int | None]) -
 def _cut_by_join(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The same without a bound on the lines: positions to cut are found by a join on the line and meet the texts on the document."""
     rows = line_rows(docs)
-    found = rows.join(lines, "line").select("doc_id", "line", "first_doc", "pos").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("pos"))  # of a document's own repeats of a line
+    found = rows.join(lines, "line").select("doc_id", "row", "line", "first_doc", "pos").distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id", "row", "line").orderBy("pos"))  # of a document's own repeats of a line
     gone = found.withColumn("_rank", rank).filter((F.col("_rank") > 1) | ~F.col("first_doc").eqNullSafe(F.col("doc_id")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
     split = F.split("text", "\n", -1)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_split", split)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumn("_split", split)
     kept = F.filter("_split", lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
     blank = F.size(F.filter("_split", lambda x: F.trim(x) != ""))
     cut = F.coalesce(F.size(F.filter("_gone", lambda p: p < F.size("_split"))), F.lit(0))
