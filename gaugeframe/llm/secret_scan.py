@@ -114,13 +114,22 @@ def battery(ranks: list[int], size: int) -> float:
     return min(1.0, 3 * min(uniform, runs, serial))
 
 
+def _unless_coded(m: re.Match) -> str:
+    return m[0] if infer_encoding(m[0]) is None else " "
+
+
 def byte_pairs(docs: DataFrame) -> np.ndarray:
-    """Counts of neighbouring bytes over all documents (128 x 128, other bytes as 0); each task returns its sums."""
+    """Counts of neighbouring bytes of all ordinary text (128 x 128, other bytes as 0); each task returns its sums.
+
+    Runs that could be tested are left out, or random strings would make
+    themselves ordinary.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(128 * 128, dtype=np.int64)
         for batch in batches:
-            for _, texts in hashing.chunks(batch.column(0)):
+            ordinary = pa.array([TOKEN.sub(_unless_coded, t.as_py() or "") for t in batch.column(0)], pa.string())
+            for _, texts in hashing.chunks(ordinary):
                 b, _ = hashing.text_bytes(texts, lower=False)
                 b = np.where(b < 128, b, 0).astype(np.int32)
                 if len(b) > 1:
