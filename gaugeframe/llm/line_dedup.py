@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import hashing
 from .storage import materialise, table
 
 #: Distinct sites from which a line is boilerplate.
@@ -50,7 +51,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.slices(batches):
             row, pos, line = array("q"), array("i"), []
             for i, text in enumerate(batch.column(3)):
                 for k, x in enumerate((text.as_py() or "").split("\n")):
@@ -108,7 +109,7 @@ def _cut_by_lookup(docs: DataFrame, lines: DataFrame) -> DataFrame:
     at, of = kept.index("text"), kept.index("doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.slices(batches):
             texts, total, cut = [], [], []
             for doc_id, text in zip(batch.column(of), batch.column(at), strict=True):
                 t, n, k = _cut(text.as_py(), doc_id.as_py(), known.value)

@@ -25,6 +25,7 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,16 +61,15 @@ def encoder(path: str):
     as fast (a test compares the two).
     """
     if path not in _encoders:
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
+        ranks = Path(path).with_suffix(".tiktoken")
+        if ranks.exists():
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as f:
-                pairs = dict((base64.b64decode(a), int(b)) for a, b in map(bytes.split, f))
-            of = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+            pairs = dict((base64.b64decode(a), int(b)) for a, b in map(bytes.split, ranks.read_bytes().splitlines()))
+            of = tiktoken.Encoding(ranks.name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
             _encoders[path] = lambda texts: [of.encode_ordinary(t) for t in texts]
-        except (ImportError, FileNotFoundError):
+        else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)

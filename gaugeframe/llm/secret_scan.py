@@ -127,7 +127,7 @@ def byte_pairs(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(128 * 128, dtype=np.int64)
-        for batch in batches:
+        for batch in hashing.slices(batches):
             ordinary = pa.array([TOKEN.sub(_unless_coded, t.as_py() or "") for t in batch.column(0)], pa.string())
             for _, texts in hashing.chunks(ordinary):
                 b, _ = hashing.text_bytes(texts, lower=False)
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame
     tested_schema = "doc_id bigint, kinds array<string>, starts array<bigint>, ends array<bigint>, steps array<int>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.slices(batches):
             kinds, starts, ends, steps = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hashing
 from .packing import encoder, vocabulary
 from .storage import table
 
@@ -135,7 +136,7 @@ def count_edits(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in hashing.slices(batches):
             rows = []
             for text, edits in zip(batch.column(1), batch.column(2), strict=True):
                 tree = TokenTree(text.as_py() or "", encode, leaf)
