@@ -158,3 +158,17 @@ def _cut_by_join(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after the cut."""
     return cut_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_cut")
+
+
+ORACLE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), k AS (
+  SELECT *, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS k FROM l
+), b AS (
+  SELECT k, min(doc_id) AS first_doc FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 6
+), m AS (
+  SELECT k.*, b.k IS NOT NULL AND (first_doc <> doc_id OR row_number() OVER (PARTITION BY doc_id, k.k ORDER BY pos) > 1) AS cut FROM k LEFT JOIN b ON b.k = k.k
+)
+SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '') AS text, sum((k <> '')::INT)::INT AS n_lines, sum(cut::INT)::INT AS n_cut FROM m GROUP BY doc_id
+"""

@@ -307,3 +307,25 @@ def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share an n-gram, exactly; meant for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(t) >= 5 THEN [array_to_string(t[i : i + 4], ' ') for i in range(1, len(t) - 3)] WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE c >= 0.8e0 * (x.n + y.n - c) - 1e-9
+), d AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT d.b, r.c FROM r JOIN d ON d.a = r.id
+)
+SELECT id AS doc_id, min(c) AS class_id, (SELECT count(*) FROM d WHERE d.a = r.id) AS n_links FROM r GROUP BY id
+"""

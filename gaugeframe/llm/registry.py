@@ -17,4 +17,8 @@ QUERIES = {
     "op10_site_spread_line_dedup": line_dedup.query,
 }
 
-ORACLE_SQL = {"op7_bloom_cascade_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op7_bloom_cascade_url_filter": url_filter.ORACLE_SQL,
+    "op10_site_spread_line_dedup": line_dedup.ORACLE_SQL,
+}
