@@ -512,3 +512,42 @@ WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
 def source_ordinals(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", "ts")
     return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select("user_id", "event_id", "ordinal")
+
+
+@query("SELECT 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS id, 'n' || lpad((20 + n_nationkey % 5)::VARCHAR, 2, '0') AS resolved FROM nation")
+def chain_resolution(spark, d):
+    def name(k):
+        return F.concat(F.lit("n"), F.lpad(k.cast("string"), 2, "0"))
+
+    k = F.col("n_nationkey")
+    return graph.resolve_chain(t(spark, d, "nation").select(name(k).alias("id"), F.when(k < 20, name(k + 5)).alias("next")))
+
+
+@query("""
+WITH p AS (SELECT least(abs(p_size - 10), abs(p_size - 30)) AS d FROM part)
+SELECT CASE WHEN d <= 2 THEN 'canonical' WHEN d <= 10 THEN 'near' WHEN d <= 50 THEN 'proximal' ELSE 'distal' END AS band, count(*) AS n FROM p GROUP BY 1""")
+def distance_bands(spark, d):
+    band = intervals.distance_band(F.col("p_size"), F.lit(10), F.lit(30))
+    return t(spark, d, "part").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH h AS (SELECT sha256(o_orderkey::VARCHAR) AS h FROM orders)
+SELECT count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(h, 16, 15))::HUGEINT)::VARCHAR AS digest FROM h""")
+def population_digest(spark, d):
+    return joins.population_digest(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("""
+SELECT o_orderkey, (ceil(o_totalprice::DECIMAL(18, 4) * 2 * 1.5 * 100) / 100)::DECIMAL(18, 2)::VARCHAR AS dollars, abs(o_totalprice - 100000) <= greatest(0.05e0 * greatest(abs(o_totalprice), 100000), 10) AS is_close,
+  regexp_replace(o_orderpriority, '[^A-Za-z0-9:._-]', '-', 'g') AS slug, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g')) AS plain FROM orders""")
+def scalar_conversions(spark, d):
+    o = t(spark, d, "orders")
+    p = F.col("o_totalprice")
+    return o.select("o_orderkey", scalars.dollars_up(p, F.lit(2), F.lit(1.5)).cast("string").alias("dollars"), scalars.close(p, F.lit(100000.0), 10.0, 0.05).alias("is_close"), scalars.slug(F.col("o_orderpriority")).alias("slug"), scalars.normal_text(F.col("o_orderpriority")).alias("plain"))
+
+
+@query()
+def ridge_leave_one_out(spark, d):
+    x = t(spark, d, "embeddings").select("embedding", F.col("label").cast("double").alias("y"))
+    return spark.createDataFrame(heads.ridge_leave_one_out(x, "embedding", "y", [0.1, 1.0, 10.0]), "alpha double, mse double")
