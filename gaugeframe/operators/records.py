@@ -85,3 +85,84 @@ def cover_score(names: Column, text: Column) -> Column:
     hit = F.size(F.filter(distinctive, lambda t: F.contains(text, t)))
     common = F.size(F.filter(tokens, lambda t: ~t.rlike("[0-9]") & F.contains(text, t)))
     return F.when(F.contains(text, names), 100).otherwise(10 * hit + common)
+
+
+def newest_release(tags: DataFrame, prefixes: Sequence[str], name: str = "name", created: str = "created") -> DataFrame:
+    """One row of ``release, created``: the latest release that has a tag of every prefix (``prefix/release``)."""
+    parts = tags.select(F.substring_index(name, "/", 1).alias("prefix"), F.substring_index(name, "/", -1).alias("release"), created).filter(F.col("prefix").isin(*prefixes))
+    whole = parts.groupBy("release").agg(F.count_distinct("prefix").alias("n"), F.max(created).alias("created")).filter(F.col("n") == len(prefixes))
+    return whole.orderBy(F.desc("created"), F.desc("release")).limit(1).select("release", "created")
+
+
+def rankings(mappings: DataFrame, evaluations: DataFrame, at_least: int = 2) -> DataFrame:
+    """``use_case, systems`` of active direct mappings of the first tier whose evaluations cover ``at_least`` distinct systems.
+
+    ``mappings`` has ``use_case, tier, status, directness, evaluation_ids``;
+    ``evaluations`` has ``id, system``.
+    """
+    chosen = mappings.filter("tier = 1 AND status = 'active' AND directness = 'direct'").select("use_case", F.explode("evaluation_ids").alias("id")).distinct()
+    return chosen.join(evaluations.select("id", "system"), "id").groupBy("use_case").agg(F.count_distinct("system").alias("systems")).filter(F.col("systems") >= at_least)
+
+
+def never_executed(recipes: DataFrame, parts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Recipes (``id``) that have no run, neither of themselves nor of anything they lead to along ``parts`` (``src, dst``)."""
+    from .graph import closure
+
+    reach = closure(parts, recipes.select(F.col("id").alias("root"))).select(F.col("root").alias("id"), "node").unionByName(recipes.select("id", F.col("id").alias("node")))
+    ran = reach.join(runs.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("id").distinct()
+    return recipes.join(ran, "id", "left_anti")
+
+
+def estimates(gaps: DataFrame, runtimes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """``gap, pairs, known, gpu_hours, lower_bound``: hours of all (system, protocol) pairs of a gap.
+
+    ``gaps`` has ``gap, systems, protocols`` (arrays), ``runtimes`` has
+    ``system, protocol, hours, gpus`` of which the first of a pair counts.  Where
+    a pair has no runtime the sum is a lower bound.
+    """
+    first = first_per_pair(runtimes.filter("hours IS NOT NULL"), ["system", "protocol"], ordinal).select("system", "protocol", (F.col("hours") * F.coalesce("gpus", F.lit(1))).alias("h"))
+    systems, protocols = F.array_distinct("systems"), F.array_distinct("protocols")
+    sized = gaps.select("gap", systems.alias("systems"), protocols.alias("protocols"), (F.size(systems) * F.size(protocols)).alias("pairs"))
+    # only pairs that have a runtime are looked for: by system, then by protocol
+    found = sized.select("gap", F.explode("systems").alias("system"), "protocols").join(first, "system").filter(F.array_contains(F.col("protocols"), F.col("protocol")))
+    sums = found.groupBy("gap").agg(F.count("*").alias("known"), F.sum("h").alias("gpu_hours"))
+    out = sized.select("gap", "pairs").join(sums, "gap", "left").withColumn("known", F.coalesce("known", F.lit(0)))
+    return out.select("gap", "pairs", "known", "gpu_hours", (F.col("known") < F.col("pairs")).alias("lower_bound"))
+
+
+def linked_datasets(e: DataFrame, gaps: DataFrame, relations: Sequence[str], same: str = "same_data_as") -> DataFrame:
+    """``gap, dataset``: what a gap's members link to by any of the relations, and one hop of equal data further, in both directions.
+
+    ``gaps`` has ``gap, member``.
+    """
+    direct = gaps.join(e.filter(F.col("relation").isin(*relations)), F.col("member") == F.col("src")).select("gap", F.col("dst").alias("dataset")).distinct()
+    equal = linked(e, same).unionByName(linked(e, same).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    hop = direct.join(equal, F.col("dataset") == F.col("src")).select("gap", F.col("dst").alias("dataset"))
+    return direct.unionByName(hop).distinct()
+
+
+def unfiled(proposals: DataFrame, issues: DataFrame, key: str = "key", aliases: str = "aliases", body: str = "body") -> DataFrame:
+    """Proposals whose key and aliases stand in no hidden marker ``<!-- key: ... -->`` of an issue."""
+    filed = issues.select(F.explode(F.regexp_extract_all(body, F.lit(r"<!--\s*key:\s*(\S+)\s*-->"), F.lit(1))).alias("name")).distinct()
+    names = proposals.select(key, F.explode(F.concat(F.array(F.col(key)), F.coalesce(F.col(aliases), F.array().cast("array<string>")))).alias("name"))
+    return proposals.join(names.join(filed, "name", "left_semi").select(key).distinct(), key, "left_anti")
+
+
+def best_cover(proposals: DataFrame, issues: DataFrame, least: int = 10) -> DataFrame:
+    """``key, issue, score`` of the issue that covers each proposal's name best, the first of equals; scores under ``least`` are none.
+
+    Pairs are found by shared words of three characters or more, an equi-join;
+    each pair is then scored once.  ``proposals`` has ``key, name``; ``issues``
+    has ``issue, title``.
+    """
+    from ..functions.scalars import normal_text
+
+    p = proposals.select("key", normal_text(F.col("name")).alias("name"))
+    i = issues.select("issue", normal_text(F.col("title")).alias("title"))
+
+    def words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+        return df.select(*keep, F.explode(F.array_distinct(F.filter(F.split(text, " "), lambda w: F.length(w) >= 3))).alias("word"))
+
+    pairs = words(p, "name", "key").join(words(i, "title", "issue"), "word").select("key", "issue").distinct()
+    scored = pairs.join(p, "key").join(i, "issue").select("key", "issue", cover_score(F.col("name"), F.col("title")).alias("score")).filter(F.col("score") >= least)
+    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "issue"))).filter("_r = 1").drop("_r")
