@@ -7,17 +7,14 @@ So an expression that is rare in a class is judged as in the other, and tells
 nothing.
 
 The evidence is the difference of the two log-likelihoods, each divided by the
-number of words: once over the whole text, and once over its strongest run of
-``RUN`` words, as toxic expressions are a few words in a text of any length.  A
-logistic curve of the two is the score.
-
-Words are hashed into ``VOCABULARY`` ids.  Distinct bigrams, from which the
-continuation counts follow, are counted by a shuffle over all labelled
-documents.  The models keep one word and one context in each of ``WORDS`` cells
-and one bigram in each of ``BIGRAMS`` cells, the most frequent there, with its
-id; what is not kept has the probability of a new word, and a bigram's goes to
-its context's back-off weight.  So the models have the same bounded size for
-every corpus.
+number of words: once over the whole text, and once at its strongest word, as
+toxic expressions are a few words in a text of any length.  A logistic curve of
+the two is the score.
+
+Words are hashed into ``VOCABULARY`` ids.  Every bigram, context and word of the
+labelled documents is kept, in tables that grow with the corpus.  Tables of up
+to ``BROADCAST_ROWS`` rows go to the tasks as sorted arrays; larger ones are
+joined with the bigrams of the documents, with the same result.
 """
 
 from __future__ import annotations
@@ -27,24 +24,25 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
 from .storage import materialise, table
 
-VOCABULARY, WORDS, BIGRAMS = 1 << 31, 1 << 18, 1 << 20
+VOCABULARY = 1 << 31
 #: Taken from every count for the back-off.
 DISCOUNT = 0.75
 #: The same for bigrams, whose counts copies of a document raise, unlike the numbers of their contexts.
 BIGRAM_DISCOUNT = 50.0
-#: Words of a run.
-RUN = 1
 PREDICT_AT = 0.7
-#: Evidence is binned for the fit of the curve: width of a bin and bins to either side of 0, of the whole text and of the strongest run.
+#: Evidence is binned for the fit of the curve: width of a bin and bins to either side of 0, of the whole text and of the strongest word.
 BINS = ((0.01, 200), (0.05, 160))
 #: Labels up to which they are broadcast to the documents (12 bytes each).
 BROADCAST_LABELS = 2_000_000
+#: Bigrams, contexts and words together up to which they are broadcast (16 bytes a bigram, 56 a context, 24 a word).
+BROADCAST_ROWS = 16_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -63,56 +61,120 @@ def _ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, offsets
 
 
-def _cell(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (hashing.mix64(v.astype(np.uint64) * np.uint64(VOCABULARY) + w.astype(np.uint64)) % np.uint64(BIGRAMS)).astype(np.int64)
+def _counted(sums: dict[str, float], of: dict[str, float], word: dict[str, float], scale: tuple[float, float], positive) -> list:
+    """Probabilities of a word after a context by class, from the counts of its bigram; the arguments are columns or arrays."""
+    both = positive(sums["n0"] + sums["n1"] - DISCOUNT) * of["i"]
+    return [positive(sums[f"n{c}"] * scale[c] - BIGRAM_DISCOUNT) * of[f"i{c}"] + of[f"b{c}"] * (both + of["b"] * word[f"p{c}"]) for c in (0, 1)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Kept bigrams, contexts and words by cell with their ids; by class (0 ordinary, 1 toxic), probabilities and back-off weights; and the curve."""
-
-    pair: np.ndarray
-    context: np.ndarray
-    word: np.ndarray
-    p_pair: np.ndarray
-    backoff: np.ndarray
-    #: Of the bigrams of both classes together.
-    p_shared: np.ndarray
-    shared_backoff: np.ndarray
-    p_word: np.ndarray
-    #: Of words that are not kept.
+    """Tables of all bigrams, contexts and words, the same as sorted arrays if they are few, and the curve; class 0 is ordinary, 1 toxic."""
+
+    #: ``id, n0, n1``
+    pairs: DataFrame
+    #: ``id``, the inverse counts ``i0, i1`` (scaled) and ``i`` (of both classes), and the back-off weights ``b0, b1, b``
+    contexts: DataFrame
+    #: ``id, p0, p1``
+    words: DataFrame
+    #: Of words that no labelled document has.
     p_new: tuple[float, float]
+    #: Of the counts of each class.
+    scale: tuple[float, float]
+    arrays: Broadcast | None
     slopes: tuple[float, float] = (0.0, 0.0)
     intercept: float = 0.0
     prior: float = 0.0
 
-    def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Two columns: the mean log ratio of the words' two probabilities, and the largest mean of a run (a shorter text is one run); NaN for texts without words."""
-        v, w, offsets = _ids(texts)
-        cell, at, of = _cell(v, w), w % WORDS, v % WORDS
-        kept, known, begun = self.pair[cell] == v * VOCABULARY + w, self.word[at] == w, self.context[of] == v
-        both, rest = np.where(kept & begun, self.p_shared[cell], 0), np.where(begun, self.shared_backoff[of], 1)
-        p = []
-        for c in (0, 1):
-            lower = both + rest * np.where(known, self.p_word[c][at], self.p_new[c])
-            p.append(np.where(kept & begun, self.p_pair[c][cell], 0) + np.where(begun, self.backoff[c][of], 1) * lower)
-        sums = np.concatenate([[0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
-        n = np.diff(offsets)
-        runs = np.where(n > 0, np.maximum(n - RUN + 1, 1), 0)
-        out = np.full((len(n), 2), np.nan)
-        if runs.sum():
-            some = n > 0
-            out[some, 0] = (sums[offsets[1:]] - sums[offsets[:-1]])[some] / n[some]
-            heads = np.cumsum(runs) - runs
-            begin = np.repeat(offsets[:-1] - heads, runs) + np.arange(int(runs.sum()))
-            end = np.minimum(begin + RUN, np.repeat(offsets[1:], runs))
-            out[some, 1] = np.maximum.reduceat((sums[end] - sums[begin]) / RUN, heads[some])
-        return out
-
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        """Probability of the toxic label; the share of toxic labels for texts without words."""
-        p = 1 / (1 + np.exp(-np.clip(evidence @ np.array(self.slopes) + self.intercept, -40, 40)))
-        return np.where(np.isnan(evidence[:, 0]), self.prior, p)
+    def evidence(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with, in place of ``text``, ``evidence`` and ``run_evidence``: mean and largest log ratio of the words' two probabilities; null for texts without words."""
+        names = [c for c in docs.columns if c != "text"]
+        return self._by_lookup(docs.select(*names, "text")) if self.arrays is not None else self._by_join(docs.select(*names, "text"))
+
+    def _by_lookup(self, docs: DataFrame) -> DataFrame:
+        arrays, scale, names = self.arrays, self.scale, [*docs.columns[:-1], "evidence", "run_evidence"]
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, texts in hashing.chunks(batch.column(batch.num_columns - 1)):
+                    e = _evidence(texts, arrays.value, scale)
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in batch.columns[:-1]], *[pa.array(e[:, k], from_pandas=True) for k in (0, 1)]], names=names)
+
+        return docs.mapInArrow(run, docs.withColumns({"evidence": F.lit(0.0), "run_evidence": F.lit(0.0)}).drop("text").schema.simpleString()[7:-1].replace(":", " "))
+
+    def _by_join(self, docs: DataFrame) -> DataFrame:
+        """Without a bound on the tables; rows of one text meet in its hash, and its copies leave the two ratios as they are."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in hashing.slices(batches):
+                keys = batch.column(0).to_numpy()
+                for at, texts in hashing.chunks(batch.column(1)):
+                    v, w, offsets = _ids(texts)
+                    text, pair = np.repeat(np.arange(len(texts)), np.diff(offsets)), v * VOCABULARY + w
+                    order = np.lexsort((pair, text))
+                    text, pair = text[order], pair[order]
+                    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, np.int64)
+                    n = np.diff(np.r_[first, len(pair)])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at + text[first]]), pa.array(pair[first]), pa.array(n.astype(np.int64))], names=["_key", "_pair", "_n"])
+
+        docs = docs.withColumn("_key", F.xxhash64("text"))
+        rows = docs.filter("text IS NOT NULL").select("_key", "text").mapInArrow(run, "_key bigint, _pair bigint, _n bigint")
+        # the ratio of each distinct bigram first, so that a hot one is one row where the tables are joined
+        seen = rows.select("_pair").distinct().withColumns({"_v": F.shiftright("_pair", 31), "_w": F.col("_pair").bitwiseAND(VOCABULARY - 1)})
+        seen = seen.join(self.pairs.withColumnRenamed("id", "_pair"), "_pair", "left").join(self.contexts.withColumnRenamed("id", "_v"), "_v", "left").join(self.words.withColumnRenamed("id", "_w"), "_w", "left")
+
+        def known(default: dict[str, float]) -> dict[str, Column]:
+            return {c: F.coalesce(F.col(c), F.lit(x)) for c, x in default.items()}
+
+        p = _counted(known({"n0": 0, "n1": 0}), known({"i0": 0.0, "i1": 0.0, "i": 0.0, "b0": 1.0, "b1": 1.0, "b": 1.0}), known({"p0": self.p_new[0], "p1": self.p_new[1]}), self.scale, lambda x: F.greatest(x, F.lit(0.0)))
+        ratios = seen.select("_pair", (F.log(p[1]) - F.log(p[0])).alias("_ratio"))
+        found = rows.join(ratios, "_pair").groupBy("_key").agg((F.sum(F.col("_n") * F.col("_ratio")) / F.sum("_n")).alias("evidence"), F.max("_ratio").alias("run_evidence"))
+        return docs.drop("text").join(found, "_key", "left").drop("_key")
+
+    def score(self) -> Column:
+        """Probability of the toxic label from ``evidence`` and ``run_evidence``; the share of toxic labels for texts without words."""
+        x = F.col("evidence") * self.slopes[0] + F.col("run_evidence") * self.slopes[1] + self.intercept
+        return F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x)))), F.lit(self.prior))
+
+
+def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale: tuple[float, float]) -> np.ndarray:
+    """Mean and largest log ratio of the words of each text; NaN for texts without words."""
+    v, w, offsets = _ids(texts)
+
+    def rows(table: dict[str, np.ndarray], wanted: np.ndarray) -> dict[str, np.ndarray]:
+        at = np.searchsorted(table["id"], wanted)
+        at = np.where(table["id"][at] == wanted, at, len(table["id"]) - 1)  # the last row stands for what is not there
+        return {c: x[at] for c, x in table.items() if c != "id"}
+
+    pairs, contexts, words = arrays
+    counts = {c: x.astype(np.float64) for c, x in rows(pairs, v * VOCABULARY + w).items()}
+    p = _counted(counts, rows(contexts, v), rows(words, w), scale, lambda x: np.maximum(x, 0))
+    ratio = np.log(p[1]) - np.log(p[0])
+    n = np.diff(offsets)
+    some, out = n > 0, np.full((len(n), 2), np.nan)
+    if some.any():
+        begin = offsets[:-1][some]
+        out[some, 0] = np.add.reduceat(ratio, begin) / n[some]
+        out[some, 1] = np.maximum.reduceat(ratio, begin)
+    return out
+
+
+def _sorted(rows: DataFrame, absent: dict[str, float]) -> dict[str, np.ndarray]:
+    """The columns of a table as arrays in the order of ``id``, with a last row for ids that it does not have; the driver takes one partition at a time."""
+    names = ["id", *absent]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in names], names=names)
+
+    types = {"id": np.dtype(np.int64)} | {f.name: np.dtype(np.int32 if f.dataType.simpleString() == "int" else np.float64) for f in rows.schema.fields if f.name in absent}
+    parts = list(rows.select(*names).mapInArrow(run, ", ".join(f"{c} binary" for c in names)).toLocalIterator())
+    out = {c: np.concatenate([*[np.frombuffer(r[c], types[c]) for r in parts], np.array([np.iinfo(np.int64).max if c == "id" else absent[c]], types[c])]) for c in names}
+    del parts
+    order = np.argsort(out["id"])
+    for c in names:
+        out[c] = out[c][order]
+    return out
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,7 +186,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
-    """``pair, cell, n0, n1``: every distinct bigram with its counts by class; each task combines its own first."""
+    """``pair, n0, n1``: every distinct bigram with its counts by class; each task combines its own first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,78 +195,54 @@ def bigram_counts(labelled: DataFrame) -> DataFrame:
                 v, w, offsets = _ids(texts)
                 of = np.repeat(toxic[at : at + len(texts)] > 0, np.diff(offsets))
                 pair, inverse = np.unique(v * VOCABULARY + w, return_inverse=True)
-                cell = _cell(pair // VOCABULARY, pair % VOCABULARY)
                 n = [np.bincount(inverse[of == c], minlength=len(pair)).astype(np.int64) for c in (False, True)]
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(cell), *map(pa.array, n)], names=["pair", "cell", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair), *map(pa.array, n)], names=["pair", "n0", "n1"])
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "pair bigint, cell bigint, n0 bigint, n1 bigint")
-    return rows.groupBy("pair").agg(F.max("cell").alias("cell"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = labelled.select("text", "toxic").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint")
+    return rows.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def build(pairs: DataFrame) -> Model:
-    """The two models; at most 2 * WORDS + BIGRAMS rows of sums come to the driver."""
+def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
+    """The two models; their rows come to the driver only while there are at most ``broadcast_rows``."""
     seen = [(F.col(c) > 0).cast("bigint") for c in ("n0", "n1")]
     t = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")).first()
     # Counts of the larger class are scaled to the size of the smaller, so that the same discount means the same
     # rarity in both; otherwise every rare word would speak for the class of which more is known.
     tokens, types = [max(1, t["n0"] or 0), max(1, t["n1"] or 0)], [max(1, t["k0"] or 0), max(1, t["k1"] or 0)]
-    scale = [min(types) / k for k in types]
-
-    word_sums = pairs.groupBy(F.col("pair").bitwiseAND(VOCABULARY - 1).alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k"))
-    freed = [F.sum(F.least(F.col(f"k{c}") * scale[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
-    words = word_sums.groupBy(F.pmod("id", F.lit(WORDS)).alias("cell")).agg(F.max(F.struct("k", "id", "k0", "k1")).alias("m"), F.count("*").alias("n"), *freed).select("cell", "m.*", "n", "f0", "f1").toArrow()
-    context_sums = pairs.groupBy(F.shiftright("pair", 31).alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    contexts = context_sums.groupBy(F.pmod("id", F.lit(WORDS)).alias("cell")).agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "id", "n0", "n1")).alias("m")).select("cell", "m.*").toArrow()
-    n = F.col("n0") + F.col("n1")
-    kept = pairs.filter(n > 1).groupBy("cell").agg(F.max(F.struct(n.alias("n"), "pair", "n0", "n1")).alias("m")).select("cell", "m.*").toArrow()
-
-    def keys(rows: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-        cell, out = rows["cell"].to_numpy(), np.full(size, -1, dtype=np.int64)
-        out[cell] = rows[name].to_numpy()
-        return cell, out
-
-    def dense(cell: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        out[cell] = values
-        return out
-
-    cell, word = keys(words, "id", WORDS)
-    shared = (words["k"].to_numpy() + 1) / ((t["k"] or 0) + words["n"].to_numpy().sum() + 1)
-    new = 2 / ((t["k"] or 0) + words["n"].to_numpy().sum() + 1)
-    p_word, p_new = [], []
-    for c in (0, 1):
-        share = words[f"f{c}"].to_numpy().sum() / min(types) if words.num_rows and (t[f"k{c}"] or 0) else 1.0
-        p_word.append(dense(cell, np.maximum(words[f"k{c}"].to_numpy() * scale[c] - DISCOUNT, 0) / min(types) + share * shared, WORDS).astype(np.float32))
-        p_new.append(float(share * new))
-
-    cell, context = keys(contexts, "id", WORDS)
-    totals = [dense(cell, contexts[f"n{c}"].to_numpy(), WORDS) for c in (0, 1)]
-    cell, pair = keys(kept, "pair", BIGRAMS)
-    n0, n1, v = kept["n0"].to_numpy(), kept["n1"].to_numpy(), kept["pair"].to_numpy() // VOCABULARY
-    of = v % WORDS
-
-    def level(n: np.ndarray, total: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-        p = np.where(context[of] == v, np.maximum(n - discount, 0) / np.maximum(total[of], 1e-9), 0)
-        return dense(cell, p, BIGRAMS).astype(np.float32), np.maximum(1 - np.bincount(of, p, WORDS), 1e-4).astype(np.float32)
-
-    p_shared, shared_backoff = level(n0 + n1, totals[0] + totals[1], 0.75)
-    by_class = [level(n * (min(tokens) / s), total * (min(tokens) / s), BIGRAM_DISCOUNT) for n, total, s in ((n0, totals[0], tokens[0]), (n1, totals[1], tokens[1]))]
-    return Model(pair, context, word, np.stack([x[0] for x in by_class]), np.stack([x[1] for x in by_class]), p_shared, shared_backoff, np.stack(p_word), (p_new[0], p_new[1]))
+    rarer, scale = [min(types) / k for k in types], (min(tokens) / tokens[0], min(tokens) / tokens[1])
+
+    word_sums = materialise(pairs.groupBy(F.col("pair").bitwiseAND(VOCABULARY - 1).alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")))
+    freed = [F.sum(F.least(F.col(f"k{c}") * rarer[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
+    w = word_sums.agg(F.count("*").alias("n"), *freed).first()
+    mass = t["k"] + w["n"] + 1
+    share = [w[f"f{c}"] / min(types) if w["n"] and t[f"k{c}"] else 1.0 for c in (0, 1)]
+    words = word_sums.select("id", *[(F.greatest(F.col(f"k{c}") * rarer[c] - DISCOUNT, F.lit(0.0)) / float(min(types)) + (F.col("k") + 1) * (share[c] / mass)).alias(f"p{c}") for c in (0, 1)])
+    p_new = (share[0] * 2 / mass, share[1] * 2 / mass)
+
+    def inverse(n: Column) -> Column:
+        return 1 / F.greatest(n.cast("double"), F.lit(1e-9))
+
+    kept = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - BIGRAM_DISCOUNT, F.lit(0.0)) for c in (0, 1)} | {"m": F.col("n0") + F.col("n1") - DISCOUNT}
+    sums = pairs.groupBy(F.shiftright("pair", 31).alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.sum(m).alias(name) for name, m in kept.items()])
+    contexts = sums.withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(F.col("n0") + F.col("n1"))})
+    contexts = materialise(contexts.select("id", "i0", "i1", "i", *[F.greatest(1 - F.col(f"m{c}") * F.col(f"i{c}"), F.lit(1e-4)).alias(f"b{c}") for c in ("0", "1", "")]))
+    pairs = pairs.select(F.col("pair").alias("id"), "n0", "n1")
+
+    arrays = None
+    if t["k"] + w["n"] + contexts.count() <= broadcast_rows:
+        # counts of more than 31 bits are kept as doubles
+        most = pairs.agg(F.greatest(F.max("n0"), F.max("n1")).alias("n")).first()["n"] or 0
+        small = pairs.select("id", F.col("n0").cast("int"), F.col("n1").cast("int")) if most < 1 << 31 else pairs.select("id", F.col("n0").cast("double"), F.col("n1").cast("double"))
+        arrays = pairs.sparkSession.sparkContext.broadcast(
+            (_sorted(small, {"n0": 0, "n1": 0}), _sorted(contexts, {"i0": 0, "i1": 0, "i": 0, "b0": 1, "b1": 1, "b": 1}), _sorted(words, {"p0": p_new[0], "p1": p_new[1]}))
+        )
+    return Model(pairs, contexts, words, p_new, scale, arrays)
 
 
 def calibrate(model: Model, labelled: DataFrame) -> Model:
     """The logistic curve of the evidence of labelled documents that the counts have not seen, from a histogram of bounded size."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in hashing.chunks(batch.column(0)):
-                e = shared.value.evidence(texts)
-                some = ~np.isnan(e[:, 0])
-                bins = [pa.array(np.clip(np.round(e[some, k] / width), -most, most).astype(np.int32)) for k, (width, most) in enumerate(BINS)]
-                yield pa.RecordBatch.from_arrays([*bins, batch.column(1).slice(at, len(texts)).filter(pa.array(some))], names=["whole", "run", "toxic"])
-
-    rows = labelled.select("text", "toxic").mapInArrow(run, "whole int, run int, toxic int").groupBy("whole", "run", "toxic").count().collect()
+    bins = [F.greatest(F.lit(-most), F.least(F.lit(most), F.rint(F.col(c) / width))).cast("int").alias(name) for c, name, (width, most) in zip(("evidence", "run_evidence"), ("whole", "run"), BINS, strict=True)]
+    rows = model.evidence(labelled.select("text", "toxic")).filter("evidence IS NOT NULL").select(*bins, "toxic").groupBy("whole", "run", "toxic").count().collect()
     x = np.array([[r["whole"] * BINS[0][0], r["run"] * BINS[1][0]] for r in rows]).reshape(-1, 2)
     y = np.array([float(r["toxic"] > 0) for r in rows])
     n = np.array([float(r["count"]) for r in rows])
@@ -225,10 +263,10 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
     return replace(model, slopes=(float(slopes[0]), float(slopes[1])), intercept=float(beta[2] - slopes @ mean), prior=prior)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """Counts over all labelled documents of fold 0, the curve over all of fold 2; held-out labels are not read."""
     labelled = _labelled(docs, labels)
-    return calibrate(build(materialise(bigram_counts(labelled.filter("fold = 0")))), labelled.filter("fold = 2"))
+    return calibrate(build(materialise(bigram_counts(labelled.filter("fold = 0"))), broadcast_rows), labelled.filter("fold = 2"))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -238,15 +276,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     toxic labels and have no evidence; without labels every text scores 0.
     Repeated rows score alike; rows with a null id are scored and not held out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in hashing.chunks(batch.column(1)):
-                e = shared.value.evidence(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(shared.value.score(e)), pa.array(e[:, 0], from_pandas=True), pa.array(e[:, 1], from_pandas=True)], names=["doc_id", "score", "evidence", "run_evidence"])
-
-    scored = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double, evidence double, run_evidence double")
+    scored = model.evidence(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("score", model.score())
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "evidence", "run_evidence")
 

@@ -85,3 +85,31 @@ def test_toxicity_odd(spark, odd, empty, mid):
     assert T.toxicity(odd, none).filter("score > 0.001").count() == 0
     nulls = mid["labels"].unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], mid["labels"].schema))
     assert T.train(mid["documents"], nulls).prior == m.prior
+
+
+def test_toxicity_keeps_every_word(spark):
+    """A toxic word whose hash agrees with a far commoner word's in the low bits, and a bigram seen once, count; joins and arrays agree."""
+    from gaugeframe.llm import hashing
+
+    def ids(words):
+        return hashing.word_hashes(pa.array(words))[0] % np.uint64(T.VOCABULARY - 1) + np.uint64(1)
+
+    some = [f"q{i}" for i in range(1_500_000)]
+    rare = some[int(np.flatnonzero(ids(some) % np.uint64(1 << 18) == ids(["the"])[0] % np.uint64(1 << 18))[0])]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        words = [f"w{rng.integers(40)}" if k % 2 else "the" for k in range(30)]
+        if i % 3 == 0:
+            words[11] = rare
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    rows += [(600, None, 0), (601, "!", 1), (602, rows[0][1], 1), (602, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").cache()
+    got = []
+    for bound in (T.BROADCAST_ROWS, 0):
+        m = T.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), bound)
+        assert (m.arrays is None) == (bound == 0)
+        got.append(sorted(((r["doc_id"], r["evidence"], r["run_evidence"], r["score"]) for r in T.toxicity(df, m).collect()), key=str))
+    assert len(got[0]) == len(rows) and all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9, nan_ok=True) if a[1] is not None else a == b for a, b in zip(*got, strict=True))
+    toxic = {i for i, _, y in rows[:600] if y}
+    assert min(r[2] for r in got[0] if r[0] in toxic) > max(r[2] for r in got[0] if r[0] < 600 and r[0] not in toxic) + 1
