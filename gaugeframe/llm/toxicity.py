@@ -11,6 +11,10 @@ number of words: once over the whole text, and once at its strongest word, as
 toxic expressions are a few words in a text of any length.  A logistic curve of
 the two is the score.
 
+Bigrams are counted once a text, and copies of a text once, as copies say nothing
+about a language.  Discounts are estimated from the numbers of bigrams seen once
+and twice.
+
 Words are hashed into ``VOCABULARY`` ids.  Every bigram, context and word of the
 labelled documents is kept, in tables that grow with the corpus.  Tables of up
 to ``BROADCAST_ROWS`` rows go to the tasks as sorted arrays; larger ones are
@@ -32,10 +36,8 @@ from . import hashing
 from .storage import materialise, table
 
 VOCABULARY = 1 << 31
-#: Taken from every count for the back-off.
+#: Taken from every continuation count for the back-off.
 DISCOUNT = 0.75
-#: The same for bigrams, whose counts copies of a document raise, unlike the numbers of their contexts.
-BIGRAM_DISCOUNT = 50.0
 PREDICT_AT = 0.7
 #: Evidence is binned for the fit of the curve: width of a bin and bins to either side of 0, of the whole text and of the strongest word.
 BINS = ((0.01, 200), (0.05, 160))
@@ -61,10 +63,22 @@ def _ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v, w, offsets
 
 
-def _counted(sums: dict[str, float], of: dict[str, float], word: dict[str, float], scale: tuple[float, float], positive) -> list:
+def _by_text(v: np.ndarray, w: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the text and bigram of every word, sorted by both."""
+    text, pair = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), v * VOCABULARY + w
+    order = np.lexsort((pair, text))
+    return text[order], pair[order]
+
+
+def _first(text: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Where each distinct bigram of a text begins in the sorted ones."""
+    return np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, np.int64)
+
+
+def _counted(sums: dict[str, float], of: dict[str, float], word: dict[str, float], scale: tuple[float, float], discounts: tuple[float, float, float], positive) -> list:
     """Probabilities of a word after a context by class, from the counts of its bigram; the arguments are columns or arrays."""
-    both = positive(sums["n0"] + sums["n1"] - DISCOUNT) * of["i"]
-    return [positive(sums[f"n{c}"] * scale[c] - BIGRAM_DISCOUNT) * of[f"i{c}"] + of[f"b{c}"] * (both + of["b"] * word[f"p{c}"]) for c in (0, 1)]
+    both = positive(sums["n0"] + sums["n1"] - discounts[2]) * of["i"]
+    return [positive(sums[f"n{c}"] * scale[c] - discounts[c]) * of[f"i{c}"] + of[f"b{c}"] * (both + of["b"] * word[f"p{c}"]) for c in (0, 1)]
 
 
 @dataclass(frozen=True)
@@ -81,6 +95,8 @@ class Model:
     p_new: tuple[float, float]
     #: Of the counts of each class.
     scale: tuple[float, float]
+    #: Taken from the counts of bigrams, of each class and of both.
+    discounts: tuple[float, float, float]
     arrays: Broadcast | None
     slopes: tuple[float, float] = (0.0, 0.0)
     intercept: float = 0.0
@@ -92,12 +108,12 @@ class Model:
         return self._by_lookup(docs.select(*names, "text")) if self.arrays is not None else self._by_join(docs.select(*names, "text"))
 
     def _by_lookup(self, docs: DataFrame) -> DataFrame:
-        arrays, scale, names = self.arrays, self.scale, [*docs.columns[:-1], "evidence", "run_evidence"]
+        arrays, scale, discounts, names = self.arrays, self.scale, self.discounts, [*docs.columns[:-1], "evidence", "run_evidence"]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, texts in hashing.chunks(batch.column(batch.num_columns - 1)):
-                    e = _evidence(texts, arrays.value, scale)
+                    e = _evidence(texts, arrays.value, scale, discounts)
                     yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in batch.columns[:-1]], *[pa.array(e[:, k], from_pandas=True) for k in (0, 1)]], names=names)
 
         return docs.mapInArrow(run, docs.withColumns({"evidence": F.lit(0.0), "run_evidence": F.lit(0.0)}).drop("text").schema.simpleString()[7:-1].replace(":", " "))
@@ -110,10 +126,8 @@ class Model:
                 keys = batch.column(0).to_numpy()
                 for at, texts in hashing.chunks(batch.column(1)):
                     v, w, offsets = _ids(texts)
-                    text, pair = np.repeat(np.arange(len(texts)), np.diff(offsets)), v * VOCABULARY + w
-                    order = np.lexsort((pair, text))
-                    text, pair = text[order], pair[order]
-                    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, np.int64)
+                    text, pair = _by_text(v, w, offsets)
+                    first = _first(text, pair)
                     n = np.diff(np.r_[first, len(pair)])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at + text[first]]), pa.array(pair[first]), pa.array(n.astype(np.int64))], names=["_key", "_pair", "_n"])
 
@@ -126,7 +140,7 @@ class Model:
         def known(default: dict[str, float]) -> dict[str, Column]:
             return {c: F.coalesce(F.col(c), F.lit(x)) for c, x in default.items()}
 
-        p = _counted(known({"n0": 0, "n1": 0}), known({"i0": 0.0, "i1": 0.0, "i": 0.0, "b0": 1.0, "b1": 1.0, "b": 1.0}), known({"p0": self.p_new[0], "p1": self.p_new[1]}), self.scale, lambda x: F.greatest(x, F.lit(0.0)))
+        p = _counted(known({"n0": 0, "n1": 0}), known({"i0": 0.0, "i1": 0.0, "i": 0.0, "b0": 1.0, "b1": 1.0, "b": 1.0}), known({"p0": self.p_new[0], "p1": self.p_new[1]}), self.scale, self.discounts, lambda x: F.greatest(x, F.lit(0.0)))
         ratios = seen.select("_pair", (F.log(p[1]) - F.log(p[0])).alias("_ratio"))
         found = rows.join(ratios, "_pair").groupBy("_key").agg((F.sum(F.col("_n") * F.col("_ratio")) / F.sum("_n")).alias("evidence"), F.max("_ratio").alias("run_evidence"))
         return docs.drop("text").join(found, "_key", "left").drop("_key")
@@ -134,10 +148,10 @@ class Model:
     def score(self) -> Column:
         """Probability of the toxic label from ``evidence`` and ``run_evidence``; the share of toxic labels for texts without words."""
         x = F.col("evidence") * self.slopes[0] + F.col("run_evidence") * self.slopes[1] + self.intercept
-        return F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x)))), F.lit(self.prior))
+        return F.when(F.col("evidence").isNull(), self.prior).otherwise(1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x)))))
 
 
-def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale: tuple[float, float]) -> np.ndarray:
+def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale: tuple[float, float], discounts: tuple[float, float, float]) -> np.ndarray:
     """Mean and largest log ratio of the words of each text; NaN for texts without words."""
     v, w, offsets = _ids(texts)
 
@@ -148,7 +162,7 @@ def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale:
 
     pairs, contexts, words = arrays
     counts = {c: x.astype(np.float64) for c, x in rows(pairs, v * VOCABULARY + w).items()}
-    p = _counted(counts, rows(contexts, v), rows(words, w), scale, lambda x: np.maximum(x, 0))
+    p = _counted(counts, rows(contexts, v), rows(words, w), scale, discounts, lambda x: np.maximum(x, 0))
     ratio = np.log(p[1]) - np.log(p[0])
     n = np.diff(offsets)
     some, out = n > 0, np.full((len(n), 2), np.nan)
@@ -178,23 +192,34 @@ def _sorted(rows: DataFrame, absent: dict[str, float]) -> dict[str, np.ndarray]:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic, fold`` of the labelled documents that are not held out; an id labelled twice counts as toxic if any label says so."""
+    """``doc_id, text, toxic, fold`` of the labelled documents that are not held out; an id labelled twice counts as toxic if any label says so."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(fold(F.col("doc_id")) != 1)
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("text", "toxic", fold(F.col("doc_id")).cast("int").alias("fold"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("doc_id", "text", "toxic", fold(F.col("doc_id")).cast("int").alias("fold"))
+
+
+def _once(labelled: DataFrame) -> DataFrame:
+    """``text, toxic`` of one document of each text and class; only hashes are shuffled."""
+    keyed = labelled.withColumn("_key", F.xxhash64("text"))
+    first = materialise(keyed.groupBy("_key", "toxic").agg(F.min("doc_id").alias("doc_id")).select("_key", "doc_id"))
+    if first.count() <= BROADCAST_LABELS:
+        first = F.broadcast(first)
+    return keyed.join(first, ["_key", "doc_id"], "left_semi").select("text", "toxic")
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
-    """``pair, n0, n1``: every distinct bigram with its counts by class; each task combines its own first."""
+    """``pair, n0, n1``: every distinct bigram with the number of texts of each class that have it; each task combines its own first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for at, texts in hashing.chunks(batch.column(0)):
                 v, w, offsets = _ids(texts)
-                of = np.repeat(toxic[at : at + len(texts)] > 0, np.diff(offsets))
-                pair, inverse = np.unique(v * VOCABULARY + w, return_inverse=True)
+                text, pair = _by_text(v, w, offsets)
+                first = _first(text, pair)
+                of = toxic[at + text[first]] > 0
+                pair, inverse = np.unique(pair[first], return_inverse=True)
                 n = [np.bincount(inverse[of == c], minlength=len(pair)).astype(np.int64) for c in (False, True)]
                 yield pa.RecordBatch.from_arrays([pa.array(pair), *map(pa.array, n)], names=["pair", "n0", "n1"])
 
@@ -202,6 +227,11 @@ def bigram_counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def discount(once: int, twice: int) -> float:
+    """Ney's estimate from the numbers of bigrams that were seen once and twice, always below 1."""
+    return once / (once + 2 * twice) if once and twice else 0.75
+
+
 def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """The two models; their rows come to the driver only while there are at most ``broadcast_rows``."""
     seen = [(F.col(c) > 0).cast("bigint") for c in ("n0", "n1")]
@@ -211,6 +241,10 @@ def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     tokens, types = [max(1, t["n0"] or 0), max(1, t["n1"] or 0)], [max(1, t["k0"] or 0), max(1, t["k1"] or 0)]
     rarer, scale = [min(types) / k for k in types], (min(tokens) / tokens[0], min(tokens) / tokens[1])
 
+    once = [F.sum((n == k).cast("bigint")).alias(f"{name}{k}") for name, n in (("a", F.col("n0")), ("b", F.col("n1")), ("c", F.col("n0") + F.col("n1"))) for k in (1, 2)]
+    seen_by = pairs.agg(*once).first()
+    discounts = tuple(discount(seen_by[f"{x}1"] or 0, seen_by[f"{x}2"] or 0) for x in "abc")
+
     word_sums = materialise(pairs.groupBy(F.col("pair").bitwiseAND(VOCABULARY - 1).alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")))
     freed = [F.sum(F.least(F.col(f"k{c}") * rarer[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
     w = word_sums.agg(F.count("*").alias("n"), *freed).first()
@@ -222,7 +256,7 @@ def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     def inverse(n: Column) -> Column:
         return 1 / F.greatest(n.cast("double"), F.lit(1e-9))
 
-    kept = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - BIGRAM_DISCOUNT, F.lit(0.0)) for c in (0, 1)} | {"m": F.col("n0") + F.col("n1") - DISCOUNT}
+    kept = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - discounts[c], F.lit(0.0)) for c in (0, 1)} | {"m": F.greatest(F.col("n0") + F.col("n1") - discounts[2], F.lit(0.0))}
     sums = pairs.groupBy(F.shiftright("pair", 31).alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.sum(m).alias(name) for name, m in kept.items()])
     contexts = sums.withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(F.col("n0") + F.col("n1"))})
     contexts = materialise(contexts.select("id", "i0", "i1", "i", *[F.greatest(1 - F.col(f"m{c}") * F.col(f"i{c}"), F.lit(1e-4)).alias(f"b{c}") for c in ("0", "1", "")]))
@@ -236,7 +270,7 @@ def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
         arrays = pairs.sparkSession.sparkContext.broadcast(
             (_sorted(small, {"n0": 0, "n1": 0}), _sorted(contexts, {"i0": 0, "i1": 0, "i": 0, "b0": 1, "b1": 1, "b": 1}), _sorted(words, {"p0": p_new[0], "p1": p_new[1]}))
         )
-    return Model(pairs, contexts, words, p_new, scale, arrays)
+    return Model(pairs, contexts, words, p_new, scale, discounts, arrays)
 
 
 def calibrate(model: Model, labelled: DataFrame) -> Model:
@@ -266,7 +300,7 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
 def train(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """Counts over all labelled documents of fold 0, the curve over all of fold 2; held-out labels are not read."""
     labelled = _labelled(docs, labels)
-    return calibrate(build(materialise(bigram_counts(labelled.filter("fold = 0"))), broadcast_rows), labelled.filter("fold = 2"))
+    return calibrate(build(materialise(bigram_counts(_once(labelled.filter("fold = 0")))), broadcast_rows), labelled.filter("fold = 2"))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:

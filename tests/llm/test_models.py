@@ -112,4 +112,23 @@ def test_toxicity_keeps_every_word(spark):
         got.append(sorted(((r["doc_id"], r["evidence"], r["run_evidence"], r["score"]) for r in T.toxicity(df, m).collect()), key=str))
     assert len(got[0]) == len(rows) and all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9, nan_ok=True) if a[1] is not None else a == b for a, b in zip(*got, strict=True))
     toxic = {i for i, _, y in rows[:600] if y}
-    assert min(r[2] for r in got[0] if r[0] in toxic) > max(r[2] for r in got[0] if r[0] < 600 and r[0] not in toxic) + 1
+    assert min(r[2] for r in got[0] if r[0] in toxic) > max(r[2] for r in got[0] if r[0] < 600 and r[0] not in toxic) + 0.5
+
+
+def test_toxicity_counts_texts_and_estimates_discounts(spark):
+    """Copies and repeats raise no count, and a toxic expression of ordinary words, seen a few times, is evidence."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.integers(12)}" for _ in range(24)]
+        # "red" and "fish" are ordinary words; only toxic texts have one right before the other
+        words[6:9] = ["red", "fish", "w1"] if i % 4 == 0 else ["red", "w1", "fish"]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    copies = docs.union(docs.selectExpr("doc_id + 100000", "text", "toxic"))
+    counts = [{r["pair"]: (r["n0"], r["n1"]) for r in T.bigram_counts(T._once(x)).collect()} for x in (docs, copies)]
+    assert counts[0] == counts[1] and max(n0 for n0, _ in counts[0].values()) <= 300
+    assert 0 < T.discount(90, 10) < 1
+    m = T.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    got = T.toxicity(docs, m).filter("held_out").toPandas().merge(docs.toPandas(), on="doc_id")
+    assert auc(got["toxic"].to_numpy(), got["run_evidence"].to_numpy()) >= 0.95
