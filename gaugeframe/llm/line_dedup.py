@@ -148,11 +148,23 @@ def _cut_by_join(docs: DataFrame, lines: DataFrame) -> DataFrame:
     gone = found.withColumn("_rank", rank).filter((F.col("_rank") > 1) | ~F.col("first_doc").eqNullSafe(F.col("doc_id")))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
     split = F.split("text", "\n", -1)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumn("_split", split)
+    joined = _with_n_lines(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumn("_split", split)
     kept = F.filter("_split", lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-    blank = F.size(F.filter("_split", lambda x: F.trim(x) != ""))
     cut = F.coalesce(F.size(F.filter("_gone", lambda p: p < F.size("_split"))), F.lit(0))
-    return joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(blank), "n_cut": F.when(F.col("text").isNull(), 0).otherwise(cut), "text": F.array_join(kept, "\n")}).select(*docs.columns, "n_lines", "n_cut")
+    return joined.withColumns({"n_cut": F.when(F.col("text").isNull(), 0).otherwise(cut), "text": F.array_join(kept, "\n")}).select(*docs.columns, "n_lines", "n_cut")
+
+
+def _with_n_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` and its numbers of non-empty lines, by what makes a line empty everywhere here."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in hashing.slices(batches):
+            total = [sum(1 for x in (text.as_py() or "").split("\n") if _normal(x)) for text in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.int32())], names=[*names, "n_lines"])
+
+    return docs.mapInArrow(run, docs.withColumn("n_lines", F.lit(0)).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

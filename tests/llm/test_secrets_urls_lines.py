@@ -155,6 +155,14 @@ def test_lines(spark, bound):
     assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_cut"]) for r in got.collect()), key=str) == plain_cut(rows, 5)
 
 
+@pytest.mark.parametrize("bound", [1_000_000, -1])
+def test_lines_of_other_white_space(spark, bound):
+    texts = ["All rights reserved.\r\n\r\n\t\n", "\r\n\u00a0\n\x0b\x0c", "own\r\n \t\r\nALL rights\treserved.\r\n", "", None]
+    rows = [(i, texts[i % 5], f"s{i % 9}") for i in range(45)]
+    got = L.cut_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), 5, bound)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_cut"]) for r in got.collect()), key=str) == plain_cut(rows, 5)
+
+
 def test_lines_of_the_small_table(spark, small, odd, empty, odd_rows):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in small["documents"].collect()]
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_cut"]) for r in L.query(spark, SMALL).collect()), key=str)
