@@ -51,6 +51,10 @@ _RANK = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in EN
 
 #: A run is not random if a test of the battery rejects randomness at this level.
 REJECT_RANDOM = 0.001
+#: Fewest characters of a part of a run that is tested.
+LEAST_PART = 16
+#: Where a run that fits no single encoding is split: what is left fits base64url, base64 and base62.
+SPLITS = tuple(re.compile(p) for p in (r"[^/+]+", r"[^_-]+", r"[^/+_-]+"))
 #: Share of ordinary text among the added spans that the control allows.
 FALSE_DISCOVERY = 0.01
 #: p-values are rounded up to powers of two with these steps, so that their histogram is bounded.
@@ -114,8 +118,35 @@ def battery(ranks: list[int], size: int) -> float:
     return min(1.0, 3 * min(uniform, runs, serial))
 
 
+def _parts(text: str, start: int, end: int) -> tuple[list[tuple[int, int, tuple[str, list[int], int]]], int]:
+    """What is tested of a run, with its encoding, and in how many ways the run was read.
+
+    That is the whole run if one encoding has all its characters, else the parts
+    of every way to split it, which may overlap.
+    """
+    found = infer_encoding(text[start:end])
+    if found is not None:
+        return [(start, end, found)], 1
+    parts = {(start + m.start(), start + m.end()) for split in SPLITS for m in split.finditer(text[start:end]) if m.end() - m.start() >= LEAST_PART and m.end() - m.start() < end - start}
+    coded = [(s, e, infer_encoding(text[s:e])) for s, e in sorted(parts)]
+    return [x for x in coded if x[2] is not None], len(SPLITS)
+
+
 def _unless_coded(m: re.Match) -> str:
-    return m[0] if infer_encoding(m[0]) is None else " "
+    out = m[0]
+    for s, e, _ in _parts(m[0], 0, len(m[0]))[0]:
+        out = out[:s] + " " * (e - s) + out[e:]
+    return out if out.strip() else " "
+
+
+def _outside(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of a run, in pieces of LEAST_PART or more."""
+    out = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if s < end and start < e:
+            out.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*out, (start, end)] if e - s >= LEAST_PART]
 
 
 def byte_pairs(docs: DataFrame) -> np.ndarray:
@@ -150,17 +181,27 @@ def ordinary_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _added(text: str, base: list[tuple[str, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans that pass the battery: start, end and step of the p-value."""
+    """Runs, and parts of them, outside the base spans that pass the battery: start, end and step of the p-value.
+
+    Of parts that overlap the least likely as ordinary text stays; its p-value is
+    multiplied by the number of ways to read the run.
+    """
     out = []
     for m in TOKEN.finditer(text):
-        if any(s < m.end() and m.start() < e for _, s, e in base):
-            continue
-        found = infer_encoding(m[0])
-        if found is None or battery(found[1], found[2]) < REJECT_RANDOM:
-            continue
-        b = np.frombuffer(m[0].encode(), np.uint8)
-        log_p = float(model[b[:-1], b[1:]].sum()) + (len(b) - 1) * math.log2(found[2])
-        out.append((m.start(), m.end(), max(P_LEAST * P_STEPS, min(0, math.ceil(log_p * P_STEPS)))))
+        for start, end in _outside(m.start(), m.end(), base):
+            parts, ways = _parts(text, start, end)
+            passed = []
+            for s, e, (_, ranks, size) in parts:
+                if battery(ranks, size) < REJECT_RANDOM:
+                    continue
+                b = np.frombuffer(text[s:e].encode(), np.uint8)
+                log_p = float(model[b[:-1], b[1:]].sum()) + (len(b) - 1) * math.log2(size) + math.log2(ways)
+                passed.append((max(P_LEAST * P_STEPS, min(0, math.ceil(log_p * P_STEPS))), s, e))
+            taken: list[tuple[int, int, int]] = []
+            for step, s, e in sorted(passed):
+                if all(e <= x or y <= s for x, y, _ in taken):
+                    taken.append((s, e, step))
+            out += taken
     return out
 
 

@@ -64,6 +64,43 @@ def test_random_strings_are_added(spark):
     assert sum(len(v) for i, v in added.items() if i not in secret) <= 3
 
 
+def test_random_strings_within_mixed_runs(spark):
+    """Tokens of one alphabet in a path or behind a prefix of another, and beside a base span."""
+    rng = random.Random(9)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["".join(rng.choice("aeiou") + rng.choice("tnrsl") for _ in range(rng.randint(1, 5))) for _ in range(300)]
+
+    def key(more):
+        return "".join(rng.choice(base + more * 3) for _ in range(47)) + "Z"
+
+    rows, secret = [], {}
+    for i in range(240):
+        text, k = " ".join(rng.choice(words) for _ in range(80)), None
+        if i % 8 == 0:
+            k = key("-_")
+            text += f" https://site.com/v1/{k}/tail "
+        elif i % 8 == 2:
+            k = key("+/")
+            text += f" sk_live_{k} "
+        elif i % 8 == 4:
+            k = key("")
+            text += f" {k}/{'0123456789abcdef' * 2}/x "
+        elif i % 8 == 6:
+            text += " https://site.com/" + "/".join("-".join(rng.choice(words) for _ in range(4)) for _ in range(3)) + "/Page_2 "
+        if k:
+            secret[i] = k
+        rows.append((i, text))
+    got = check_scan(spark, rows)
+    added = {i: [dict(rows)[i][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for i, r in got.items()}
+    for rest in (0, 2, 4):
+        of = [i for i in secret if i % 8 == rest]
+        assert sum(any(secret[i][4:-4] in x or (len(x) >= 16 and x in secret[i]) for x in added[i]) for i in of) >= 0.9 * len(of)
+    assert sum(len(v) for i, v in added.items() if i not in secret) <= 3
+    for r in got.values():
+        spans = sorted((s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random")
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_secret_odd(odd, empty, odd_rows):
     assert S.scan(odd).count() == len(odd_rows) and S.scan(empty).count() == 0
     assert S.accept({}, 0.01) < S.P_LEAST * S.P_STEPS + 1
