@@ -35,6 +35,8 @@ BROADCAST_IDS = 500_000
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|liters?|litres?|ml|l|meters?|metres?|mph|kmh|degrees?"
+#: Letters of scripts without spaces, each a token of its own.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _IS_NAME, _IS_UNIT = "\u0001", "\u0002"
 
 
@@ -48,7 +50,7 @@ def _raw_tokens(text: Column) -> Column:
     # the capital, which is rare, is looked for first
     named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;:] )", _IS_NAME)
     marked = F.when(named.rlike("[0-9]"), F.regexp_replace(named, rf"(?i)(?<=[0-9] ?)(?=(?:{_UNITS})\b)", _IS_UNIT)).otherwise(named)
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?(?:[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+)|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
 
 
 def _template(token: Column) -> Column:
@@ -62,40 +64,43 @@ def _value(token: Column) -> Column:
 
 
 def _with_templates(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_raw`` (array of tokens) and ``_th`` (hashes of their templates)."""
+    """Adds ``_raw`` (array of tokens), ``_th`` (hashes of their templates) and ``_vh`` (of their values)."""
     df = df.withColumn("_raw", _raw_tokens(F.col(f"`{text}`")))
-    return df.withColumn("_th", F.transform("_raw", lambda t: F.xxhash64(_template(t))))
+    return df.withColumns({"_th": F.transform("_raw", lambda t: F.xxhash64(_template(t))), "_vh": F.transform("_raw", lambda t: F.xxhash64(_value(t)))})
 
 
-def _window_hashes(length: int) -> Column:
-    """Hash of the template tokens of every window of ``length`` tokens, by its start (from 0).
+def _window_hashes(length: int, of: str = "_th") -> Column:
+    """Hash of the templates (``_th``) or values (``_vh``) of the tokens of every window of ``length`` tokens, by its start (from 0).
 
     Elements are read one by one, as slice() copies its whole array each time.
     """
 
     def at(i: Column) -> Column:
-        return F.xxhash64(*[F.get("_th", i + k) for k in range(length)])
+        return F.xxhash64(*[F.get(of, i + k) for k in range(length)])
 
     # the column is named twice, so that its computation is not copied into the lambda
-    return F.when(F.size("_th") >= length, F.transform(F.sequence(F.lit(0), F.size("_th") - length), at)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(of) >= length, F.transform(F.sequence(F.lit(0), F.size(of) - length), at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _windows(items: DataFrame) -> DataFrame:
-    """One row per window of each item: ``item_id, n_windows, at, length, h, b_raw, b_tpl``.
+    """One row per window of each item: ``item_id, n_windows, n_literal, at, length, exact, h, b_raw, b_tpl``.
 
-    Items of MIN_LITERALS to WINDOW - 1 tokens have one window of all their tokens.
+    Items of fewer than WINDOW tokens have one window of all their tokens.
+    Windows of fewer than MIN_LITERALS plain words are ``exact``: their ``h`` is
+    of the values, and they match only these.
     """
-    tokens = materialise(_with_templates(items, "text").withColumn("length", F.least(F.size("_th"), F.lit(WINDOW))).filter(F.col("length") >= MIN_LITERALS))
+    tokens = materialise(_with_templates(items, "text").withColumn("length", F.least(F.size("_th"), F.lit(WINDOW))).filter(F.col("length") >= 1))
     parts = [
         tokens.filter(F.col("length") == n)
-        .withColumn("_w", _window_hashes(n))
-        .select("item_id", "length", "_raw", F.posexplode("_w").alias("at", "h"))
-        for n in range(MIN_LITERALS, WINDOW + 1)
+        .withColumn("_w", F.arrays_zip(_window_hashes(n).alias("t"), _window_hashes(n, "_vh").alias("v")))
+        .select("item_id", "length", "_raw", F.posexplode("_w").alias("at", "_h"))
+        for n in range(1, WINDOW + 1)
     ]
-    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "at", "length", "h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
+    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "at", "length", "_h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
     literals = F.size(F.filter("b_tpl", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    kept = windows.filter(literals >= MIN_LITERALS)
-    return kept.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")).cast("int"))
+    kept = windows.withColumn("exact", literals < MIN_LITERALS).withColumn("h", F.when(F.col("exact"), F.col("_h")["v"]).otherwise(F.col("_h")["t"])).drop("_h")
+    of_item = Window.partitionBy("item_id")
+    return kept.withColumns({"n_windows": F.count("*").over(of_item).cast("int"), "n_literal": F.sum((~F.col("exact")).cast("int")).over(of_item).cast("int")})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -104,55 +109,65 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     ``doc_id, item_id, matched_windows, item_windows, coverage, n_slots``: the
     item's windows found in a consistent alignment, of how many, their share,
     and how many different slot values they bind.  A document holds an item if
-    it matches MIN_WINDOWS windows (all, if the item has fewer).  Null and
-    empty texts hold nothing; items too short for a window (under
-    MIN_LITERALS plain words) match nothing; null ids take no part; repeated
-    items are found each under its id, and repeated document rows count once.
+    it matches MIN_WINDOWS windows (all, if the item has fewer), of all or of
+    those with MIN_LITERALS plain words.  The other windows, and items of fewer
+    tokens, match the same values only and need no consistent alignment.  Null
+    and empty texts hold nothing; null ids take no part; repeated items are
+    found each under its id, and repeated document rows count once.
     """
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     windows = materialise(_windows(items))
-    stats = windows.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
-    shape = BloomShape.sized(stats["n"], 1e-6)
-    lengths = sorted(stats["lengths"]) or [WINDOW]
-    small = stats["n"] <= broadcast_windows
-    words = literal_words(shape.word_rows(windows, "h").collect(), shape.words) if small else None
-
-    def candidates(length: int) -> Column:
-        hashes = f"_w{length}"
+    kinds = {r["exact"]: r for r in windows.groupBy("exact").agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).collect()}
+    small = sum(r["n"] for r in kinds.values()) <= broadcast_windows
+    shapes, words = {}, {}
+    for exact, r in kinds.items():
+        shapes[exact] = BloomShape.sized(r["n"], 1e-6)
+        words[exact] = literal_words(shapes[exact].word_rows(windows.filter(F.col("exact") == exact), "h").collect(), shapes[exact].words) if small else None
+    looked_up = [(exact, n) for exact in sorted(kinds) for n in sorted(kinds[exact]["lengths"])] or [(False, WINDOW)]
+
+    def candidates(exact: bool, length: int) -> Column:
+        hashes = f"_w{length}{exact}"
         # named twice, see _window_hashes
         starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-        if small:
-            starts = F.filter(starts, lambda i: shape.might_contain(words, F.get(hashes, i)))
-        return F.transform(starts, lambda i: F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.get(hashes, i).alias("h")))
+        if small and kinds:
+            starts = F.filter(starts, lambda i: shapes[exact].might_contain(words[exact], F.get(hashes, i)))
+        return F.transform(starts, lambda i: F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), F.get(hashes, i).alias("h")))
 
     found = _with_templates(docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), "text")
     # A filter on an array, which explode() also infers, would be pushed below the projections above and repeat
     # them inside the lambda for every window; explode_outer() and a filter on its rows avoid that.
     # The rows carry only the slices that the comparison needs.
-    found = found.withColumns({f"_w{n}": _window_hashes(n) for n in lengths})
-    found = found.withColumn("_c", F.concat(*[candidates(n) for n in lengths]))
-    window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
+    found = found.withColumns({f"_w{n}{exact}": _window_hashes(n, "_vh" if exact else "_th") for exact, n in looked_up})
+    found = found.withColumn("_c", F.concat(*[candidates(*x) for x in looked_up]))
+    window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["exact"].alias("exact"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
     found = found.select("doc_id", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
-    hits = found.join(F.broadcast(windows) if small else windows, ["h", "length"]).filter(F.col("d_tpl") == F.col("b_tpl"))
+    hits = found.join(F.broadcast(windows) if small else windows, ["h", "length", "exact"]).filter(F.when(F.col("exact"), F.transform("d_raw", _value) == F.transform("b_raw", _value)).otherwise(F.col("d_tpl") == F.col("b_tpl")))
 
     slots = F.filter(
         F.transform(F.arrays_zip("b_tpl", "b_raw", "d_raw"), lambda z: F.struct(z["b_tpl"].alias("kind"), _value(z["b_raw"]).alias("b"), _value(z["d_raw"]).alias("d"))),
         lambda s: s["kind"].isin(NUMBER, NAME, UNIT),
     )
-    hits = hits.select("doc_id", "item_id", "n_windows", "at", (F.col("d_at") - F.col("at")).alias("offset"), slots.alias("slots"))
+    hits = hits.select("doc_id", "item_id", "n_windows", "n_literal", "at", "exact", (F.col("d_at") - F.col("at")).alias("offset"), slots.alias("slots"))
     # an alignment has at most as many windows as its item, which bounds every group below
-    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(F.max("n_windows").alias("n_windows"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(
+        F.max("n_windows").alias("n_windows"),
+        F.max("n_literal").alias("n_literal"),
+        F.collect_set(F.struct("at", "exact")).alias("ats"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("exact"), F.col("slots"))))).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("bound"),
+    )
     n_pairs = F.size("slots")
 
     def distinct(side: str) -> Column:
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
 
-    consistent = aligned.filter((distinct("b") == n_pairs) & (distinct("d") == n_pairs)).select("doc_id", "item_id", "n_windows", n_pairs.alias("n_slots"), F.explode("ats").alias("at"))
-    matched = F.count_distinct("at")
+    aligned = aligned.withColumn("consistent", (distinct("b") == n_pairs) & (distinct("d") == n_pairs)).select("doc_id", "item_id", "n_windows", "n_literal", F.size("bound").alias("n_slots"), "consistent", F.explode("ats").alias("w"))
+    found = aligned.filter(F.col("consistent") | F.col("w.exact"))
+    literal = F.count_distinct(F.when(~F.col("w.exact"), F.col("w.at")))
     return (
-        consistent.groupBy("doc_id", "item_id")
-        .agg(matched.alias("matched_windows"), F.max("n_windows").cast("bigint").alias("item_windows"), F.max("n_slots").cast("bigint").alias("n_slots"))
-        .filter(F.col("matched_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows")))
+        found.groupBy("doc_id", "item_id")
+        .agg(F.count_distinct("w.at").alias("matched_windows"), literal.alias("_literal"), F.max("n_windows").cast("bigint").alias("item_windows"), F.max("n_literal").alias("n_literal"), F.max("n_slots").cast("bigint").alias("n_slots"))
+        .filter((F.col("matched_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))) | ((F.col("n_literal") > 0) & (F.col("_literal") >= F.least(F.lit(MIN_WINDOWS), F.col("n_literal")))))
         .select("doc_id", "item_id", "matched_windows", "item_windows", (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "n_slots")
     )
 

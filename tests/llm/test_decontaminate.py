@@ -56,3 +56,15 @@ def test_small_table_finds_every_whole_item(spark, small):
     items = [(r["item_id"], words(r["text"])) for r in small["benchmark"].collect()]
     want = {(d, i) for d, t in docs for i, x in items if f" {x} " in f" {t} "}
     assert {(r["doc_id"], r["item_id"]) for r in D.query(spark, SMALL).collect()} == want and want
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_items_of_few_plain_words(spark, bound):
+    """Number-heavy, short and unspaced items are found when copied, and not when their values differ."""
+    sums = "12 + 7 = 19 and 30 kg + 4 kg = 34 kg or 5 km + 8 km = 13 km"
+    cjk = "昨日の夜に東京で大きな地震がありました"
+    b = spark.createDataFrame([(1, sums), (2, "What is 9?"), (3, cjk)], "item_id bigint, text string")
+    docs = [(1, FILL + sums + " " + FILL), (2, FILL + "What is 9? " + FILL), (3, "私は" + cjk + "と聞いた"), (4, FILL + sums.replace("7", "6").replace("30", "31").replace("8", "2").replace("34", "35").replace("13", "14")), (5, FILL + "What is 8?"), (6, FILL)]
+    found = {(r["doc_id"], r["item_id"]): r for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b, bound).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3)}
+    assert all(r["coverage"] == 1.0 for r in found.values())
