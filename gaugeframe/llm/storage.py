@@ -1,5 +1,21 @@
 """Where the operators of this subpackage cut lineage, and how they read their tables."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
 from ..storage import ensure_checkpoint_dir, materialise, shared_folder, table
 
-__all__ = ["ensure_checkpoint_dir", "materialise", "shared_folder", "table"]
+__all__ = ["ensure_checkpoint_dir", "materialise", "shared_folder", "table", "written"]
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which takes less room than a checkpoint; it goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = path or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
