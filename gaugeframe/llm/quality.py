@@ -5,8 +5,8 @@ weight vector is shared by all grades; ordered thresholds cut its score into
 grades: P(grade > k) = sigmoid(score - threshold[k]).  The expected grade and
 the tail probability P(grade >= good) follow from it.
 
-The model is fit on a bounded sample of the labelled documents (MAX_RATED, the
-labelled ids with the smallest hashes) and scores every document in one pass.
+The model is fit on a bounded sample of the labelled documents (MAX_RATED, those
+with the smallest hashes of their ids) and scores every document in one pass.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import table
+from .columns import shielded
+from .storage import materialise, table
 
 #: Hashed word features.
 BUCKETS = 1 << 16
 #: Labelled documents that the model is fit on, at most; their features are some 4 kB each.
 MAX_RATED = 12_000
+#: Rows whose words the fit handles at once.
+BLOCK_ROWS = 2048
 #: Documents are kept at this tail probability of a good grade or more.
 KEEP_AT = 0.5
 
@@ -109,9 +112,21 @@ def fit(x: Features, ratings: np.ndarray, steps: int = 300, rate: float = 0.05,
     mean, scale = x.form.mean(axis=0), np.maximum(x.form.std(axis=0), 1e-3)
     form = (x.form - mean) / scale
     n, k = len(form), len(grades) - 1
-    of = np.repeat(np.arange(n), np.diff(x.offsets))
-    buckets = len_buckets = int(x.buckets.max()) + 1 if len(x.buckets) else 1
-    buckets = max(len_buckets, BUCKETS)
+    buckets = max(int(x.buckets.max()) + 1 if len(x.buckets) else 1, BUCKETS)
+    # rows in blocks, so that what a step makes of their words stays small
+    blocks = [(a, min(n, a + BLOCK_ROWS), slice(x.offsets[a], x.offsets[min(n, a + BLOCK_ROWS)])) for a in range(0, n, BLOCK_ROWS)]
+
+    def word_sums(w: np.ndarray) -> np.ndarray:
+        """Of the weights of each row's words."""
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), np.diff(x.offsets[a : b + 1])), w[x.buckets[own]] * x.weights[own], b - a) for a, b, own in blocks])
+
+    def bucket_sums(ds: np.ndarray) -> np.ndarray:
+        """Of the gradient's share in each word."""
+        out = np.zeros(buckets)
+        for a, b, own in blocks:
+            out += np.bincount(x.buckets[own], np.repeat(ds[a:b], np.diff(x.offsets[a : b + 1])) * x.weights[own], buckets)
+        return out
+
     if k == 0:
         return OrdinalModel(grades, np.zeros(buckets), np.zeros(form.shape[1]), mean, scale, np.zeros(0))
     shares = np.array([(y > j).mean() for j in range(k)])
@@ -122,7 +137,7 @@ def fit(x: Features, ratings: np.ndarray, steps: int = 300, rate: float = 0.05,
     above, below = np.minimum(y, k) - 1, y  # thresholds on either side of the grade
     for step in range(1, steps + 1):
         w, f, cut = p[:buckets], p[buckets : buckets + form.shape[1]], np.cumsum(np.r_[p[-k], np.exp(p[len(p) - k + 1 :])])
-        s = np.bincount(of, w[x.buckets] * x.weights, n) + form @ f
+        s = word_sums(w) + form @ f
         sig = 1 / (1 + np.exp(-np.clip(s[:, None] - cut[None, :], -40, 40)))  # P(grade > j)
         upper = np.where(y == 0, 1.0, sig[np.arange(n), np.maximum(y - 1, 0)])
         lower = np.where(y == k, 0.0, sig[np.arange(n), np.minimum(y, k - 1)])
@@ -133,7 +148,7 @@ def fit(x: Features, ratings: np.ndarray, steps: int = 300, rate: float = 0.05,
         dcut = np.bincount(np.maximum(y - 1, 0), du, k)[:k] / n - np.bincount(np.minimum(y, k - 1), dl, k)[:k] / n
         gaps = np.exp(p[len(p) - k + 1 :])
         dgap = np.array([dcut[j + 1 :].sum() * gaps[j] for j in range(k - 1)])
-        g = np.concatenate([np.bincount(x.buckets, ds[of] * x.weights, buckets) + ridge * w / 10, form.T @ ds + ridge * f / 10, [dcut.sum()], dgap])
+        g = np.concatenate([bucket_sums(ds) + ridge * w / 10, form.T @ ds + ridge * f / 10, [dcut.sum()], dgap])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     cut = np.cumsum(np.r_[p[-k], np.exp(p[len(p) - k + 1 :])])
@@ -146,16 +161,20 @@ def _join_features(parts: list[Features]) -> Features:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, hold_out: bool = False) -> OrdinalModel | None:
-    """Model of ``labels.quality`` from at most ``max_rated`` labelled documents; None without any.
+    """Model of ``labels.quality`` from at most ``max_rated`` labelled documents of ``docs``; None without any.
 
-    An id that is labelled twice counts with its lowest grade.  With
+    An id that is labelled twice counts with its lowest grade; one that comes
+    with several texts with one of them (of the smallest hash).  With
     ``hold_out`` ids whose crc32 is divisible by 5 are left to testing.
     """
     rated = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     if hold_out:
         rated = rated.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-    sample = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("doc_id", "text", "quality")
+    # labels of other documents take no places of the sample, so the limit follows the join; only ids and hashes are shuffled
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_key"))
+    chosen = keyed.select("doc_id", "_key").join(rated, "doc_id").groupBy("doc_id").agg(F.min("_key").alias("_key"), F.first("quality").alias("quality"))
+    chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated))
+    sample = keyed.join(F.broadcast(chosen), ["doc_id", "_key"]).select("doc_id", "text", "quality")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,19 +184,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, hold_o
                 weights = [x.weights[a:b].astype(np.float32).tobytes() for a, b in zip(x.offsets[:-1], x.offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(cells, pa.binary()), pa.array(weights, pa.binary()), pa.array([f.tobytes() for f in x.form], pa.binary())], names=["doc_id", "quality", "cells", "weights", "form"])
 
-    rows = sample.mapInArrow(run, "doc_id bigint, quality double, cells binary, weights binary, form binary").toArrow().sort_by([("doc_id", "ascending"), ("form", "ascending")])
+    # rows that repeat an id and its text are one, so at most max_rated rows reach the driver
+    rows = sample.mapInArrow(run, "doc_id bigint, quality double, cells binary, weights binary, form binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if rows.num_rows == 0:
         return None
-    cells = [np.frombuffer(c, np.int32) for c in rows["cells"].to_pylist()]
-    x = Features(np.cumsum([0, *map(len, cells)]), np.concatenate(cells).astype(np.int64), np.frombuffer(b"".join(rows["weights"].to_pylist()), np.float32).astype(float), np.frombuffer(b"".join(rows["form"].to_pylist())).reshape(rows.num_rows, -1))
-    return fit(x, rows["quality"].to_numpy())
+    sizes = np.array([len(c) // 4 for c in rows["cells"].to_pylist()])
+    x = Features(
+        np.cumsum([0, *sizes]),
+        np.frombuffer(b"".join(rows["cells"].to_pylist()), np.int32),
+        np.frombuffer(b"".join(rows["weights"].to_pylist()), np.float32),
+        np.frombuffer(b"".join(rows["form"].to_pylist())).reshape(rows.num_rows, -1),
+    )
+    ratings = rows["quality"].to_numpy()
+    del rows
+    return fit(x, ratings)
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, good: float | None = None) -> DataFrame:
     """``docs`` with ``expected_grade`` and ``p_good`` = P(grade >= ``good``), by default the highest grade.
 
-    Every row gets both, null and empty texts too, as texts without words.
-    Without a model (no labels) both are null.
+    Every row gets both, null and empty texts too, as texts without words, and
+    repeated rows alike; whole texts are read, however long.  Without a model
+    (no labels) both are null; an empty table stays empty.  Columns of the
+    caller stay, whatever their names, but those two are replaced.
     """
     kept = [c for c in docs.columns if c not in ("expected_grade", "p_good")]
     docs = docs.select(*[f"`{c}`" for c in kept])
@@ -203,8 +232,12 @@ def grade(docs: DataFrame, model: OrdinalModel | None, good: float | None = None
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` whose tail probability of the highest grade is ``keep_at`` or more (all, if nothing is labelled)."""
-    graded = grade(docs, train(docs, labels))
-    return graded.filter((F.col("p_good") >= keep_at) | F.col("p_good").isNull()).select(*docs.columns)
+    model = train(docs, labels)
+
+    def good(d: DataFrame) -> DataFrame:
+        return grade(d, model).filter((F.col("p_good") >= keep_at) | F.col("p_good").isNull()).select(*d.columns)
+
+    return shielded(docs, ["text"], good)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,25 @@
 
 Two interpolated Kneser-Ney bigram models, one of toxic and one of ordinary
 labelled documents, back off to shared ones at both orders: a class's bigrams
-to the bigrams of both classes, and its continuation counts to those of both.
-So an expression that is rare in a class is judged as in the other, and tells
-nothing.
+to the bigrams of both classes in equal weight, and its continuation counts to
+those of both.  So an expression that is rare in a class is judged as in the
+other, and tells nothing.
 
 The evidence is the difference of the two log-likelihoods, each divided by the
-number of words: once over the whole text, and once at its strongest word, as
-toxic expressions are a few words in a text of any length.  A logistic curve of
-the two is the score.
+number of words: over the whole text, and over its EXPRESSIONS strongest words,
+as toxic expressions are a few words in a text of any length.  A logistic curve
+of the two is the score.
 
 Bigrams are counted once a text, and copies of a text once, as copies say nothing
 about a language.  Discounts are estimated from the numbers of bigrams seen once
 and twice.
 
 Words are hashed into ``VOCABULARY`` ids.  Every bigram, context and word of the
-labelled documents is kept, in tables that grow with the corpus.  Tables of up
-to ``BROADCAST_ROWS`` rows go to the tasks as sorted arrays; larger ones are
+labelled documents is counted, in a table that grows with the corpus.  Of it the
+scores need only the rows whose discounted counts are above zero (of a class, or
+of both together): for all others the formulas give the same ratio as for rows
+that are not there, so leaving these out changes no score.  Models of up to
+``BROADCAST_ROWS`` such rows go to the tasks as sorted arrays; larger ones are
 joined with the bigrams of the documents, with the same result.
 """
 
@@ -29,22 +32,26 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import materialise, table
+from .storage import materialise, table, written
 
 VOCABULARY = 1 << 31
 #: Taken from every continuation count for the back-off.
 DISCOUNT = 0.75
 PREDICT_AT = 0.7
-#: Evidence is binned for the fit of the curve: width of a bin and bins to either side of 0, of the whole text and of the strongest word.
+#: Strongest words of a text whose mean log ratio is its second evidence (all words, if it has fewer).
+EXPRESSIONS = 3
+#: Evidence is binned for the fit of the curve: width of a bin and bins to either side of 0, of the whole text and of the strongest words.
 BINS = ((0.01, 200), (0.05, 160))
 #: Labels up to which they are broadcast to the documents (12 bytes each).
-BROADCAST_LABELS = 2_000_000
-#: Bigrams, contexts and words together up to which they are broadcast (16 bytes a bigram, 56 a context, 24 a word).
-BROADCAST_ROWS = 16_000_000
+BROADCAST_LABELS = 1_000_000
+#: Bigrams, contexts and words of the model together up to which they are broadcast (16 bytes a bigram, 56 a context, 24 a word).
+BROADCAST_ROWS = 8_000_000
+#: Distinct bigrams that a task sums before it hands them on.
+HELD_BIGRAMS = 1 << 20
 
 
 def fold(doc_id: Column) -> Column:
@@ -64,8 +71,8 @@ def _ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _by_text(v: np.ndarray, w: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the text and bigram of every word, sorted by both."""
-    text, pair = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), v * VOCABULARY + w
+    """Position of the text and bigram (the word in its high bits) of every word, sorted by both."""
+    text, pair = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), w * VOCABULARY + v
     order = np.lexsort((pair, text))
     return text[order], pair[order]
 
@@ -75,15 +82,20 @@ def _first(text: np.ndarray, pair: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])]) if len(pair) else np.zeros(0, np.int64)
 
 
-def _counted(sums: dict[str, float], of: dict[str, float], word: dict[str, float], scale: tuple[float, float], discounts: tuple[float, float, float], positive) -> list:
-    """Probabilities of a word after a context by class, from the counts of its bigram; the arguments are columns or arrays."""
-    both = positive(sums["n0"] + sums["n1"] - discounts[2]) * of["i"]
-    return [positive(sums[f"n{c}"] * scale[c] - discounts[c]) * of[f"i{c}"] + of[f"b{c}"] * (both + of["b"] * word[f"p{c}"]) for c in (0, 1)]
+def _balanced(n0, n1, scale: tuple[float, float]):
+    """Count of a bigram in both classes, which get the same weight; the arguments are columns or arrays."""
+    return n0 * scale[0] + n1 * scale[1]
+
+
+def _probabilities(n: dict, of: dict, word: dict, scale: tuple[float, float], discounts: tuple[float, float, float], positive) -> list:
+    """Probabilities of a word after a context by class, from the counts of its bigram; the values are columns or arrays."""
+    both = positive(_balanced(n["n0"], n["n1"], scale) - discounts[2]) * of["i"]
+    return [positive(n[f"n{c}"] * scale[c] - discounts[c]) * of[f"i{c}"] + of[f"b{c}"] * (both + of["b"] * word[f"p{c}"]) for c in (0, 1)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Tables of all bigrams, contexts and words, the same as sorted arrays if they are few, and the curve; class 0 is ordinary, 1 toxic."""
+    """Tables of the bigrams, contexts and words that tell something, the same as sorted arrays if they are few, and the curve; class 0 is ordinary, 1 toxic."""
 
     #: ``id, n0, n1``
     pairs: DataFrame
@@ -103,7 +115,7 @@ class Model:
     prior: float = 0.0
 
     def evidence(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with, in place of ``text``, ``evidence`` and ``run_evidence``: mean and largest log ratio of the words' two probabilities; null for texts without words."""
+        """``docs`` with, in place of ``text``, ``evidence`` and ``run_evidence``: mean log ratio of the probabilities of all words and of the strongest; null for texts without words."""
         names = [c for c in docs.columns if c != "text"]
         return self._by_lookup(docs.select(*names, "text")) if self.arrays is not None else self._by_join(docs.select(*names, "text"))
 
@@ -119,31 +131,38 @@ class Model:
         return docs.mapInArrow(run, docs.withColumns({"evidence": F.lit(0.0), "run_evidence": F.lit(0.0)}).drop("text").schema.simpleString()[7:-1].replace(":", " "))
 
     def _by_join(self, docs: DataFrame) -> DataFrame:
-        """Without a bound on the tables; rows of one text meet in its hash, and its copies leave the two ratios as they are."""
+        """Without a bound on the tables; rows of one text meet in its hash, and its copies leave the two means as they are."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in hashing.slices(batches):
                 keys = batch.column(0).to_numpy()
                 for at, texts in hashing.chunks(batch.column(1)):
-                    v, w, offsets = _ids(texts)
-                    text, pair = _by_text(v, w, offsets)
+                    text, pair = _by_text(*_ids(texts))
                     first = _first(text, pair)
                     n = np.diff(np.r_[first, len(pair)])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at + text[first]]), pa.array(pair[first]), pa.array(n.astype(np.int64))], names=["_key", "_pair", "_n"])
 
         docs = docs.withColumn("_key", F.xxhash64("text"))
-        rows = docs.filter("text IS NOT NULL").select("_key", "text").mapInArrow(run, "_key bigint, _pair bigint, _n bigint")
+        # a text once, however often it is copied
+        texts = docs.filter("text IS NOT NULL").select("_key", "text").dropDuplicates(["_key"])
+        rows = texts.mapInArrow(run, "_key bigint, _pair bigint, _n bigint")
         # the ratio of each distinct bigram first, so that a hot one is one row where the tables are joined
-        seen = rows.select("_pair").distinct().withColumns({"_v": F.shiftright("_pair", 31), "_w": F.col("_pair").bitwiseAND(VOCABULARY - 1)})
+        seen = rows.select("_pair").distinct().withColumns({"_w": F.shiftright("_pair", 31), "_v": F.col("_pair").bitwiseAND(VOCABULARY - 1)})
         seen = seen.join(self.pairs.withColumnRenamed("id", "_pair"), "_pair", "left").join(self.contexts.withColumnRenamed("id", "_v"), "_v", "left").join(self.words.withColumnRenamed("id", "_w"), "_w", "left")
 
         def known(default: dict[str, float]) -> dict[str, Column]:
             return {c: F.coalesce(F.col(c), F.lit(x)) for c, x in default.items()}
 
-        p = _counted(known({"n0": 0, "n1": 0}), known({"i0": 0.0, "i1": 0.0, "i": 0.0, "b0": 1.0, "b1": 1.0, "b": 1.0}), known({"p0": self.p_new[0], "p1": self.p_new[1]}), self.scale, self.discounts, lambda x: F.greatest(x, F.lit(0.0)))
-        ratios = seen.select("_pair", (F.log(p[1]) - F.log(p[0])).alias("_ratio"))
-        found = rows.join(ratios, "_pair").groupBy("_key").agg((F.sum(F.col("_n") * F.col("_ratio")) / F.sum("_n")).alias("evidence"), F.max("_ratio").alias("run_evidence"))
-        return docs.drop("text").join(found, "_key", "left").drop("_key")
+        p = _probabilities(known({"n0": 0, "n1": 0}), known({"i0": 0.0, "i1": 0.0, "i": 0.0, "b0": 1.0, "b1": 1.0, "b": 1.0}), known({"p0": self.p_new[0], "p1": self.p_new[1]}), self.scale, self.discounts, lambda x: F.greatest(x, F.lit(0.0)))
+        judged = rows.join(seen.select("_pair", (F.log(p[1]) - F.log(p[0])).alias("_ratio")), "_pair")
+        means = judged.groupBy("_key").agg((F.sum(F.col("_n") * F.col("_ratio")) / F.sum("_n")).alias("evidence"))
+        # every row stands for a word or more, so the strongest words are in as many rows at most
+        by_ratio = Window.partitionBy("_key").orderBy(F.desc("_ratio"), "_pair")
+        best = judged.withColumn("_rank", F.row_number().over(by_ratio)).filter(F.col("_rank") <= EXPRESSIONS)
+        before = F.coalesce(F.sum("_n").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        best = best.withColumn("_m", F.greatest(F.lit(0), F.least(F.col("_n"), EXPRESSIONS - before)))
+        strongest = best.groupBy("_key").agg((F.sum(F.col("_m") * F.col("_ratio")) / F.sum("_m")).alias("run_evidence"))
+        return docs.drop("text").join(means, "_key", "left").join(strongest, "_key", "left").drop("_key")
 
     def score(self) -> Column:
         """Probability of the toxic label from ``evidence`` and ``run_evidence``; the share of toxic labels for texts without words."""
@@ -152,7 +171,7 @@ class Model:
 
 
 def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale: tuple[float, float], discounts: tuple[float, float, float]) -> np.ndarray:
-    """Mean and largest log ratio of the words of each text; NaN for texts without words."""
+    """Mean log ratio of all words and of the strongest of each text; NaN for texts without words."""
     v, w, offsets = _ids(texts)
 
     def rows(table: dict[str, np.ndarray], wanted: np.ndarray) -> dict[str, np.ndarray]:
@@ -161,15 +180,22 @@ def _evidence(texts: pa.Array, arrays: tuple[dict[str, np.ndarray], ...], scale:
         return {c: x[at] for c, x in table.items() if c != "id"}
 
     pairs, contexts, words = arrays
-    counts = {c: x.astype(np.float64) for c, x in rows(pairs, v * VOCABULARY + w).items()}
-    p = _counted(counts, rows(contexts, v), rows(words, w), scale, discounts, lambda x: np.maximum(x, 0))
+    counts = {c: x.astype(np.float64) for c, x in rows(pairs, w * VOCABULARY + v).items()}
+    p = _probabilities(counts, rows(contexts, v), rows(words, w), scale, discounts, lambda x: np.maximum(x, 0))
     ratio = np.log(p[1]) - np.log(p[0])
     n = np.diff(offsets)
     some, out = n > 0, np.full((len(n), 2), np.nan)
     if some.any():
-        begin = offsets[:-1][some]
-        out[some, 0] = np.add.reduceat(ratio, begin) / n[some]
-        out[some, 1] = np.maximum.reduceat(ratio, begin)
+        begin, n = offsets[:-1][some], n[some]
+        out[some, 0] = np.add.reduceat(ratio, begin) / n
+        of = np.repeat(np.arange(len(n)), n)
+        total = np.zeros(len(n))
+        for k in range(EXPRESSIONS):
+            most = np.maximum.reduceat(ratio, begin)
+            total += np.where(n > k, most, 0)
+            at = np.flatnonzero(ratio == most[of])
+            ratio[at[np.unique(of[at], return_index=True)[1]]] = -np.inf  # one word of each text
+        out[some, 1] = total / np.minimum(n, EXPRESSIONS)
     return out
 
 
@@ -209,22 +235,42 @@ def _once(labelled: DataFrame) -> DataFrame:
 
 
 def bigram_counts(labelled: DataFrame) -> DataFrame:
-    """``pair, n0, n1``: every distinct bigram with the number of texts of each class that have it; each task combines its own first."""
+    """``pair, n0, n1``: every distinct bigram with the number of texts of each class that have it."""
+    return bigram_and_context_counts(labelled).filter(F.shiftright("pair", 31) > 0)
+
+
+def bigram_and_context_counts(labelled: DataFrame) -> DataFrame:
+    """The same, and pairs without a word (high bits 0), which hold the sums over all bigrams of a context.
+
+    Each task sums its own rows first.  Rows are dealt by ranges of ``pair``, so that all
+    bigrams of a word lie together and a frequent word is many ranges.
+    """
+
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        pair, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return pair, *[np.bincount(inverse, np.concatenate([x[c] for x in held]), len(pair)).astype(np.int64) for c in (1, 2)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for at, texts in hashing.chunks(batch.column(0)):
-                v, w, offsets = _ids(texts)
-                text, pair = _by_text(v, w, offsets)
+                text, pair = _by_text(*_ids(texts))
                 first = _first(text, pair)
-                of = toxic[at + text[first]] > 0
-                pair, inverse = np.unique(pair[first], return_inverse=True)
-                n = [np.bincount(inverse[of == c], minlength=len(pair)).astype(np.int64) for c in (False, True)]
-                yield pa.RecordBatch.from_arrays([pa.array(pair), *map(pa.array, n)], names=["pair", "n0", "n1"])
+                of, pair = toxic[at + text[first]] > 0, pair[first]
+                held += [(x, (~of).astype(np.int64), of.astype(np.int64)) for x in (pair, pair % VOCABULARY)]
+                size += 2 * len(pair)
+                if size > 4 * HELD_BIGRAMS:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD_BIGRAMS:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["pair", "n0", "n1"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, summed(held))), names=["pair", "n0", "n1"])
 
     rows = labelled.select("text", "toxic").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint")
-    return rows.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return rows.repartitionByRange("pair").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def discount(once: int, twice: int) -> float:
@@ -232,45 +278,55 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.75
 
 
-def build(pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
-    """The two models; their rows come to the driver only while there are at most ``broadcast_rows``."""
+def build(counts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
+    """The two models from ``bigram_and_context_counts``; their rows come to the driver only while there are at most ``broadcast_rows``."""
+    word, context = F.shiftright("pair", 31), F.col("pair").bitwiseAND(VOCABULARY - 1)
+    pairs, totals = counts.filter(word > 0), counts.filter(word == 0).select(F.col("pair").alias("id"), "n0", "n1")
     seen = [(F.col(c) > 0).cast("bigint") for c in ("n0", "n1")]
-    t = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")).first()
+    often = [F.sum((F.col(f"n{c}") == k).cast("bigint")).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)]
+    t = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k"), *often).first()
     # Counts of the larger class are scaled to the size of the smaller, so that the same discount means the same
     # rarity in both; otherwise every rare word would speak for the class of which more is known.
     tokens, types = [max(1, t["n0"] or 0), max(1, t["n1"] or 0)], [max(1, t["k0"] or 0), max(1, t["k1"] or 0)]
     rarer, scale = [min(types) / k for k in types], (min(tokens) / tokens[0], min(tokens) / tokens[1])
+    of_class = [discount(t[f"n{c}_1"] or 0, t[f"n{c}_2"] or 0) for c in (0, 1)]
+    discounts = (*of_class, max(of_class))
 
-    once = [F.sum((n == k).cast("bigint")).alias(f"{name}{k}") for name, n in (("a", F.col("n0")), ("b", F.col("n1")), ("c", F.col("n0") + F.col("n1"))) for k in (1, 2)]
-    seen_by = pairs.agg(*once).first()
-    discounts = tuple(discount(seen_by[f"{x}1"] or 0, seen_by[f"{x}2"] or 0) for x in "abc")
-
-    word_sums = materialise(pairs.groupBy(F.col("pair").bitwiseAND(VOCABULARY - 1).alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")))
+    word_sums = materialise(pairs.groupBy(word.alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")))
     freed = [F.sum(F.least(F.col(f"k{c}") * rarer[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
     w = word_sums.agg(F.count("*").alias("n"), *freed).first()
     mass = t["k"] + w["n"] + 1
     share = [w[f"f{c}"] / min(types) if w["n"] and t[f"k{c}"] else 1.0 for c in (0, 1)]
-    words = word_sums.select("id", *[(F.greatest(F.col(f"k{c}") * rarer[c] - DISCOUNT, F.lit(0.0)) / float(min(types)) + (F.col("k") + 1) * (share[c] / mass)).alias(f"p{c}") for c in (0, 1)])
     p_new = (share[0] * 2 / mass, share[1] * 2 / mass)
 
+    above = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - discounts[c], F.lit(0.0)) for c in (0, 1)} | {"m": F.greatest(_balanced(F.col("n0"), F.col("n1"), scale) - discounts[2], F.lit(0.0))}
+    telling = pairs.withColumns(above).filter("m0 > 0 OR m1 > 0 OR m > 0")
+
+    # A word whose continuation counts are below the discount has the same ratio of probabilities whatever it is, unless
+    # a bigram that tells something holds it; a context without such a bigram has the back-off weight 1.
+    loud = [F.col(f"k{c}") * rarer[c] > DISCOUNT for c in (0, 1)]
+    held = telling.select(word.alias("id")).distinct().withColumn("held", F.lit(True))
+    words = word_sums.join(held, "id", "left").filter(loud[0] | loud[1] | F.col("held"))
+    words = words.select("id", *[(F.greatest(F.col(f"k{c}") * rarer[c] - DISCOUNT, F.lit(0.0)) / float(min(types)) + (F.col("k") + 1) * (share[c] / mass)).alias(f"p{c}") for c in (0, 1)])
+
     def inverse(n: Column) -> Column:
         return 1 / F.greatest(n.cast("double"), F.lit(1e-9))
 
-    kept = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - discounts[c], F.lit(0.0)) for c in (0, 1)} | {"m": F.greatest(F.col("n0") + F.col("n1") - discounts[2], F.lit(0.0))}
-    sums = pairs.groupBy(F.shiftright("pair", 31).alias("id")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.sum(m).alias(name) for name, m in kept.items()])
-    contexts = sums.withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(F.col("n0") + F.col("n1"))})
-    contexts = materialise(contexts.select("id", "i0", "i1", "i", *[F.greatest(1 - F.col(f"m{c}") * F.col(f"i{c}"), F.lit(1e-4)).alias(f"b{c}") for c in ("0", "1", "")]))
-    pairs = pairs.select(F.col("pair").alias("id"), "n0", "n1")
+    kept = telling.groupBy(context.alias("id")).agg(*[F.sum(m).alias(m) for m in above])
+    contexts = totals.join(kept, "id").withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(_balanced(F.col("n0"), F.col("n1"), scale))})
+    contexts = contexts.select("id", "i0", "i1", "i", *[F.greatest(1 - F.col(f"m{c}") * F.col(f"i{c}"), F.lit(1e-4)).alias(f"b{c}") for c in ("0", "1", "")])
+    telling = telling.select(F.col("pair").alias("id"), "n0", "n1")
 
     arrays = None
-    if t["k"] + w["n"] + contexts.count() <= broadcast_rows:
-        # counts of more than 31 bits are kept as doubles
-        most = pairs.agg(F.greatest(F.max("n0"), F.max("n1")).alias("n")).first()["n"] or 0
-        small = pairs.select("id", F.col("n0").cast("int"), F.col("n1").cast("int")) if most < 1 << 31 else pairs.select("id", F.col("n0").cast("double"), F.col("n1").cast("double"))
+    size = telling.agg(F.count("*").alias("n"), F.greatest(F.max("n0"), F.max("n1")).alias("most")).first()
+    words, contexts = materialise(words), materialise(contexts)
+    if size["n"] + words.count() + contexts.count() <= broadcast_rows:
+        kind = "int" if (size["most"] or 0) < 1 << 31 else "double"  # counts of more than 31 bits are kept as doubles
+        small = telling.select("id", F.col("n0").cast(kind), F.col("n1").cast(kind))
         arrays = pairs.sparkSession.sparkContext.broadcast(
             (_sorted(small, {"n0": 0, "n1": 0}), _sorted(contexts, {"i0": 0, "i1": 0, "i": 0, "b0": 1, "b1": 1, "b": 1}), _sorted(words, {"p0": p_new[0], "p1": p_new[1]}))
         )
-    return Model(pairs, contexts, words, p_new, scale, discounts, arrays)
+    return Model(telling, contexts, words, p_new, scale, discounts, arrays)
 
 
 def calibrate(model: Model, labelled: DataFrame) -> Model:
@@ -300,7 +356,7 @@ def calibrate(model: Model, labelled: DataFrame) -> Model:
 def train(docs: DataFrame, labels: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """Counts over all labelled documents of fold 0, the curve over all of fold 2; held-out labels are not read."""
     labelled = _labelled(docs, labels)
-    return calibrate(build(materialise(bigram_counts(_once(labelled.filter("fold = 0")))), broadcast_rows), labelled.filter("fold = 2"))
+    return calibrate(build(written(bigram_and_context_counts(_once(labelled.filter("fold = 0")))), broadcast_rows), labelled.filter("fold = 2"))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -309,6 +365,8 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     Only the text counts.  Null, empty and wordless texts score the share of
     toxic labels and have no evidence; without labels every text scores 0.
     Repeated rows score alike; rows with a null id are scored and not held out.
+    Whole texts are read, however long.  An empty table has no scores.  Other
+    columns of ``docs`` are not returned, whatever their names.
     """
     scored = model.evidence(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("score", model.score())
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))

@@ -132,3 +132,124 @@ def test_toxicity_counts_texts_and_estimates_discounts(spark):
     m = T.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     got = T.toxicity(docs, m).filter("held_out").toPandas().merge(docs.toPandas(), on="doc_id")
     assert auc(got["toxic"].to_numpy(), got["run_evidence"].to_numpy()) >= 0.95
+
+
+def brute_kneser_ney(rows):
+    """Log ratios by the formulas, over dictionaries of words; ``rows`` are distinct (text, class)."""
+    import collections
+    import re
+
+    def words(t):
+        w = re.findall(r"\w+", t.lower())
+        return list(zip(["<s>", *w], w))
+
+    n = [collections.Counter(), collections.Counter()]
+    for t, c in rows:
+        n[c].update(set(words(t)))
+    scale = [min(sum(x.values()) for x in n) / sum(x.values()) for x in n]
+    often = [collections.Counter(x.values()) for x in n]
+    d = [o[1] / (o[1] + 2 * o[2]) if o[1] and o[2] else 0.75 for o in often]
+    d.append(max(d))
+    types = [len(x) for x in n]
+    every = set(n[0]) | set(n[1])
+    k = [collections.Counter(w for _, w in x) for x in n]
+    k_both = collections.Counter(w for _, w in every)
+    rarer = [min(types) / x for x in types]
+    mass = len(every) + len(k_both) + 1
+    share = [sum(min(k[c][w] * rarer[c], 0.75) for w in k_both) / min(types) for c in (0, 1)]
+
+    def lower(c, w):
+        return max(k[c][w] * rarer[c] - 0.75, 0) / min(types) + (k_both.get(w, 1) + 1) * share[c] / mass
+
+    def interpolated(v, w, count, discount, rest):
+        total = sum(count(b) for b in every if b[0] == v)
+        if total == 0:
+            return rest
+        free = 1 - sum(max(count(b) - discount, 0) for b in every if b[0] == v) / total
+        return max(count((v, w)) - discount, 0) / total + max(free, 1e-4) * rest
+
+    def ratio(v, w):
+        p = [interpolated(v, w, lambda b: n[c][b] * scale[c], d[c], interpolated(v, w, lambda b: n[0][b] * scale[0] + n[1][b] * scale[1], d[2], lower(c, w))) for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    return lambda t: [ratio(*b) for b in words(t)]
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_toxicity_equals_brute_force(spark, bound):
+    """Means over all words and over the three strongest, from every bigram counted, singletons too; by arrays and by joins."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(70):
+        words = [f"w{min(rng.geometric(0.2), 30)}" for _ in range(rng.integers(1, 25))] + ([f"bad{rng.integers(3)}"] if i % 5 == 0 else [])
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    rows = list(dict(rows).items())
+    ratios = brute_kneser_ney(rows)
+    m = T.build(T.written(T.bigram_and_context_counts(spark.createDataFrame(rows, "text string, toxic int"))), bound)
+    assert (m.arrays is None) == (bound == 0)
+    texts = [(i, t) for i, (t, _) in enumerate(rows)] + [(1000, "w1 never seen words w2"), (1001, "bad1"), (1002, "w3 w3 w3 w3 bad0 bad0")]
+    got = {r["i"]: (r["evidence"], r["run_evidence"]) for r in m.evidence(spark.createDataFrame(texts, "i int, text string")).collect()}
+    for i, t in texts:
+        x = sorted(ratios(t), reverse=True)
+        assert got[i] == pytest.approx((np.mean(x), np.mean(x[: T.EXPRESSIONS])), rel=1e-9, abs=1e-9)
+
+
+def test_quality_sample_is_of_the_documents(spark, mid):
+    """Labels of other documents take no places in the sample, and repeated rows add none."""
+    docs = mid["documents"].select("doc_id", "text").limit(200).cache()
+    other = spark.range(10**6, 10**6 + 5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    own = mid["labels"].select("doc_id", "quality").join(docs, "doc_id", "left_semi")
+    a = Q.train(docs, own, max_rated=60)
+    b = Q.train(docs.union(docs), own.unionByName(other.select("doc_id", F.col("quality").cast(own.schema["quality"].dataType))), max_rated=60)
+    assert a is not None and (a.words == b.words).all() and (a.thresholds == b.thresholds).all()
+
+
+def test_quality_equals_brute_force(spark):
+    """Grades by plain loops over words and characters, and a fit that no small change of a parameter betters."""
+    import collections
+    import math
+    import re
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([f"w{rng.integers(30)}" for _ in range(rng.integers(0, 20))] + ["Fine!"] * int(rng.integers(0, 2 + i % 3)) + ["???"] * int(rng.integers(0, 3))), i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    m = Q.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+
+    def bucket(w):
+        from gaugeframe.llm import hashing
+
+        return int(hashing.word_hashes(pa.array([w]))[0][0] % np.uint64(Q.BUCKETS))
+
+    def form(t):
+        w = re.findall(r"\w+", t.lower())
+        n, size = max(1, len(w)), max(1, len(t))
+        share = lambda f: sum(map(f, t)) / size
+        c = collections.Counter(bucket(x) for x in w)
+        ordinary = ".,;:?!'\"-()"
+        return [0.0] * 10 if not t else [share(str.isalpha), share(str.isdigit), share(str.isupper), share(lambda x: x in ordinary), share(lambda x: not x.isalnum() and not x.isspace() and x not in ordinary), len(c) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, max(c.values(), default=0) / n, min(4, size / n / 8), math.log1p(len(w)) / 10]
+
+    def tails(t, words, form_weights, cuts):
+        c = collections.Counter(bucket(x) for x in re.findall(r"\w+", t.lower()))
+        norm = math.sqrt(sum((1 + math.log(k)) ** 2 for k in c.values()))
+        s = sum(words[b] * (1 + math.log(k)) / norm for b, k in c.items()) + sum((x - a) / d * f for x, a, d, f in zip(form(t), m.mean, m.scale, form_weights, strict=True))
+        return [1 / (1 + math.exp(-(s - cut))) for cut in cuts]
+
+    got = {r["doc_id"]: r for r in Q.grade(df, m).collect()}
+    for i, t, _ in rows:
+        p = tails(t, m.words, m.form, m.thresholds)
+        assert (got[i]["expected_grade"], got[i]["p_good"]) == pytest.approx((sum(p), p[1]), abs=1e-6)
+
+    def loss(words, form_weights, cuts):
+        out = 0.0
+        for _, t, y in rows:
+            p = [1.0, *tails(t, words, form_weights, cuts), 0.0]
+            out -= math.log(max(p[y] - p[y + 1], 1e-12)) / len(rows)
+        return out + 1e-4 / 2 * float((words**2).sum() + (form_weights**2).sum())
+
+    best = loss(m.words, m.form, m.thresholds)
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(m.words, m.form, m.thresholds + step * (np.arange(2) == k)) > best - 1e-3
+    for k in range(0, 10, 3):
+        for step in (-0.05, 0.05):
+            assert loss(m.words, m.form + step * (np.arange(10) == k), m.thresholds) > best - 1e-3
