@@ -1,15 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors become binary codes: signs of learned rotations of their principal
-components (iterative quantisation).  A code is split into substrings of eight
-bits, each indexed.  By the pigeonhole principle a code within Hamming radius r
-of a query's lies within r // m or r // m - 1 of it in at least one of the m
-substrings, so probing those values of every substring retrieves every code
-within the radius; their vectors are then ranked by exact distances.
-
-The index is dealt in blocks of bounded size and so are the queries; each pair
-of a vector block and a query block is one group of one task, which returns the
-best ``k`` of each query.
+components (iterative quantisation).  A code is split into substrings, each
+indexed: the index is a table of (substring and its value, vector).  A query
+probes in every substring all values within ``reach`` bits of its own, which is
+an equi-join on that key.  By the pigeonhole principle this retrieves every code
+within ``guaranteed`` bits of the query's, (reach + 1) * substrings - 1, and many
+of those beyond; codes within ``radius`` go on, and their vectors are ranked by
+exact distances.
+
+``fit`` chooses the width of the substrings by the number of vectors, and their
+number, the reach and the radius by the neighbours within a sample, so that the
+wanted share of them is found with the fewest rows.  Queries for which too few
+codes lie within the radius are compared with all vectors, in blocks.
+
+Equal vectors are one row of the index, however often they come: the k + 1
+smallest of their ids are all that any query can need of them.
 """
 
 from __future__ import annotations
@@ -20,180 +26,304 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .groups import complete_groups
-from .storage import table
+from .storage import materialise, table, written
 
-#: Vectors that the rotations and the radius are fit on (those with the smallest hashes of their ids).
+#: Vectors that the rotations and the radius are fit on (those with the smallest hashes).
 SAMPLE = 4096
-#: Share of the sample's true neighbours that the radius must cover.
-RECALL = 0.97
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 4096
-
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
-#: Byte values by their distance from each byte value, and how many lie within each distance.
-_NEAR = np.array([sorted(range(256), key=lambda u, v=v: (_POPCOUNT[u ^ v], u)) for v in range(256)])
-_WITHIN = np.array([sum(_POPCOUNT <= d) for d in range(9)])
+#: Share of the sample's true neighbours that the probes, and then the radius, must cover.
+RECALL = (0.97, 0.99)
+#: Rotations that are learned at most, each of as many bits as there are dimensions.
+ROTATIONS = 16
+#: Bits of a substring: the logarithm of the number of vectors, within these bounds.
+WIDTHS = (6, 20)
+#: Queries whose vectors and codes are broadcast at once (about 1 kB each).
+BLOCK_QUERIES = 32_768
+#: Distances that a task computes at once, in pairs of vectors.
+BLOCK_PAIRS = 1 << 21
 
 
 @dataclass(frozen=True)
 class CodeModel:
     mean: np.ndarray
     rotations: np.ndarray
+    #: Bits of a substring, and substrings.
+    width: int
+    count: int
+    #: Bits in which a probed value may differ from the query's.
+    reach: int
     radius: int
+    #: Share of the sample's other vectors that the probes of a vector retrieve, and that the radius leaves.
+    probed: float = 1.0
+    ranked: float = 1.0
 
     @property
     def bits(self) -> int:
-        return self.rotations.shape[1]
+        return self.width * self.count
+
+    @property
+    def guaranteed(self) -> int:
+        """Every code within so many bits is retrieved."""
+        return (self.reach + 1) * self.count - 1
+
+    def bits_of(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.rotations > 0
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of bytes."""
-        return np.packbits((x - self.mean) @ self.rotations > 0, axis=1)
+        """Codes as rows of 64-bit words."""
+        b = np.packbits(self.bits_of(x), axis=1)
+        return np.ascontiguousarray(np.pad(b, ((0, 0), (0, -b.shape[1] % 8)))).view(np.int64)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """Of each substring its position and value, in one number."""
+        return _values(self.bits_of(x), self.width) + (np.arange(self.count, dtype=np.int64) << self.width)
+
+    def near_values(self) -> np.ndarray:
+        """What is XORed to a value to probe all values within reach."""
+        out = level = np.zeros(1, dtype=np.int64)
+        for _ in range(self.reach):
+            level = np.unique(level[:, None] ^ (1 << np.arange(self.width, dtype=np.int64))[None, :])
+            out = np.union1d(out, level)
+        return out
+
+
+def _values(bits: np.ndarray, width: int) -> np.ndarray:
+    """The substrings of rows of bits as numbers."""
+    return bits.reshape(len(bits), -1, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
 
 
-def fit(x: np.ndarray, k: int, recall: float = RECALL, copies: int = 2, rounds: int = 25) -> CodeModel:
-    """Rotations of a sample, ``copies`` of them, and the radius that covers the share ``recall`` of its own neighbours.
-
-    Neighbours in the sample are farther than in the whole, so the radius errs
-    on the large side.
-    """
+def _rotations(centred: np.ndarray, copies: int, rounds: int = 5) -> np.ndarray:
     rng = np.random.default_rng(7)
-    mean = x.mean(axis=0)
-    centred = x - mean
-    d = x.shape[1]
-    width = 8 * math.ceil(d / 8)
-    _, axes = np.linalg.eigh(centred.T @ centred / max(1, len(x)))
+    d = centred.shape[1]
+    _, axes = np.linalg.eigh(centred.T @ centred / max(1, len(centred)))
+    projected = centred @ axes
     parts = []
     for _ in range(copies):
         turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        projected = centred @ axes
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
             turn = (u @ v).T
-        part = axes @ turn
-        parts.append(np.concatenate([part, part[:, : width - d]], axis=1))
-    model = CodeModel(mean, np.concatenate(parts, axis=1), 0)
-    code = model.codes(x)
-    queries = np.arange(min(len(x), 256))
+        parts.append(axes @ turn)
+    return np.concatenate(parts, axis=1)
+
+
+def fit(x: np.ndarray, k: int, size: int, recall: tuple[float, float] = RECALL, copies: int = ROTATIONS, queries: int = 512) -> CodeModel:
+    """Model for ``size`` vectors from a sample of them, which costs the fewest rows of the index and of the probes.
+
+    Neighbours in the sample are farther than in the whole: as many of each
+    vector count as a sample of this size holds of its k nearest, one at least.
+    """
+    mean, d = x.mean(axis=0), x.shape[1]
+    width = int(min(max(math.log2(max(2, size)), WIDTHS[0]), WIDTHS[1], d * copies))
+    most = d * copies // width
+    rotations = _rotations(x - mean, copies)[:, : most * width]
     if len(x) <= k + 1:
-        return CodeModel(mean, model.rotations, model.bits)
-    apart = _distances(x[queries], x)
-    apart[queries, queries] = np.inf
+        return CodeModel(mean, rotations[:, :width], width, 1, width, width)
+    at = np.arange(min(len(x), queries))
+    apart = _distances(x[at], x)
+    apart[at, at] = np.inf
+    k = min(k, max(1, math.ceil(k * len(x) / size)))
     nearest = np.argpartition(apart, k, axis=1)[:, :k]
-    hamming = _POPCOUNT[code[queries][:, None, :] ^ code[nearest]].sum(axis=2)
-    return CodeModel(mean, model.rotations, int(np.quantile(hamming, recall, method="higher")))
-
-
-class BlockIndex:
-    """Substring index of one block of vectors."""
-
-    def __init__(self, model: CodeModel, ids: np.ndarray, x: np.ndarray):
-        self.model, self.ids, self.x = model, ids, x
-        self.code = model.codes(x)
-        self.order = [np.argsort(c, kind="stable") for c in self.code.T]
-        self.start = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.code.T, self.order, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Positions of all codes within the radius."""
-        m = len(code)
-        if radius >= 8 * m:
-            return np.arange(len(self.ids))
-        whole, over = divmod(radius, m)
-        found = []
-        for j in range(m):
-            reach = whole if j <= over else whole - 1
-            if reach < 0:
-                continue
-            values = _NEAR[code[j]][: _WITHIN[min(reach, 8)]]
-            a, b = self.start[j][values], self.start[j][values + 1]
-            found += [self.order[j][s:e] for s, e in zip(a[b > a], b[b > a], strict=True)]
-        if not found:
-            return np.zeros(0, np.int64)
-        seen = np.zeros(len(self.ids), dtype=bool)
-        seen[np.concatenate(found)] = True
-        at = np.flatnonzero(seen)
-        return at[_POPCOUNT[self.code[at] ^ code].sum(axis=1) <= radius]
-
-    def nearest(self, query_id: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the best ``k`` within the radius, which grows until it holds so many."""
-        radius = self.model.radius
-        while True:
-            at = self.within(code, radius)
-            at = at[self.ids[at] != query_id]
-            if len(at) >= k or radius >= self.model.bits:
-                break
-            radius += 8
-        d = np.sqrt(((self.x[at] - q) ** 2).sum(axis=1))
-        best = np.lexsort((self.ids[at], d))[:k]
-        return self.ids[at][best], d[best]
+    bits = (x - mean) @ rotations > 0
+    value = _values(bits, width)
+    share = [math.comb(width, e) for e in range(width + 1)]
+    volume = np.cumsum(share)
+    # least distance of each pair over the substrings so far
+    differ = np.bitwise_count(value[at][:, None, :] ^ value[nearest]).astype(np.int8)
+    least = np.minimum.accumulate(differ, axis=2)
+    best = None
+    for reach in range(width + 1):
+        found = (least <= reach).mean(axis=(0, 1))
+        enough = np.flatnonzero(found >= recall[0])
+        if not len(enough):
+            continue
+        count = int(enough[0]) + 1
+        met = sum((np.bitwise_count(value[at, j][:, None] ^ value[None, :, j]) <= reach).mean() for j in range(count))
+        cost = count * float(volume[reach]) + met * size
+        if best is None or cost < best[0]:
+            best = (cost, reach, count)
+    _, reach, count = best if best is not None else (0, width, 1)
+    model = CodeModel(mean, rotations[:, : count * width], width, count, reach, count * width)
+    code = model.codes(x)
+    radius = int(np.quantile(hamming(code[at][:, None, :], code[nearest]), recall[1], method="higher"))
+    met = np.zeros((len(at), len(x)), dtype=bool)
+    for j in range(count):
+        met |= np.bitwise_count(value[at, j][:, None] ^ value[None, :, j]) <= reach
+    met[at, at] = False
+    ranked = met & (np.stack([hamming(code[i], code) for i in at]) <= radius)
+    return CodeModel(mean, model.rotations, width, count, reach, radius, float(met.sum() / met.size), float(ranked.sum() / met.size))
 
 
 def _usable(vectors: DataFrame, dimension: int) -> DataFrame:
-    """``vec_id, embedding`` (doubles) of the vectors that take part."""
+    """``vec_id, embedding`` (doubles) of the vectors that take part, one row an id."""
     e = F.col("embedding").cast("array<double>")
     big = F.lit(float("inf"))
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(e, lambda x: x != 0)
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), e.alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size(e) == dimension) & F.coalesce(fine, F.lit(False)))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best of each query."""
+    order = np.lexsort((ids, score, query))
+    query = query[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return order[place < k]
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, block_queries: int = BLOCK_QUERIES, model: CodeModel | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each vector for which ``is_query`` (a condition) holds.
 
     Nearness is the smallest Euclidean distance of the original vectors in
     double precision, ties to the smaller id.  Candidates are all other ids;
     vectors that are null or zero, hold nulls or non-finite numbers, or have
     another length than most take no part, nor do null ids.  Repeated rows of
-    an id count once.  With fewer than ``k`` candidates all are returned; an
-    empty table has no results.
+    an id count once, with the smallest of their vectors, if these differ.  With
+    fewer than ``k`` candidates all are returned; an empty table has no results.
+    Other columns are not returned, whatever their names.
     """
+    spark = vectors.sparkSession
     length = vectors.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if length is None or length["n"] == 0:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     usable = _usable(vectors, length["n"])
-    rows = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if rows.num_rows == 0:
-        return vectors.sparkSession.createDataFrame([], schema)
-    x = rows["embedding"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    model = vectors.sparkSession.sparkContext.broadcast(fit(x, k))
-
-    queries = usable.filter(is_query)
-    n, q = usable.count(), queries.count()
-    nv, nq = max(1, math.ceil(n / block_vectors)), max(1, math.ceil(q / block_queries))
-
-    def dealt(df: DataFrame, query: int) -> DataFrame:
-        own = F.pmod(F.xxhash64("vec_id"), F.lit(nq if query else nv)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit((nv if query else nq) - 1))).alias("_o")
-        out = df.select("vec_id", "embedding", own.alias("_b"), other)
-        return out.select(F.col("_o" if query else "_b").alias("vb"), F.col("_b" if query else "_o").alias("qb"), F.lit(query).alias("query"), "vec_id", "embedding")
+    # one row of each vector: its smallest id stands for it, and the k + 1 smallest ids are what others may find
+    keyed = usable.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    one = keyed.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.*")
+    one = materialise(one.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))))
+    copies = one.filter(F.col("place") <= k + 1)
+    first = one.filter("place = 1").select(F.col("vec_id").alias("rep"), "h1", "h2")
+    index = written(keyed.join(first.select(F.col("rep").alias("vec_id"), "h1", "h2"), ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding"))
+    size = index.count()
+    if size == 0:
+        return spark.createDataFrame([], schema)
+    if model is None:
+        rows = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
+        model = fit(_matrix(rows["embedding"]), k, size)
+    shared = spark.sparkContext.broadcast(model)
+    words = len(model.codes(np.zeros((1, length["n"])))[0])
+
+    asked = one.filter(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(first, ["h1", "h2"]).select("query_id", "rep")
+    asked = materialise(asked)
+    # queries in blocks by a hash; equal vectors ask once
+    blocks = max(1, math.ceil(asked.agg(F.count_distinct("rep")).first()[0] / block_queries))
+    queries = materialise(index.join(asked.select("rep").distinct(), "rep", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")))
+
+    def index_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), m.count))), pa.array(m.keys(_matrix(part.column(1))).ravel())], names=["rep", "key"])
+
+    def probe_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        near = m.near_values()
+        for batch in batches:
+            step = max(1, (1 << 20) // (m.count * len(near)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                probes = (m.keys(_matrix(part.column(1)))[:, :, None] ^ near).ravel()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), m.count * len(near)))), pa.array(probes)], names=["query", "key"])
+
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = shared.value.codes(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, words), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c[:, i]) for i in range(words)]], names=["rep", *[f"c{i}" for i in range(words)]])
+
+    table_rows = index.mapInArrow(index_rows, "rep bigint, key bigint")
+    codes = index.mapInArrow(coded, ", ".join(["rep bigint", *[f"c{i} bigint" for i in range(words)]]))
+    found = []
+    for b in range(blocks):
+        block = queries.filter(F.col("block") == b).select("rep", "embedding")
+        asks = block.toArrow()  # at most about block_queries rows
+        of_block = spark.sparkContext.broadcast((asks["rep"].to_numpy(), _matrix(asks["embedding"]) if len(asks) else np.zeros((0, length["n"]))))
+        pairs = block.mapInArrow(probe_rows, "query bigint, key bigint").join(table_rows, "key").select("query", "rep").distinct()
+        query_codes = F.broadcast(codes.join(block.select("rep"), "rep", "left_semi").select(F.col("rep").alias("query"), *[F.col(f"c{i}").alias(f"q{i}") for i in range(words)]))
+        apart = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(words)), F.lit(0))
+        near = pairs.join(codes, "rep").join(query_codes, "query").filter(apart <= model.radius).select("query", "rep").join(index, "rep")
+        scored = materialise(_top(near.mapInArrow(_score_pairs(of_block, k), "query bigint, rep bigint, score double"), k))
+        # a query needs k + 1 vectors (its own among them), or as many as there are
+        short = block.select("rep").join(scored.groupBy(F.col("query").alias("rep")).count().filter(F.col("count") >= min(k + 1, size)), "rep", "left_anti")
+        rest = [r["rep"] for r in short.collect()]  # queries of one block
+        if rest:
+            every = index.mapInArrow(_score_all(of_block, rest, k), "query bigint, rep bigint, score double")
+            scored = scored.join(F.broadcast(short.select(F.col("rep").alias("query"))), "query", "left_anti").unionByName(_top(every, k))
+        found.append(scored)
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
+    # back from vectors to ids
+    members = copies.join(first, ["h1", "h2"]).select("rep", "vec_id")
+    out = asked.select("query_id", F.col("rep").alias("query")).join(best, "query").join(members, "rep").filter("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` best of each query: its own vector may be among them."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))
+    return scored.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1).drop("_rank")
+
+
+def _rows(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(rep), pa.array(score)], names=["query", "rep", "score"])
+
+
+def _score_pairs(of_block, k: int):
+    """Exact distances of candidate pairs, the best of each query within a batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, offsets in complete_groups(batches, ["vb", "qb"]):
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                group = t.slice(a, b - a).combine_chunks()
-                ids, of = group["vec_id"].to_numpy(), group["query"].to_numpy()
-                x = group["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-                one = [np.flatnonzero(of == s)[np.unique(ids[of == s], return_index=True)[1]] for s in (0, 1)]
-                if not len(one[0]) or not len(one[1]):
-                    continue
-                index = BlockIndex(model.value, ids[one[0]], x[one[0]])
-                codes = model.value.codes(x[one[1]])
-                found = [index.nearest(int(ids[i]), x[i], c, k) for i, c in zip(one[1], codes, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[one[1]], [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    both = dealt(usable, 0).unionByName(dealt(queries, 1)).repartition("vb", "qb").sortWithinPartitions("vb", "qb")
-    best = both.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ids, x = of_block.value
+        order = np.argsort(ids)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            query, rep = batch.column("query").to_numpy(), batch.column("rep").to_numpy()
+            at = order[np.searchsorted(ids[order], query)]
+            score = np.sqrt(((_matrix(batch.column("embedding")) - x[at]) ** 2).sum(axis=1))
+            keep = _best(query, rep, score, k + 1)
+            yield _rows(query[keep], rep[keep], score[keep])
+
+    return run
+
+
+def _score_all(of_block, rest: list[int], k: int):
+    """Exact distances of some queries from all vectors, the best of each query within a batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = of_block.value
+        own = np.flatnonzero(np.isin(ids, rest))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, y = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            step = max(1, BLOCK_PAIRS // max(1, len(rep) * y.shape[1]))
+            for at in range(0, len(own), step):
+                q = own[at : at + step]
+                score = np.sqrt(((y[None, :, :] - x[q][:, None, :]) ** 2).sum(axis=2)).ravel()
+                query, of = np.repeat(ids[q], len(rep)), np.tile(rep, len(q))
+                keep = _best(query, of, score, k + 1)
+                yield _rows(query[keep], of[keep], score[keep])
+
+    return run
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
