@@ -31,7 +31,7 @@ MARGIN = 0.25
 #: log2 of the sketch's registers; its relative error is about 1.04 / sqrt(2 ** LG_K), 6.5 %.
 LG_K = 8
 #: Boilerplate lines up to which their hashes are broadcast (about 100 bytes each in a Python set).
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 250_000
 
 
 def _normal(line: str) -> str:
@@ -91,9 +91,12 @@ def cut_lines(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int
     space) stand on at least ``min_sites`` distinct values of ``source``.  It
     stays in the document of the smallest id that has it, so that one copy of
     every passage is kept; there too only repeats within the document go.
-    Empty lines never go; null and empty texts stay as they are.  Documents
-    with a null id count for the sites and lose boilerplate like others.
-    Repeated rows of an id are treated alike.
+    Empty lines never go; null and empty texts stay as they are.  Rows with a
+    null id count for the sites and lose boilerplate like others; as no copy is
+    kept in them, a line that only such rows have goes everywhere.  Repeated
+    rows of an id are treated alike.  Whole texts are read, however long.  An
+    empty table has no rows.  Other columns stay, whatever their names, but
+    ``n_lines`` and ``n_cut`` of the caller are replaced.
     """
     lines = materialise(boilerplate(docs, min_sites).select("line", "first_doc"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
@@ -132,7 +135,7 @@ def _cut(text: str | None, doc_id: int | None, known: dict[bytes, int | None]) -
             n += 1
             key = _hash(normal)
             if key in known:
-                if known[key] != doc_id or key in seen:
+                if doc_id is None or known[key] != doc_id or key in seen:
                     cut += 1
                     continue
                 seen.add(key)
@@ -145,7 +148,7 @@ def _cut_by_join(docs: DataFrame, lines: DataFrame) -> DataFrame:
     rows = line_rows(docs)
     found = rows.join(lines, "line").select("doc_id", "row", "line", "first_doc", "pos").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id", "row", "line").orderBy("pos"))  # of a document's own repeats of a line
-    gone = found.withColumn("_rank", rank).filter((F.col("_rank") > 1) | ~F.col("first_doc").eqNullSafe(F.col("doc_id")))
+    gone = found.withColumn("_rank", rank).filter((F.col("_rank") > 1) | ~F.coalesce(F.col("first_doc") == F.col("doc_id"), F.lit(False)))
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))  # at most a document's lines
     split = F.split("text", "\n", -1)
     joined = _with_n_lines(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").withColumn("_split", split)

@@ -1,22 +1,27 @@
 """Secret scan: fixed patterns, and a battery of randomness tests.
 
 The patterns give the base spans.  The battery looks at every other run of
-token characters: its encoding is inferred from its alphabet, and it must not
-fail the tests of a random string in that encoding: chi-squared uniformity of
-its symbols, runs about the median symbol, and serial correlation of
-neighbours.  As short strings pass such tests easily, a run must also be
-unlikely as ordinary text.  Its p-value for that is the ratio of its
-probabilities under a byte-pair model of the whole corpus and under the uniform
-one, which bounds the chance that ordinary text looks as random as this; it
-falls with the length.  Benjamini-Hochberg control over all runs of the corpus
-sets the cut.
+token characters: its encoding is inferred from its alphabet, and three tests
+ask whether its symbols are random there: chi-squared uniformity, runs about the
+median symbol, and serial correlation of neighbours.  The least of the three
+makes one p-value r.
+
+That a run looks random says little if it is short, as ordinary text then often
+does too.  So the control is over the hypothesis that a run is ordinary text.
+Against it stands a random string whose r is weighed by 2 r (and by 0 below
+REJECT_RANDOM), as r is even over 0 to 1 for random strings.  The ratio of the
+two probabilities of the run, under a byte-pair model of the whole corpus for
+ordinary text, has a mean of at most 1 over ordinary text, so its inverse is a
+p-value; it falls with the length, and with every test that the run passes well.
+Benjamini-Hochberg control over all runs of the corpus sets the cut; with such
+ratios it holds whatever the runs have to do with each other.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +43,13 @@ _ASSIGN_HINT = re.compile(r"[:=]")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Encodings by alphabet, the smallest first.
 ENCODINGS = (
+    ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("LETTERS", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base32", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("BASE32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
@@ -49,7 +58,7 @@ ENCODINGS = (
 )
 _RANK = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 
-#: A run is not random if a test of the battery rejects randomness at this level.
+#: A run is not random if the battery rejects randomness at this level.
 REJECT_RANDOM = 0.001
 #: Fewest characters of a part of a run that is tested.
 LEAST_PART = 16
@@ -85,19 +94,16 @@ def _chi2_tail(x: float, k: int) -> float:
 
 
 def infer_encoding(run: str) -> tuple[str, list[int], int] | None:
-    """Name, symbol ranks and alphabet size of the smallest encoding that has all characters; None for digits or letters of one case alone."""
+    """Name, symbol ranks and alphabet size of the smallest encoding that has all characters; None if none has."""
     body = run.rstrip("=")
-    kinds = (any(c.isdigit() for c in body), any(c.isupper() for c in body), any(c.islower() for c in body))
-    if sum(kinds) < 2:
-        return None
     for name, rank in _RANK:
         if all(c in rank for c in body):
             return name, [rank[c] for c in body], len(rank)
     return None
 
 
-def battery(ranks: list[int], size: int) -> float:
-    """Smallest Bonferroni-corrected p-value of the three tests, under randomness over ``size`` symbols."""
+def battery(ranks: list[int], size: int) -> tuple[float, float, float]:
+    """p-values of the chi-squared, runs and serial-correlation tests, under randomness over ``size`` symbols."""
     n = len(ranks)
     x = np.array(ranks, dtype=float)
     # chi-squared over as many equal classes of the alphabet as give four or more expected symbols
@@ -115,7 +121,17 @@ def battery(ranks: list[int], size: int) -> float:
         runs = _two_sided((1 + int((high[1:] != high[:-1]).sum()) - expected) / math.sqrt(variance)) if variance > 0 else 1.0
     c = x - (size - 1) / 2
     serial = _two_sided(float((c[1:] * c[:-1]).sum()) / ((size * size - 1) / 12 * math.sqrt(n - 1)))
-    return min(1.0, 3 * min(uniform, runs, serial))
+    return uniform, runs, serial
+
+
+def combined(tests: Sequence[float]) -> float:
+    """One p-value of independent tests from the least of theirs (Sidak): a random string fails none of them."""
+    return 1 - (1 - min(tests)) ** len(tests)
+
+
+def log2_weight(r: float) -> float:
+    """log2 of the weight of random strings of the battery's p-value ``r``, whose mean over random strings is at most 1."""
+    return math.log2(2 * r) if r >= REJECT_RANDOM else -math.inf
 
 
 def _parts(text: str, start: int, end: int) -> tuple[list[tuple[int, int, tuple[str, list[int], int]]], int]:
@@ -135,7 +151,8 @@ def _parts(text: str, start: int, end: int) -> tuple[list[tuple[int, int, tuple[
 def _unless_coded(m: re.Match) -> str:
     out = m[0]
     for s, e, _ in _parts(m[0], 0, len(m[0]))[0]:
-        out = out[:s] + " " * (e - s) + out[e:]
+        if not m[0][s:e].islower() or any(c.isdigit() for c in m[0][s:e]):  # long words are ordinary text
+            out = out[:s] + " " * (e - s) + out[e:]
     return out if out.strip() else " "
 
 
@@ -153,7 +170,7 @@ def byte_pairs(docs: DataFrame) -> np.ndarray:
     """Counts of neighbouring bytes of all ordinary text (128 x 128, other bytes as 0); each task returns its sums.
 
     Runs that could be tested are left out, or random strings would make
-    themselves ordinary.
+    themselves ordinary, but for those of lower-case letters alone: long words.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +198,7 @@ def ordinary_model(counts: np.ndarray) -> np.ndarray:
 
 
 def _added(text: str, base: list[tuple[str, int, int]], model: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs, and parts of them, outside the base spans that pass the battery: start, end and step of the p-value.
+    """Runs, and parts of them, outside the base spans that the battery does not reject: start, end and step of the p-value.
 
     Of parts that overlap the least likely as ordinary text stays; its p-value is
     multiplied by the number of ways to read the run.
@@ -192,11 +209,10 @@ def _added(text: str, base: list[tuple[str, int, int]], model: np.ndarray) -> li
             parts, ways = _parts(text, start, end)
             passed = []
             for s, e, (_, ranks, size) in parts:
-                if battery(ranks, size) < REJECT_RANDOM:
-                    continue
+                weight = log2_weight(combined(battery(ranks, size)))
                 b = np.frombuffer(text[s:e].encode(), np.uint8)
-                log_p = float(model[b[:-1], b[1:]].sum()) + (len(b) - 1) * math.log2(size) + math.log2(ways)
-                passed.append((max(P_LEAST * P_STEPS, min(0, math.ceil(log_p * P_STEPS))), s, e))
+                log_p = float(model[b[:-1], b[1:]].sum()) + (len(b) - 1) * math.log2(size) + math.log2(ways) - weight
+                passed.append((max(P_LEAST * P_STEPS, min(0, math.ceil(min(log_p, 0.0) * P_STEPS))), s, e))
             taken: list[tuple[int, int, int]] = []
             for step, s, e in sorted(passed):
                 if all(e <= x or y <= s for x, y, _ in taken):
@@ -206,11 +222,13 @@ def _added(text: str, base: list[tuple[str, int, int]], model: np.ndarray) -> li
 
 
 def scan(docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
-    """``doc_id, base_spans, added`` of every row: base spans as ``kind:start:end``, and the accepted runs with their p-values.
+    """``doc_id, base_spans, spans`` of every row: the spans of the patterns, and these with the accepted runs.
 
-    Both are arrays of structs ``kind, start, end, p``, sorted by start and then
-    kind; base spans have a null p.  Null and empty texts have none.  Every row
-    is returned, repeated rows and null ids too.
+    Both are arrays of structs ``kind, start, end, p, step``, sorted by start and
+    then kind; base spans have a null p.  Null and empty texts have none.  Whole
+    texts are read, however long.  Every row is returned, repeated rows and null
+    ids too; repeated runs count as often as they come.  An empty table has no
+    rows.  Other columns of ``docs`` are not returned, whatever their names.
     """
     model = ordinary_model(byte_pairs(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)

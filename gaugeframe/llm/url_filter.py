@@ -27,6 +27,8 @@ from .storage import materialise, table
 
 #: Bits of a cascade that may be a constant in the plan (1 MiB); larger cascades are sharded.
 MAX_BITS = 1 << 23
+#: Rate of false hits of the levels after the first: their bits add up to about as many as at one half, in a quarter of the levels.
+LATER_RATE = 1 / 16
 #: A cascade deeper than this means equal keys on both sides, which the key preparation excludes.
 MAX_LEVELS = 60
 
@@ -126,7 +128,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BI
     n = {r["is_listed"]: r["count"] for r in keys.groupBy("is_listed").count().collect()}
     inside, outside = n.get(True, 0), n.get(False, 0)
     first_rate = min(0.5, max(1e-4, math.sqrt(0.5) * inside / max(1, outside)))
-    # later levels add about as many bits again as there are listed keys
+    # later levels add about as many bits again as the first
     shards = max(1, math.ceil(2 * 64 * BloomShape.sized(inside, first_rate).words / max_bits))
     shard = F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(shards)).cast("int")
     keys = keys.withColumn("_gf_shard", shard)
@@ -134,28 +136,31 @@ def build_cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BI
     shapes: list[BloomShape] = []
     words: list[Column] = []
     rows = None
+    # a level encodes the keys of its own side that have passed every filter so far; sides take turns
+    sides = [keys.filter("is_listed").select("key", "_gf_shard"), keys.filter("NOT is_listed").select("key", "_gf_shard")]
     while True:
         level = len(shapes)
-        # a level encodes the keys of its own side that have passed every filter so far
-        encoded = keys.filter(F.col("is_listed") == F.lit(level % 2 == 0))
-        if shards > 1 and rows is not None:
-            encoded = encoded.join(rows, "_gf_shard", "left")
-        for s, w in zip(shapes, words, strict=True):
-            if (s.seed - level) % 2:  # the filters that encode the other side; a key always passes those of its own
-                encoded = encoded.filter(F.coalesce(s.might_contain(w, F.col("key")), F.lit(False)))
+        encoded = sides[level % 2]
+        if level:
+            s, w = shapes[-1], words[-1]  # keys have passed the earlier ones already
+            if rows is not None:
+                encoded = encoded.join(rows, "_gf_shard", "left")
+            encoded = encoded.filter(F.coalesce(s.might_contain(w, F.col("key")), F.lit(False))).select("key", "_gf_shard")
+            sides[level % 2] = encoded = materialise(encoded)
         largest = encoded.groupBy("_gf_shard").count().agg(F.max("count")).first()[0] or 0
         if largest == 0:
             break
         if level >= MAX_LEVELS:
             raise RuntimeError("the cascade does not end; are keys on both sides equal?")
-        shape = BloomShape.sized(largest, first_rate if level == 0 else 0.5, seed=level)
+        shape = BloomShape.sized(largest, first_rate if level == 0 else LATER_RATE, seed=level)
         if shards == 1:
             words.append(literal_words(shape.word_rows(encoded, "key").collect(), shape.words))
         else:
-            # a shard's words are bounded by max_bits, so they fit one row
-            filled = shape.word_rows(encoded.select("key", "_gf_shard"), "key", "_gf_shard").groupBy("_gf_shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_m"))
+            # a shard's words are bounded by max_bits, so they fit one row; zero rows stand for words without bits
+            none = encoded.select("_gf_shard").distinct().select("_gf_shard", F.explode(F.sequence(F.lit(0), F.lit(shape.words - 1))).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+            filled = shape.word_rows(encoded, "key", "_gf_shard").unionByName(none).groupBy("_gf_shard", "word").agg(F.bit_or("bits").alias("bits"))
             at = f"_gf_w{level}"
-            dense = filled.select("_gf_shard", F.transform(F.sequence(F.lit(0), F.lit(shape.words - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0).cast("bigint"))).alias(at))
+            dense = filled.groupBy("_gf_shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias(at))
             rows = materialise(dense if rows is None else rows.join(dense, "_gf_shard", "full"))
             words.append(F.col(at))
         shapes.append(shape)
@@ -168,8 +173,9 @@ def judge_urls(pages: DataFrame, blocked: DataFrame, rules: Sequence[Rule] = RUL
     ``blocked`` has the block list's ``url`` column.  The verdict is the
     longest fitting rule's, else ``block`` for a listed host and path and
     ``allow`` for any other.  Null and malformed URLs have an empty host and
-    path and are allowed; empty tables give empty results; columns of
-    ``pages`` with the names of added columns are replaced.
+    path and are allowed; very long URLs are read whole; repeated rows are
+    judged alike; empty tables give empty results; columns of ``pages`` with
+    the names of added columns are replaced, all others stay.
     """
 
     def keyed(df: DataFrame, column: str) -> DataFrame:

@@ -64,6 +64,80 @@ def test_random_strings_are_added(spark):
     assert sum(len(v) for i, v in added.items() if i not in secret) <= 3
 
 
+def plain_battery(run, alphabet):
+    """The three p-values from their definitions, without arrays."""
+    import math
+
+    n, size = len(run), len(alphabet)
+    ranks = [alphabet.index(c) for c in run]
+    k = max(2, min(size, n // 4))
+    counts, share = [0] * k, [0.0] * k
+    for r in ranks:
+        counts[r * k // size] += 1
+    for r in range(size):
+        share[r * k // size] += 1 / size
+    x = sum((c - n * q) ** 2 / (n * q) for c, q in zip(counts, share, strict=True))
+    f = k - 1
+    uniform = 0.5 * math.erfc(((x / f) ** (1 / 3) - 1 + 2 / (9 * f)) / (2 * math.sqrt(1 / (9 * f)))) if x > 0 else 1.0
+    sides = [r >= size / 2 for r in ranks]
+    up, down = sum(sides), n - sum(sides)
+    runs = 0.0
+    if up and down:
+        mean = 2 * up * down / n + 1
+        var = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+        runs = math.erfc(abs(1 + sum(a != b for a, b in zip(sides, sides[1:], strict=False)) - mean) / math.sqrt(2 * var)) if var > 0 else 1.0
+    middle = (size - 1) / 2
+    var = sum((r - middle) ** 2 for r in range(size)) / size
+    serial = math.erfc(abs(sum((a - middle) * (b - middle) for a, b in zip(ranks, ranks[1:], strict=False))) / (var * math.sqrt(2 * (n - 1))))
+    return uniform, runs, serial
+
+
+def test_battery_and_control_equal_brute_force():
+    rng = random.Random(12)
+    r = []
+    for name, alphabet in S.ENCODINGS:
+        for n in (16, 17, 24, 40, 64, 200):
+            for _ in range(12):
+                run = "".join(rng.choice(alphabet) for _ in range(n))
+                ranks = [alphabet.index(c) for c in run]
+                got = S.battery(ranks, len(alphabet))
+                assert got == pytest.approx(plain_battery(run, alphabet), abs=1e-9), name
+                r.append(S.combined(got))
+    # p-values of random strings are about even, so the mean of their weights is about 1
+    assert 0.85 < sum(2 * x if x >= S.REJECT_RANDOM else 0 for x in r) / len(r) < 1.1
+    some = [S.combined([rng.random() for _ in range(3)]) for _ in range(20_000)]
+    assert all(abs(sum(x < t for x in some) / len(some) - t) < 0.02 for t in (0.01, 0.1, 0.5, 0.9))
+    for _ in range(200):
+        p = [rng.choice([0, -rng.randint(0, 160)]) for _ in range(rng.randint(1, 60))]
+        values = sorted(2 ** (q / S.P_STEPS) for q in p)
+        k = max((i for i, v in enumerate(values, 1) if v <= 0.05 * i / len(values)), default=0)
+        cut = S.accept(collections.Counter(p), 0.05)
+        assert sum(q <= cut for q in p) == k
+
+
+@pytest.mark.parametrize("length", [24, 32, 48, 64])
+def test_keys_by_length_and_encoding(spark, length):
+    """Most keys of every encoding are found once they are long enough for it, and no word or number of ordinary text."""
+    rng = random.Random(length)
+    words = ["".join(rng.choice("aeiou") + rng.choice("tnrsl") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    encodings = [e for e in S.ENCODINGS if e[0] not in ("hex", "digits")]
+    rows, secret = [], {}
+    for i in range(40 * len(encodings)):
+        name, alphabet = encodings[i // 4 % len(encodings)]
+        text = " ".join([rng.choice(words), str(rng.randint(0, 10**6)), rng.choice(words).title()][rng.randrange(3)] for _ in range(60)) + " " + "".join(rng.choice(words) for _ in range(3))
+        if i % 4 == 0:
+            secret[i] = (name, "".join(rng.choice(alphabet) for _ in range(length)))
+            text += f" {secret[i][1]} end"
+        rows.append((i, text))
+    got = check_scan(spark, rows)
+    added = {i: "".join(dict(rows)[i][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random") for i, r in got.items()}
+    assert sum(bool(v) for i, v in added.items() if i not in secret) <= 2
+    if length >= 32:
+        for name, _ in encodings:
+            keys = [(i, k) for i, (n, k) in secret.items() if n == name]
+            assert sum(len(added[i]) >= 0.6 * length for i, k in keys) >= 0.8 * len(keys), name
+
+
 def test_random_strings_within_mixed_runs(spark):
     """Tokens of one alphabet in a path or behind a prefix of another, and beside a base span."""
     rng = random.Random(9)
@@ -171,7 +245,7 @@ def plain_cut(rows, min_sites):
             k = norm(x)
             n += bool(k)
             if k and len(sites[k]) >= min_sites:
-                if first.get(k) != i or k in seen:
+                if i is None or first.get(k) != i or k in seen:
                     cut += 1
                     continue
                 seen.add(k)
@@ -205,3 +279,12 @@ def test_lines_of_the_small_table(spark, small, odd, empty, odd_rows):
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_cut"]) for r in L.query(spark, SMALL).collect()), key=str)
     assert got == plain_cut(rows, L.MIN_SITES) and sum(r[3] for r in got) > 0
     assert L.cut_lines(odd).count() == len(odd_rows) and L.cut_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1_000_000, -1])
+def test_lines_of_rows_without_ids(spark, bound):
+    rows = [(None, f"Subscribe now\nown {i}", f"s{i}") for i in range(8)]
+    for more in ([], [(3, "Subscribe now\nmine", "s1")]):
+        got = L.cut_lines(spark.createDataFrame(rows + more, "doc_id bigint, text string, source string"), 6, bound)
+        found = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_cut"]) for r in got.collect()), key=str)
+        assert found == plain_cut(rows + more, 6) and all("Subscribe" not in r[1] for r in found if r[0] is None)
