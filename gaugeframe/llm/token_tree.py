@@ -1,14 +1,16 @@
 """Token counts that follow edits.
 
 A document is a segment tree over runs of whole pre-tokens.  Its leaves hold
-about ``LEAF`` characters and end where a letter is followed by a space and a
-letter; byte-level BPE always splits there, whatever stands around, so the
-tokens of the leaves add up to those of the text.  Nodes hold the sums of
-characters and tokens below them.
+about ``LEAF`` characters and end before white space, or where letters, digits
+and other characters meet; byte-level BPE always splits there, whatever stands
+around, so the tokens of the leaves add up to those of the text.  Nodes hold the
+sums of characters and tokens below them.
 
 An edit finds its leaves by the sums of characters.  They are encoded again,
-together with a neighbour if the edit touches the three characters that make
-their border, and the sums on the paths to the root are updated.
+together with a neighbour if the edit touches the two characters that make
+their border, and the sums on the paths to the root are updated.  Text that an
+edit adds goes to the leaves that it touches; the tree is laid out anew only
+when one of them has grown to ``GROWN`` leaves' size.
 """
 
 from __future__ import annotations
@@ -27,11 +29,15 @@ from .storage import table
 
 #: Characters of a leaf, at least.
 LEAF = 256
-_BORDER = regex.compile(r"\p{L}(?= \p{L})")
+#: Leaves' sizes that one leaf may grow to.
+GROWN = 8
+_W, _LN = r"\p{White_Space}", r"\p{L}\p{N}"
+#: The last character before a border.  An apostrophe may start a contraction, and a bar stands inside special tokens, beside letters.
+_BORDER = regex.compile(rf"[^{_W}](?={_W})|[{_LN}](?=[^{_W}{_LN}|])|[^{_W}{_LN}'|](?=[{_LN}])|\p{{L}}(?=\p{{N}})|\p{{N}}(?=\p{{L}})")
 
 
 def split(text: str, leaf: int = LEAF) -> list[str]:
-    """The text in leaves; a stretch without a border is one leaf, whatever its length."""
+    """The text in leaves; a stretch without a border (letters alone, or white space alone) is one leaf, whatever its length."""
     out, at = [], 0
     while len(text) - at > leaf:
         m = _BORDER.search(text, at + leaf - 1)
@@ -95,18 +101,22 @@ class TokenTree:
         """Put ``text`` in the place of the characters from ``start`` to ``stop``; both are clipped to the document."""
         start = min(max(0, start), self.n_chars)
         stop = min(max(start, stop), self.n_chars)
-        # the border before a character needs the one before it and the two from it on
-        first, at = self.locate(start - 2)
-        last, _ = self.locate(stop + 1)
+        # a border is made by the characters on its two sides
+        first, at = self.locate(start - 1)
+        last, _ = self.locate(stop)
         old = "".join(self.leaves[first : last + 1])
         new = split(old[: start - at] + text + old[stop - at :], self.leaf_size)
         tokens = self._count(new)
-        if len(new) > last - first + 1:  # more leaves: the others keep their counts
+        places = last - first + 1
+        share = -(-len(new) // places)  # leaves in a row that take one place
+        if share > 1 and max(sum(map(len, new[k : k + share])) for k in range(0, len(new), share)) > GROWN * self.leaf_size:
+            # the other leaves keep their counts
             known = self.tokens[self.size : self.size + len(self.leaves)].tolist()
             self._build([*self.leaves[:first], *new, *self.leaves[last + 1 :]], [*known[:first], *tokens, *known[last + 1 :]])
             return
-        for k in range(last - first + 1):
-            self._set(first + k, new[k] if k < len(new) else "", tokens[k] if k < len(new) else 0)
+        for k in range(places):
+            own = slice(k * share, (k + 1) * share)
+            self._set(first + k, "".join(new[own]), sum(tokens[own]))
 
     def _set(self, leaf: int, text: str, tokens: int) -> None:
         self.leaves[leaf] = text
@@ -130,7 +140,9 @@ def count_edits(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> D
     text; null positions count as 0 and a null replacement as empty.  Null and
     empty texts have no tokens and can be edited.  ``n_chars_encoded`` counts
     the characters that the edits made the encoder read again.  Every row is
-    returned, repeated rows and null ids too.
+    returned, repeated rows and null ids too; very long texts are one tree; an
+    empty table has no rows.  Other columns of ``docs`` are not returned, whatever
+    their names.
     """
     path = path or vocabulary()
 

@@ -12,14 +12,15 @@ from tokenizers import Tokenizer
 from gaugeframe.llm import packing as P
 from gaugeframe.llm import token_tree as E
 
-ODD = ["", " ", "a", "  \n\n x  y", "don't we'll 're" * 9, "x" * 4000, "日本 語 " * 200, "1 2\n\n\nword  \n  ok " * 20, "<|endoftext|> a", "é🙂 \u00a0 \u2028z"]
+ODD = [
+    "", " ", "a", "  \n\n x  y", "don't we'll 're" * 9, "x" * 4000, "日本 語 " * 200, "1 2\n\n\nword  \n  ok " * 20, "<|endoftext|> a", "é🙂 \u00a0 \u2028z",
+    "a <|endoftext|> b<|endoftext|><|endoftext|>", "x|<|endoftext|>|y" * 30, "日本語、テキスト。" * 60, "if(x1==y2){return'a'+b|c;}\x1c\x1d!" * 40, "a1b2'c'3 4'll" * 50, "e\u0301a\u0301" * 300,
+]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.vocabulary())
 
 
 def test_encoder_gives_the_tokenizers_ids(small, tokenizer):
@@ -27,6 +28,20 @@ def test_encoder_gives_the_tokenizers_ids(small, tokenizer):
     assert P.encoder(P.vocabulary())(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_runs(tokenizer):
+    """Texts of millions of equal characters have the ids of an unmodified tokenizer and do not end the task."""
+    spaces = " " * 3_000_000
+    for text in (spaces, "a" + spaces + "b", "\n" * 1_200_000 + " x", "ab" * 100_000):
+        assert P.encoder(P.vocabulary())([text]) == [tokenizer.encode(text, add_special_tokens=False).ids]
+    assert E.TokenTree("a" + spaces + "b", P.encoder(P.vocabulary())).n_tokens == len(tokenizer.encode("a" + spaces + "b", add_special_tokens=False).ids)
+
+
+def test_text_without_letters_beside_spaces_has_leaves():
+    for text in ("日本語、テキスト。" * 600, "if(x1==y2){return'a'+b;}" * 300, "12 345,6 7" * 900):
+        leaves = E.split(text)
+        assert "".join(leaves) == text and max(map(len, leaves)) < 2 * E.LEAF
+
+
 def lower_bound_best_fit(lengths, capacity=1024):
     bins = []
     for n in sorted(lengths, reverse=True):
@@ -95,7 +110,7 @@ def test_plans(kind):
 
 def test_edits_equal_encoding_again(small):
     encode, rng = P.encoder(P.vocabulary()), random.Random(4)
-    bits = ["a", " ", "\n", " the", "'s", "  \n", "é", "1", "word", "'", "\n\nfoo", "日"]
+    bits = ["a", " ", "\n", " the", "'s", "  \n", "é", "1", "word", "'", "\n\nfoo", "日", "|", "<|", "<|endoftext|>", "endoftext", "\x1c", "!", "\u0301"]
     for text in ODD + [r["text"] for r in small["documents"].select("text").limit(60).collect()]:
         tree, now = E.TokenTree(text, encode, 64), text
         assert tree.n_tokens == len(encode([now])[0])
