@@ -53,3 +53,31 @@ def literal_words(rows: list, words: int) -> Column:
     for r in rows:
         values[r["word"]] = str(r["bits"])
     return F.split(F.lit(",".join(values)), ",").cast("array<bigint>")
+
+
+@dataclass(frozen=True)
+class HashFilter:
+    """Bloom filter of 64-bit hashes in blocks of one word: a key sets and tests four bits of a single word, all taken from its hash."""
+
+    words: int
+
+    @classmethod
+    def sized(cls, keys: int, bits_per_key: int = 32, most_bits: int = 1 << 23) -> HashFilter:
+        """Beyond ``most_bits`` the rate of false hits rises (0.0004 at 32 bits a key, 0.01 at 14, 0.1 at 7)."""
+        return cls(max(1, math.ceil(min(keys * bits_per_key, most_bits) / 64)))
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        mask = None
+        for k in range(4):
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", key, F.lit(6 * k)).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+            mask = bit if mask is None else mask.bitwiseOR(bit)
+        return F.pmod(F.call_function("shiftright", key, F.lit(24)), F.lit(self.words).cast("bigint")).cast("int"), mask
+
+    def word_rows(self, keys: DataFrame, key: str) -> DataFrame:
+        """One row per non-zero word: ``word``, ``bits``."""
+        word, mask = self._place(F.col(key))
+        return keys.select(word.alias("word"), mask.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+    def might_contain(self, words: Column, key: Column) -> Column:
+        word, mask = self._place(key)
+        return F.get(words, word).bitwiseAND(mask) == mask

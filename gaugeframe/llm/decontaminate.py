@@ -9,7 +9,8 @@ over all windows of one alignment.
 
 Only DataFrame functions are used.  A window is looked up in a Bloom filter of
 the benchmark before anything is exploded, so only documents with a likely hit
-leave the scan.
+leave the scan.  The filter is there whatever the size of the benchmark; beyond
+FILTER_BITS it passes more, never less.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bits import BloomShape, literal_words
+from .bits import HashFilter, literal_words
+from .columns import shielded
 from .storage import materialise, table
 
 #: Template tokens in a window.
@@ -28,13 +30,23 @@ WINDOW = 8
 MIN_LITERALS = 5
 #: Windows of an item that must match, or all if it has fewer: six windows are a run of 13 words.
 MIN_WINDOWS = 6
-#: Benchmark windows up to which their table (about 0.5 kB a row) is broadcast and their filter is a constant.
+#: Benchmark windows up to which their table (about 0.5 kB a row) is broadcast.
 BROADCAST_WINDOWS = 200_000
+#: Bits of a filter at most (1 MiB, a constant of the plan).
+FILTER_BITS = 1 << 23
 #: Ids of leaking documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|miles?|feet|ft|inch(?:es)?|hours?|hrs?|minutes?|min|seconds?|sec|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|liters?|litres?|ml|l|meters?|metres?|mph|kmh|degrees?"
+#: Capitalised words that are no names.
+_NO_NAMES = (
+    "The|An|In|On|At|If|It|Is|Are|Was|Were|As|By|Do|Does|Did|He|She|We|You|They|His|Her|Their|Its|My|Our|Your|This|That|These|Those|There|Here|"
+    "What|When|Where|Which|Who|Whom|Whose|Why|How|Each|Every|All|Some|Many|Most|Few|Both|Any|No|Not|Now|Only|Other|Such|Than|"
+    "For|From|To|Of|With|Without|And|But|Or|Nor|So|Then|Thus|After|Before|During|While|Since|Until|Because|Although|Though|However|Therefore|"
+    "Can|Could|Will|Would|Shall|Should|May|Might|Must|Has|Have|Had|Be|Been|Let|Find|Given|Suppose|Calculate|Compute|Determine|Solve|Show|Write|Choose|Assume|"
+    "One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|First|Second|Next|Last"
+)
 #: Letters of scripts without spaces, each a token of its own.
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _IS_NAME, _IS_UNIT = "\u0001", "\u0002"
@@ -43,12 +55,13 @@ _IS_NAME, _IS_UNIT = "\u0001", "\u0002"
 def _raw_tokens(text: Column) -> Column:
     """Lower-case words and numbers in order; words used as names or units carry a mark in front.
 
-    A name is a capitalised word after a lower-case letter, digit or comma and
-    a space, so not at the start of a sentence; a unit stands after a number.
+    A name is a capitalised word at the start of the text, a line, a sentence or
+    a quotation, or after a lower-case letter, digit or comma and a space, but
+    for _NO_NAMES; a unit stands after a number.
     """
     text = F.coalesce(text, F.lit(""))
     # the capital, which is rare, is looked for first
-    named = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}0-9,;:] )", _IS_NAME)
+    named = F.regexp_replace(text, rf"""(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}0-9,;:] |[.!?]\s|^|[\n"“«(])(?!(?:{_NO_NAMES})\b)""", _IS_NAME)
     marked = F.when(named.rlike("[0-9]"), F.regexp_replace(named, rf"(?i)(?<=[0-9] ?)(?=(?:{_UNITS})\b)", _IS_UNIT)).otherwise(named)
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?(?:[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+)|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
 
@@ -103,7 +116,7 @@ def _windows(items: DataFrame) -> DataFrame:
     return kept.withColumns({"n_windows": F.count("*").over(of_item).cast("int"), "n_literal": F.sum((~F.col("exact")).cast("int")).over(of_item).cast("int")})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
     ``doc_id, item_id, matched_windows, item_windows, coverage, n_slots``: the
@@ -113,7 +126,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     those with MIN_LITERALS plain words.  The other windows, and items of fewer
     tokens, match the same values only and need no consistent alignment.  Null
     and empty texts hold nothing; null ids take no part; repeated items are
-    found each under its id, and repeated document rows count once.
+    found each under its id, and repeated document rows count once.  Of an id
+    that comes with several texts each is judged alone, and the one that matches
+    most is returned.  Whole texts are read, however long; an empty table has no
+    rows.  Other columns are not returned, whatever their names.
     """
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     windows = materialise(_windows(items))
@@ -121,63 +137,63 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     small = sum(r["n"] for r in kinds.values()) <= broadcast_windows
     shapes, words = {}, {}
     for exact, r in kinds.items():
-        shapes[exact] = BloomShape.sized(r["n"], 1e-6)
-        words[exact] = literal_words(shapes[exact].word_rows(windows.filter(F.col("exact") == exact), "h").collect(), shapes[exact].words) if small else None
+        shapes[exact] = HashFilter.sized(r["n"], most_bits=filter_bits)
+        words[exact] = literal_words(shapes[exact].word_rows(windows.filter(F.col("exact") == exact), "h").collect(), shapes[exact].words)
     looked_up = [(exact, n) for exact in sorted(kinds) for n in sorted(kinds[exact]["lengths"])] or [(False, WINDOW)]
 
     def candidates(exact: bool, length: int) -> Column:
-        hashes = f"_w{length}{exact}"
-        # named twice, see _window_hashes
-        starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-        if small and kinds:
-            starts = F.filter(starts, lambda i: shapes[exact].might_contain(words[exact], F.get(hashes, i)))
-        return F.transform(starts, lambda i: F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), F.get(hashes, i).alias("h")))
-
-    found = _with_templates(docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), "text")
+        def kept(h: Column, i: Column) -> Column:
+            window = F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), h.alias("h"))
+            return F.when(shapes[exact].might_contain(words[exact], h), window) if kinds else window
+
+        return F.filter(F.transform(f"_w{length}{exact}", kept), lambda c: c.isNotNull())
+
+    # _row tells the texts of one id apart
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = _with_templates(texts, "text")
     # A filter on an array, which explode() also infers, would be pushed below the projections above and repeat
     # them inside the lambda for every window; explode_outer() and a filter on its rows avoid that.
     # The rows carry only the slices that the comparison needs.
     found = found.withColumns({f"_w{n}{exact}": _window_hashes(n, "_vh" if exact else "_th") for exact, n in looked_up})
     found = found.withColumn("_c", F.concat(*[candidates(*x) for x in looked_up]))
     window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["exact"].alias("exact"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
-    found = found.select("doc_id", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
+    found = found.select("doc_id", "_row", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "_row", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
     hits = found.join(F.broadcast(windows) if small else windows, ["h", "length", "exact"]).filter(F.when(F.col("exact"), F.transform("d_raw", _value) == F.transform("b_raw", _value)).otherwise(F.col("d_tpl") == F.col("b_tpl")))
 
     slots = F.filter(
         F.transform(F.arrays_zip("b_tpl", "b_raw", "d_raw"), lambda z: F.struct(z["b_tpl"].alias("kind"), _value(z["b_raw"]).alias("b"), _value(z["d_raw"]).alias("d"))),
         lambda s: s["kind"].isin(NUMBER, NAME, UNIT),
     )
-    hits = hits.select("doc_id", "item_id", "n_windows", "n_literal", "at", "exact", (F.col("d_at") - F.col("at")).alias("offset"), slots.alias("slots"))
-    # an alignment has at most as many windows as its item, which bounds every group below
-    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.max("n_literal").alias("n_literal"),
-        F.collect_set(F.struct("at", "exact")).alias("ats"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("exact"), F.col("slots"))))).alias("slots"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("bound"),
-    )
+    hits = hits.select("doc_id", "_row", "item_id", "n_windows", "n_literal", (F.col("d_at") - F.col("at")).alias("offset"), F.struct("at", "exact", slots.alias("slots")).alias("w"))
+    # an alignment of a text has at most as many different windows as its item, which bounds every group below
+    aligned = hits.groupBy("doc_id", "_row", "item_id", "offset").agg(F.max("n_windows").alias("n_windows"), F.max("n_literal").alias("n_literal"), F.collect_set("w").alias("ws"))
+
+    def bound(ws: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(ws, lambda w: w["slots"])))
+
+    aligned = aligned.withColumns({"slots": bound(F.filter("ws", lambda w: ~w["exact"])), "n_slots": F.size(bound(F.col("ws")))})
     n_pairs = F.size("slots")
 
     def distinct(side: str) -> Column:
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
 
-    aligned = aligned.withColumn("consistent", (distinct("b") == n_pairs) & (distinct("d") == n_pairs)).select("doc_id", "item_id", "n_windows", "n_literal", F.size("bound").alias("n_slots"), "consistent", F.explode("ats").alias("w"))
+    aligned = aligned.withColumn("consistent", (distinct("b") == n_pairs) & (distinct("d") == n_pairs)).select("doc_id", "_row", "item_id", "n_windows", "n_literal", "n_slots", "consistent", F.explode("ws").alias("w"))
     found = aligned.filter(F.col("consistent") | F.col("w.exact"))
     literal = F.count_distinct(F.when(~F.col("w.exact"), F.col("w.at")))
-    return (
-        found.groupBy("doc_id", "item_id")
+    found = (
+        found.groupBy("doc_id", "_row", "item_id")
         .agg(F.count_distinct("w.at").alias("matched_windows"), literal.alias("_literal"), F.max("n_windows").cast("bigint").alias("item_windows"), F.max("n_literal").alias("n_literal"), F.max("n_slots").cast("bigint").alias("n_slots"))
         .filter((F.col("matched_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))) | ((F.col("n_literal") > 0) & (F.col("_literal") >= F.least(F.lit(MIN_WINDOWS), F.col("n_literal")))))
-        .select("doc_id", "item_id", "matched_windows", "item_windows", (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "n_slots")
     )
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_windows", "item_windows", "n_slots")).alias("b")).select("doc_id", "item_id", "b.*")
+    return best.select("doc_id", "item_id", "matched_windows", "item_windows", (F.col("matched_windows") / F.col("item_windows")).alias("coverage"), "n_slots")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
+    """``docs`` without the documents that hold a benchmark item; rows with a null id stay, and columns of any name."""
     leaking = materialise(find_leaks(docs, benchmark).select("doc_id").distinct())
-    if leaking.count() <= BROADCAST_IDS:
-        leaking = F.broadcast(leaking)
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    small = leaking.count() <= BROADCAST_IDS
+    return shielded(docs, ["doc_id"], lambda d: d.join(F.broadcast(leaking) if small else leaking, "doc_id", "left_anti").select(d.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
