@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import hashing
+from .columns import shielded
 from .groups import complete_groups
 from .storage import materialise, table
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Members of a block of a bucket.
-BLOCK = 512
+#: Members of a block of a bucket, and bytes of their n-gram sets, about.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Ids up to which the documents to re-read are found by a broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -259,17 +260,20 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     Null, empty and wordless texts have no n-grams, hence no links and a class
     of their own.  Rows with a null id are left out.  Repeated rows are copies
     of each other and are returned as often as they come; an id that comes with
-    several texts is one node of the links.
+    several texts is one node of the links.  Whole texts are compared, however
+    long; an empty table has no rows.  Other columns are not returned, whatever
+    their names.
     """
     banding = choose_banding(threshold, recall)
     # the band hashes are needed once per representative, the keys once per document
     every = materialise(signatures(docs, banding, n))
     reps = materialise(
-        every.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("mh").alias("mh"))
+        every.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("mh").alias("mh"))
     )
-    rows = reps.select("rep", "k1", "k2", F.posexplode("bands").alias("band", "h"))
-    crowded = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
-    members = rows.join(crowded, ["band", "h"]).withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = reps.select("rep", "k1", "k2", "n_shingles", F.posexplode("bands").alias("band", "h"))
+    crowded = rows.groupBy("band", "h").agg(F.count("*").alias("n"), (8 * F.sum("n_shingles")).alias("bytes")).filter("n > 1")
+    # a block has few members if these are long
+    members = rows.join(crowded, ["band", "h"]).withColumn("_blocks", F.least("n", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES))).cast("int")).drop("n_shingles")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", "k1", "k2"), F.col("_blocks")).cast("int"))
     members = members.join(reps.select("rep", "k1", "k2", "copies", "bands", "mh"), ["rep", "k1", "k2"])
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -287,22 +291,25 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: fl
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = every.select("doc_id", "k1", "k2", "n_shingles").join(known, ["k1", "k2"], "left")
     some = F.col("n_shingles") > 0
-    return out.select("doc_id", F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"))
+    linked = every.filter(some).select("doc_id", "k1", "k2").join(known, ["k1", "k2"], "left").select("doc_id", "class_id", "n_links")
+    # texts without n-grams share one key, so they stay out of the join
+    return linked.unionByName(every.filter(~some).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
 def keep_one_per_class(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; rows with a null id stay."""
-    classes = materialise(similarity_classes(docs, **options))
+    """``docs`` with one row of each class, of the smallest id; rows with a null id stay, and columns of any name."""
+    classes = materialise(similarity_classes(docs.select("doc_id", "text"), **options))
     copies = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    kept = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
-    n = classes.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n[0] != n[1]:  # rows that repeat an id
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    n = classes.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count(F.when(F.col("doc_id") != F.col("class_id"), 1)).alias("copies")).first()
+
+    def one_each(d: DataFrame) -> DataFrame:
+        kept = d.join(F.broadcast(copies) if n["copies"] <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(d.columns)
+        if n["rows"] != n["ids"]:  # rows that repeat an id
+            kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+        return kept
+
+    return shielded(docs, ["doc_id"], one_each)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

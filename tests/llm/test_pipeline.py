@@ -69,3 +69,18 @@ def test_stages_on_odd_and_empty_documents(spark, odd, empty):
         assert f(spark, empty, SMALL).count() == 0, name
         if name != "packing":
             assert out.columns == odd.columns, name
+
+
+def test_stages_leave_clashing_columns_alone(spark, odd):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    extra = {"a.b": F.lit(77), "n_lines": F.lit(77), "n_cut": F.lit(77), "p_good": F.lit(77.5), "expected_grade": F.lit(7), "_row": F.lit(7), "class_id": F.col("doc_id"), "A`c": F.lit("x")}
+    docs = odd.withColumns(extra)
+    for name, f in P.STAGES:
+        out = f(spark, docs, SMALL)
+        assert out.count() > 0, name
+        if name != "packing":
+            assert out.columns == docs.columns, name
+            assert out.filter("`a.b` <> 77 OR n_lines <> 77 OR n_cut <> 77 OR p_good <> 77.5 OR expected_grade <> 7").count() == 0, name
+            assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(map(str, (r["doc_id"] for r in f(spark, odd, SMALL).collect()))), name
