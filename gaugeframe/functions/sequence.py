@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,8 @@ def in_alphabet(s: Column, alphabet: str) -> Column:
 
 def windows(s: Column, k: int) -> Column:
     """All substrings of length k in order; none for a shorter text."""
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    # a match of no length at every position, so the text is read once
+    return F.coalesce(F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def words_of(alphabet: str, k: int) -> list[str]:
@@ -60,11 +61,25 @@ def words_of(alphabet: str, k: int) -> list[str]:
 def kmer_frequencies(s: Column, vocabulary: Sequence[str]) -> Column:
     """Share of each vocabulary word among the windows that are in the vocabulary; zeros if there are none."""
     k = len(vocabulary[0])
-    known = F.array(*[F.lit(v) for v in vocabulary])
-    kept = F.filter(windows(s, k), lambda w: F.array_contains(known, w))
-    counts = F.transform(known, lambda v: F.size(F.filter(kept, lambda w: w == v)))
-    total = F.size(kept)
-    return F.transform(counts, lambda c: F.when(total > 0, c / total).otherwise(F.lit(0.0)))
+    letters = "".join(sorted(set("".join(vocabulary))))
+    # windows side by side with a comma between, in which each word is counted by what is left without it
+    joined = F.array_join(F.regexp_extract_all(s, F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1)), ",")
+    counts = [(F.length(joined) - F.length(F.replace(joined, F.lit(w), F.lit("")))) / F.lit(float(k)) for w in vocabulary]
+    total = sum(counts[1:], counts[0])
+    return F.when(s.isNotNull(), F.array(*[F.coalesce(F.try_divide(c, total), F.lit(0.0)) for c in counts]))
+
+
+def kmer_table(rows: DataFrame, key: str, text: str, vocabulary: Sequence[str]) -> DataFrame:
+    """``key, kmer, share`` for every row and vocabulary word: one pass over the windows, counted by grouping."""
+    k, letters = len(vocabulary[0]), "".join(sorted(set("".join(vocabulary))))
+    found = rows.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1))).alias("kmer"))
+    if len(vocabulary) < len(letters) ** k:
+        found = found.filter(F.col("kmer").isin(*vocabulary))
+    n = F.sum(F.lit(1))
+    wide = found.groupBy(key).pivot("kmer", list(vocabulary)).agg(n)
+    total = sum((F.coalesce(F.col(f"`{w}`"), F.lit(0)) for w in vocabulary), F.lit(0))
+    shares = F.array(*[F.struct(F.lit(w).alias("kmer"), F.coalesce(F.try_divide(F.coalesce(F.col(f"`{w}`"), F.lit(0)).cast("double"), total.cast("double")), F.lit(0.0)).alias("share")) for w in vocabulary])
+    return rows.select(key).join(wide, key, "left").select(key, F.explode(shares).alias("x")).select(key, "x.*")
 
 
 def count_char(s: Column, char: str) -> Column:

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MISSING_TOKENS
 from ..storage import materialise
+from .joins import with_row
+from .ranking import numbered as in_order
 
 #: Rounds grow with the logarithm of the longest path; this many mean an error.
 MAX_ROUNDS = 60
@@ -56,10 +58,10 @@ def key_groups(records: DataFrame, key: str, columns: Sequence[str], missing: Se
 
 def numbered(groups: DataFrame, component: str, width: int = 4) -> DataFrame:
     """Adds ``group``: components numbered by their smallest member as g0001 and so on, wider if there are more."""
-    heads = groups.select(component).distinct()
-    order = heads.withColumn("_n", F.row_number().over(Window.orderBy(component)))  # one row per component
-    digits = F.greatest(F.lit(width), F.length(F.max("_n").over(Window.partitionBy()).cast("string")))
-    names = order.withColumn("group", F.concat(F.lit("g"), F.lpad(F.col("_n").cast("string"), digits, "0"))).drop("_n")
+    order = in_order(groups.select(component).distinct(), [F.col(component)], "_n")
+    digits = F.greatest(F.lit(width), F.length(F.col("_most").cast("string")))
+    named = with_row(order, order.agg(F.count("*").alias("_most")))
+    names = named.withColumn("group", F.concat(F.lit("g"), F.lpad(F.col("_n").cast("string"), digits, "0"))).drop("_n", "_most")
     return groups.join(names, component)
 
 
@@ -98,3 +100,13 @@ def resolve_chain(links: DataFrame, stop: Column | None = None, max_rounds: int
     known = base.select(F.col("id").alias("at"), F.lit(True).alias("_known"))
     out = state2.join(ends, "at", "left").join(known, "at", "left")
     return out.select("id", F.when(F.col("_end") | outside, F.col("at")).otherwise(F.col("low")).alias("resolved"))
+
+
+def first_ancestor(links: DataFrame, starts: DataFrame, wanted: Column, most: int = 20) -> DataFrame:
+    """``root, ancestor, depth``: the nearest node along ``src -> dst``, the root itself at depth 0, for which ``wanted`` (a condition on ``node``) holds; the smallest of equals.
+
+    Roots that reach none within ``most`` steps have no row.
+    """
+    own = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    reach = own.unionByName(closure(links, starts, most)).filter(wanted)
+    return reach.groupBy("root").agg(F.min(F.struct("depth", "node")).alias("b")).select("root", F.col("b.node").alias("ancestor"), F.col("b.depth").alias("depth"))

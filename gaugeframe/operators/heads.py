@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.sequence import char_ngrams
 from .joins import with_row
 
 
@@ -115,6 +116,59 @@ def logistic_probe(train: DataFrame, test: DataFrame, features: str, target: str
     return model.transform(vectors(test)).withColumn("score", vector_to_array("probability")[1]).drop("_v", "rawPrediction", "probability", "prediction")
 
 
+def ngram_weights(rows: DataFrame, key: str, text: str, train: str, low: int = 1, high: int = 3) -> DataFrame:
+    """``key, ngram, weight``: counts of character n-grams that training rows have (``train``, a condition), scaled to unit length per row."""
+    grams = rows.select(key, F.expr(train).alias("_t"), F.explode(char_ngrams(F.col(text), low, high)).alias("ngram")).groupBy(key, "_t", "ngram").agg(F.count("*").cast("double").alias("n"))
+    known = grams.join(grams.filter("_t").select("ngram").distinct(), "ngram", "left_semi")
+    norms = known.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_l"))
+    return known.join(norms, key).select(key, "ngram", (F.col("n") / F.col("_l")).alias("weight"))
+
+
+def ngram_head(train: DataFrame, test: DataFrame, text: str, target: str, classes: bool = True, strength: float = 1.0, most: int = 1 << 18) -> DataFrame:
+    """``test`` with ``score`` of a linear head on unit-length character 1-3-gram counts.
+
+    The vocabulary is the training rows' (the ``most`` frequent n-grams, the
+    bound of the model).  With ``classes`` the score is the probability of
+    class 1 by L2 logistic regression with inverse strength ``strength``, else
+    ridge regression with that penalty.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, Normalizer
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import LinearRegression
+
+    def grams(df: DataFrame) -> DataFrame:
+        return df.withColumn("_grams", char_ngrams(F.col(text)))
+
+    n = train.count()
+    if n == 0 or (classes and train.agg(F.count_distinct(target)).first()[0] < 2):
+        raise ValueError("the training rows must be of two classes" if n else "no rows to fit")
+    shared = {"featuresCol": "_x", "labelCol": "_y", "maxIter": 200, "tol": 1e-9, "standardization": False}
+    head = LogisticRegression(regParam=1 / (strength * n), **shared) if classes else LinearRegression(regParam=strength / n, **shared)
+    steps = [CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=most), Normalizer(inputCol="_counts", outputCol="_x"), head]
+    out = Pipeline(stages=steps).fit(grams(train).withColumn("_y", F.col(target).cast("double"))).transform(grams(test))
+    score = vector_to_array("probability")[1] if classes else F.col("prediction")
+    return out.select(*[f"`{c}`" for c in test.columns], score.alias("score"))
+
+
+def ridge_validated(train: DataFrame, validation: DataFrame, features: str, target: str, alphas: Sequence[float]) -> tuple[float, np.ndarray, float]:
+    """Penalty, coefficients and intercept of the ridge fit on ``train`` with the least squared error on ``validation``, the smaller penalty of equals.
+
+    Only the training rows are fit; the validation rows choose.
+    """
+    m = moments(train, features, target)
+    v = moments(validation, features, target)
+    best = None
+    for alpha in sorted(alphas):
+        w, b = ridge(m, alpha)
+        # the sum of squares follows from the moments
+        error = v["yy"] - 2 * (w @ v["xy"] + b * v["y"]) + w @ v["xx"] @ w + 2 * b * (w @ v["x"]) + b * b * v["n"]
+        if best is None or error < best[0] - 1e-12:
+            best = (error, alpha, w, b)
+    return best[1:]
+
+
 def score_in_batches(rows: DataFrame, key: str, columns: Sequence[str], adapter) -> DataFrame:
     """``key, score, reason`` from ``adapter(pandas frame of the key and columns) -> list of (key, score, reason)``.
 

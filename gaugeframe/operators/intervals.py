@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, by: Sequence[str] = (), width: int = 1000) -> DataFrame:
     """Every point with every closed interval that holds it, on equal ``by`` columns.
@@ -22,8 +24,10 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, point: str, start
 
 def overlaps_before(intervals: DataFrame, by: str, start: str, stop: str, key: str) -> DataFrame:
     """Rows with ``overlaps``: whether an interval starts before the end of the one before it in its group (by start, end and key)."""
-    w = Window.partitionBy(by).orderBy(start, stop, key)
-    return intervals.withColumn("overlaps", F.coalesce(F.col(start) <= F.lag(stop).over(w), F.lit(False)))
+    n = numbered(intervals, [F.col(start), F.col(stop), F.col(key)], "_place", [by])
+    before = n.select(F.col(by).alias("_by"), (F.col("_place") + 1).alias("_at"), F.col(stop).alias("_end"))
+    joined = n.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_place") == F.col("_at")), "left")
+    return joined.withColumn("overlaps", F.coalesce(F.col(start) <= F.col("_end"), F.lit(False))).drop("_place", "_by", "_at", "_end")
 
 
 def envelopes(intervals: DataFrame, by: str, start: str, stop: str) -> DataFrame:

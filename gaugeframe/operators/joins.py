@@ -99,3 +99,13 @@ def check(rows: DataFrame, rules: dict[str, Column], key: str) -> None:
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     """Key values of several rows."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner join of two tables that must hold the same keys, each once; anything else is refused."""
+    sides = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = sides.groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    bad = counts.agg(F.count_if((F.col("_a") == 0) | (F.col("_b") == 0) | F.col(key).isNull()).alias("alone"), F.count_if((F.col("_a") > 1) | (F.col("_b") > 1)).alias("twice")).first()
+    if bad["alone"] or bad["twice"]:
+        raise ValueError(f"{bad['alone']} keys are on one side alone or null, {bad['twice']} repeat")
+    return a.join(b, key)

@@ -16,22 +16,23 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, round_even
 from .joins import with_row
-from .ranking import first_per_group, running
+from .ranking import discounts, first_per_group, quantiles, running
 
 
 def _by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """``n, positives, prevalence, auroc, average_precision`` of binary labels (0/1) and scores.
 
     AUROC counts ties as half; average precision is not interpolated and ties
     enter together.  Both are null for a single class.  Rows without a label or
-    score are left out.
+    score are left out.  A row of a whole ``weight`` counts so many times.
     """
     df, keys = _by(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()), by)
-    r = running(df, keys, score, {"n": F.count("*"), "p": F.sum(F.col(label).cast("bigint"))}, buckets=buckets)
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    r = running(df, keys, score, {"n": F.sum(w), "p": F.sum(F.col(label).cast("bigint") * w)}, buckets=buckets)
     negatives_below = (F.col("total_n") - F.col("total_p")) - (F.col("before_n") - F.col("before_p")) - (F.col("n") - F.col("p"))
     wins = F.sum(F.col("p") * (negatives_below + (F.col("n") - F.col("p")) / 2.0))
     precision = (F.col("before_p") + F.col("p")) / (F.col("before_n") + F.col("n"))
@@ -90,7 +91,7 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 def mcc_at_median(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``mcc`` of calling positive what scores the group's median or more; 0 when a margin is empty."""
     df, keys = _by(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()), by)
-    cut = df.groupBy(*keys).agg(F.median(score).alias("_cut"))
+    cut = quantiles(df, keys, score, {"_cut": 0.5})
     called, y = F.col(score) >= F.col("_cut"), F.col(label) > 0
     c = df.join(cut, keys).groupBy(*keys).agg(*[F.count_if(x).cast("double").alias(n) for n, x in (("tp", called & y), ("fp", called & ~y), ("fn", ~called & y), ("tn", ~called & ~y))])
     tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
@@ -103,6 +104,14 @@ def confusion(df: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) ->
     return df.groupBy(*by, F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
 
 
+def binary_f1(df: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) -> DataFrame:
+    """``n, accuracy, f1`` of the class 1 per group; an empty denominator counts as 0."""
+    df, keys = _by(df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull()), by)
+    y, g = F.col(truth) == 1, F.col(guess) == 1
+    f1 = F.coalesce(ratio(2 * F.count_if(y & g), F.count_if(y) + F.count_if(g)), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), ratio(F.count_if(F.col(truth) == F.col(guess)), F.count("*")).alias("accuracy"), f1.alias("f1")).drop("_all")
+
+
 def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """One row: ``n, accuracy, f1_macro, f1_weighted`` over the classes of either column; an empty denominator counts as 0."""
     cells = confusion(df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull()), truth, guess)
@@ -116,35 +125,37 @@ def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def ndcg_full(df: DataFrame, gain: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """``ndcg`` over the whole list: gains above the group's minimum, linear, averaged over tied scores; null without any gain."""
     df, keys = _by(df.filter(F.col(gain).isNotNull() & F.col(score).isNotNull()), by)
-    whole = Window.partitionBy(*keys)
-    g = df.withColumn("_g", F.col(gain) - F.min(gain).over(whole))
+    low = df.groupBy(*keys).agg(F.min(gain).cast("double").alias("_low"))
 
-    def discounted(order: str) -> Column:
-        return F.col("_g") / F.log2(F.row_number().over(whole.orderBy(F.desc(order))) + 1)
+    def part(order: str, name: str) -> DataFrame:
+        # the mean gain of tied scores may be summed over their places in any order
+        cells = running(df, keys, order, {"n": F.count("*"), "g": F.sum(F.col(gain).cast("double"))})
+        placed = discounts(cells, "before_n", "n", "_d").join(low, keys)
+        return placed.groupBy(*keys).agg(F.sum((F.col("g") / F.col("n") - F.col("_low")) * F.col("_d")).alias(name))
 
-    # the mean gain of tied scores may be summed over their places in any order
-    tied = g.withColumn("_mean", F.avg("_g").over(Window.partitionBy(*keys, score))).withColumn("_d", F.col("_mean") / F.log2(F.row_number().over(whole.orderBy(F.desc(score))) + 1)).withColumn("_i", discounted("_g"))
-    return tied.groupBy(*keys).agg(F.try_divide(F.sum("_d"), F.sum("_i")).alias("ndcg")).drop("_all")
+    return part(score, "_a").join(part(gain, "_i"), keys).select(*keys, F.try_divide(F.col("_a"), F.col("_i")).alias("ndcg")).drop("_all")
 
 
 def ndcg_top(df: DataFrame, gain: str, score: str, key: str, share: float = 0.1, by: Sequence[str] = ()) -> DataFrame:
     """``ndcg_top`` of the best ``floor(share * n)`` scores (ties by key), with gains scaled to [0, 1]; null without an ideal gain."""
     df, keys = _by(df.filter(F.col(gain).isNotNull() & F.col(score).isNotNull()), by)
-    whole = Window.partitionBy(*keys)
-    low, high = F.min(gain).over(whole), F.max(gain).over(whole)
-    g = df.withColumns({"_g": F.coalesce(F.try_divide(F.col(gain) - low, high - low), F.lit(0.0)), "_k": F.floor(F.count("*").over(whole) * share)})
-    g = g.withColumns({"_r": F.row_number().over(whole.orderBy(F.desc(score), key)), "_j": F.row_number().over(whole.orderBy(F.desc("_g"), key))})
-
-    def part(rank: str) -> Column:
-        return F.sum(F.when(F.col(rank) <= F.col("_k"), F.col("_g") / F.log2(F.col(rank) + 1)).otherwise(0.0))
-
-    return g.groupBy(*keys).agg(F.try_divide(part("_r"), part("_j")).alias("ndcg_top")).drop("_all")
+    g = F.col(gain).cast("double")
+    ends = df.groupBy(*keys).agg(F.min(g).alias("_low"), F.max(g).alias("_high"), F.floor(F.count("*") * share).alias("_k"))
+    scaled = F.coalesce(F.try_divide(g - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    # only scores that begin within the best are ranked row by row, among equal ones by key
+    best = running(df, keys, score, {"n": F.count("*")}).join(ends, keys).filter(F.col("before_n") < F.col("_k")).select(*keys, score, "before_n", "_low", "_high", "_k")
+    tie = Window.partitionBy(*keys, score).orderBy(key)
+    got = df.join(best, [*keys, score]).withColumn("_r", F.col("before_n") + F.row_number().over(tie)).filter(F.col("_r") <= F.col("_k"))
+    got = got.groupBy(*keys).agg(F.sum(scaled / F.log2(F.col("_r") + 1)).alias("_a"))
+    ideal = running(df, keys, gain, {"n": F.count("*")}).join(ends, keys).withColumn("_m", F.least(F.col("n"), F.greatest(F.lit(0), F.col("_k") - F.col("before_n"))))
+    ideal = discounts(ideal.filter("_m > 0"), "before_n", "_m", "_d").groupBy(*keys).agg(F.sum(scaled * F.col("_d")).alias("_i"))
+    return ends.join(got, keys, "left").join(ideal, keys, "left").select(*keys, F.try_divide(F.coalesce("_a", F.lit(0.0)), F.coalesce("_i", F.lit(0.0))).alias("ndcg_top")).drop("_all")
 
 
 def top_recall(df: DataFrame, truth: str, score: str, quantile: float = 0.9, by: Sequence[str] = ()) -> DataFrame:
     """``top_recall``: the share of rows at or above the truth's quantile that are so by the score too."""
     df, keys = _by(df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()), by)
-    cuts = df.groupBy(*keys).agg(F.percentile(truth, F.lit(quantile)).alias("_t"), F.percentile(score, F.lit(quantile)).alias("_s"))
+    cuts = quantiles(df, keys, truth, {"_t": quantile}).join(quantiles(df, keys, score, {"_s": quantile}), keys)
     top = F.col(truth) >= F.col("_t")
     return df.join(cuts, keys).groupBy(*keys).agg(ratio(F.count_if(top & (F.col(score) >= F.col("_s"))), F.count_if(top)).alias("top_recall")).drop("_all")
 
@@ -157,9 +168,10 @@ def paired_differences(df: DataFrame, pair: str, role: str, value: str, first: s
 
 def difference_stats(pairs: DataFrame) -> DataFrame:
     """One row of ``n, mean, median, p05, p25, p75, p95, sign_accuracy, tied``; a tie counts as wrong."""
-    q = F.percentile("d", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.75, 0.95)]))
-    out = pairs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.median("d").alias("median"), q.alias("q"), F.avg((F.col("d") > 0).cast("double")).alias("sign_accuracy"), F.count_if(F.col("d") == 0).alias("tied"))
-    return out.select("n", "mean", "median", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p25", "p75", "p95"))], "sign_accuracy", "tied")
+    ends = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+    q = quantiles(pairs.withColumn("_all", F.lit(0)), ["_all"], "d", ends).agg(*[F.max(n).alias(n) for n in ends])
+    out = pairs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.avg((F.col("d") > 0).cast("double")).alias("sign_accuracy"), F.count_if(F.col("d") == 0).alias("tied"))
+    return with_row(out, q).select("n", "mean", "median", "p05", "p25", "p75", "p95", "sign_accuracy", "tied")
 
 
 def wilcoxon_terms(pairs: DataFrame) -> DataFrame:
@@ -219,3 +231,17 @@ def tie_summary(df: DataFrame, score: str, capacity: int, by: Sequence[str] = ()
     r = running(df, keys, score, {"n": F.count("*")})
     cut = r.filter((F.col("before_n") < capacity) & (F.col("before_n") + F.col("n") >= F.least(F.lit(capacity), F.col("total_n"))))
     return cut.select(*keys, F.col(score).alias("cutoff"), F.col("before_n").alias("above"), F.col("n").alias("tied"), (F.least(F.lit(capacity), F.col("total_n")) - F.col("before_n")).alias("filled_from_ties")).drop("_all")
+
+
+def leaderboard(results: DataFrame, system: str, value: str, ascending: bool = False) -> DataFrame:
+    """``results`` with ``place`` from 1, best value first; equal values share the best place of theirs, and rows without a value have none."""
+    r = running(results.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(0)), ["_all"], value, {"n": F.count("*")}, descending=not ascending)
+    return results.join(r.select(value, (F.col("before_n") + 1).alias("place")), value, "left").select(*results.columns, "place")
+
+
+def wide_metrics(results: DataFrame, row: str, metric: str, value: str, metrics: Sequence[str], lookups: Sequence[tuple[DataFrame, str]] = ()) -> DataFrame:
+    """One row per ``row`` with a column of each metric, then the columns of each lookup (a table and its key) by left joins that keep every row."""
+    out = results.groupBy(row).pivot(metric, list(metrics)).agg(F.first(value, ignorenulls=True))
+    for table, key in lookups:
+        out = out.join(table, out[row] == table[key], "left").drop(table[key]) if key != row else out.join(table, row, "left")
+    return out

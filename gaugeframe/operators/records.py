@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.detectors import UNREPORTED, readiness
+from .ranking import numbered
+
 
 def edges(records: DataFrame, key: str = "id", links: str = "links") -> DataFrame:
     """``src, relation, dst`` from an array of structs ``relation, target_id``."""
@@ -67,9 +70,9 @@ def first_per_pair(rows: DataFrame, keys: Sequence[str], ordinal: str) -> DataFr
 
 
 def proposals(rows: DataFrame, bucket: str, value: str, per_hour: str, flags: str, key: str) -> DataFrame:
-    """``rows`` with ``place``: by bucket, then value per hour in bucket 1, value, number of flags, and key."""
+    """``rows`` with ``place`` from 1: by bucket, then value per hour in bucket 1, value, number of flags, and key."""
     order = [F.asc(bucket), F.when(F.col(bucket) == 1, -F.coalesce(F.col(per_hour), F.lit(0.0))).asc_nulls_first(), F.desc(value), F.desc(flags), F.asc(key)]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("_all").orderBy(*order))) if "_all" in rows.columns else rows.withColumn("_all", F.lit(0)).withColumn("place", F.row_number().over(Window.partitionBy("_all").orderBy(*order))).drop("_all")
+    return numbered(rows, order)
 
 
 def filed(placed: DataFrame, benchmark: str, cap: int = 5) -> DataFrame:
@@ -79,7 +82,7 @@ def filed(placed: DataFrame, benchmark: str, cap: int = 5) -> DataFrame:
 
 
 def cover_score(names: Column, text: Column) -> Column:
-    """How well a text covers a name: 100 if it holds it, else ten per distinctive token found plus one per other token found."""
+    """How well a text covers a name, both normalised: 100 if it holds it, else ten per distinctive token found plus one per other token found."""
     tokens = F.filter(F.split(names, " "), lambda t: F.length(t) >= 3)
     distinctive = F.filter(tokens, lambda t: t.rlike("[0-9]"))
     hit = F.size(F.filter(distinctive, lambda t: F.contains(text, t)))
@@ -166,3 +169,59 @@ def best_cover(proposals: DataFrame, issues: DataFrame, least: int = 10) -> Data
     pairs = words(p, "name", "key").join(words(i, "title", "issue"), "word").select("key", "issue").distinct()
     scored = pairs.join(p, "key").join(i, "issue").select("key", "issue", cover_score(F.col("name"), F.col("title")).alias("score")).filter(F.col("score") >= least)
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "issue"))).filter("_r = 1").drop("_r")
+
+
+def slim(records: DataFrame, keys: Sequence[str], attributes: str = "attributes", key: str = "id") -> DataFrame:
+    """``key`` and a column of each wanted attribute of a map; values that say nothing was reported are null."""
+    value = {k: F.trim(F.try_element_at(attributes, F.lit(k))) for k in keys}
+    return records.select(key, *[F.when((v != "") & ~v.rlike(UNREPORTED), v).alias(k) for k, v in value.items()])
+
+
+def ready_recipes(candidates: DataFrame, protocols: DataFrame, owner: str = "owner") -> DataFrame:
+    """``owner, recipe, state``: of each owner's candidates, guides before recipes and evaluations first, the first that leads to a score, and whether it can be followed.
+
+    ``candidates`` has ``owner, recipe, kind`` (guide or recipe), ``purpose,
+    protocol, ordinal, outputs`` (an array) and ``run_text``; ``protocols`` has the
+    known ``protocol`` ids.  A guide, and a recipe of the owner's own id, needs no
+    known protocol.  Owners whose candidates all fail keep the first one's state.
+    """
+    known = candidates.join(protocols.select("protocol", F.lit(True).alias("_known")).distinct(), "protocol", "left")
+    free = (F.col("kind") == "guide") | F.col("protocol").isNull() | (F.col("protocol") == F.col(owner)) | F.coalesce("_known", F.lit(False))
+    judged = known.withColumn("state", readiness(F.col("outputs"), F.col("run_text"), free))
+    place = F.struct(F.col("state").isin("no score", "unknown protocol").alias("_fails"), (F.col("kind") != "guide").alias("_a"), (F.coalesce("purpose", F.lit("")) != "generate_and_evaluate").alias("_b"), "ordinal")
+    best = judged.groupBy(owner).agg(F.min_by(F.struct("recipe", "state"), place).alias("b"))
+    return best.select(owner, "b.recipe", "b.state")
+
+
+#: Kinds of records by how specific they are; others lie between the last two.
+SPECIFIC = {"task": 0, "protocol": 1, "benchmark": 3}
+
+
+def discrepancy_anchors(compared: DataFrame, ancestors: DataFrame, kinds: DataFrame, finding: str = "finding") -> DataFrame:
+    """``finding, rule, anchor, protocols``: what a rerun would have to run to settle a finding.
+
+    ``compared`` has ``finding, study, role, ordinal, protocol``; ``ancestors``
+    has ``protocol, anchor`` (a protocol itself among them); ``kinds`` has
+    ``anchor, kind``.  Protocols that two studies share come first (``shared``;
+    the anchor is the smallest), then the most specific record that protocols
+    of two studies are part of (``part``), else the protocols of the first
+    study with the role outlier or party, or of the first study (``own``).
+    """
+    rows = compared.filter("protocol IS NOT NULL").select(finding, "study", "role", "ordinal", "protocol").distinct()
+    shared = rows.groupBy(finding, "protocol").agg(F.count_distinct("study").alias("n")).filter("n >= 2").groupBy(finding).agg(F.min("protocol").alias("anchor"), F.array_sort(F.collect_set("protocol")).alias("protocols"))
+    under = rows.join(ancestors, "protocol")
+    specific = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in SPECIFIC.items()], F.lit(2))
+    common = under.groupBy(finding, "anchor").agg(F.count_distinct("study").alias("n")).filter("n >= 2").join(kinds, "anchor", "left")
+    best = common.groupBy(finding).agg(F.min_by("anchor", F.struct(specific, -F.col("n"), "anchor")).alias("anchor"))
+    part = under.join(best, [finding, "anchor"]).groupBy(finding, "anchor").agg(F.array_sort(F.collect_set("protocol")).alias("protocols"))
+    chosen = rows.groupBy(finding).agg(F.min_by("study", F.struct(~F.coalesce(F.col("role").isin("outlier", "party"), F.lit(False)), "ordinal", "study")).alias("study"))
+    own = rows.join(chosen, [finding, "study"]).groupBy(finding).agg(F.min("protocol").alias("anchor"), F.array_sort(F.collect_set("protocol")).alias("protocols"))
+    ranked = [d.select(finding, F.lit(i).alias("_i"), F.lit(name).alias("rule"), "anchor", "protocols") for i, (name, d) in enumerate((("shared", shared), ("part", part), ("own", own)))]
+    every = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    return every.groupBy(finding).agg(F.min_by(F.struct("rule", "anchor", "protocols"), "_i").alias("b")).select(finding, "b.rule", "b.anchor", "b.protocols")
+
+
+def missing_evidence(subjects: DataFrame, evidence: DataFrame, proxies: DataFrame, key: str) -> DataFrame:
+    """Subjects that no evidence row names, with ``proxies``, the distinct studies of their proxy rows (``key, study``)."""
+    counts = proxies.groupBy(key).agg(F.count_distinct("study").alias("proxies"))
+    return without_evidence(subjects, evidence, key).join(counts, key, "left").withColumn("proxies", F.coalesce("proxies", F.lit(0)))

@@ -23,7 +23,7 @@ def holdout_groups(rows: DataFrame, group: str, label: str, share: float = 0.3,
     taken = runs.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     taken = with_row(taken, total).withColumn("test", F.col("before") < F.col("n_all") * share)
     per = taken.filter("test").groupBy("restart").agg(F.abs(F.try_divide(F.sum("p").cast("double"), F.sum("n").cast("double")) - F.first(F.try_divide(F.col("p_all").cast("double"), F.col("n_all").cast("double")))).alias("off"))
-    best = per.orderBy("off", "restart").limit(1).select("restart")
+    best = per.orderBy("off", "restart").limit(1).select("restart")  # one row
     return taken.join(F.broadcast(best), "restart", "left_semi").select(group, F.when(F.col("test"), "test").otherwise("train").alias("split"))
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars, sequence
+from ..functions import detectors, scalars, sequence
 from ..operators import graph, heads, intervals, joins, metrics, ranking, records, resample, splits
 from ..storage import table as t
 from ..streaming import events as event_windows
@@ -271,11 +271,20 @@ k AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY x) + (count(*) OVER (PAR
 SELECT draw, count(*) AS n, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0e0) / (sum(y) * (count(*) - sum(y))), 6) END AS auroc FROM k GROUP BY 1""")
 def group_bootstrap(spark, d):
     rows = labelled(spark, d).filter("quality IS NOT NULL").select("source", "quality", F.col("n_chars").cast("double").alias("x"))
-    drawn = resample.group_draws(rows, "source", 40).join(rows, "source")
-    return metrics.ranking_metrics(drawn, "quality", "x", ["draw"], buckets=1).select("draw", "n", "auroc")
+    drawn = resample.weighted_draws(rows, "source", ["quality", "x"], 40)
+    return metrics.ranking_metrics(drawn, "quality", "x", ["draw"], weight="weight").select("draw", "n", "auroc")
 
 
-@query()
+@query("""
+WITH b AS (SELECT d.source, l.quality AS y, d.n_chars::DOUBLE AS x FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM (SELECT DISTINCT source FROM b)), n AS (SELECT count(*) AS n FROM g),
+dr AS (SELECT r.draw, s.i AS slot, ('0x' || substr(sha256('0:' || r.draw || ':' || s.i), 1, 12))::BIGINT % (SELECT n FROM n) AS pick FROM range(40) r(draw), g s),
+z AS (SELECT dr.draw, b.y, b.x FROM dr JOIN g ON g.i = dr.pick JOIN b USING (source) UNION ALL SELECT -1, y, x FROM b),
+k AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY x) + (count(*) OVER (PARTITION BY draw, x) - 1) / 2.0e0 AS r FROM z),
+a AS (SELECT draw, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0e0) / (sum(y) * (count(*) - sum(y))) END AS auroc FROM k GROUP BY 1),
+d AS (SELECT draw, 1 - 2 * auroc AS delta FROM a)
+SELECT (SELECT round(delta, 6) FROM d WHERE draw = -1) AS observed, CASE WHEN 40 - count(delta) <= 2 THEN round(quantile_cont(delta, 0.025), 6) END AS low, CASE WHEN 40 - count(delta) <= 2 THEN round(quantile_cont(delta, 0.975), 6) END AS high,
+  count(delta) AS used, 40 - count(delta) AS skipped, 40 - count(delta) > 2 AS refused FROM d WHERE draw >= 0""")
 def paired_bootstrap_interval(spark, d):
     rows = labelled(spark, d).filter("quality IS NOT NULL").withColumns({"a": F.col("n_chars").cast("double"), "b": -F.col("n_chars").cast("double")})
     return resample.paired_bootstrap(rows, "source", "quality", "a", "b", 40)
@@ -301,8 +310,7 @@ f AS (SELECT item_id, k, count(*) AS n FROM w WHERE regexp_full_match(k, '[ACGT]
 SELECT s.item_id, v.k AS kmer, round(coalesce(f.n / (sum(coalesce(f.n, 0)) OVER (PARTITION BY s.item_id))::DOUBLE, 0), 6) AS share FROM s CROSS JOIN v LEFT JOIN f ON f.item_id = s.item_id AND f.k = v.k""")
 def kmer_frequency(spark, d):
     words = sequence.words_of("ACGT", 2)
-    b = t(spark, d, "benchmark").select("item_id", _bases("text").alias("s"))
-    return b.select("item_id", F.posexplode(sequence.kmer_frequencies(F.col("s"), words)).alias("i", "share")).select("item_id", F.element_at(F.array(*[F.lit(w) for w in words]), F.col("i") + 1).alias("kmer"), "share")
+    return sequence.kmer_table(t(spark, d, "benchmark").select("item_id", _bases("text").alias("s")), "item_id", "s", words)
 
 
 @query(f"""
@@ -411,7 +419,7 @@ def full_outer_diff(spark, d):
 
 @query("""
 WITH p AS (SELECT p_brand, p_type, count(*) AS n, sum(p_retailprice) AS v FROM part GROUP BY 1, 2), q AS (SELECT p_brand || '/' || p_type AS key, p_brand, round(v, 2) AS value, round(v / n, 2) AS per_hour, n AS flags, CASE WHEN n >= 3 THEN 1 ELSE 2 END AS bucket FROM p)
-SELECT key, bucket, row_number() OVER (ORDER BY bucket, CASE WHEN bucket = 1 THEN -coalesce(per_hour, 0) END NULLS FIRST, value DESC, flags DESC, key)::INT AS place FROM q""")
+SELECT key, bucket, row_number() OVER (ORDER BY bucket, CASE WHEN bucket = 1 THEN -coalesce(per_hour, 0) END NULLS FIRST, value DESC, flags DESC, key) AS place FROM q""")
 def ranked_proposals(spark, d):
     p = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("flags"), F.sum("p_retailprice").alias("v"))
     q = p.select(F.concat_ws("/", "p_brand", "p_type").alias("key"), F.round("v", 2).alias("value"), F.round(F.col("v") / F.col("flags"), 2).alias("per_hour"), "flags", F.when(F.col("flags") >= 3, 1).otherwise(2).alias("bucket"))
@@ -511,7 +519,7 @@ def event_sessions(spark, d):
 WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ordinal FROM events) SELECT user_id, event_id, ordinal FROM e""")
 def source_ordinals(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", "ts")
-    return e.withColumn("ordinal", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select("user_id", "event_id", "ordinal")
+    return ranking.numbered(e, [F.col("ts"), F.col("event_id")], "place", ["user_id"]).select("user_id", "event_id", (F.col("place") - 1).alias("ordinal"))
 
 
 @query("SELECT 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS id, 'n' || lpad((20 + n_nationkey % 5)::VARCHAR, 2, '0') AS resolved FROM nation")
@@ -551,3 +559,220 @@ def scalar_conversions(spark, d):
 def ridge_leave_one_out(spark, d):
     x = t(spark, d, "embeddings").select("embedding", F.col("label").cast("double").alias("y"))
     return spark.createDataFrame(heads.ridge_leave_one_out(x, "embedding", "y", [0.1, 1.0, 10.0]), "alpha double, mse double")
+
+
+@query("""
+WITH x AS (SELECT lang, quality AS y, (n_chars > 500)::INT AS g FROM documents JOIN labels USING (doc_id))
+SELECT lang, count(*) AS n, round(avg((y = g)::INT), 6) AS accuracy, round(coalesce(2.0e0 * sum((y = 1 AND g = 1)::INT) / nullif(sum(y) + sum(g), 0), 0), 6) AS f1 FROM x GROUP BY 1""")
+def binary_f1(spark, d):
+    x = labelled(spark, d).filter("quality IS NOT NULL").withColumn("g", (F.col("n_chars") > 500).cast("int"))
+    return metrics.binary_f1(x, "quality", "g", ["lang"])
+
+
+@query("SELECT s_suppkey, s_acctbal, rank() OVER (ORDER BY s_acctbal DESC) AS place FROM supplier")
+def metrics_table(spark, d):
+    return metrics.leaderboard(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal")
+
+
+@query("""
+WITH m AS (SELECT o_custkey, o_orderstatus, max(o_totalprice) AS v FROM orders GROUP BY 1, 2)
+SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN v END) AS F, max(CASE WHEN o_orderstatus = 'O' THEN v END) AS O, any_value(c_mktsegment) AS c_mktsegment, any_value(n_name) AS n_name
+FROM m LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def wide_metrics_with_lookups(spark, d):
+    m = t(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_totalprice").alias("v"))
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    return metrics.wide_metrics(m, "o_custkey", "o_orderstatus", "v", ["F", "O"], [(c, "c_custkey")])
+
+
+@query("""
+WITH g AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier), n AS (SELECT count(*) AS n FROM g),
+dr AS (SELECT r.draw, ('0x' || substr(sha256('0:' || r.draw || ':' || s.i), 1, 12))::BIGINT % (SELECT n FROM n) AS pick FROM range(60) r(draw), g s), m AS (SELECT draw, avg(s_acctbal) AS m FROM dr JOIN g ON g.i = pick GROUP BY 1)
+SELECT round(stddev_samp(m), 6) AS standard_error FROM m""")
+def bootstrap_standard_error(spark, d):
+    return resample.bootstrap_error(t(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", 60)
+
+
+@query("""
+WITH g AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+dr AS (SELECT r.draw, s_nationkey, ('0x' || substr(sha256('0:' || r.draw || ':' || s_nationkey || ':' || i), 1, 12))::BIGINT % n AS pick FROM range(60) r(draw), g),
+m AS (SELECT draw, avg(m) AS m FROM (SELECT draw, g.s_nationkey, avg(s_acctbal) AS m FROM dr JOIN g ON g.s_nationkey = dr.s_nationkey AND g.i = pick GROUP BY 1, 2) GROUP BY 1)
+SELECT round(stddev_samp(m), 6) AS standard_error FROM m""")
+def stratified_bootstrap_error(spark, d):
+    return resample.bootstrap_error(t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey", "s_acctbal", 60, stratum="s_nationkey")
+
+
+@query("""
+SELECT 'first' AS how, row_number() OVER (ORDER BY p_partkey) - 1 AS slot, p_partkey FROM (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 20)
+UNION ALL SELECT 'random', row_number() OVER (ORDER BY h, p_partkey) - 1, p_partkey FROM (SELECT p_partkey, sha256('5:' || p_partkey) AS h FROM part ORDER BY h, p_partkey LIMIT 20)
+UNION ALL SELECT 'weighted', slot, p_partkey FROM (
+  WITH c AS (SELECT p_partkey, coalesce(sum(p_size::DOUBLE) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(p_size::DOUBLE) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi FROM part WHERE p_partkey <> 3),
+  s AS (SELECT i AS slot, ('0x' || substr(sha256('5:' || i), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0e0 * (SELECT max(hi) FROM c) AS pos FROM range(1, 20) r(i))
+  SELECT slot, p_partkey FROM s JOIN c ON pos >= lo AND pos < hi UNION ALL SELECT 0, 3)""")
+def sampled_rows(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_size")
+    ways = [resample.sample_rows(p, 20, "first", "p_partkey", ordinal="p_partkey"), resample.sample_rows(p, 20, "random", "p_partkey", "5"), resample.sample_rows(p, 20, "weighted", "p_partkey", "5", weight="p_size", keep=3)]
+    out = [w.select(F.lit(n).alias("how"), F.col("slot").cast("bigint").alias("slot"), "p_partkey") for n, w in zip(("first", "random", "weighted"), ways, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("""
+WITH t AS (SELECT item_id, item_id % 3 <> 0 AS train, lower(text) AS s FROM benchmark), w AS (SELECT item_id, train, substr(s, i::INT, k::INT) AS ngram FROM t, range(1, 4) q(k), range(1, 100000) r(i) WHERE i + k - 1 <= length(s)),
+c AS (SELECT item_id, ngram, count(*)::DOUBLE AS n FROM w WHERE ngram IN (SELECT ngram FROM w WHERE train) GROUP BY 1, 2)
+SELECT item_id, ngram, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
+def ngram_weights(spark, d):
+    return heads.ngram_weights(t(spark, d, "benchmark").select("item_id", F.lower("text").alias("s")), "item_id", "s", "item_id % 3 <> 0")
+
+
+@query()
+def ngram_head(spark, d):
+    x = t(spark, d, "benchmark").select("item_id", "text", (F.length("text") > 300).cast("int").alias("y"))
+    return heads.ngram_head(x.filter("item_id % 3 <> 0"), x.filter("item_id % 3 = 0"), "text", "y", classes=False).select("item_id", "score")
+
+
+@query()
+def ridge_chosen_by_validation(spark, d):
+    x = t(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"), splits.hashed_split(F.col("vec_id"), "0").alias("split"), splits.hashed_split(F.col("vec_id"), "1", 20).alias("part"))
+    train = x.filter("split = 'train'")
+    _, w, b = heads.ridge_validated(train.filter("part = 'train'"), train.filter("part = 'test'"), "embedding", "y", [0.1, 1.0, 10.0, 100.0])
+    return heads.linear_scores(x.filter("split = 'test'"), "embedding", w, b).select("vec_id", "score")
+
+
+_HARDWARE = "CASE p_partkey % 5 WHEN 0 THEN p_size || ' x NVIDIA A100' WHEN 1 THEN p_size || ' GPUs, 64 GB' WHEN 2 THEN 'one Tesla card' WHEN 3 THEN p_size || ' CPU cores' END"
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN p_size::INT END AS gpus FROM part")
+def gpu_counts(spark, d):
+    return t(spark, d, "part").select("p_partkey", detectors.gpu_count(F.expr(_HARDWARE)).alias("gpus"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'org/' || replace(lower(c_name), '#', '') END AS repository FROM customer")
+def repositories(spark, d):
+    name = F.replace("c_name", F.lit("#"), F.lit(""))
+    url = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("See https://GitHub.com/Org/"), name, F.lit(".git"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("github.com/org/"), name, F.lit("?tab=readme"))).otherwise(F.concat(F.lit("https://gitlab.com/org/"), name))
+    return t(spark, d, "customer").select("c_custkey", detectors.repository(url).alias("repository"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'software' WHEN 1 THEN 'closed' WHEN 2 THEN 'laboratory' WHEN 3 THEN 'people' WHEN 4 THEN 'unknown' WHEN 5 THEN 'software' WHEN 6 THEN 'laboratory' ELSE 'unknown' END AS runs_by,
+  CASE o_orderkey % 8 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' WHEN 5 THEN 'closed' ELSE 'unknown' END AS data FROM orders""")
+def release_statements(spark, d):
+    access = F.expr(
+        "CASE o_orderkey % 8 WHEN 0 THEN 'Code at https://github.com/a/b' WHEN 1 THEN 'The system is not publicly available.' WHEN 2 THEN 'A laboratory test of the company' "
+        "WHEN 4 THEN 'calibration code at https' WHEN 5 THEN 'Released weights; data on request' WHEN 6 THEN 'now a clinical assay' END"
+    )
+    description = F.expr("CASE o_orderkey % 8 WHEN 3 THEN 'Scored with manual curation of reports' WHEN 7 THEN 'Needs no manual curation' END")
+    return t(spark, d, "orders").select("o_orderkey", detectors.runs_by(access, description, F.lit(False)).alias("runs_by"), detectors.data_access(access, description).alias("data"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linenumber = 7 THEN NULL ELSE greatest(l_discount, l_tax) END) AS change, max(greatest(l_discount, l_tax, 0.01e0)) AS delta FROM lineitem GROUP BY 1, 2""")
+def reported_changes(spark, d):
+    x = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by(F.struct("l_discount", "l_tax"), F.greatest("l_discount", "l_tax")).alias("v"))
+    raw = F.when(F.col("l_linenumber") == 7, "gene|Warnings:none").otherwise(F.concat(F.lit("gene|-12:"), F.col("v.l_discount").cast("string"), F.lit("|3:-"), F.col("v.l_tax").cast("string"), F.lit("|Warnings:x:1")))
+    entries = F.array(F.concat_ws("|", F.lit("A"), F.lit("gene"), F.col("v.l_discount").cast("string"), F.lit("0.0"), F.col("v.l_tax").cast("string"), F.lit("0.01"), F.lit("5")))
+    return x.select("l_orderkey", "l_linenumber", detectors.largest_change(raw).alias("change"), detectors.best_delta(entries).alias("delta"))
+
+
+@query("""
+WITH e AS (SELECT o_custkey, o_orderkey AS start, o_orderkey + 10 AS stop FROM orders)
+SELECT o_custkey, string_agg((start - 1) || ',', '' ORDER BY start) AS starts, string_agg(stop || ',', '' ORDER BY start) AS stops, min(start)::INT AS first FROM e GROUP BY 1""")
+def exon_lists(spark, d):
+    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 10).alias("stop")))).alias("exons"))
+    x = o.select("o_custkey", detectors.joined_ends(F.col("exons"), "start", -1).alias("starts"), detectors.joined_ends(F.col("exons"), "stop").alias("stops"))
+    return x.withColumn("first", F.get(detectors.spans_of(F.col("starts"), F.col("stops"), 1), F.lit(0))["start"])
+
+
+@query("SELECT p_partkey, list_filter([replace(p_brand, '#', ''), 'PP' || p_size, p_type], lambda w: length(w) >= 3 AND (regexp_matches(w, '[0-9]') OR regexp_matches(w, '[A-Z].*[A-Z]'))) AS words, 100 AS whole, p_size % 2 = 0 AS cited FROM part")
+def names_in_text(spark, d):
+    name = F.concat(F.lit("the "), F.col("p_brand"), F.lit(" of PP"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"))
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("see part-"), F.col("p_partkey").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("see part-"), F.col("p_partkey").cast("string"), F.lit("-b and sub-part-"), F.col("p_partkey").cast("string")))
+    cited = detectors.cites(text, F.concat(F.lit("part-"), F.col("p_partkey").cast("string")))
+    return t(spark, d, "part").withColumn("p_brand", F.replace("p_brand", F.lit("#"), F.lit(""))).select("p_partkey", detectors.distinctive(name).alias("words"), detectors.name_score(scalars.normal_text(F.concat(F.lit("on "), name, F.lit(" again"))), name).alias("whole"), cited.alias("cited"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [n_nationkey::VARCHAR, 'Seven'] WHEN 1 THEN [] ELSE ['half'] END AS stray, n_nationkey % 3 = 1 AS link FROM nation")
+def stray_numbers(spark, d):
+    k, name = F.col("n_nationkey"), F.concat(F.lit("ESM-"), F.col("n_nationkey").cast("string"))
+    text = F.when(k % 3 == 0, F.concat(name, F.lit(" wins by "), k.cast("string"), F.lit(" of Seven"))).when(k % 3 == 1, F.concat(name, F.lit(" at www.example.org"))).otherwise(F.concat(F.lit("half of "), name))
+    return t(spark, d, "nation").select("n_nationkey", detectors.stray_numbers(text, F.array(name)).alias("stray"), detectors.has_link(text).alias("link"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS name, CASE WHEN n_regionkey > 1 THEN n_regionkey::VARCHAR END AS region, NULL::VARCHAR AS absent FROM nation")
+def slim_attributes(spark, d):
+    k = F.col("n_nationkey")
+    a = F.create_map(F.lit("name"), F.when(k % 8 == 0, "Not stated").when(k % 4 == 0, " ").otherwise(F.col("n_name")), F.lit("region"), F.when(F.col("n_regionkey") > 1, F.col("n_regionkey").cast("string")))
+    return records.slim(t(spark, d, "nation").select(k.cast("string").alias("id"), a.alias("attributes")), ["name", "region", "absent"])
+
+
+@query("""
+WITH c AS (SELECT s_nationkey::VARCHAR AS owner, s_suppkey AS recipe, s_suppkey % 7 = 0 AS guide, s_suppkey % 3 = 0 AS evaluates, s_suppkey % 5 AS protocol, s_suppkey % 2 = 0 AS scored, s_suppkey % 11 = 0 AS todo FROM supplier),
+j AS (SELECT *, CASE WHEN NOT scored THEN 'no score' WHEN NOT guide AND protocol NOT IN (0, 1) THEN 'unknown protocol' WHEN todo THEN 'unfinished' ELSE 'ready' END AS state FROM c)
+SELECT owner, recipe, state FROM j QUALIFY row_number() OVER (PARTITION BY owner ORDER BY state IN ('no score', 'unknown protocol'), NOT guide, NOT evaluates, recipe) = 1""")
+def recipe_readiness(spark, d):
+    k = F.col("s_suppkey")
+    c = t(spark, d, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("owner"), k.alias("recipe"), F.when(k % 7 == 0, "guide").otherwise("recipe").alias("kind"), F.when(k % 3 == 0, "generate_and_evaluate").otherwise("train").alias("purpose"),
+        F.concat(F.lit("p"), (k % 5).cast("string")).alias("protocol"), k.alias("ordinal"), F.array(F.when(k % 2 == 0, "AUROC per assay").otherwise("embeddings")).alias("outputs"), F.when(k % 11 == 0, "Install. The split script is still being prepared; run it.").otherwise("Install. Run it.").alias("run_text"),
+    )
+    return records.ready_recipes(c, spark.createDataFrame([("p0",), ("p1",)], "protocol string"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT l_suppkey AS finding, l_returnflag AS study, l_partkey % 400 AS protocol FROM lineitem WHERE l_linenumber = 7),
+shared AS (SELECT finding, min(protocol) AS anchor, list(DISTINCT protocol ORDER BY protocol) AS protocols FROM (SELECT finding, protocol FROM c GROUP BY 1, 2 HAVING count(DISTINCT study) >= 2) GROUP BY 1),
+anc AS (SELECT protocol, protocol AS anchor FROM (SELECT DISTINCT protocol FROM c) UNION ALL SELECT protocol, 1000 + protocol % 9 FROM (SELECT DISTINCT protocol FROM c)),
+u AS (SELECT c.*, anchor FROM c JOIN anc USING (protocol)),
+common AS (SELECT finding, anchor, count(DISTINCT study) AS n FROM u GROUP BY 1, 2 HAVING count(DISTINCT study) >= 2),
+best AS (SELECT finding, anchor FROM common QUALIFY row_number() OVER (PARTITION BY finding ORDER BY CASE WHEN anchor < 1000 THEN 1 WHEN anchor % 3 = 0 THEN 0 WHEN anchor % 3 = 1 THEN 3 ELSE 2 END, n DESC, anchor) = 1),
+part AS (SELECT finding, anchor, list(DISTINCT protocol ORDER BY protocol) AS protocols FROM u JOIN best USING (finding, anchor) GROUP BY 1, 2),
+first AS (SELECT finding, study FROM c QUALIFY row_number() OVER (PARTITION BY finding ORDER BY study <> 'R', study) = 1),
+own AS (SELECT finding, min(protocol) AS anchor, list(DISTINCT protocol ORDER BY protocol) AS protocols FROM c JOIN first USING (finding, study) GROUP BY 1)
+SELECT finding, CASE WHEN s.finding IS NOT NULL THEN 'shared' WHEN p.finding IS NOT NULL THEN 'part' ELSE 'own' END AS rule, coalesce(s.anchor, p.anchor, o.anchor) AS anchor, coalesce(s.protocols, p.protocols, o.protocols) AS protocols
+FROM own o LEFT JOIN shared s USING (finding) LEFT JOIN part p USING (finding)""")
+def discrepancy_anchors(spark, d):
+    c = t(spark, d, "lineitem").filter("l_linenumber = 7").select(F.col("l_suppkey").alias("finding"), F.col("l_returnflag").alias("study"), F.when(F.col("l_returnflag") == "R", "outlier").alias("role"), F.ascii("l_returnflag").alias("ordinal"), (F.col("l_partkey") % 400).alias("protocol"))
+    p = c.select("protocol").distinct()
+    up = p.select("protocol", (1000 + F.col("protocol") % 9).alias("anchor"))
+    ancestors = p.select("protocol", F.col("protocol").cast(up.schema["anchor"].dataType).alias("anchor")).unionByName(up)
+    kinds = ancestors.select("anchor").distinct().select("anchor", F.when(F.col("anchor") < 1000, "protocol").when(F.col("anchor") % 3 == 0, "task").when(F.col("anchor") % 3 == 1, "benchmark").otherwise("suite").alias("kind"))
+    return records.discrepancy_anchors(c, ancestors, kinds)
+
+
+@query("""
+SELECT 's' || s_suppkey AS root, CASE WHEN s_nationkey % 2 = 0 THEN 'n' || s_nationkey ELSE 'r' || n_regionkey END AS ancestor, CASE WHEN s_nationkey % 2 = 0 THEN 1 ELSE 2 END AS depth FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def first_ancestors(spark, d):
+    s = t(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"))
+    n = t(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
+    wanted = F.col("node").startswith("r") | (F.col("node").startswith("n") & (F.substring("node", 2, 9).try_cast("int") % 2 == 0))
+    return graph.first_ancestor(s.unionByName(n), s.select(F.col("src").alias("root")), wanted)
+
+
+@query("""
+SELECT c_custkey, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS proxies FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def gaps_with_proxies(spark, d):
+    o = t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return records.missing_evidence(t(spark, d, "customer").select("c_custkey"), o.filter("o_orderstatus = 'F'").select("c_custkey"), o.filter("o_orderstatus = 'O'").select("c_custkey", F.col("o_orderpriority").alias("study")), "c_custkey")
+
+
+@query("SELECT l_orderkey, min(l_shipdate) AS start, max(l_shipdate) AS stop, count(*) AS n FROM lineitem GROUP BY 1")
+def interval_envelopes(spark, d):
+    return intervals.envelopes(t(spark, d, "lineitem"), "l_orderkey", "l_shipdate", "l_shipdate")
+
+
+@query("SELECT source, count(DISTINCT s) AS splits FROM (SELECT source, CASE WHEN ('0x' || substr(sha256('0:' || doc_id), 1, 12))::BIGINT % 100 < 30 THEN 'test' ELSE 'train' END AS s FROM documents) GROUP BY 1 HAVING count(DISTINCT s) > 1")
+def split_leaks(spark, d):
+    return splits.leaks(t(spark, d, "documents").select("source", splits.hashed_split(F.col("doc_id"), "0").alias("split")), "source")
+
+
+@query("SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) = 1")
+def first_of_pairs(spark, d):
+    return records.first_per_pair(t(spark, d, "orders"), ["o_custkey", "o_orderstatus"], "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("""
+SELECT p_partkey, chr(65 + (p_size % 26)::INT) AS here, p_size < 40 AS valid, CASE WHEN p_size % 4 + 1 >= 3 THEN '3+' ELSE (p_size % 4 + 1)::VARCHAR END AS depth, (p_size % 4 + 1)::INT AS n FROM part""")
+def sequence_checks(spark, d):
+    alphabet = F.lit("".join(chr(65 + i) for i in range(26)))
+    mutant = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.concat(F.lit("A"), (i + 1).cast("string"), F.lit("C"))), ":")
+    valid = sequence.in_alphabet(F.when(F.col("p_size") < 40, "ACGT").otherwise("ACGN"), "ACGT")
+    return t(spark, d, "part").select("p_partkey", sequence.char_at(alphabet, (F.col("p_size") % 26).cast("int")).alias("here"), valid.alias("valid"), sequence.depth_bucket(mutant, 3).alias("depth"), F.size(sequence.substitutions(mutant)).alias("n"))

@@ -126,7 +126,7 @@ def score_sequence_classes(scored: DataFrame, classes: int) -> DataFrame:
 
 def prepare_variant_assays(table: DataFrame, reference: DataFrame) -> Prepared:
     """From ``assay_id, mutant, mutated_sequence, DMS_score, DMS_score_bin`` and a reference with ``assay_id, wild_type_sequence, group, selection_type``."""
-    t = table.join(F.broadcast(reference), "assay_id", "left").withColumn("_subs", substitutions(F.col("mutant")))
+    t = table.join(reference, "assay_id", "left").withColumn("_subs", substitutions(F.col("mutant")))
     rows = t.select(
         F.concat_ws("::", "assay_id", "mutant").alias("id"), F.lit("test").alias("split"),
         F.struct("assay_id", "wild_type_sequence", "mutant", "mutated_sequence").alias("inputs"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.scalars import parse_number
+from ..functions.scalars import finite, parse_number
 
 
 def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -43,6 +43,50 @@ def read_predictions(spark: SparkSession, path: str, sep: str = "\t", key: str =
     return t.select(key, score.alias("score"), F.when(blank, "unscored_in_file").alias("reason"))
 
 
+def read_prediction_document(spark: SparkSession, path: str) -> DataFrame:
+    """``id, score, reason`` from JSON documents that map ids to a number, or to an object with ``score`` or ``reason``.
+
+    A repeated id and a value of neither form are refused.  A document is one row
+    of one task.
+    """
+    t = spark.read.text(path, wholetext=True)
+    keys = F.json_object_keys("value")
+    twice = t.agg(F.sum(F.size(keys) - F.size(F.array_distinct(keys))).alias("n"), F.count_if(keys.isNull()).alias("broken")).first()
+    if twice["n"] or twice["broken"]:
+        raise ValueError(f"{twice['n']} ids repeat, {twice['broken']} files hold no object")
+    rows = t.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "v"))
+    whole = F.get_json_object("v", "$.score")
+    score = F.coalesce(F.col("v").try_cast("double"), whole.try_cast("double"))
+    out = rows.select("id", F.when(finite(score), score).alias("score"), F.get_json_object("v", "$.reason").alias("reason"))
+    bad = out.agg(F.count_if(F.col("score").isNull() & F.col("reason").isNull()).alias("n")).first()["n"]
+    if bad:
+        raise ValueError(f"{bad} ids have neither a finite score nor a reason")
+    return out
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, value`` of text files, gzipped or plain by their first two bytes, whatever their names; one task per file, line by line."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+        import io
+
+        for b in batches:
+            for name, raw in zip(b["path"], b["content"], strict=True):
+                stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+                held: list[str] = []
+                first = 0
+                for line in io.TextIOWrapper(stream, encoding="utf-8", newline="\n"):
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == 10_000:
+                        yield pd.DataFrame({"path": name, "line": range(first, first + len(held)), "value": held})
+                        first, held = first + len(held), []
+                if held:
+                    yield pd.DataFrame({"path": name, "line": range(first, first + len(held)), "value": held})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line bigint, value string")
+
+
 def read_sequence_folders(spark: SparkSession, folder: str) -> DataFrame:
     """``split, class, name, sequence`` from files ``<folder>/<split>/<class>/<name>.txt``."""
     t = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).withColumn("_path", F.col("_metadata.file_path"))
@@ -58,7 +102,7 @@ def read_many(spark: SparkSession, folder: str, reference: DataFrame, id_column:
     schema = StructType([StructField(c, StringType()) for c in header_of(spark, f"{folder}/{files[0]}")])
     t = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv([f"{folder}/{f}" for f in files])
     t = t.select(*columns, F.col("_metadata.file_name").alias("_file"))
-    return t.join(F.broadcast(reference.select(id_column, F.col(file_column).alias("_file"))), "_file").drop("_file")
+    return t.join(reference.select(id_column, F.col(file_column).alias("_file")), "_file").drop("_file")
 
 
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
@@ -103,28 +147,45 @@ def canonical_transcripts(gtf: DataFrame, tag: str) -> DataFrame:
     return exons.withColumns({"start": F.array_min("exons.start"), "stop": F.array_max("exons.stop")})
 
 
-def parse_fasta(lines: DataFrame, ordinal: str = "ordinal", block: int = 65536) -> DataFrame:
-    """``contig, block, sequence``: a FASTA file in pieces, from lines with their ordinals.
+def parse_fasta(lines: DataFrame, ordinal: str = "ordinal", block: int = 65536, stretch: int = 1 << 18) -> DataFrame:
+    """``contig, block, offset, sequence, size``: a FASTA file in pieces, from lines with their ordinals.
 
     Lines belong to the last header before them; each block holds lines that
-    start in it, with ``offset``, the position of its first base.
+    start in it, with ``offset``, the position of its first base.  Headers and
+    positions run within stretches of the ordinals, and small tables of the
+    stretches' last headers and lengths are added, so that no task holds a
+    contig or the file.
     """
     from pyspark.sql import Window
 
-    heads = lines.filter(F.col("value").startswith(">")).select(F.regexp_extract("value", r"^>(\S+)", 1).alias("contig"), F.col(ordinal).alias("head"))
-    spans = heads.withColumn("next", F.lead("head").over(Window.orderBy("head")))  # one row per contig
-    body = lines.filter(~F.col("value").startswith(">"))
-    held = body.join(F.broadcast(spans), (F.col(ordinal) > F.col("head")) & (F.col("next").isNull() | (F.col(ordinal) < F.col("next"))))
-    w = Window.partitionBy("contig").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    placed = held.withColumn("offset", F.coalesce(F.sum(F.length("value")).over(w), F.lit(0))).withColumn("block", F.floor(F.col("offset") / block))
+    head = F.col("value").startswith(">")
+    t = lines.select("value", F.col(ordinal).alias("_at"), F.floor(F.col(ordinal) / stretch).alias("_s"), F.when(head, F.col(ordinal)).alias("_head"))
+    inside = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    last = t.groupBy("_s").agg(F.max("_head").alias("_last"))
+    earlier = last.select("_s", F.max("_last").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # one row per stretch
+    owned = t.withColumn("_own", F.max("_head").over(inside)).join(earlier, "_s").withColumn("_own", F.coalesce("_own", "_before"))
+    names = t.filter(head).select(F.col("_at").alias("_own"), F.regexp_extract("value", r"^>(\S+)", 1).alias("contig"))
+    body = owned.filter(~head & F.col("_own").isNotNull()).join(names, "_own").select("contig", "value", "_at", "_s", F.length("value").cast("bigint").alias("_n"))
+    local = Window.partitionBy("contig", "_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = body.groupBy("contig", "_s").agg(F.sum("_n").alias("_n"))
+    start = sums.select("contig", "_s", F.coalesce(F.sum("_n").over(Window.partitionBy("contig").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = body.withColumn("_o", F.coalesce(F.sum("_n").over(local), F.lit(0))).join(start, ["contig", "_s"]).withColumn("offset", F.col("_o") + F.col("_start"))
+    placed = placed.withColumn("block", F.floor(F.col("offset") / block))
     parts = placed.groupBy("contig", "block").agg(F.min("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("p"))
-    return parts.select("contig", "block", "offset", F.array_join("p.value", "").alias("sequence"))
+    return parts.select("contig", "block", "offset", F.array_join("p.value", "").alias("sequence"), F.lit(block).alias("size"))
 
 
 def fetch(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (``contig, start, stop``, from 1, closed, with an ``id``) with ``bases``, joined from the blocks that they touch."""
+    """``wanted`` (``contig, start, stop``, from 1, closed, with an ``id``) with ``bases``, joined from the blocks that they touch.
+
+    A request is a row per block that may hold its bases: as a block's last line
+    may reach beyond it, the one before the first is among them.
+    """
+    block = (blocks.select("size").first() or [1])[0]
     b = blocks.withColumn("last", F.col("offset") + F.length("sequence"))
-    j = wanted.join(b, "contig").filter((F.col("start") <= F.col("last")) & (F.col("stop") > F.col("offset")))
+    first, final = F.greatest(F.lit(0), F.floor((F.col("start") - 1) / block) - 1), F.floor((F.col("stop") - 1) / block)
+    asked = wanted.filter(F.col("stop") >= F.col("start")).withColumn("block", F.explode(F.sequence(F.least(first, final), final)))
+    j = asked.join(b, ["contig", "block"]).filter((F.col("start") <= F.col("last")) & (F.col("stop") > F.col("offset")))
     low, high = F.greatest(F.col("start") - 1, F.col("offset")), F.least(F.col("stop"), F.col("last"))
     part = j.withColumn("_s", F.substring("sequence", (low - F.col("offset") + 1).cast("int"), (high - low).cast("int")))
     return part.groupBy("id", "contig", "start", "stop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "_s"))), lambda x: x["_s"]), "").alias("bases"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.detectors import joined_ends
+from ..functions.scalars import finite
+
 #: Columns that an aggregate export may hold.
 PUBLIC = ("protocol", "dataset", "scope", "metric", "value", "n", "denominator", "scored", "unscored")
 
@@ -13,8 +16,17 @@ def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.format(kind).mode("errorifexists").save(path)
 
 
+def check_run(scored: DataFrame) -> None:
+    """Refuse rows with a repeated or null id, a score that is not finite, or neither a score nor a reason."""
+    ok = finite(F.col("score"))
+    bad = scored.agg((F.count("*") - F.count_distinct("id")).alias("ids"), F.count_if(F.col("score").isNotNull() & ~ok).alias("scores"), F.count_if(F.col("score").isNull() & F.col("reason").isNull()).alias("reasons")).first()
+    if bad["ids"] or bad["scores"] or bad["reasons"]:
+        raise ValueError(f"{bad['ids']} ids repeat or are null, {bad['scores']} scores are not finite, {bad['reasons']} rows have neither a score nor a reason")
+
+
 def write_run(folder: str, report: DataFrame, scored: DataFrame) -> None:
-    """Report, predictions and unscored rows of a run, as three new tables."""
+    """Report, predictions and unscored rows of a run, as three new tables; nothing is written if a row is wrong."""
+    check_run(scored)
     write_new(report, f"{folder}/report", "json")
     write_new(scored.filter("score IS NOT NULL").select("id", "score"), f"{folder}/predictions")
     write_new(scored.filter("score IS NULL").select("id", "reason"), f"{folder}/unscored")
@@ -36,3 +48,25 @@ def export(report: DataFrame, path: str) -> None:
 def manifest(digests: DataFrame, folder: str) -> DataFrame:
     """Lines of a checksum file, by path."""
     return digests.select(F.concat_ws("  ", "sha256", F.regexp_replace("path", f"^.*{folder}/", "")).alias("value")).orderBy("value")
+
+
+def write_annotation(transcripts: DataFrame, path: str) -> None:
+    """Tab-separated gene table of splice predictors: starts from 0, ends as they are, a comma after every exon's.
+
+    ``transcripts`` has ``gene, contig, strand, start, stop, exons`` (structs of
+    ``start, stop``).
+    """
+    t = transcripts.select(
+        F.col("gene").alias("#NAME"), F.col("contig").alias("CHROM"), F.col("strand").alias("STRAND"), (F.col("start") - 1).alias("TX_START"), F.col("stop").alias("TX_END"),
+        joined_ends(F.col("exons"), "start", -1).alias("EXON_START"), joined_ends(F.col("exons"), "stop").alias("EXON_END"),
+    )
+    t.write.option("header", True).option("sep", "\t").option("quote", "").mode("errorifexists").csv(path)
+
+
+def write_cohort(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """Tab-separated rows in the given columns with CRLF line ends; a tab or line break in a value is refused."""
+    bad = rows.agg(F.count_if(F.exists(F.array(*[F.col(c).cast("string") for c in columns]), lambda v: v.rlike("[\t\r\n]"))).alias("n")).first()["n"]
+    if bad:
+        raise ValueError(f"{bad} rows hold a tab or a line break")
+    text = F.concat(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\r"))
+    rows.select(text.alias("value")).write.mode("errorifexists").text(path)
