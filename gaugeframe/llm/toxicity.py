@@ -281,7 +281,7 @@ def discount(once: int, twice: int) -> float:
 def build(counts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     """The two models from ``bigram_and_context_counts``; their rows come to the driver only while there are at most ``broadcast_rows``."""
     word, context = F.shiftright("pair", 31), F.col("pair").bitwiseAND(VOCABULARY - 1)
-    pairs, totals = counts.filter(word > 0), counts.filter(word == 0).select(F.col("pair").alias("id"), "n0", "n1")
+    pairs = counts.filter(word > 0)
     seen = [(F.col(c) > 0).cast("bigint") for c in ("n0", "n1")]
     often = [F.sum((F.col(f"n{c}") == k).cast("bigint")).alias(f"n{c}_{k}") for c in (0, 1) for k in (1, 2)]
     t = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k"), *often).first()
@@ -292,35 +292,35 @@ def build(counts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> Model:
     of_class = [discount(t[f"n{c}_1"] or 0, t[f"n{c}_2"] or 0) for c in (0, 1)]
     discounts = (*of_class, max(of_class))
 
-    word_sums = materialise(pairs.groupBy(word.alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k")))
-    freed = [F.sum(F.least(F.col(f"k{c}") * rarer[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
-    w = word_sums.agg(F.count("*").alias("n"), *freed).first()
-    mass = t["k"] + w["n"] + 1
-    share = [w[f"f{c}"] / min(types) if w["n"] and t[f"k{c}"] else 1.0 for c in (0, 1)]
-    p_new = (share[0] * 2 / mass, share[1] * 2 / mass)
-
     above = {f"m{c}": F.greatest(F.col(f"n{c}") * scale[c] - discounts[c], F.lit(0.0)) for c in (0, 1)} | {"m": F.greatest(_balanced(F.col("n0"), F.col("n1"), scale) - discounts[2], F.lit(0.0))}
-    telling = pairs.withColumns(above).filter("m0 > 0 OR m1 > 0 OR m > 0")
+    tells = (F.col("m0") > 0) | (F.col("m1") > 0) | (F.col("m") > 0)
+    telling = pairs.withColumns(above).filter(tells)
 
+    word_sums = materialise(pairs.withColumns(above).groupBy(word.alias("id")).agg(F.sum(seen[0]).alias("k0"), F.sum(seen[1]).alias("k1"), F.count("*").alias("k"), F.max(tells).alias("held")))
+    freed = [F.sum(F.least(F.col(f"k{c}") * rarer[c], F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)]
     # A word whose continuation counts are below the discount has the same ratio of probabilities whatever it is, unless
     # a bigram that tells something holds it; a context without such a bigram has the back-off weight 1.
-    loud = [F.col(f"k{c}") * rarer[c] > DISCOUNT for c in (0, 1)]
-    held = telling.select(word.alias("id")).distinct().withColumn("held", F.lit(True))
-    words = word_sums.join(held, "id", "left").filter(loud[0] | loud[1] | F.col("held"))
-    words = words.select("id", *[(F.greatest(F.col(f"k{c}") * rarer[c] - DISCOUNT, F.lit(0.0)) / float(min(types)) + (F.col("k") + 1) * (share[c] / mass)).alias(f"p{c}") for c in (0, 1)])
+    wanted = (F.col("k0") * rarer[0] > DISCOUNT) | (F.col("k1") * rarer[1] > DISCOUNT) | F.col("held")
+    w = word_sums.agg(F.count("*").alias("n"), F.count_if(wanted).alias("wanted"), *freed).first()
+    mass = t["k"] + w["n"] + 1
+    share = [w[f"f{c}"] / min(types) if w["n"] and t[f"k{c}"] else 1.0 for c in (0, 1)]
+    p_new = (share[0] * 2 / mass, share[1] * 2 / mass)
+    words = word_sums.filter(wanted).select("id", *[(F.greatest(F.col(f"k{c}") * rarer[c] - DISCOUNT, F.lit(0.0)) / float(min(types)) + (F.col("k") + 1) * (share[c] / mass)).alias(f"p{c}") for c in (0, 1)])
 
     def inverse(n: Column) -> Column:
         return 1 / F.greatest(n.cast("double"), F.lit(1e-9))
 
-    kept = telling.groupBy(context.alias("id")).agg(*[F.sum(m).alias(m) for m in above])
-    contexts = totals.join(kept, "id").withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(_balanced(F.col("n0"), F.col("n1"), scale))})
+    # the sums of a context meet those of its bigrams that tell something
+    total, own = [F.sum(F.when(word == 0, F.col(n))).alias(n) for n in ("n0", "n1")], [F.sum(F.when(word > 0, F.col(m))).alias(m) for m in above]
+    contexts = counts.withColumns(above).filter((word == 0) | tells).groupBy(context.alias("id")).agg(*total, *own).filter("m IS NOT NULL")
+    contexts = contexts.withColumns({"i0": inverse(F.col("n0") * scale[0]), "i1": inverse(F.col("n1") * scale[1]), "i": inverse(_balanced(F.col("n0"), F.col("n1"), scale))})
     contexts = contexts.select("id", "i0", "i1", "i", *[F.greatest(1 - F.col(f"m{c}") * F.col(f"i{c}"), F.lit(1e-4)).alias(f"b{c}") for c in ("0", "1", "")])
     telling = telling.select(F.col("pair").alias("id"), "n0", "n1")
 
     arrays = None
     size = telling.agg(F.count("*").alias("n"), F.greatest(F.max("n0"), F.max("n1")).alias("most")).first()
-    words, contexts = materialise(words), materialise(contexts)
-    if size["n"] + words.count() + contexts.count() <= broadcast_rows:
+    contexts = materialise(contexts)
+    if size["n"] + w["wanted"] + contexts.count() <= broadcast_rows:
         kind = "int" if (size["most"] or 0) < 1 << 31 else "double"  # counts of more than 31 bits are kept as doubles
         small = telling.select("id", F.col("n0").cast(kind), F.col("n1").cast(kind))
         arrays = pairs.sparkSession.sparkContext.broadcast(
