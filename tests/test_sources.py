@@ -124,3 +124,74 @@ def test_stream_equals_table(spark, tmp_path):
     ids = events.read_events(spark, str(tmp_path / "in"), src.schema).select("event_id", "value")
     events.append_once(ids, out, ck, "event_id").trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(out).count() == src.select("event_id").distinct().count()
+
+
+def test_new_readers(spark, tmp_path):
+    """Gzip told by its bytes, JSON predictions, long files of sequences, and the two exact text sinks."""
+    import gzip
+    import json
+
+    import pytest
+
+    from gaugeframe.functions import detectors
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.dat").write_bytes(gzip.compress(b"one\r\ntwo\n"))
+    (tmp_path / "in" / "b.dat").write_bytes(b"three\n\nfour")
+    got = {(r["path"][-5:], r["line"], r["value"]) for r in readers.read_lines(spark, str(tmp_path / "in")).collect()}
+    assert got == {("a.dat", 0, "one"), ("a.dat", 1, "two"), ("b.dat", 0, "three"), ("b.dat", 1, ""), ("b.dat", 2, "four")}
+
+    p = tmp_path / "p.json"
+    p.write_text(json.dumps({"a": 0.5, "b": {"score": 2}, "c": {"reason": "no model"}}))
+    assert {r["id"]: (r["score"], r["reason"]) for r in readers.read_prediction_document(spark, str(p)).collect()} == {"a": (0.5, None), "b": (2.0, None), "c": (None, "no model")}
+    for bad in ('{"a": 1, "a": 2}', '{"a": null}', '{"a": "x"}', "[1]"):
+        p.write_text(bad)
+        with pytest.raises(ValueError):
+            readers.read_prediction_document(spark, str(p)).collect()
+
+    import random
+
+    rng = random.Random(2)
+    whole = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 400))) for i in range(9)}
+    lines = []
+    for name, seq in whole.items():
+        lines += [f">{name} x"] + [seq[i : i + 17] for i in range(0, len(seq), 17)]
+    blocks = readers.parse_fasta(spark.createDataFrame(list(enumerate(lines)), "ordinal bigint, value string").repartition(3), block=50, stretch=7)
+    asked = []
+    for k in range(60):
+        name = rng.choice(list(whole))
+        a = rng.randint(1, len(whole[name]))
+        asked.append((k, name, a, rng.randint(a, len(whole[name]))))
+    found = {r["id"]: r["bases"] for r in readers.fetch(blocks, spark.createDataFrame(asked, "id int, contig string, start int, stop int")).collect()}
+    assert found == {k: whole[c][a - 1 : b] for k, c, a, b in asked}
+
+    t = spark.createDataFrame([("g1", "1", "+", 11, 40, [(11, 20), (31, 40)])], "gene string, contig string, strand string, start int, stop int, exons array<struct<start:int,stop:int>>")
+    sinks.write_annotation(t.coalesce(1), str(tmp_path / "ann"))
+    text = "".join(f.read_text() for f in (tmp_path / "ann").glob("part-*"))
+    assert text == "#NAME\tCHROM\tSTRAND\tTX_START\tTX_END\tEXON_START\tEXON_END\ng1\t1\t+\t10\t40\t10,30,\t20,40,\n"
+    back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "ann")).select(detectors.spans_of(F.col("EXON_START"), F.col("EXON_END"), 1).alias("x")).first()["x"]
+    assert [tuple(x) for x in back] == [(11, 20), (31, 40)]
+    sinks.write_cohort(spark.createDataFrame([(1, "a"), (2, None)], "i int, s string").coalesce(1), str(tmp_path / "cohort"), ["i", "s"])
+    assert b"".join(f.read_bytes() for f in (tmp_path / "cohort").glob("part-*")) == b"1\ta\r\n2\t\r\n"
+    with pytest.raises(ValueError):
+        sinks.write_cohort(spark.createDataFrame([("a\tb",)], "s string"), str(tmp_path / "bad"), ["s"])
+    with pytest.raises(ValueError):
+        sinks.write_run(str(tmp_path / "run"), t, spark.createDataFrame([("a", float("nan"), None)], "id string, score double, reason string"))
+    assert not (tmp_path / "run").exists()
+
+
+def test_files_named_by_a_table(spark, tmp_path):
+    """One table from the files of a reference; a name that leaves the folder is refused, and JSON lines are filtered before they are parsed."""
+    import pytest
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    for n, rows in (("x.csv", "m,v\nA1C,0.5\n"), ("y.csv", "m,v\nA2C,1\nA3C,2\n")):
+        (tmp_path / n).write_text(rows)
+    ref = spark.createDataFrame([("ax", "x.csv"), ("ay", "y.csv")], "assay string, file string")
+    got = readers.read_many(spark, str(tmp_path), ref, "assay", "file", ["m", "v"])
+    assert {(r["assay"], r["m"], r["v"]) for r in got.collect()} == {("ax", "A1C", "0.5"), ("ay", "A2C", "1"), ("ay", "A3C", "2")}
+    with pytest.raises(ValueError):
+        readers.read_many(spark, str(tmp_path), spark.createDataFrame([("a", "../x.csv")], "assay string, file string"), "assay", "file", ["m"])
+    (tmp_path / "r.jsonl").write_text('{"kind": "a", "v": "1"}\nnot json, kind b\n')
+    rows = readers.read_json_lines(spark, str(tmp_path / "r.jsonl"), StructType([StructField("kind", StringType()), StructField("v", StringType())]), F.col("value").contains('"a"'))
+    assert [tuple(r) for r in rows.collect()] == [("a", "1")]
