@@ -66,18 +66,23 @@ class HashFilter:
         """Beyond ``most_bits`` the rate of false hits rises (0.0004 at 32 bits a key, 0.01 at 14, 0.1 at 7)."""
         return cls(max(1, math.ceil(min(keys * bits_per_key, most_bits) / 64)))
 
-    def _place(self, key: Column) -> tuple[Column, Column]:
-        mask = None
-        for k in range(4):
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", key, F.lit(6 * k)).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
-            mask = bit if mask is None else mask.bitwiseOR(bit)
-        return F.pmod(F.call_function("shiftright", key, F.lit(24)), F.lit(self.words).cast("bigint")).cast("int"), mask
+    def _word(self, key: Column) -> Column:
+        return F.pmod(F.call_function("shiftright", key, F.lit(24)), F.lit(self.words).cast("bigint")).cast("int")
+
+    def _bit(self, key: Column, k: int) -> Column:
+        return (F.call_function("shiftright", key, F.lit(6 * k)) if k else key).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
 
     def word_rows(self, keys: DataFrame, key: str) -> DataFrame:
         """One row per non-zero word: ``word``, ``bits``."""
-        word, mask = self._place(F.col(key))
-        return keys.select(word.alias("word"), mask.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        mask = F.lit(0).cast("bigint")
+        for k in range(4):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), self._bit(F.col(key), k)))
+        return keys.select(self._word(F.col(key)).alias("word"), mask.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
     def might_contain(self, words: Column, key: Column) -> Column:
-        word, mask = self._place(key)
-        return F.get(words, word).bitwiseAND(mask) == mask
+        """Bit after bit: most keys that are not there fail the first."""
+        test = None
+        for k in range(4):
+            hit = F.call_function("shiftrightunsigned", F.get(words, self._word(key)), self._bit(key, k)).bitwiseAND(F.lit(1).cast("bigint")) == F.lit(1).cast("bigint")
+            test = hit if test is None else test & hit
+        return test

@@ -8,8 +8,8 @@ the values that fill its slots must map one to one between item and document
 over all windows of one alignment.
 
 Only DataFrame functions are used.  A window is looked up in a Bloom filter of
-the benchmark before anything is exploded, so only documents with a likely hit
-leave the scan.  The filter is there whatever the size of the benchmark; beyond
+the benchmark in the stage that reads the text, so only likely hits leave it.
+The filter is there whatever the size of the benchmark; beyond
 FILTER_BITS it passes more, never less.
 """
 
@@ -63,7 +63,9 @@ def _raw_tokens(text: Column) -> Column:
     # the capital, which is rare, is looked for first
     named = F.regexp_replace(text, rf"""(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}0-9,;:] |[.!?]\s|^|[\n"“«(])(?!(?:{_NO_NAMES})\b)""", _IS_NAME)
     marked = F.when(named.rlike("[0-9]"), F.regexp_replace(named, rf"(?i)(?<=[0-9] ?)(?=(?:{_UNITS})\b)", _IS_UNIT)).otherwise(named)
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{_IS_NAME}{_IS_UNIT}]?(?:[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+)|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
+    # words of plain letters, the most, are told by a small class
+    word = rf"[{_IS_NAME}{_IS_UNIT}]?(?:[a-z]+(?![\p{{L}}\p{{M}}&&[^{_ALONE}]])|[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]+)"
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{word}|[0-9]+(?:[.,:/][0-9]+)*"), F.lit(0))
 
 
 def _template(token: Column) -> Column:
@@ -139,25 +141,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     for exact, r in kinds.items():
         shapes[exact] = HashFilter.sized(r["n"], most_bits=filter_bits)
         words[exact] = literal_words(shapes[exact].word_rows(windows.filter(F.col("exact") == exact), "h").collect(), shapes[exact].words)
-    looked_up = [(exact, n) for exact in sorted(kinds) for n in sorted(kinds[exact]["lengths"])] or [(False, WINDOW)]
-
-    def candidates(exact: bool, length: int) -> Column:
-        def kept(h: Column, i: Column) -> Column:
-            window = F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), h.alias("h"))
-            return F.when(shapes[exact].might_contain(words[exact], h), window) if kinds else window
-
-        return F.filter(F.transform(f"_w{length}{exact}", kept), lambda c: c.isNotNull())
+    if not kinds:
+        nothing = docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).limit(0)
+        return nothing.withColumns({"matched_windows": F.lit(0).cast("bigint"), "item_windows": F.lit(0).cast("bigint"), "coverage": F.lit(0.0), "n_slots": F.lit(0).cast("bigint")})
+    looked_up = [(exact, n) for exact in sorted(kinds) for n in sorted(kinds[exact]["lengths"])]
 
     # _row tells the texts of one id apart
     texts = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = _with_templates(texts, "text")
-    # A filter on an array, which explode() also infers, would be pushed below the projections above and repeat
-    # them inside the lambda for every window; explode_outer() and a filter on its rows avoid that.
-    # The rows carry only the slices that the comparison needs.
-    found = found.withColumns({f"_w{n}{exact}": _window_hashes(n, "_vh" if exact else "_th") for exact, n in looked_up})
-    found = found.withColumn("_c", F.concat(*[candidates(*x) for x in looked_up]))
-    window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["exact"].alias("exact"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
-    found = found.select("doc_id", "_row", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "_row", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
+    # Every token position is a row that is tested where it is made, in generated code and without a shuffle.  The outer
+    # form keeps the optimizer from inferring a filter on the array, which would repeat the projections above.
+    found = found.withColumn("_n", F.size("_raw"))
+    places = found.select("doc_id", "_row", "_raw", "_th", "_vh", "_n", F.explode_outer(F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1))).alias("d_at"))
+
+    def candidate(exact: bool, length: int) -> tuple[Column, Column]:
+        h = F.xxhash64(*[F.get("_vh" if exact else "_th", F.col("d_at") + k) for k in range(length)])
+        return (F.col("d_at") + length <= F.col("_n")) & shapes[exact].might_contain(words[exact], h), h
+
+    likely = [candidate(*x) for x in looked_up]
+    places = places.filter(functools.reduce(lambda a, b: a | b, [c for c, _ in likely]))
+    windows_here = [
+        F.when(c, F.struct(F.lit(n).alias("length"), F.lit(exact).alias("exact"), h.alias("h"), F.slice("_raw", F.col("d_at") + 1, F.lit(n)).alias("d_raw")))
+        for (c, h), (exact, n) in zip(likely, looked_up, strict=True)
+    ]
+    found = places.select("doc_id", "_row", "d_at", F.explode(F.array(*windows_here)).alias("c")).filter("c IS NOT NULL").select("doc_id", "_row", "d_at", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
     hits = found.join(F.broadcast(windows) if small else windows, ["h", "length", "exact"]).filter(F.when(F.col("exact"), F.transform("d_raw", _value) == F.transform("b_raw", _value)).otherwise(F.col("d_tpl") == F.col("b_tpl")))
 
     slots = F.filter(
