@@ -60,7 +60,8 @@ def write_annotation(transcripts: DataFrame, path: str) -> None:
         F.col("gene").alias("#NAME"), F.col("contig").alias("CHROM"), F.col("strand").alias("STRAND"), (F.col("start") - 1).alias("TX_START"), F.col("stop").alias("TX_END"),
         joined_ends(F.col("exons"), "start", -1).alias("EXON_START"), joined_ends(F.col("exons"), "stop").alias("EXON_END"),
     )
-    t.write.option("header", True).option("sep", "\t").option("quote", "").mode("errorifexists").csv(path)
+    # the first name starts with the writer's usual sign of a comment, which would be quoted
+    t.write.option("header", True).option("sep", "\t").option("comment", "\u0001").mode("errorifexists").csv(path)
 
 
 def write_cohort(rows: DataFrame, path: str, columns: list[str]) -> None:
