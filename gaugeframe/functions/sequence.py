@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,22 +64,28 @@ def kmer_frequencies(s: Column, vocabulary: Sequence[str]) -> Column:
     letters = "".join(sorted(set("".join(vocabulary))))
     # windows side by side with a comma between, in which each word is counted by what is left without it
     joined = F.array_join(F.regexp_extract_all(s, F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1)), ",")
-    counts = [(F.length(joined) - F.length(F.replace(joined, F.lit(w), F.lit("")))) / F.lit(float(k)) for w in vocabulary]
-    total = sum(counts[1:], counts[0])
-    return F.when(s.isNotNull(), F.array(*[F.coalesce(F.try_divide(c, total), F.lit(0.0)) for c in counts]))
+    words = F.array(*[F.lit(w) for w in vocabulary])
+
+    def counted(text: Column) -> Column:
+        return F.transform(words, lambda w: F.length(text) - F.length(F.replace(text, w, F.lit(""))))
+
+    def shared(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+        return _bound(total, lambda t: F.transform(counts, lambda n: F.when(t > 0, n / t).otherwise(0.0)))
+
+    return F.when(s.isNotNull(), _bound(joined, lambda text: _bound(counted(text), shared)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, as an expression that stands twice in a plan is copied."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def kmer_table(rows: DataFrame, key: str, text: str, vocabulary: Sequence[str]) -> DataFrame:
-    """``key, kmer, share`` for every row and vocabulary word: one pass over the windows, counted by grouping."""
-    k, letters = len(vocabulary[0]), "".join(sorted(set("".join(vocabulary))))
-    found = rows.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1))).alias("kmer"))
-    if len(vocabulary) < len(letters) ** k:
-        found = found.filter(F.col("kmer").isin(*vocabulary))
-    n = F.sum(F.lit(1))
-    wide = found.groupBy(key).pivot("kmer", list(vocabulary)).agg(n)
-    total = sum((F.coalesce(F.col(f"`{w}`"), F.lit(0)) for w in vocabulary), F.lit(0))
-    shares = F.array(*[F.struct(F.lit(w).alias("kmer"), F.coalesce(F.try_divide(F.coalesce(F.col(f"`{w}`"), F.lit(0)).cast("double"), total.cast("double")), F.lit(0.0)).alias("share")) for w in vocabulary])
-    return rows.select(key).join(wide, key, "left").select(key, F.explode(shares).alias("x")).select(key, "x.*")
+    """``key, kmer, share`` for every row and vocabulary word; rows with a null text have zeros."""
+    words = F.array(*[F.lit(w) for w in vocabulary])
+    shares = kmer_frequencies(F.coalesce(text, F.lit("")), vocabulary)
+    return rows.select(key, F.explode(F.arrays_zip(words.alias("kmer"), shares.alias("share"))).alias("x")).select(key, "x.*")
 
 
 def count_char(s: Column, char: str) -> Column:
