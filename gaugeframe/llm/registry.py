@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, neighbours, ngram_join, packing, quality, secret_scan, token_tree, toxicity, url_filter
+from . import clustering, decontaminate, divergence, line_dedup, neighbours, ngram_join, packing, quality, secret_scan, token_tree, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_linear_grouping_packing": packing.query,
     "op9_randomness_secret_scan": secret_scan.query,
     "op10_site_spread_line_dedup": line_dedup.query,
+    "op12_source_divergence_audit": divergence.query,
+    "op13_hamerly_clustering": clustering.query,
 }
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op7_bloom_cascade_url_filter": url_filter.ORACLE_SQL,
     "op10_site_spread_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_source_divergence_audit": divergence.ORACLE_SQL,
+    "op13_hamerly_clustering": clustering.ORACLE_SQL,
 }

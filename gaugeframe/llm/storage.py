@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import ensure_checkpoint_dir, materialise, shared_folder, table
 
-__all__ = ["ensure_checkpoint_dir", "materialise", "shared_folder", "table", "written"]
+__all__ = ["discard", "ensure_checkpoint_dir", "materialise", "shared_folder", "table", "written"]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -19,3 +19,9 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table whose rows nothing needs any more, also not to recover from a lost executor."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
