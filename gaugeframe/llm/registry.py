@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontaminate, divergence, line_dedup, neighbours, ngram_join, packing, quality, secret_scan, token_tree, toxicity, url_filter
+from . import clustering, decontaminate, divergence, licenses, line_dedup, neighbours, ngram_join, packing, quality, secret_scan, token_tree, toxicity, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_linear_grouping_packing": packing.query,
     "op9_randomness_secret_scan": secret_scan.query,
     "op10_site_spread_line_dedup": line_dedup.query,
+    "op11_license_signatures": licenses.query,
     "op12_source_divergence_audit": divergence.query,
     "op13_hamerly_clustering": clustering.query,
 }
