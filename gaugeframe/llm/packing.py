@@ -6,10 +6,13 @@ lengths (at most ``CAPACITY`` rows, whatever the corpus) is all that the plan
 needs:
 
 1.  Large lengths, in falling order, form groups of equal cardinality, and each
-    is rounded up to the largest of its group.
+    is rounded up to the largest of its group; where no more lengths occur than
+    groups are allowed, each length is a group and nothing is rounded.
 2.  Configurations of the few rounded sizes are chosen one after another, each
-    the fullest one that holds the largest size left, and used as often as the
-    remaining counts allow.
+    for the largest size left, and used as often as the remaining counts allow.
+    A configuration takes the largest sizes that fit, and the last places of it
+    by the fullest sum; after how many places that begins is tried for several
+    numbers, and the plan with the fewest sequences is kept.
 3.  The documents of a group take the places of its size, which leaves gaps.
 4.  Small lengths go, in falling order, to the smallest gap that holds them.
 
@@ -39,8 +42,10 @@ from .storage import materialise, table
 
 CAPACITY = 1024
 END_ID = 2
-#: Groups of equal cardinality.
-GROUPS = 256
+#: Groups of equal cardinality at most.
+GROUPS = 1024
+#: Places of a configuration that are filled by the largest size that fits; the rest by the fullest sum.
+LARGEST_FIRST = (1, 2, 3, CAPACITY)
 #: Lengths up to this are small.
 SMALL = CAPACITY // 8
 
@@ -156,16 +161,15 @@ class Plan:
         return self.first[i] + rank - self.rank[i], self.offset[i]
 
 
-def _fullest(sizes: list[int], left: list[int], head: int, capacity: int) -> list[int]:
-    """Groups of the fullest configuration that holds one of group ``head`` (sizes fall; earlier groups are used up)."""
-    room = capacity - sizes[head]
+def _fullest(sizes: list[int], left: list[int], head: int, room: int) -> list[int]:
+    """Groups from ``head`` on, with ``left`` documents each, whose sizes (they fall) come nearest to ``room``."""
     reach = np.zeros(room + 1, dtype=bool)
     reach[0] = True
     came = np.full(room + 1, -1, dtype=np.int64)  # the group whose size was added last
     for g in range(head, len(sizes)):
-        size, most = sizes[g], min(left[g] - (g == head), room // sizes[g])
+        size = sizes[g]
         new = reach
-        for _ in range(most):
+        for _ in range(min(left[g], room // size)):
             shifted = np.zeros_like(reach)
             shifted[size:] = new[: room + 1 - size]
             new = shifted & ~reach
@@ -176,15 +180,33 @@ def _fullest(sizes: list[int], left: list[int], head: int, capacity: int) -> lis
         if reach[room]:
             break
     total = int(np.flatnonzero(reach)[-1])
-    out = [head]
+    out = []
     while total:
         out.append(int(came[total]))
         total -= sizes[out[-1]]
     return out
 
 
+def _configuration(sizes: list[int], left: list[int], head: int, capacity: int, largest_first: int) -> list[int]:
+    """Groups of one sequence that holds one of group ``head`` (earlier groups are used up)."""
+    out, room, rest = [], capacity, list(left)
+    g = head
+    while g < len(sizes) and len(out) < largest_first:
+        if rest[g] and sizes[g] <= room:
+            out.append(g)
+            rest[g] -= 1
+            room -= sizes[g]
+        else:
+            g += 1
+    return out + (_fullest(sizes, rest, g, room) if g < len(sizes) else [])
+
+
 def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> Plan:
-    """Plan for ``counts[length]`` documents of each length from 1 to the capacity."""
+    """Plan for ``counts[length]`` documents of each length from 1 to the capacity: that of the fewest sequences over LARGEST_FIRST."""
+    return min((_plan(counts, capacity, groups, small, n) for n in LARGEST_FIRST), key=lambda p: p.sequences)
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: int, largest_first: int) -> Plan:
     rows: list[tuple[int, int, int, int, int]] = []
     runs: list[_Run] = []
     sequences = 0
@@ -195,15 +217,15 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
     ends = np.cumsum([c for _, c in large])
     total = int(ends[-1]) if large else 0
     share = max(1, -(-total // groups))
-    starts = list(range(0, total, share))
+    starts = [0, *map(int, ends[:-1])] if 0 < len(large) <= groups else list(range(0, total, share))
     sizes = [large[int(np.searchsorted(ends, s, side="right"))][0] for s in starts]
-    left = [min(share, total - s) for s in starts]
+    left = np.diff([*starts, total]).tolist()
     cursor = list(starts)
 
     # 2. configurations, and 3. the documents that take their places
     for head in range(len(sizes)):
         while left[head]:
-            config = _fullest(sizes, left, head, capacity)
+            config = _configuration(sizes, left, head, capacity, largest_first)
             uses = {g: config.count(g) for g in config}
             times = min(left[g] // k for g, k in uses.items())
             slots = []
@@ -265,9 +287,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     A document is its ids and ``END_ID``; null and empty texts are ``END_ID``
-    alone.  Longer documents are cut into pieces of the capacity, the first of
-    which may be shorter.  Every row is packed: repeated rows and null ids too.
-    An empty table has no sequences.
+    alone.  Longer documents, however long, are cut into pieces of the capacity, the
+    first of which may be shorter.  Every row is packed: repeated rows and null
+    ids too.  An empty table has no sequences.  Other columns of ``docs`` are
+    not returned, whatever their names.
     """
     cutted = materialise(pieces(docs, path, capacity))
     by_part = cutted.groupBy("part", "length").count()

@@ -15,6 +15,9 @@ ordinary text, has a mean of at most 1 over ordinary text, so its inverse is a
 p-value; it falls with the length, and with every test that the run passes well.
 Benjamini-Hochberg control over all runs of the corpus sets the cut; with such
 ratios it holds whatever the runs have to do with each other.
+
+Runs of digits alone are ordinary text and are not tested: nothing in their
+characters tells a random identifier from a random secret.
 """
 
 from __future__ import annotations
@@ -58,6 +61,8 @@ ENCODINGS = (
 )
 _RANK = [(name, {c: i for i, c in enumerate(alphabet)}) for name, alphabet in ENCODINGS]
 
+#: The encoding that is not tested: order numbers, timestamps, telephone and card numbers are as random as a secret of digits.
+NUMBERS = "digits"
 #: A run is not random if the battery rejects randomness at this level.
 REJECT_RANDOM = 0.001
 #: Fewest characters of a part of a run that is tested.
@@ -142,10 +147,10 @@ def _parts(text: str, start: int, end: int) -> tuple[list[tuple[int, int, tuple[
     """
     found = infer_encoding(text[start:end])
     if found is not None:
-        return [(start, end, found)], 1
+        return ([(start, end, found)] if found[0] != NUMBERS else []), 1
     parts = {(start + m.start(), start + m.end()) for split in SPLITS for m in split.finditer(text[start:end]) if m.end() - m.start() >= LEAST_PART and m.end() - m.start() < end - start}
     coded = [(s, e, infer_encoding(text[s:e])) for s, e in sorted(parts)]
-    return [x for x in coded if x[2] is not None], len(SPLITS)
+    return [x for x in coded if x[2] is not None and x[2][0] != NUMBERS], len(SPLITS)
 
 
 def _unless_coded(m: re.Match) -> str:
@@ -169,8 +174,8 @@ def _outside(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tup
 def byte_pairs(docs: DataFrame) -> np.ndarray:
     """Counts of neighbouring bytes of all ordinary text (128 x 128, other bytes as 0); each task returns its sums.
 
-    Runs that could be tested are left out, or random strings would make
-    themselves ordinary, but for those of lower-case letters alone: long words.
+    Runs that are tested are left out, or random strings would make themselves
+    ordinary, but for those of lower-case letters alone: long words.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,25 @@ def test_keys_by_length_and_encoding(spark, length):
             assert sum(len(added[i]) >= 0.6 * length for i, k in keys) >= 0.8 * len(keys), name
 
 
+@pytest.mark.parametrize("make", ["order 20240101{:08d}", "Log entry at 17041829{:08d}", "call +49-170-{:07d}-22 or 0049170{:07d}", "card 4929-1173-{0:04d}-{1:04d} or 49291173{0:04d}{1:04d}", "at 20240101T{:06d}Z", "ref {:032d}", "{:040d}"])
+def test_ordinary_numbers_stay(spark, make):
+    """Order numbers, timestamps, telephone and card numbers are no secrets, and keys beside them are found."""
+    rng = random.Random(make)
+    words = ["".join(rng.choice("aeiou") + rng.choice("tnrsl") for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    rows, keys = [], {}
+    for i in range(200):
+        numbers = [rng.randrange(10**4 if "1:04d" in make else 10**6 if "06d" in make else 10**7) for _ in range(2)]
+        text = f"{' '.join(rng.choice(words) for _ in range(12))} {make.format(*numbers)} {rng.choice(words)}."
+        if i % 10 == 0:
+            keys[i] = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+            text += f" {keys[i]} end"
+        rows.append((i, text))
+    got = check_scan(spark, rows)
+    added = {i: [dict(rows)[i][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for i, r in got.items()}
+    assert sum(added[i] == [k] for i, k in keys.items()) >= 0.8 * len(keys)
+    assert sum(len(v) for i, v in added.items() if i not in keys) <= 2
+
+
 def test_random_strings_within_mixed_runs(spark):
     """Tokens of one alphabet in a path or behind a prefix of another, and beside a base span."""
     rng = random.Random(9)

@@ -105,7 +105,7 @@ def test_plans(kind):
             assert o == at
             at += n
         assert at <= 1024
-    assert p.sequences <= 1.02 * lower_bound_best_fit(lengths) + 1
+    assert p.sequences <= 1.003 * lower_bound_best_fit(lengths) + 1
 
 
 def test_edits_equal_encoding_again(small):
