@@ -3,9 +3,10 @@
 Texts become sequences of tokens in which numbers, names and units are typed
 placeholders, so that a question asked again with other values has the same
 template.  Windows of ``WINDOW`` template tokens of the benchmark are joined
-by hash with those of the documents; the tokens of each hit are compared, and
-the values that fill its slots must map one to one between item and document
-over all windows of one alignment.
+by hash with those of the documents, and the tokens of each hit are compared.
+A window with the item's own values is a copy and counts.  In the others the
+values that fill the slots must map one to one between item and document over
+all windows of one alignment.
 
 Only DataFrame functions are used.  A window is looked up in a Bloom filter of
 the benchmark before anything is exploded, so only documents with a likely hit
@@ -79,41 +80,46 @@ def _value(token: Column) -> Column:
 
 
 def _with_templates(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``_raw`` (array of tokens), ``_th`` (hashes of their templates) and ``_vh`` (of their values)."""
+    """Adds ``_raw`` (array of tokens) and ``_th`` (hashes of their templates)."""
     df = df.withColumn("_raw", _raw_tokens(F.col(f"`{text}`")))
-    return df.withColumns({"_th": F.transform("_raw", lambda t: F.xxhash64(_template(t))), "_vh": F.transform("_raw", lambda t: F.xxhash64(_value(t)))})
+    return df.withColumn("_th", F.transform("_raw", lambda t: F.xxhash64(_template(t))))
 
 
-def _window_hashes(length: int, of: str = "_th") -> Column:
-    """Hash of the templates (``_th``) or values (``_vh``) of the tokens of every window of ``length`` tokens, by its start (from 0).
+def _window_hashes(length: int) -> Column:
+    """Hash of the templates of the tokens of every window of ``length`` tokens, by its start (from 0).
 
     Elements are read one by one, as slice() copies its whole array each time.
     """
 
     def at(i: Column) -> Column:
-        return F.xxhash64(*[F.get(of, i + k) for k in range(length)])
+        return F.xxhash64(*[F.get("_th", i + k) for k in range(length)])
 
     # the column is named twice, so that its computation is not copied into the lambda
-    return F.when(F.size(of) >= length, F.transform(F.sequence(F.lit(0), F.size(of) - length), at)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size("_th") >= length, F.transform(F.sequence(F.lit(0), F.size("_th") - length), at)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _value_hash(i: Column, length: int) -> Column:
+    """Hash of the values of the tokens of the window of ``length`` tokens at ``i``."""
+    return F.xxhash64(*[_value(F.get("_raw", i + k)) for k in range(length)])
 
 
 def _windows(items: DataFrame) -> DataFrame:
-    """One row per window of each item: ``item_id, n_windows, n_literal, at, length, exact, h, b_raw, b_tpl``.
+    """One row per window of each item: ``item_id, n_windows, n_literal, at, length, exact, h, v, b_raw, b_tpl``.
 
     Items of fewer than WINDOW tokens have one window of all their tokens.
-    Windows of fewer than MIN_LITERALS plain words are ``exact``: their ``h`` is
-    of the values, and they match only these.
+    ``h`` is of the template.  Windows of fewer than MIN_LITERALS plain words are
+    ``exact``: they match only the same values, whose hash is ``v``.
     """
     tokens = materialise(_with_templates(items, "text").withColumn("length", F.least(F.size("_th"), F.lit(WINDOW))).filter(F.col("length") >= 1))
     parts = [
         tokens.filter(F.col("length") == n)
-        .withColumn("_w", F.arrays_zip(_window_hashes(n).alias("t"), _window_hashes(n, "_vh").alias("v")))
-        .select("item_id", "length", "_raw", F.posexplode("_w").alias("at", "_h"))
+        .select("item_id", "length", "_raw", F.posexplode(_window_hashes(n)).alias("at", "h"))
+        .withColumn("v", _value_hash(F.col("at"), n))
         for n in range(1, WINDOW + 1)
     ]
-    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "at", "length", "_h", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
+    windows = functools.reduce(DataFrame.unionByName, parts).select("item_id", "at", "length", "h", "v", F.slice("_raw", F.col("at") + 1, F.col("length")).alias("b_raw")).withColumn("b_tpl", F.transform("b_raw", _template))
     literals = F.size(F.filter("b_tpl", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    kept = windows.withColumn("exact", literals < MIN_LITERALS).withColumn("h", F.when(F.col("exact"), F.col("_h")["v"]).otherwise(F.col("_h")["t"])).drop("_h")
+    kept = windows.withColumn("exact", literals < MIN_LITERALS)
     of_item = Window.partitionBy("item_id")
     return kept.withColumns({"n_windows": F.count("*").over(of_item).cast("int"), "n_literal": F.sum((~F.col("exact")).cast("int")).over(of_item).cast("int")})
 
@@ -122,11 +128,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     """One row per document and benchmark item that it holds.
 
     ``doc_id, item_id, matched_windows, item_windows, coverage, n_slots``: the
-    item's windows found in a consistent alignment, of how many, their share,
-    and how many different slot values they bind.  A document holds an item if
-    it matches MIN_WINDOWS windows (all, if the item has fewer), of all or of
-    those with MIN_LITERALS plain words.  The other windows, and items of fewer
-    tokens, match the same values only and need no consistent alignment.  Null
+    item's windows found as copies or in a consistent alignment, of how many,
+    their share, and how many different slot values they bind.  A document holds
+    an item if it matches MIN_WINDOWS windows (all, if the item has fewer), of
+    all or of those with MIN_LITERALS plain words.  The other windows, and items
+    of fewer tokens, match the same values only.  Null
     and empty texts hold nothing; null ids take no part; repeated items are
     found each under its id, and repeated document rows count once.  Of an id
     that comes with several texts each is judged alone, and the one that matches
@@ -135,23 +141,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     """
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     windows = materialise(_windows(items))
-    kinds = {r["exact"]: r for r in windows.groupBy("exact").agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).collect()}
-    small = sum(r["n"] for r in kinds.values()) <= broadcast_windows
-    shapes, words = {}, {}
-    for exact, r in kinds.items():
-        shapes[exact] = HashFilter.sized(r["n"], most_bits=filter_bits)
-        words[exact] = literal_words(shapes[exact].word_rows(windows.filter(F.col("exact") == exact), "h").collect(), shapes[exact].words)
+    kinds = {r["exact"]: r["n"] for r in windows.groupBy("exact").agg(F.count("*").alias("n")).collect()}  # two rows
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW rows
+    small = sum(kinds.values()) <= broadcast_windows
     if not kinds:
         nothing = docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")).limit(0)
         return nothing.withColumns({"matched_windows": F.lit(0).cast("bigint"), "item_windows": F.lit(0).cast("bigint"), "coverage": F.lit(0.0), "n_slots": F.lit(0).cast("bigint")})
-    looked_up = [(exact, n) for exact in sorted(kinds) for n in sorted(kinds[exact]["lengths"])]
 
-    def candidates(exact: bool, length: int) -> Column:
+    def filter_of(keys: DataFrame, key: str, n: int) -> tuple[HashFilter, Column]:
+        shape = HashFilter.sized(n, most_bits=filter_bits)
+        return shape, literal_words(shape.word_rows(keys, key).collect(), shape.words)
+
+    # every window meets the first filter; what passes it, and only that, meets the other two
+    any_template = filter_of(windows, "h", sum(kinds.values()))
+    templates = filter_of(windows.filter("NOT exact"), "h", kinds[False]) if False in kinds else None
+    values = filter_of(windows.filter("exact"), "v", kinds[True]) if True in kinds else None
+
+    def passed(length: int) -> Column:
         def kept(h: Column, i: Column) -> Column:
-            window = F.struct(i.alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), h.alias("h"))
-            return F.when(shapes[exact].might_contain(words[exact], h), window)
+            return F.when(any_template[0].might_contain(any_template[1], h), F.struct(i.alias("d_at"), h.alias("h")))
+
+        return F.filter(F.transform(f"_w{length}", kept), lambda c: c.isNotNull())
+
+    def candidates(length: int, exact: bool) -> Column:
+        shape, words = values if exact else templates
+
+        def kept(c: Column) -> Column:
+            key = _value_hash(c["d_at"], length) if exact else c["h"]
+            return F.when(shape.might_contain(words, key), F.struct(c["d_at"].alias("d_at"), F.lit(length).alias("length"), F.lit(exact).alias("exact"), key.alias("h")))
 
-        return F.filter(F.transform(f"_w{length}{exact}", kept), lambda c: c.isNotNull())
+        return F.filter(F.transform(f"_p{length}", kept), lambda c: c.isNotNull())
 
     # _row tells the texts of one id apart
     texts = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -159,11 +178,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     # A filter on an array, which explode() also infers, would be pushed below the projections above and repeat
     # them inside the lambda for every window; explode_outer() and a filter on its rows avoid that.
     # The rows carry only the slices that the comparison needs.
-    found = found.withColumns({f"_w{n}{exact}": _window_hashes(n, "_vh" if exact else "_th") for exact, n in looked_up})
-    found = found.withColumn("_c", F.concat(*[candidates(*x) for x in looked_up]))
+    found = found.withColumns({f"_w{n}": _window_hashes(n) for n in lengths})
+    found = found.withColumns({f"_p{n}": passed(n) for n in lengths})
+    found = found.withColumn("_c", F.concat(*[candidates(n, exact) for n in lengths for exact in sorted(kinds)]))
     window = F.transform("_c", lambda c: F.struct(c["d_at"].alias("d_at"), c["length"].alias("length"), c["exact"].alias("exact"), c["h"].alias("h"), F.slice("_raw", c["d_at"] + 1, c["length"]).alias("d_raw")))
     found = found.select("doc_id", "_row", F.explode_outer(window).alias("c")).filter("c IS NOT NULL").select("doc_id", "_row", "c.*").withColumn("d_tpl", F.transform("d_raw", _template))
-    hits = found.join(F.broadcast(windows) if small else windows, ["h", "length", "exact"]).filter(F.when(F.col("exact"), F.transform("d_raw", _value) == F.transform("b_raw", _value)).otherwise(F.col("d_tpl") == F.col("b_tpl")))
+    keyed = windows.withColumn("h", F.when(F.col("exact"), F.col("v")).otherwise(F.col("h")))
+    hits = found.join(F.broadcast(keyed) if small else keyed, ["h", "length", "exact"]).filter(F.when(F.col("exact"), F.transform("d_raw", _value) == F.transform("b_raw", _value)).otherwise(F.col("d_tpl") == F.col("b_tpl")))
 
     slots = F.filter(
         F.transform(F.arrays_zip("b_tpl", "b_raw", "d_raw"), lambda z: F.struct(z["b_tpl"].alias("kind"), _value(z["b_raw"]).alias("b"), _value(z["d_raw"]).alias("d"))),
@@ -182,8 +203,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     def distinct(side: str) -> Column:
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
 
+    # a window that holds the item's own values is a copy, whatever becomes of the others
+    copied = F.forall("w.slots", lambda s: s["b"] == s["d"])
     aligned = aligned.withColumn("consistent", (distinct("b") == n_pairs) & (distinct("d") == n_pairs)).select("doc_id", "_row", "item_id", "n_windows", "n_literal", "n_slots", "consistent", F.explode("ws").alias("w"))
-    found = aligned.filter(F.col("consistent") | F.col("w.exact"))
+    found = aligned.filter(F.col("consistent") | F.col("w.exact") | copied)
     literal = F.count_distinct(F.when(~F.col("w.exact"), F.col("w.at")))
     found = (
         found.groupBy("doc_id", "_row", "item_id")

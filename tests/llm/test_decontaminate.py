@@ -36,8 +36,17 @@ def test_slots_must_be_consistent(spark):
     item = "give 5 red apples to the boy and 5 green apples to the girl who waits outside the old school"
     ask = [(1, item.replace("5", "8")), (2, item.replace("5 red", "8 red")), (3, item.replace("5 red", "6 red").replace("5 green", "7 green"))]
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    found = {r["doc_id"] for r in D.find_leaks(spark.createDataFrame(ask, "doc_id bigint, text string"), b).collect()}
-    assert found == {1}
+    found = {r["doc_id"]: r for r in D.find_leaks(spark.createDataFrame(ask, "doc_id bigint, text string"), b).collect()}
+    # document 2 keeps 18 words as they are, which is a leak by itself; in document 3 only the end is copied
+    assert set(found) == {1, 2} and found[1]["coverage"] == 1.0 and found[2]["matched_windows"] == 11
+
+
+def test_copied_windows_count_beside_a_clash(spark):
+    item = "of the 5 tall trees in the quiet park behind the town hall only 5 were planted by the old gardener last spring"
+    end = item.rsplit(" 5 ", 1)
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = [(1, " 8 ".join(end)), (2, item), (3, " ".join(item.split()[:9]).replace("5", "8") + " 7 " + end[1]), (4, FILL)]
+    assert {r["doc_id"] for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b).collect()} == {1, 2}
 
 
 def test_odd_and_empty(spark, odd, empty, bench):
@@ -76,7 +85,8 @@ ALICE = "Alice buys 5 apples. Alice sells 3 apples. Each apple costs 2 dollars.
 def test_names_at_the_start_of_sentences(spark):
     b = spark.createDataFrame([(1, ALICE)], "item_id bigint, text string")
     docs = [(1, ALICE.replace("Alice", "Robert").replace("5", "9").replace("3", "4")), (2, FILL + ALICE.replace("Alice", "Zoë")), (3, ALICE.replace("Alice sells", "Robert sells")), (4, FILL)]
-    assert {r["doc_id"] for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b).collect()} == {1, 2}
+    # document 3 copies the item from its second sentence on but for the name
+    assert {r["doc_id"] for r in D.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b).collect()} == {1, 2, 3}
 
 
 def test_texts_of_one_id_are_judged_alone(spark, bench):
@@ -124,6 +134,7 @@ def plain_leak(text, item):
         pairs = {(b[k][0], b[k][1], d[k + shift][1]) for i in at for k in range(i, i + n) if b[k][0] != "word"}
         if len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs}):
             literal |= at
+        literal |= {i for i in at if [v for _, v in b[i : i + n]] == [v for _, v in d[i + shift : i + shift + n]]}
     n_literal = sum(not e for e in exact.values())
     return len(sure | literal) >= min(D.MIN_WINDOWS, len(exact)) or (n_literal > 0 and len(literal) >= min(D.MIN_WINDOWS, n_literal))
 
