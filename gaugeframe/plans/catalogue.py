@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, sequence
-from ..operators import graph, heads, intervals, joins, metrics, ranking, records, resample, splits
+from ..operators import boosting, features, graph, heads, intervals, joins, metrics, ranking, records, resample, splits
 from ..storage import table as t
 from ..streaming import events as event_windows
 
@@ -776,3 +776,57 @@ def sequence_checks(spark, d):
     mutant = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.concat(F.lit("A"), (i + 1).cast("string"), F.lit("C"))), ":")
     valid = sequence.in_alphabet(F.when(F.col("p_size") < 40, "ACGT").otherwise("ACGN"), "ACGT")
     return t(spark, d, "part").select("p_partkey", sequence.char_at(alphabet, (F.col("p_size") % 26).cast("int")).alias("here"), valid.alias("valid"), sequence.depth_bucket(mutant, 3).alias("depth"), F.size(sequence.substitutions(mutant)).alias("n"))
+
+
+_VARIANTS = f"""
+SELECT item_id, regexp_replace({_BASES}, '[^ACGT]', 'N', 'g') AS s, item_id % 20 + 1 AS p, item_id % 7 AS i1, item_id % 11 + 1 AS ex, item_id % 5 AS i2, CASE WHEN item_id % 3 = 0 THEN NULL ELSE item_id / 8.0e0 END AS ph,
+['exon', 'upstr_intron', 'downstr_intron', 'other'][item_id % 4 + 1] AS region, ['A', 'C', 'G', 'T'][item_id % 4 + 1] AS ref, ['A', 'C', 'G', 'T'][item_id // 4 % 4 + 1] AS alt FROM benchmark"""
+
+
+@query(f"""
+WITH v AS ({_VARIANTS}), w AS (SELECT *, substr(s, greatest(1, p - {features.REACH}), least(length(s), p + {features.REACH}) - greatest(1, p - {features.REACH}) + 1) AS c FROM v WHERE p <= length(s)),
+k AS (SELECT item_id, substr(c, i::INT, 3) AS k FROM w, range(1, 20) r(i) WHERE i <= length(c) - 2), f AS (SELECT item_id, k, count(*) AS n FROM k WHERE regexp_full_match(k, '[ACGT]+') GROUP BY 1, 2),
+t AS (SELECT item_id, sum(n) AS n FROM f GROUP BY 1), b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), m AS (SELECT a.x || b.x || c.x AS k FROM b a, b, b c),
+a AS (SELECT item_id, unnest([p, p / 20.0e0, p - i1, p - i1 - ex, least(abs(p - i1), abs(p - i1 - ex)), ex, i1, i2, ph, NULL, (region = 'exon')::INT, (region = 'upstr_intron')::INT, (region = 'downstr_intron')::INT,
+  (ref = 'A')::INT, (ref = 'C')::INT, (ref = 'G')::INT, (ref = 'T')::INT, (alt = 'A')::INT, (alt = 'C')::INT, (alt = 'G')::INT, (alt = 'T')::INT]::DOUBLE[]) AS value, unnest(range(21)) AS nr FROM w)
+SELECT item_id, nr::INT AS feature, round(value, 6) AS value FROM a
+UNION ALL SELECT w.item_id, (20 + dense_rank() OVER (ORDER BY m.k))::INT, round(coalesce(f.n / t.n::DOUBLE, 0), 6) FROM w CROSS JOIN m LEFT JOIN f ON f.item_id = w.item_id AND f.k = m.k LEFT JOIN t ON t.item_id = w.item_id""")
+def variant_features(spark, d):
+    """Every benchmark text as a sequence with a variant, its numbers from the item's id."""
+    i = F.col("item_id")
+
+    def of(choices, at):
+        return F.element_at(F.array(*[F.lit(c) for c in choices]), (at + 1).cast("int"))
+
+    p = i % 20 + 1
+    numbers = {"rel_position": p, "rel_position_scaled": p / 20, "intron1_len": i % 7, "exon_len": i % 11 + 1, "intron2_len": i % 5, "phylop_score": F.when(i % 3 != 0, i / 8), "mean_phastCons_score": F.lit("NA")}
+    rows = t(spark, d, "benchmark").select(
+        "item_id", F.regexp_replace(_bases("text"), "[^ACGT]", "N").alias("mutant_sequence"), *[F.coalesce(v.cast("string"), F.lit("NA")).alias(k) for k, v in numbers.items()],
+        of((*features.REGIONS, "other"), i % 4).alias("region"), of(features.BASES, i % 4).alias("ref_allele"), of(features.BASES, F.floor(i / 4) % 4).alias("alt_allele"),
+    )
+    return features.variant_features(rows).filter("features IS NOT NULL").select("item_id", F.posexplode("features").alias("feature", "value"))
+
+
+def _coarse(spark, d):
+    """Vectors in steps of an eighth, and whether their label is odd."""
+    return t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(8.0) * x).cast("double")).alias("x"), (F.col("label") % 2).alias("y"))
+
+
+@query("""
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda e: floor(8 * e::DOUBLE)) AS x, label % 2 AS y FROM embeddings), n AS (SELECT count(*) AS n, sum(y) AS p FROM r),
+d AS (SELECT f, x[f] AS v, round((p / n - y) * 1073741824) AS g, round(p / n * (1 - p / n) * 1073741824) AS h FROM r, n, range(1, 65) q(f)),
+c AS (SELECT f, v, sum(g) AS g, sum(h) AS h, count(*) AS k FROM d GROUP BY f, v),
+l AS (SELECT f, v, sum(g) OVER w / 1073741824 AS gl, sum(h) OVER w / 1073741824 AS hl, sum(k) OVER w AS kl, sum(g) OVER a / 1073741824 AS gt, sum(h) OVER a / 1073741824 AS ht, sum(k) OVER a AS kt FROM c WINDOW w AS (PARTITION BY f ORDER BY v), a AS (PARTITION BY f)),
+s AS (SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM l WHERE kl >= 20 AND kt - kl >= 20 ORDER BY gain DESC, f, v LIMIT 1)
+SELECT vec_id, round(1 / (1 + exp(-(ln(p / (n - p)) - 0.5e0 * CASE WHEN x[f] <= v THEN gl / (hl + 1) ELSE (gt - gl) / (ht - hl + 1) END))), 6) AS score FROM r, n, s""")
+def boosted_stump(spark, d):
+    """One tree of two leaves, whose split SQL can look for."""
+    rows = _coarse(spark, d)
+    return boosting.predict(rows, boosting.fit(rows, "x", "y", trees=1, rate=0.5, leaves=2), "x").select("vec_id", "score")
+
+
+@query()
+def boosted_trees(spark, d):
+    """Trees of several leaves on the vectors as they are; the tests compare them with a booster that looks at all rows for every split."""
+    rows = t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"))
+    return boosting.predict(rows, boosting.fit(rows, "embedding", "y", trees=4, rate=0.3, leaves=6), "embedding").select("vec_id", "score")
