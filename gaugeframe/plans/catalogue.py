@@ -6,6 +6,7 @@ sides, as engines add in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, sequence
 from ..operators import boosting, features, graph, heads, intervals, joins, metrics, ranking, records, resample, splits
+from ..sources import indexed
+from ..storage import shared_folder
 from ..storage import table as t
 from ..streaming import events as event_windows
 
@@ -830,3 +833,17 @@ def boosted_trees(spark, d):
     """Trees of several leaves on the vectors as they are; the tests compare them with a booster that looks at all rows for every split."""
     rows = t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("y"))
     return boosting.predict(rows, boosting.fit(rows, "embedding", "y", trees=4, rate=0.3, leaves=6), "embedding").select("vec_id", "score")
+
+
+@query(f"""
+WITH s AS (SELECT item_id, regexp_replace({_BASES}, '[^ACGT]', 'N', 'g') AS s FROM benchmark)
+SELECT item_id, 1 + item_id * 7 % length(s) AS start, least(length(s), 40 + item_id * 7 % length(s)) AS stop, substr(s, 1 + item_id * 7 % length(s), 40) AS bases FROM s WHERE length(s) > 0""")
+def indexed_ranges(spark, d):
+    """Every benchmark text as a contig of sequence files in the shared folder, and forty bases of each by their bytes."""
+    rows = t(spark, d, "benchmark").select("item_id", F.col("item_id").cast("string").alias("contig"), F.regexp_replace(_bases("text"), "[^ACGT]", "N").alias("sequence")).filter("sequence <> ''")
+    folder = f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}"
+    indexed.write_sequences(rows, folder)
+    n = F.length("sequence").cast("bigint")
+    start = F.col("item_id") * 7 % n
+    wanted = rows.select(F.col("item_id").alias("id"), "contig", (start + 1).alias("start"), F.least(n, start + 40).alias("stop"))
+    return indexed.fetch_ranges(indexed.build_index(spark, folder), wanted).select(F.col("id").alias("item_id"), "start", "stop", "bases")
