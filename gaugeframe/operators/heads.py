@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.sequence import char_ngrams
+from ..storage import materialise
+from . import sparse
 from .joins import with_row
 
 
@@ -124,14 +126,26 @@ def ngram_weights(rows: DataFrame, key: str, text: str, train: str, low: int = 1
     return known.join(norms, key).select(key, "ngram", (F.col("n") / F.col("_l")).alias("weight"))
 
 
-def ngram_head(train: DataFrame, test: DataFrame, text: str, target: str, classes: bool = True, strength: float = 1.0, most: int = 1 << 18) -> DataFrame:
-    """``test`` with ``score`` of a linear head on unit-length character 1-3-gram counts.
+def ngram_head(train: DataFrame, test: DataFrame, text: str, target: str, classes: bool = True, strength: float = 1.0, driver_bound: int = 1 << 18) -> DataFrame:
+    """``test`` with ``score`` of a linear head on unit-length character 1-3-gram counts of the training rows' vocabulary.
 
-    The vocabulary is the training rows' (the ``most`` frequent n-grams, the
-    bound of the model).  With ``classes`` the score is the probability of
-    class 1 by L2 logistic regression with inverse strength ``strength``, else
-    ridge regression with that penalty.
+    With ``classes`` logistic regression with inverse strength ``strength``: the
+    score is the probability of class 1 where the training rows have the classes
+    0 and 1, else the most likely of all their classes.  Without, ridge regression with
+    that penalty.  Up to ``driver_bound`` coefficients the driver holds them;
+    beyond it they are a table, and the result is the same.
     """
+    labels = sorted(float(r[0]) for r in train.select(target).distinct().limit(1001).collect() if r[0] is not None) if classes else []
+    if classes and not 2 <= len(labels) <= 1000:
+        raise ValueError("the training rows must be of two classes or more" if labels else "no rows to fit")
+    if len(labels) == 2 and labels != [0.0, 1.0]:
+        raise ValueError("two classes must be 0 and 1")
+    vocabulary = train.select(F.explode(char_ngrams(F.col(text))).alias("g")).agg(F.count_distinct("g").alias("n")).first()["n"]
+    fitted = _ngram_head_on_driver if vocabulary * max(1, len(labels)) <= driver_bound else _ngram_head_of_tables
+    return fitted(train, test, text, target, labels, strength, max(1, vocabulary))
+
+
+def _ngram_head_on_driver(train: DataFrame, test: DataFrame, text: str, target: str, labels: list[float], strength: float, vocabulary: int) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, Normalizer
@@ -141,17 +155,34 @@ def ngram_head(train: DataFrame, test: DataFrame, text: str, target: str, classe
     def grams(df: DataFrame) -> DataFrame:
         return df.withColumn("_grams", char_ngrams(F.col(text)))
 
-    n = train.count()
-    if n == 0 or (classes and train.agg(F.count_distinct(target)).first()[0] < 2):
-        raise ValueError("the training rows must be of two classes" if n else "no rows to fit")
+    known = train.agg(F.count(target).alias("n"), F.stddev_pop(F.col(target).cast("double")).alias("s")).first()
+    n = known["n"]
+    if n == 0:
+        raise ValueError("no rows to fit")
     shared = {"featuresCol": "_x", "labelCol": "_y", "maxIter": 200, "tol": 1e-9, "standardization": False}
-    head = LogisticRegression(regParam=1 / (strength * n), **shared) if classes else LinearRegression(regParam=strength / n, **shared)
-    steps = [CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=most), Normalizer(inputCol="_counts", outputCol="_x"), head]
-    out = Pipeline(stages=steps).fit(grams(train).withColumn("_y", F.col(target).cast("double"))).transform(grams(test))
-    score = vector_to_array("probability")[1] if classes else F.col("prediction")
+    head = LogisticRegression(regParam=1 / (strength * n), **shared) if labels else LinearRegression(regParam=strength / n * (known["s"] or 1.0), **shared)  # Spark divides it by the deviation of the labels
+    steps = [CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=vocabulary), Normalizer(inputCol="_counts", outputCol="_x"), head]
+    y = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target).cast("double")).cast("double") - 1 if labels else F.col(target).cast("double")
+    out = Pipeline(stages=steps).fit(grams(train).withColumn("_y", y).filter("_y IS NOT NULL")).transform(grams(test))
+    if len(labels) > 2:
+        score = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("prediction") + 1).cast("int"))
+    else:
+        score = vector_to_array("probability")[1] if labels else F.col("prediction")
     return out.select(*[f"`{c}`" for c in test.columns], score.alias("score"))
 
 
+def _ngram_head_of_tables(train: DataFrame, test: DataFrame, text: str, target: str, labels: list[float], strength: float, vocabulary: int) -> DataFrame:
+    numbered = materialise(
+        train.select(F.lit(True).alias("_t"), F.col(target).cast("double").alias("y"), F.col(text).alias("s"), F.lit(None).alias("_r")).filter("y IS NOT NULL")
+        .unionByName(test.select(F.lit(False).alias("_t"), F.lit(None).cast("double").alias("y"), F.col(text).alias("s"), F.struct(*[f"`{c}`" for c in test.columns]).alias("_r")), allowMissingColumns=True)
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    entries = materialise(ngram_weights(numbered.filter("s IS NOT NULL"), "row", "s", "_t").withColumnsRenamed({"ngram": "key", "weight": "x"}))
+    model = sparse.fit(entries, numbered.filter("_t").select("row", "y"), "class" if labels else "value", 1 / strength if labels else strength)
+    asked = numbered.filter("NOT _t")
+    return asked.join(sparse.scores(entries, asked, model), "row").select("_r.*", "score")
+
+
 def ridge_validated(train: DataFrame, validation: DataFrame, features: str, target: str, alphas: Sequence[float]) -> tuple[float, np.ndarray, float]:
     """Penalty, coefficients and intercept of the ridge fit on ``train`` with the least squared error on ``validation``, the smaller penalty of equals.
 
