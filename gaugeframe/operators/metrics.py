@@ -240,8 +240,8 @@ def leaderboard(results: DataFrame, system: str, value: str, ascending: bool = F
 
 
 def wide_metrics(results: DataFrame, row: str, metric: str, value: str, metrics: Sequence[str], lookups: Sequence[tuple[DataFrame, str]] = ()) -> DataFrame:
-    """One row per ``row`` with a column of each metric, then the columns of each lookup (a table and its key) by left joins that keep every row."""
-    out = results.groupBy(row).pivot(metric, list(metrics)).agg(F.first(value, ignorenulls=True))
+    """One row per ``row`` with a column of each metric, then the columns of each lookup (a table and its key) by left joins that keep every row; of a metric that comes twice the largest value."""
+    out = results.groupBy(row).pivot(metric, list(metrics)).agg(F.max(value))
     for table, key in lookups:
         out = out.join(table, out[row] == table[key], "left").drop(table[key]) if key != row else out.join(table, row, "left")
     return out

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.detectors import UNREPORTED, readiness
+from ..functions.detectors import UNREPORTED, distinctive, is_common, name_score, readiness
+from ..functions.scalars import normal_text
+from ..storage import materialise
 from .ranking import numbered
 
 
@@ -21,7 +23,7 @@ def linked(e: DataFrame, relation: str) -> DataFrame:
 
 
 def members(e: DataFrame, relation: str) -> DataFrame:
-    """``dst, n, sources``: an inverted index; use the edge table itself where a node may have very many."""
+    """``dst, n, sources``: an inverted index; where a node may have very many, ``membership.bitmaps`` has them without lists."""
     return linked(e, relation).groupBy("dst").agg(F.count_distinct("src").alias("n"), F.array_sort(F.collect_set("src")).alias("sources"))
 
 
@@ -81,15 +83,6 @@ def filed(placed: DataFrame, benchmark: str, cap: int = 5) -> DataFrame:
     return placed.withColumn("_r", first).filter((F.col("_r") == 1) | F.col(benchmark).isNull()).drop("_r").orderBy("place").limit(cap)
 
 
-def cover_score(names: Column, text: Column) -> Column:
-    """How well a text covers a name, both normalised: 100 if it holds it, else ten per distinctive token found plus one per other token found."""
-    tokens = F.filter(F.split(names, " "), lambda t: F.length(t) >= 3)
-    distinctive = F.filter(tokens, lambda t: t.rlike("[0-9]"))
-    hit = F.size(F.filter(distinctive, lambda t: F.contains(text, t)))
-    common = F.size(F.filter(tokens, lambda t: ~t.rlike("[0-9]") & F.contains(text, t)))
-    return F.when(F.contains(text, names), 100).otherwise(10 * hit + common)
-
-
 def newest_release(tags: DataFrame, prefixes: Sequence[str], name: str = "name", created: str = "created") -> DataFrame:
     """One row of ``release, created``: the latest release that has a tag of every prefix (``prefix/release``)."""
     parts = tags.select(F.substring_index(name, "/", 1).alias("prefix"), F.substring_index(name, "/", -1).alias("release"), created).filter(F.col("prefix").isin(*prefixes))
@@ -151,24 +144,31 @@ def unfiled(proposals: DataFrame, issues: DataFrame, key: str = "key", aliases:
     return proposals.join(names.join(filed, "name", "left_semi").select(key).distinct(), key, "left_anti")
 
 
-def best_cover(proposals: DataFrame, issues: DataFrame, least: int = 10) -> DataFrame:
-    """``key, issue, score`` of the issue that covers each proposal's name best, the first of equals; scores under ``least`` are none.
+def best_cover(proposals: DataFrame, issues: DataFrame, least: int = 1) -> DataFrame:
+    """``key, issue, score`` of the issue that names each proposal best (``name_score``), the smallest of equals; scores under ``least`` are none.
 
-    Pairs are found by shared words of three characters or more, an equi-join;
-    each pair is then scored once.  ``proposals`` has ``key, name``; ``issues``
-    has ``issue, title``.
+    ``proposals`` has ``key, name``; ``issues`` has ``issue, title``, whose title
+    may be all of an issue's text.  An issue that holds a name in full holds its
+    rarest word; one that holds two of its k specific words holds one of their
+    k - 1 rarest.  So a proposal is looked up by these few words only, rarest in
+    the issues, and words that most texts share pair nothing.
     """
-    from ..functions.scalars import normal_text
-
-    p = proposals.select("key", normal_text(F.col("name")).alias("name"))
-    i = issues.select("issue", normal_text(F.col("title")).alias("title"))
-
-    def words(df: DataFrame, text: str, *keep: str) -> DataFrame:
-        return df.select(*keep, F.explode(F.array_distinct(F.filter(F.split(text, " "), lambda w: F.length(w) >= 3))).alias("word"))
-
-    pairs = words(p, "name", "key").join(words(i, "title", "issue"), "word").select("key", "issue").distinct()
-    scored = pairs.join(p, "key").join(i, "issue").select("key", "issue", cover_score(F.col("name"), F.col("title")).alias("score")).filter(F.col("score") >= least)
-    return scored.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "issue"))).filter("_r = 1").drop("_r")
+    p = proposals.select("key", "name").filter("key IS NOT NULL AND name IS NOT NULL").distinct()
+    i = issues.select("issue", normal_text(F.col("title")).alias("text")).filter("issue IS NOT NULL AND text IS NOT NULL").distinct()
+    words = F.array_distinct(F.filter(F.split(normal_text(F.col("name")), " "), lambda w: w != ""))
+    specific = F.array_distinct(F.transform(F.filter(distinctive(F.col("name")), lambda w: ~is_common(w)), lambda w: F.lower(w)))
+    # ``whole``: all of these words must be there; else ``needed`` of them
+    asked = p.select("key", "name", F.explode(F.array(F.struct(F.lit(True).alias("whole"), words.alias("words")), F.struct(F.lit(False).alias("whole"), specific.alias("words")))).alias("a")).select("key", "name", "a.*")
+    asked = asked.withColumn("needed", F.when(F.col("whole"), F.size("words")).otherwise(F.least(F.lit(2), F.size("words")))).select("key", "name", "whole", "needed", F.explode("words").alias("word"))
+    texts = materialise(i.select("issue", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi"))
+    found = asked.join(texts.groupBy("word").agg(F.count("*").alias("issues")), "word")
+    of_name = Window.partitionBy("key", "name", "whole")
+    placed = found.withColumns({"_n": F.count("*").over(of_name), "_r": F.row_number().over(of_name.orderBy("issues", "word"))})
+    keys = placed.filter(F.col("_r") <= F.col("_n") - F.col("needed") + 1).select("key", "name", "word")
+    pairs = keys.join(texts, "word").select("key", "name", "issue").distinct()
+    scored = pairs.join(i, "issue").select("key", "issue", name_score(F.col("text"), F.col("name")).alias("score")).filter(F.col("score") >= least)
+    best = scored.groupBy("key").agg(F.min_by(F.struct("issue", "score"), F.struct(-F.col("score"), "issue")).alias("b"))
+    return best.select("key", "b.issue", "b.score")
 
 
 def slim(records: DataFrame, keys: Sequence[str], attributes: str = "attributes", key: str = "id") -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import unit_hash
 from .joins import with_row
 from .metrics import ranking_metrics
-from .ranking import running
+from .ranking import numbered, running
+
+#: Strata up to which their sizes are broadcast.
+STRATA = 100_000
 
 
 def _pick(seed: str, slot: Column, n: Column) -> Column:
@@ -64,13 +67,18 @@ def bootstrap_error(rows: DataFrame, key: str, value: str, draws: int, seed: str
     With a ``stratum`` rows are drawn within each of its values, and a draw's
     mean is the mean of theirs.
     """
-    if stratum is None:
-        means = group_draws(rows, key, draws, seed).join(rows, key).groupBy("draw").agg(F.avg(value).alias("m"))
-        return means.agg(F.stddev_samp("m").alias("standard_error"))
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(stratum)))
-    slots = numbered.select(stratum, F.col("_i").alias("slot"), "_n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.withColumn("_i", _pick(seed, F.concat_ws(":", F.col("draw").cast("string"), F.col(stratum).cast("string"), F.col("slot").cast("string")), F.col("_n")))
-    means = picked.join(numbered.select(stratum, "_i", value), [stratum, "_i"]).groupBy("draw", stratum).agg(F.avg(value).alias("m")).groupBy("draw").agg(F.avg("m").alias("m"))
+    by = [stratum] if stratum else []
+    counted = numbered(rows.select(*by, key, value), [F.col(key)], "_i", by).withColumn("_i", F.col("_i") - 1)
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("_n"))
+    slots = counted.select(*by, F.col("_i").alias("slot"))
+    slots = (slots.join(F.broadcast(sizes) if sizes.count() <= STRATA else sizes, by) if by else with_row(slots, sizes)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picked = slots.withColumn("_i", _pick(seed, F.concat_ws(":", F.col("draw").cast("string"), *[F.col(c).cast("string") for c in by], F.col("slot").cast("string")), F.col("_n")))
+    # how often each row is drawn meets its value once per draw
+    times = picked.groupBy("draw", *by, "_i").agg(F.count("*").alias("_times"))
+    known = counted.filter(F.col(value).isNotNull()).select(*by, "_i", F.col(value).cast("double").alias("_v"))
+    means = times.join(known, [*by, "_i"]).groupBy("draw", *by).agg((F.sum(F.col("_times") * F.col("_v")) / F.sum("_times")).alias("m"))
+    if by:
+        means = means.groupBy("draw").agg(F.avg("m").alias("m"))
     return means.agg(F.stddev_samp("m").alias("standard_error"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, sequence
-from ..operators import boosting, features, graph, heads, intervals, joins, metrics, ranking, records, resample, splits
+from ..operators import boosting, features, graph, heads, intervals, joins, membership, metrics, ranking, records, resample, splits
 from ..sources import indexed
 from ..storage import shared_folder
 from ..storage import table as t
@@ -847,3 +847,18 @@ def indexed_ranges(spark, d):
     start = F.col("item_id") * 7 % n
     wanted = rows.select(F.col("item_id").alias("id"), "contig", (start + 1).alias("start"), F.least(n, start + 40).alias("stop"))
     return indexed.fetch_ranges(indexed.build_index(spark, folder), wanted).select(F.col("id").alias("item_id"), "start", "stop", "bases")
+
+
+@query("""SELECT s_suppkey AS key, c_custkey AS issue, 10 AS score FROM supplier JOIN customer ON split_part(s_name, '#', 2) = split_part(c_name, '#', 2)""")
+def best_cover(spark, d):
+    """Every supplier's name looked for in all customers' names: they share numbers, and a word that says nothing."""
+    p = t(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    return records.best_cover(p, t(spark, d, "customer").select(F.col("c_custkey").alias("issue"), F.col("c_name").alias("title")))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1""")
+def member_unions(spark, d):
+    """Parts by return flag, as unions of the bitmaps of each flag and line number."""
+    rows = t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_partkey")
+    maps = membership.bitmaps(rows, ["l_returnflag", "l_linenumber"], "l_partkey", membership.dictionary(rows, "l_partkey"))
+    return membership.sizes(membership.unions(maps, ["l_returnflag"]), ["l_returnflag"])

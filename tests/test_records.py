@@ -29,3 +29,58 @@ def test_datasets_and_issues(spark):
     i = spark.createDataFrame([(1, "Please run ESM2 on assay 7 soon", "x <!-- key: k9 -->"), (2, "ESM2 elsewhere", "<!-- key: old2 -->"), (3, "nothing", None)], "issue int, title string, body string")
     assert sorted(r["key"] for r in records.unfiled(p, i).collect()) == ["k1", "k3"]
     assert [tuple(r) for r in records.best_cover(p, i).collect()] == [("k1", 1, 100)]
+
+
+def test_best_cover_equals_all_pairs(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    common, rare = ["model", "the", "score", "WGS", "SNV"], ["ESM2", "GPT4", "ClinVar2", "PP3", "BP4", "XGB", "DNABERT", "assay", "panel", "splice"]
+    names = [" ".join(rng.choice(common + rare * 2) for _ in range(rng.randint(1, 4))) for _ in range(60)] + ["", "model", "PP3"]
+    texts = [", ".join(rng.choice(common * 3 + rare) for _ in range(rng.randint(1, 9))).swapcase() for _ in range(80)] + [names[0], names[5] + "!", ""]
+
+    def normal(t):
+        return re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+
+    def holds(text, words):
+        return len(normal(words)) >= 3 and f" {normal(words)} " in f" {text} "
+
+    def score(text, name):
+        tokens = list(dict.fromkeys(w for w in re.split("[^A-Za-z0-9]+", name) if len(w) >= 3 and (re.search("[0-9]", w) or re.search("[A-Z].*[A-Z]", w))))
+        specific = [w for w in tokens if w.upper() not in ("WGS", "SNV")]
+        hits = sum(holds(text, w) for w in specific)
+        if holds(text, name):
+            return 100
+        return 10 * hits + sum(holds(text, w) for w in tokens if w not in specific) if specific and hits >= min(2, len(specific)) else 0
+
+    want = {}
+    for k, name in enumerate(names):
+        best = max(((score(normal(t), name), -i) for i, t in enumerate(texts)), default=(0, 0))
+        if best[0]:
+            want[k] = (-best[1], best[0])
+    p = spark.createDataFrame([*enumerate(names), (900, None), (None, "PP3 BP4")], "key int, name string").repartition(3)
+    i = spark.createDataFrame([*enumerate(texts), (900, None), (None, "PP3 BP4")], "issue int, title string").repartition(3)
+    assert {r["key"]: (r["issue"], r["score"]) for r in records.best_cover(p, i).collect()} == want and len(want) > 30
+
+
+def test_members_as_bitmaps(spark):
+    from gaugeframe.operators import membership
+
+    rng = __import__("random").Random(6)
+    edges = [("hot", f"m{j:06d}") for j in range(70_000)] + [(f"k{rng.randrange(8)}", f"m{rng.randrange(90_000):06d}") for _ in range(600)] + [("k1", None), (None, "m000001")] * 2
+    df = spark.createDataFrame(edges, "k string, m string").repartition(4)
+    numbers = membership.dictionary(df, "m")
+    maps = membership.bitmaps(df, ["k"], "m", numbers)
+    want = {}
+    for k, m in edges:
+        if m is not None:
+            want.setdefault(k, set()).add(m)
+    assert {r["k"]: r["n"] for r in membership.sizes(maps, ["k"]).collect()} == {k: len(v) for k, v in want.items()}
+    assert maps.filter("k = 'hot'").count() >= 2
+    grouped = maps.withColumn("g", maps["k"].startswith("k")).filter("k IS NOT NULL")
+    assert {r["g"]: r["n"] for r in membership.sizes(membership.unions(grouped, ["g"]), ["g"]).collect()} == {True: len(set().union(*(v for k, v in want.items() if k and k != "hot"))), False: 70_000}
+    few = grouped.filter("k IN ('k1', 'hot')").drop("g").selectExpr("1 AS g", "k", "bucket", "bits")
+    both = membership.shared(few, ["g"])
+    assert {r["m"] for r in membership.listed(both, ["g"], numbers, "m").collect()} == want["k1"] & want["hot"]
+    assert {(r["k"], r["m"]) for r in membership.listed(maps.filter("k LIKE 'k%'"), ["k"], numbers, "m").collect()} == {(k, m) for k, v in want.items() if k and k != "hot" for m in v}
