@@ -62,7 +62,7 @@ def test_values_equal_ridge(spark):
     x, _ = data(9)
     y = x @ np.arange(20) / 10 + 2
     entries, targets = tables(spark, x, y)
-    model = sparse.fit(entries, targets, "value", penalty=1.0, tolerance=1e-3)
+    model = sparse.fit(entries, targets, "value", penalty=1.0, tolerance=1e-5)
     c = x - x.mean(axis=0)
     w = np.linalg.solve(c.T @ c + np.eye(20), c.T @ (y - y.mean()))
     got = {r["row"]: r["score"] for r in sparse.scores(entries, targets, model).collect()}
