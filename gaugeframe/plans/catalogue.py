@@ -862,3 +862,72 @@ def member_unions(spark, d):
     rows = t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_partkey")
     maps = membership.bitmaps(rows, ["l_returnflag", "l_linenumber"], "l_partkey", membership.dictionary(rows, "l_partkey"))
     return membership.sizes(membership.unions(maps, ["l_returnflag"]), ["l_returnflag"])
+
+
+_TWO = """
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_extendedprice::DOUBLE / 1000 AS y, ('0x' || substr(sha256('0:' || l_orderkey), 1, 12))::BIGINT % 100 < 30 AS test,
+  ('0x' || substr(sha256('1:' || l_orderkey), 1, 12))::BIGINT % 100 < 20 AS held FROM lineitem),
+m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM s WHERE {rows}),
+c AS (SELECT sum((a - ma) ** 2) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((b - mb) ** 2) AS bb, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS yb FROM s, m WHERE {rows}),
+w AS (SELECT p, aa + p AS aa, ab, bb + p AS bb, (aa + p) * (bb + p) - ab * ab AS det, (ay * (bb + p) - yb * ab) / ((aa + p) * (bb + p) - ab * ab) AS wa, (yb * (aa + p) - ay * ab) / ((aa + p) * (bb + p) - ab * ab) AS wb
+  FROM c, (SELECT unnest([{penalties}]) AS p))
+"""
+
+
+def _two_columns(spark, d):
+    k = F.col("l_orderkey")
+    x = t(spark, d, "lineitem").select(k, "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double")).alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    return x.withColumns({"split": splits.hashed_split(k, "0"), "part": splits.hashed_split(k, "1", 20)})
+
+
+@query(_TWO.format(rows="NOT test", penalties="10.0e0") + "SELECT l_orderkey, l_linenumber, round(my + wa * (a - ma) + wb * (b - mb), 3) AS score FROM s, m, w WHERE test")
+def ridge_two_columns(spark, d):
+    x = _two_columns(spark, d)
+    w, b = heads.ridge(heads.moments(x.filter("split = 'train'"), "x", "y"), 10.0)
+    return heads.linear_scores(x.filter("split = 'test'"), "x", w, b).select("l_orderkey", "l_linenumber", F.round("score", 3).alias("score"))
+
+
+@query(
+    _TWO.format(rows="true", penalties="0.1e0, 10.0e0, 1000.0e0")
+    + "SELECT p AS alpha, round(avg(((y - my - wa * (a - ma) - wb * (b - mb)) / (1 - 1 / n::DOUBLE - ((a - ma) ** 2 * bb - 2 * (a - ma) * (b - mb) * ab + (b - mb) ** 2 * aa) / det)) ** 2), 6) AS mse FROM s, m, w GROUP BY p"
+)
+def ridge_left_out_two_columns(spark, d):
+    return spark.createDataFrame(heads.ridge_leave_one_out(_two_columns(spark, d), "x", "y", [0.1, 10.0, 1000.0]), "alpha double, mse double")
+
+
+@query(
+    _TWO.format(rows="NOT test AND NOT held", penalties="0.1e0, 100.0e0, 10000.0e0")
+    + "SELECT p AS alpha, round(wa, 6) AS quantity, round(wb, 6) AS discount, round(my - wa * ma - wb * mb, 6) AS intercept FROM (SELECT w.*, ma, mb, my, sum((y - my - wa * (a - ma) - wb * (b - mb)) ** 2) AS e FROM s, m, w WHERE NOT test AND held GROUP BY ALL) ORDER BY e, p LIMIT 1"
+)
+def ridge_validated_two_columns(spark, d):
+    train = _two_columns(spark, d).filter("split = 'train'")
+    alpha, w, b = heads.ridge_validated(train.filter("part = 'train'"), train.filter("part = 'test'"), "x", "y", [0.1, 100.0, 10000.0])
+    return spark.createDataFrame([(alpha, float(w[0]), float(w[1]), b)], "alpha double, quantity double, discount double, intercept double")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal FROM customer")
+def one_to_one_join(spark, d):
+    c = t(spark, d, "customer")
+    return joins.one_to_one(c.select("c_custkey", "c_name"), c.select("c_custkey", F.col("c_acctbal").cast("double")), "c_custkey")
+
+
+def _says(pattern: str) -> str:
+    return f"coalesce(regexp_matches(text, '{pattern}'), false)"
+
+
+@query(f"""
+SELECT conv_id, turn, coalesce(regexp_matches(regexp_replace(text, '{detectors.OTHER_CODE}', '', 'g'), '{detectors.RELEASED}'), false) AND NOT {_says(detectors.NO_RELEASE)} AS released, {_says(detectors.SCORE_OUTPUT)} AS scored,
+CASE WHEN {_says(detectors.DATA_CLOSED)} THEN 'closed' WHEN {_says(detectors.DATA_OPEN)} THEN 'open' ELSE 'unknown' END AS data, CASE WHEN {_says(detectors.GPU)} THEN TRY_CAST(regexp_extract(text, '{detectors.GPU_COUNT}', 1) AS INT) END AS gpus FROM conversations""")
+def conversation_statements(spark, d):
+    """What every turn of the conversations states."""
+    text = F.col("text")
+    return t(spark, d, "conversations").select("conv_id", "turn", detectors.released(text).alias("released"), detectors.says(text, detectors.SCORE_OUTPUT).alias("scored"), detectors.data_access(text, F.lit(None).cast("string")).alias("data"), detectors.gpu_count(text).alias("gpus"))
+
+
+@query(f"""
+SELECT doc_id, coalesce(regexp_matches(regexp_replace(text, '{detectors.OTHER_CODE}', '', 'g'), '{detectors.RELEASED}'), false) AND NOT {_says(detectors.NO_RELEASE)} AS released,
+CASE WHEN {_says(detectors.DATA_CLOSED)} THEN 'closed' WHEN {_says(detectors.DATA_OPEN)} THEN 'open' ELSE 'unknown' END AS data, {_says(detectors.PLACEHOLDER)} AS unfinished, CASE WHEN regexp_matches(text, '(?i)github\\.com/([^/\\s]+)/([^/\\s#?]+)') THEN true ELSE false END AS linked FROM documents""")
+def document_statements(spark, d):
+    """What every document states."""
+    text = F.col("text")
+    return t(spark, d, "documents").select("doc_id", detectors.released(text).alias("released"), detectors.data_access(text, F.lit(None).cast("string")).alias("data"), detectors.says(text, detectors.PLACEHOLDER).alias("unfinished"), detectors.repository(text).isNotNull().alias("linked"))
