@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, scalars, sequence
-from ..operators import boosting, features, graph, heads, intervals, joins, membership, metrics, ranking, records, resample, splits
+from ..operators import boosting, features, graph, heads, intervals, joins, membership, metrics, overlap, ranking, records, resample, splits
 from ..sources import indexed
 from ..storage import shared_folder
 from ..storage import table as t
@@ -931,3 +931,18 @@ def document_statements(spark, d):
     """What every document states."""
     text = F.col("text")
     return t(spark, d, "documents").select("doc_id", detectors.released(text).alias("released"), detectors.data_access(text, F.lit(None).cast("string")).alias("data"), detectors.says(text, detectors.PLACEHOLDER).alias("unfinished"), detectors.repository(text).isNotNull().alias("linked"))
+
+
+@query("""
+WITH b AS (SELECT item_id, text, length(text) AS n FROM benchmark WHERE text <> ''), k AS (SELECT *, CASE WHEN n < 127 THEN 0 ELSE (n - 127) // 62 + 1 END AS last FROM b),
+s AS (SELECT item_id, text, n, unnest(CASE WHEN n <= 64 THEN [0] ELSE list_concat(list_concat(list_transform(range(last + 1), lambda i: i * 31), list_transform(range(last + 1), lambda i: n - 64 - i * 31)), CASE WHEN 128 + 62 * last - n < 31 THEN [n // 2 - 32] ELSE [] END) END) AS start FROM k),
+c AS (SELECT item_id, n, start + i AS position, i, unicode(substr(text, (start + i + 1)::INT, 1)) + i % 7 AS v FROM s, range(64) r(i) WHERE start + i < n),
+w AS (SELECT item_id, position, v, CASE WHEN n <= 64 THEN 1 WHEN i BETWEEN 1 AND 16 THEN 1 / (1 + exp(-(i - 8.0e0))) WHEN i BETWEEN 46 AND 62 THEN 1 / (1 + exp(i - 62 + 8.0e0)) ELSE 1 END AS w FROM c)
+SELECT item_id, position, round(sum(w * v) / sum(w), 4) AS score FROM w GROUP BY 1, 2""")
+def overlapping_windows(spark, d):
+    """Every character of the benchmark, by windows of 64 and an adapter whose values depend on the place in the window."""
+
+    def adapter(windows):
+        return [[ord(c) + i % 7 for i, c in enumerate(w)] for w in windows]
+
+    return overlap.position_scores(t(spark, d, "benchmark"), "item_id", "text", adapter, 64).select("item_id", "position", F.round("score", 4).alias("score"))
