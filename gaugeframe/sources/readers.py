@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -241,3 +241,28 @@ def read_npz(spark: SparkSession, paths: str) -> DataFrame:
                     yield pd.DataFrame({"id": [str(i) for i in z["ids"]], "embedding": [e.astype(float).tolist() for e in z["embeddings"]]})
 
     return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "id string, embedding array<double>")
+
+
+def pinned(spark: SparkSession, folder: str, expected: Mapping[str, str]) -> DataFrame:
+    """The digests of a folder's files, which must be exactly those that ``expected`` names (path below the folder: sha256)."""
+    found = digests(spark, folder)
+    root = F.lit("/" + folder.removeprefix("file:").strip("/") + "/")
+    named = found.withColumn("name", F.when(F.startswith("path", root), F.substr("path", F.length(root) + 1)).otherwise(F.col("path")))
+    want = spark.createDataFrame(list(expected.items()), "name string, expected string")
+    wrong = named.join(want, "name", "full_outer").filter(~F.col("sha256").eqNullSafe(F.col("expected")))
+    bad = wrong.select("name", F.when(F.col("expected").isNull(), "unexpected").when(F.col("sha256").isNull(), "missing").otherwise("changed").alias("how")).orderBy("name").limit(20).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['name']} is {r['how']}" for r in bad))
+    return named.select("path", "size", "sha256")
+
+
+def complete_embeddings(rows: DataFrame, embeddings: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """``embeddings``, if they have exactly the keys of ``rows``, each once, and vectors of one dimension with finite numbers only; else refused."""
+    v = F.col(f"`{vector}`").cast("array<double>")
+    sides = rows.select(F.col(key).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(embeddings.select(F.col(key).alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    n = sides.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).agg(F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("missing"), F.count_if((F.col("a") == 0) & (F.col("b") > 0)).alias("unknown"), F.count_if(F.col("b") > 1).alias("twice")).first()
+    fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(finite(x), F.lit(False))), F.lit(False))
+    q = embeddings.agg(F.count_if(~fine).alias("bad"), F.min(F.size(v)).alias("least"), F.max(F.size(v)).alias("most")).first()
+    if n["missing"] or n["unknown"] or n["twice"] or q["bad"] or q["least"] != q["most"]:
+        raise ValueError(f"{n['missing']} ids without a vector, {n['unknown']} vectors of unknown ids, {n['twice']} ids repeat, {q['bad']} vectors are empty or not finite, dimensions from {q['least']} to {q['most']}")
+    return embeddings

@@ -71,3 +71,27 @@ def write_cohort(rows: DataFrame, path: str, columns: list[str]) -> None:
         raise ValueError(f"{bad} rows hold a tab or a line break")
     text = F.concat(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit("\r"))
     rows.select(text.alias("value")).write.mode("errorifexists").text(path)
+
+
+def gene_span_lines(lines: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``gene, kind, start, value``: gene-table lines of the chosen transcripts.
+
+    ``lines`` has the lines as ``value``; ``transcripts`` has ``gene,
+    transcript, start, stop``.  The line of a gene gets the span of its
+    transcript; lines of the transcript and its exons stay as they are.
+    """
+    c = F.split("value", "\t")
+
+    def attribute(name: str):
+        return F.regexp_extract(F.get(c, F.lit(8)), rf'\b{name} "([^"]*)"', 1)
+
+    rows = lines.filter(~F.col("value").startswith("#")).select("value", F.get(c, F.lit(2)).alias("kind"), F.get(c, F.lit(3)).try_cast("int").alias("at"), attribute("gene_id").alias("gene"), attribute("transcript_id").alias("of")).filter(F.col("kind").isin("gene", "transcript", "exon"))
+    j = rows.join(transcripts.select("gene", "transcript", "start", "stop"), "gene").filter((F.col("kind") == "gene") | (F.col("of") == F.col("transcript")))
+    spanned = F.concat_ws("\t", F.slice(c, 1, 3), F.col("start").cast("string"), F.col("stop").cast("string"), F.slice(c, 6, 1 << 30))
+    return j.select("gene", "kind", F.col("at").alias("start"), F.when(F.col("kind") == "gene", spanned).otherwise(F.col("value")).alias("value"))
+
+
+def write_gene_spans(lines: DataFrame, transcripts: DataFrame, path: str) -> None:
+    """These lines by gene, each gene before its transcript and that before its exons, as text parts in order."""
+    rank = F.when(F.col("kind") == "gene", 0).when(F.col("kind") == "transcript", 1).otherwise(2)
+    gene_span_lines(lines, transcripts).orderBy("gene", rank, "start", "value").select("value").write.mode("errorifexists").text(path)
