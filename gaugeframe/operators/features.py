@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_number
-from ..functions.sequence import clipped, kmer_frequencies, words_of
+from ..functions.sequence import clipped, composition, kmer_frequencies, words_of
 
 #: Regions of an assay window (fixed values).
 REGIONS = ("exon", "upstr_intron", "downstr_intron")
@@ -39,3 +39,10 @@ def variant_features(rows: DataFrame, name: str = "features") -> DataFrame:
     scalars += _one_of(F.col("region"), REGIONS) + _one_of(F.col("ref_allele"), BASES) + _one_of(F.col("alt_allele"), BASES)
     vector = F.concat(F.array(*scalars), words)
     return rows.withColumn(name, F.when((at >= 0) & (at < F.length(sequence)), vector))
+
+
+def paired_composition(rows: DataFrame, alphabet: str = "ACGT", reference: str = "reference_sequence", mutant: str = "mutant_sequence", constant: bool = False, name: str = "features") -> DataFrame:
+    """``rows`` with a struct ``reference, mutant`` of the compositions of two sequences; ``constant`` gives a zero for each, which tests a head without any sequence."""
+    sides = {"reference": reference, "mutant": mutant}
+    made = [(F.array(F.lit(0.0)) if constant else composition(F.col(c), alphabet)).alias(k) for k, c in sides.items()]
+    return rows.withColumn(name, F.struct(*made))

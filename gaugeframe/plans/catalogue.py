@@ -946,3 +946,13 @@ def overlapping_windows(spark, d):
         return [[ord(c) + i % 7 for i, c in enumerate(w)] for w in windows]
 
     return overlap.position_scores(t(spark, d, "benchmark"), "item_id", "text", adapter, 64).select("item_id", "position", F.round("score", 4).alias("score"))
+
+
+@query(f"""
+WITH s AS (SELECT item_id, unnest([{{'side': 'reference', 's': {_BASES}}}, {{'side': 'mutant', 's': translate({_BASES}, 'AC', 'CG')}}]) AS x FROM benchmark), p AS (SELECT item_id, x.side, x.s FROM s)
+SELECT item_id, side, round(ln(1 + length(s)), 6) AS log_length, round(coalesce((length(s) - length(replace(s, 'C', ''))) / nullif(length(s), 0)::DOUBLE, 0), 6) AS share_c, round(coalesce(length(regexp_replace(s, '[ACGT]', '', 'g')) / nullif(length(s), 0)::DOUBLE, 0), 6) AS share_other FROM p""")
+def paired_composition(spark, d):
+    """Both sequences of a pair, the second with other bases."""
+    x = features.paired_composition(t(spark, d, "benchmark").select("item_id", _bases("text").alias("reference_sequence"), F.translate(_bases("text"), "AC", "CG").alias("mutant_sequence")))
+    sides = x.select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"features.{k}").alias("v")) for k in ("reference", "mutant")])).alias("x")).select("item_id", "x.*")
+    return sides.select("item_id", "side", *[F.col("v")[i].alias(n) for i, n in ((0, "log_length"), (2, "share_c"), (5, "share_other"))])

@@ -46,7 +46,7 @@ def read_predictions(spark: SparkSession, path: str, sep: str = "\t", key: str =
 def read_prediction_document(spark: SparkSession, path: str) -> DataFrame:
     """``id, score, reason`` from JSON documents that map ids to a number, or to an object with ``score`` or ``reason``.
 
-    A repeated id and a value of neither form are refused.  A document is one row
+    A repeated id, a key that a value repeats and a value of neither form are refused.  A document is one row
     of one task.
     """
     t = spark.read.text(path, wholetext=True)
@@ -55,6 +55,10 @@ def read_prediction_document(spark: SparkSession, path: str) -> DataFrame:
     if twice["n"] or twice["broken"]:
         raise ValueError(f"{twice['n']} ids repeat, {twice['broken']} files hold no object")
     rows = t.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "v"))
+    inner = F.json_object_keys("v")
+    again = rows.agg(F.count_if(F.size(inner) > F.size(F.array_distinct(inner))).alias("n")).first()["n"]
+    if again:
+        raise ValueError(f"the keys of {again} values repeat")
     whole = F.get_json_object("v", "$.score")
     score = F.coalesce(F.col("v").try_cast("double"), whole.try_cast("double"))
     out = rows.select("id", F.when(finite(score), score).alias("score"), F.get_json_object("v", "$.reason").alias("reason"))

@@ -144,7 +144,7 @@ def test_new_readers(spark, tmp_path):
     p = tmp_path / "p.json"
     p.write_text(json.dumps({"a": 0.5, "b": {"score": 2}, "c": {"reason": "no model"}}))
     assert {r["id"]: (r["score"], r["reason"]) for r in readers.read_prediction_document(spark, str(p)).collect()} == {"a": (0.5, None), "b": (2.0, None), "c": (None, "no model")}
-    for bad in ('{"a": 1, "a": 2}', '{"a": null}', '{"a": "x"}', "[1]"):
+    for bad in ('{"a": 1, "a": 2}', '{"a": {"score": 1, "score": 2}}', '{"a": null}', '{"a": "x"}', "[1]"):
         p.write_text(bad)
         with pytest.raises(ValueError):
             readers.read_prediction_document(spark, str(p)).collect()
