@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.detectors import UNREPORTED, distinctive, is_common, name_score, readiness
+from ..functions.detectors import DATA_OPEN, UNREPORTED, data_access, distinctive, is_common, name_score, readiness, says
 from ..functions.scalars import normal_text
 from ..storage import materialise
 from .ranking import numbered
@@ -225,3 +225,52 @@ def missing_evidence(subjects: DataFrame, evidence: DataFrame, proxies: DataFram
     """Subjects that no evidence row names, with ``proxies``, the distinct studies of their proxy rows (``key, study``)."""
     counts = proxies.groupBy(key).agg(F.count_distinct("study").alias("proxies"))
     return without_evidence(subjects, evidence, key).join(counts, key, "left").withColumn("proxies", F.coalesce("proxies", F.lit(0)))
+
+
+def verification_gaps(evidence: DataFrame, rankings: DataFrame, benchmarks: DataFrame, own: str, independent: Sequence[str]) -> DataFrame:
+    """``system, benchmark, use_cases, flags, studies, protocols, rankings``: systems whose rank rests on one study, or on no independent result.
+
+    ``evidence`` has ``use_case, system, study, origin``, ``rankings`` ``use_case,
+    protocol, system`` and ``benchmarks`` ``protocol, benchmark`` (a protocol
+    without one stands for itself).  A use case flags a ranked system
+    ``single-study`` if all its evidence is of one study and not all of the
+    origin ``own``, and ``no-independent`` if none has an independent origin.
+    The gap is about the benchmark that has most of the system's rankings in the
+    use case, the smallest of equals; several use cases may share a gap.
+    """
+    stats = evidence.groupBy("use_case", "system").agg(F.count_distinct("study").alias("_studies"), F.coalesce(F.bool_and(F.col("origin") == own), F.lit(False)).alias("_own"), F.coalesce(F.bool_or(F.col("origin").isin(*independent)), F.lit(False)).alias("_free"))
+    single = F.when((F.col("_studies") == 1) & ~F.col("_own"), "single-study")
+    flagged = stats.withColumn("_flags", F.array_compact(F.array(single, F.when(~F.col("_free"), "no-independent")))).filter(F.size("_flags") > 0).select("use_case", "system", "_flags")
+    ranked = rankings.select("use_case", "protocol", "system").distinct().join(benchmarks.select("protocol", "benchmark").distinct(), "protocol", "left").withColumn("benchmark", F.coalesce("benchmark", "protocol"))
+    held = ranked.join(flagged, ["use_case", "system"]).groupBy("use_case", "system", "benchmark").agg(F.count("*").alias("_n"), F.first("_flags").alias("_flags"))  # one value per group
+    chosen = held.groupBy("use_case", "system").agg(F.min_by(F.struct("benchmark", "_flags"), F.struct(-F.col("_n"), "benchmark")).alias("c")).select("use_case", "system", "c.benchmark", "c._flags")
+    gap = ["system", "benchmark"]
+    facts = chosen.groupBy(*gap).agg(F.array_sort(F.collect_set("use_case")).alias("use_cases"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_flags"))), lambda a, b: F.when(a == b, 0).when(a == "single-study", -1).otherwise(1)).alias("flags"))
+    studies = chosen.join(evidence, ["use_case", "system"]).groupBy(*gap).agg(F.count_distinct("study").alias("studies"))
+    protocols = chosen.join(ranked, ["use_case", *gap]).select(*gap, "protocol").distinct()
+    counts = protocols.join(ranked.select("use_case", "system", "protocol"), ["system", "protocol"]).groupBy(*gap).agg(F.array_sort(F.collect_set("protocol")).alias("protocols"), F.count("*").alias("rankings"))
+    return facts.join(studies, gap).join(counts, gap)
+
+
+def obtainable_data(gaps: DataFrame, statements: DataFrame, recipes: DataFrame, same: DataFrame) -> DataFrame:
+    """``gap, state, record``: whether the data of a run can be had, and the record that decides.
+
+    ``gaps`` has ``gap, record, is_data``, the records of a run (its datasets and
+    what it is about); ``statements`` has ``record, access, notes``; ``recipes``
+    has ``gap, ready`` (boolean); ``same`` has ``src, dst``, records of equal
+    data.  A closed statement wins (``closed``; the smallest record), then a
+    recipe that is ready (``recipe``), then ``open`` if every dataset, or one of
+    equal data, says where it is.  Else it is ``unknown``: the record is the
+    first dataset without a source, or null without datasets.
+    """
+    said = statements.groupBy("record").agg(F.bool_or(data_access(F.col("access"), F.col("notes")) == "closed").alias("_closed"), F.bool_or(says(F.col("access"), DATA_OPEN)).alias("_open"))
+    rows = gaps.groupBy("gap", "record").agg(F.bool_or("is_data").alias("is_data")).join(said, "record", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_closed", "_open")})
+    both = same.select("src", "dst").unionByName(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    twins = both.join(said.filter("_open"), F.col("dst") == F.col("record"), "left_semi").select(F.col("src").alias("record"), F.lit(True).alias("_twin")).distinct()
+    rows = rows.join(twins, "record", "left").withColumn("_found", F.col("_open") | F.coalesce("_twin", F.lit(False)))
+    per = rows.groupBy("gap").agg(F.min(F.when(F.col("_closed"), F.col("record"))).alias("_shut"), F.min(F.when(F.col("is_data"), F.col("record"))).alias("_data"), F.min(F.when(F.col("is_data") & ~F.col("_found"), F.col("record"))).alias("_lost"))
+    ready = recipes.groupBy("gap").agg(F.bool_or("ready").alias("_ready"))
+    out = per.join(ready, "gap", "left")
+    has_recipe = F.coalesce("_ready", F.lit(False))
+    state = F.when(F.col("_shut").isNotNull(), "closed").when(has_recipe, "recipe").when(F.col("_data").isNotNull() & F.col("_lost").isNull(), "open").otherwise("unknown")
+    return out.select("gap", state.alias("state"), F.when(F.col("_shut").isNotNull(), F.col("_shut")).when(has_recipe, None).otherwise(F.coalesce("_lost", "_data")).alias("record"))

@@ -956,3 +956,23 @@ def paired_composition(spark, d):
     x = features.paired_composition(t(spark, d, "benchmark").select("item_id", _bases("text").alias("reference_sequence"), F.translate(_bases("text"), "AC", "CG").alias("mutant_sequence")))
     sides = x.select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"features.{k}").alias("v")) for k in ("reference", "mutant")])).alias("x")).select("item_id", "x.*")
     return sides.select("item_id", "side", *[F.col("v")[i].alias(n) for i, n in ((0, "log_length"), (2, "share_c"), (5, "share_other"))])
+
+
+@query("""
+WITH e AS (SELECT l_orderkey // 16 AS use_case, l_suppkey % 7 AS system, l_returnflag AS study, l_linestatus AS origin, l_linenumber AS protocol FROM lineitem),
+st AS (SELECT use_case, system, count(DISTINCT study) AS studies, bool_and(origin = 'F') AS own, bool_or(origin = 'O') AS free FROM e GROUP BY 1, 2),
+f AS (SELECT use_case, system, studies = 1 AND NOT own AS single, NOT free AS alone FROM st WHERE (studies = 1 AND NOT own) OR NOT free),
+r AS (SELECT DISTINCT use_case, protocol, system, protocol % 3 AS benchmark FROM e),
+h AS (SELECT use_case, system, benchmark, count(*) AS n FROM r JOIN f USING (use_case, system) GROUP BY 1, 2, 3),
+c AS (SELECT use_case, system, benchmark FROM h QUALIFY row_number() OVER (PARTITION BY use_case, system ORDER BY n DESC, benchmark) = 1),
+g AS (SELECT c.system, c.benchmark, count(DISTINCT c.use_case) AS use_cases, bool_or(f.single) AS single, bool_or(f.alone) AS alone FROM c JOIN f ON f.use_case = c.use_case AND f.system = c.system GROUP BY 1, 2),
+s AS (SELECT c.system, c.benchmark, count(DISTINCT e.study) AS studies FROM c JOIN e ON e.use_case = c.use_case AND e.system = c.system GROUP BY 1, 2),
+p AS (SELECT DISTINCT c.system, c.benchmark, r.protocol FROM c JOIN r ON r.use_case = c.use_case AND r.system = c.system AND r.benchmark = c.benchmark),
+k AS (SELECT p.system, p.benchmark, count(*) AS rankings FROM p JOIN r ON r.system = p.system AND r.protocol = p.protocol GROUP BY 1, 2)
+SELECT g.system, g.benchmark, g.use_cases, g.single, g.alone, s.studies, k.rankings FROM g JOIN s ON s.system = g.system AND s.benchmark = g.benchmark JOIN k ON k.system = g.system AND k.benchmark = g.benchmark""")
+def verification_gaps(spark, d):
+    """Suppliers in seven groups as systems, stretches of orders as use cases, return flags as studies and line numbers as protocols."""
+    e = t(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 16).alias("use_case"), (F.col("l_suppkey") % 7).alias("system"), F.col("l_returnflag").alias("study"), F.col("l_linestatus").alias("origin"), F.col("l_linenumber").alias("protocol"))
+    found = records.verification_gaps(e, e, e.select("protocol", (F.col("protocol") % 3).alias("benchmark")), "F", ["O"])
+    has = [F.array_contains("flags", x).alias(n) for n, x in (("single", "single-study"), ("alone", "no-independent"))]
+    return found.select("system", "benchmark", F.size("use_cases").cast("bigint").alias("use_cases"), *has, "studies", "rankings")

@@ -84,3 +84,26 @@ def test_members_as_bitmaps(spark):
     both = membership.shared(few, ["g"])
     assert {r["m"] for r in membership.listed(both, ["g"], numbers, "m").collect()} == want["k1"] & want["hot"]
     assert {(r["k"], r["m"]) for r in membership.listed(maps.filter("k LIKE 'k%'"), ["k"], numbers, "m").collect()} == {(k, m) for k, v in want.items() if k and k != "hot" for m in v}
+
+
+def test_verification_gaps(spark):
+    evidence = [("u1", "A", "s1", "paper"), ("u1", "A", "s1", "paper"), ("u1", "B", "s1", "own"), ("u1", "C", "s1", "third"), ("u1", "C", "s2", "third"), ("u2", "A", "s3", "paper"), ("u2", "A", "s4", "third"), ("u3", "A", "s5", "paper"), ("u3", "A", "s6", None)]
+    rankings = [("u1", "p1", "A"), ("u1", "p2", "A"), ("u1", "p3", "A"), ("u1", "p4", "A"), ("u1", "p1", "B"), ("u1", "p1", "C"), ("u3", "p3", "A"), ("u2", "p2", "A")]
+    got = records.verification_gaps(
+        spark.createDataFrame(evidence, "use_case string, system string, study string, origin string"), spark.createDataFrame(rankings, "use_case string, protocol string, system string"),
+        spark.createDataFrame([("p1", "b2"), ("p2", "b2"), ("p3", "b1"), ("p4", "b1")], "protocol string, benchmark string"), "own", ["third"],
+    )
+    assert {(r["system"], r["benchmark"]): tuple(r)[2:] for r in got.collect()} == {
+        ("A", "b1"): (["u1", "u3"], ["single-study", "no-independent"], 3, ["p3", "p4"], 3),
+        ("B", "b2"): (["u1"], ["no-independent"], 1, ["p1"], 1),
+    }
+
+
+def test_obtainable_data(spark):
+    gaps = [("g1", "d1", True), ("g1", "p", False), ("g2", "d2", True), ("g2", "d3", True), ("g3", "d4", True), ("g4", "p", False), ("g5", "d2", True), ("g5", "d4", True), ("g6", "d5", True)]
+    said = [("d1", "data on request", None), ("d2", "https://example.org/x", None), ("d6", "Zenodo", None), ("d4", "somewhere", None), ("p", None, "The code is not public. Fine."), ("d5", "GSE123", "The reads are not publicly available.")]
+    got = records.obtainable_data(
+        spark.createDataFrame(gaps, "gap string, record string, is_data boolean"), spark.createDataFrame(said, "record string, access string, notes string"),
+        spark.createDataFrame([("g3", True), ("g1", True), ("g5", False)], "gap string, ready boolean"), spark.createDataFrame([("d6", "d3")], "src string, dst string"),
+    )
+    assert {r["gap"]: (r["state"], r["record"]) for r in got.collect()} == {"g1": ("closed", "d1"), "g2": ("open", "d2"), "g3": ("recipe", None), "g4": ("unknown", None), "g5": ("unknown", "d4"), "g6": ("closed", "d5")}
