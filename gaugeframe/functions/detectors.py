@@ -28,6 +28,7 @@ NUMBER_WORDS = (
     r"(?i)\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|"
     r"hundreds?|thousands?|millions?|dozens?|half|halves|thirds|quarters?|twice|percent|per cent|zero)\b"
 )
+TWO_OF_THEM = r"(?i)\b(?:the|both|these|those) two (?:systems|models|methods|tools|sides|studies)\b|\btwo-study\b"
 COMMON_WORDS = (
     "WGS WES WXS CNV CNVS SNV SNVS SNP SNPS INDEL INDELS SV SVS GIAB DNA RNA CDNA CFDNA CTDNA NGS PCR AUC AUROC AUPRC ROC MCC VCF BAM GRCH37 GRCH38 HG19 HG38 "
     "CLINVAR GNOMAD HGMD DBSNP ENCODE GTEX TCGA COSMIC ONCOKB OMIM HPO"
@@ -139,8 +140,21 @@ def cites(text: Column, identifier: Column) -> Column:
 
 
 def stray_numbers(text: Column, names: Column) -> Column:
-    """Numbers and number words of a text outside the given names, once each."""
-    rest = F.aggregate(F.array_sort(names, lambda a, b: F.length(b) - F.length(a)), text, lambda t, n: F.replace(t, n, F.lit(" ")))
+    """Numbers and number words of a text, once each, outside the given names that hold a digit, their words, and phrases such as "the two systems".
+
+    A name's word counts if it has a digit and a letter, or is a year, and only
+    as a whole word.  Longer names and words go first.
+    """
+
+    def longest_first(items: Column) -> Column:
+        return F.array_sort(items, lambda a, b: F.length(b) - F.length(a))
+
+    numbered = F.filter(names, lambda n: n.rlike("[0-9]"))
+    words = F.transform(F.flatten(F.transform(numbered, lambda n: F.split(n, r"[\s,;:()\[\]/]+"))), lambda w: F.regexp_replace(w, r"""^[.'"]+|[.'"]+$""", ""))
+    words = F.array_distinct(F.filter(words, lambda w: (w.rlike("[0-9]") & w.rlike("[A-Za-z]")) | w.rlike(r"^(?:19|20)\d\d$")))
+    rest = F.aggregate(longest_first(numbered), text, lambda t, n: F.replace(t, n, F.lit(" ")))
+    rest = F.aggregate(longest_first(words), rest, lambda t, w: F.regexp_replace(t, F.concat(F.lit(r"(?<![\w.-])\Q"), w, F.lit(r"\E(?![\w-])")), F.lit(" ")))
+    rest = F.regexp_replace(rest, TWO_OF_THEM, " ")
     return F.array_distinct(F.concat(F.regexp_extract_all(rest, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), F.regexp_extract_all(rest, F.lit(NUMBER_WORDS), F.lit(0))))
 
 
