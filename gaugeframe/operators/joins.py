@@ -109,3 +109,21 @@ def one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     if bad["alone"] or bad["twice"]:
         raise ValueError(f"{bad['alone']} keys are on one side alone or null, {bad['twice']} repeat")
     return a.join(b, key)
+
+
+def contract_violations(reported: DataFrame, contract: DataFrame) -> DataFrame:
+    """``metric, value, problem`` of what a report breaks: each metric must come once, and no other, with a finite value in its bounds.
+
+    ``reported`` has ``metric, value``; ``contract`` has ``metric, low, high,
+    whole``; a null bound is none.  A metric with several problems has the first
+    of missing, unknown, repeated, not finite, out of bounds, not whole.
+    """
+    counts = reported.groupBy("metric").agg(F.count("*").alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("value").alias("_known"))
+    j = counts.withColumn("_in", F.lit(True)).join(contract.select("metric", "low", "high", "whole", F.lit(True).alias("_asked")), "metric", "full_outer")
+    v = F.col("_low")
+    infinite = F.isnan(v) | (F.abs(v) == float("inf"))
+    problem = (
+        F.when(F.col("_in").isNull(), "missing").when(F.col("_asked").isNull(), "unknown").when(F.col("_n") > 1, "repeated").when((F.col("_known") == 0) | infinite, "not finite")
+        .when((v < F.col("low")) | (v > F.col("high")), "out of bounds").when(F.col("whole") & (v != F.floor(v)), "not whole")
+    )
+    return j.select("metric", F.when(F.col("_n") == 1, v).alias("value"), problem.alias("problem")).filter("problem IS NOT NULL")

@@ -274,3 +274,32 @@ def obtainable_data(gaps: DataFrame, statements: DataFrame, recipes: DataFrame,
     has_recipe = F.coalesce("_ready", F.lit(False))
     state = F.when(F.col("_shut").isNotNull(), "closed").when(has_recipe, "recipe").when(F.col("_data").isNotNull() & F.col("_lost").isNull(), "open").otherwise("unknown")
     return out.select("gap", state.alias("state"), F.when(F.col("_shut").isNotNull(), F.col("_shut")).when(has_recipe, None).otherwise(F.coalesce("_lost", "_data")).alias("record"))
+
+
+def top_proxies(proxies: DataFrame, key: str, record: str, study: str, n: int = 3) -> DataFrame:
+    """``key, record, studies, place``: of each subject the ``n`` proxies with the most distinct studies, the smaller record of equals."""
+    counts = proxies.groupBy(key, record).agg(F.count_distinct(study).alias("studies"))
+    w = Window.partitionBy(key).orderBy(F.desc("studies"), record)
+    return counts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+#: What says that a record follows another (a fixed value).
+SUCCEEDS = r"(?i)\b(?:successor (?:to|of)|supersedes) (?:the )?([^.;\n]+)"
+
+
+def successors(systems: DataFrame, described: DataFrame, most_words: int = 8) -> DataFrame:
+    """``id, successor, how``: the later system that the records name for each system.
+
+    ``systems`` has ``id, name, superseded_by``; ``described`` has ``id, text``.
+    A recorded ``superseded_by`` comes first (``attribute``), then a record of
+    another id that ``supersedes`` the name or is its "successor to" or "of" it
+    (``text``; the smallest id).  A name has three characters at least and
+    ``most_words`` words at most, and stands there as whole words.
+    """
+    named = systems.select("id", normal_text(F.col("name")).alias("name")).filter(F.length("name") >= 3)
+    phrases = described.select(F.col("id").alias("by"), F.explode(F.regexp_extract_all("text", F.lit(SUCCEEDS), F.lit(1))).alias("phrase"))
+    words = F.split(normal_text(F.col("phrase")), " ")
+    starts = phrases.select("by", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most_words))), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("name")).distinct()
+    by_text = starts.join(named, "name").filter("by <> id").groupBy("id").agg(F.min("by").alias("_text"))
+    out = systems.groupBy("id").agg(F.min("superseded_by").alias("_attribute")).join(by_text, "id", "left").filter("_attribute IS NOT NULL OR _text IS NOT NULL")
+    return out.select("id", F.coalesce("_attribute", "_text").alias("successor"), F.when(F.col("_attribute").isNotNull(), "attribute").otherwise("text").alias("how"))

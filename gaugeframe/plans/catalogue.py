@@ -976,3 +976,23 @@ def verification_gaps(spark, d):
     found = records.verification_gaps(e, e, e.select("protocol", (F.col("protocol") % 3).alias("benchmark")), "F", ["O"])
     has = [F.array_contains("flags", x).alias(n) for n, x in (("single", "single-study"), ("alone", "no-independent"))]
     return found.select("system", "benchmark", F.size("use_cases").cast("bigint").alias("use_cases"), *has, "studies", "rankings")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey AS subject, l_partkey % 50 AS proxy, count(DISTINCT l_orderkey) AS studies FROM lineitem GROUP BY 1, 2)
+SELECT subject, proxy, studies, (row_number() OVER (PARTITION BY subject ORDER BY studies DESC, proxy))::INT AS place FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY studies DESC, proxy) <= 3""")
+def top_proxies(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("subject"), (F.col("l_partkey") % 50).alias("proxy"), F.col("l_orderkey").alias("study"))
+    return records.top_proxies(x, "subject", "proxy", "study")
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS metric, c_acctbal::DOUBLE AS value FROM customer WHERE c_custkey % 9 <> 0), k AS (SELECT c_custkey AS metric, CASE WHEN c_custkey % 3 > 0 THEN 0.0e0 END AS low, c_custkey % 2 = 0 AS whole FROM customer WHERE c_custkey % 11 <> 0)
+SELECT coalesce(r.metric, k.metric) AS metric, round(r.value, 6) AS value, CASE WHEN r.metric IS NULL THEN 'missing' WHEN k.metric IS NULL THEN 'unknown' WHEN r.value < k.low OR r.value > 5000 THEN 'out of bounds' ELSE 'not whole' END AS problem
+FROM r FULL JOIN k ON k.metric = r.metric WHERE r.metric IS NULL OR k.metric IS NULL OR r.value < k.low OR r.value > 5000 OR (k.whole AND r.value <> floor(r.value))""")
+def contract_violations(spark, d):
+    """Every customer's balance as a metric, and bounds that some lack."""
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer")
+    bounds = c.filter(k % 11 != 0).select(k.alias("metric"), F.when(k % 3 > 0, 0.0).alias("low"), F.lit(5000.0).alias("high"), (k % 2 == 0).alias("whole"))
+    return joins.contract_violations(c.filter(k % 9 != 0).select(k.alias("metric"), F.col("c_acctbal").cast("double").alias("value")), bounds)

@@ -107,3 +107,19 @@ def test_obtainable_data(spark):
         spark.createDataFrame([("g3", True), ("g1", True), ("g5", False)], "gap string, ready boolean"), spark.createDataFrame([("d6", "d3")], "src string, dst string"),
     )
     assert {r["gap"]: (r["state"], r["record"]) for r in got.collect()} == {"g1": ("closed", "d1"), "g2": ("open", "d2"), "g3": ("recipe", None), "g4": ("unknown", None), "g5": ("unknown", "d4"), "g6": ("closed", "d5")}
+
+
+def test_successors(spark):
+    systems = [("a", "Rhapsody", None), ("b", "Rhapsody 2", None), ("c", "Old One", "d"), ("d", "X", None), ("e", "AI", None), ("f", "Lone", None)]
+    text = [("b", "The successor to the Rhapsody, with more."), ("z", "It supersedes Rhapsody 2 and others; successor of Old One."), ("a", "Rhapsody is a successor of Rhapsody"), ("y", "supersedes Rhapsody-like tools"), ("x", "supersedes loneliness"), ("w", None), ("v", "successor to AI")]
+    got = records.successors(spark.createDataFrame(systems, "id string, name string, superseded_by string"), spark.createDataFrame(text, "id string, text string"))
+    assert {r["id"]: (r["successor"], r["how"]) for r in got.collect()} == {"a": ("b", "text"), "b": ("z", "text"), "c": ("d", "attribute")}
+
+
+def test_contracts(spark):
+    from gaugeframe.operators import joins
+
+    reported = [("a", 0.5), ("b", 2.0), ("c", 1.5), ("d", None), ("e", 1.0), ("e", 1.0), ("x", 1.0), ("f", float("nan")), ("g", -5.0), ("h", 3.0)]
+    contract = [("a", 0.0, 1.0, False), ("b", 0.0, 1.0, False), ("c", None, None, True), ("d", 0.0, 1.0, False), ("e", 0.0, 1.0, False), ("f", None, None, False), ("g", None, 0.0, True), ("h", 3.0, 3.0, True), ("m", None, None, False)]
+    got = joins.contract_violations(spark.createDataFrame(reported, "metric string, value double"), spark.createDataFrame(contract, "metric string, low double, high double, whole boolean"))
+    assert {r["metric"]: r["problem"] for r in got.collect()} == {"b": "out of bounds", "c": "not whole", "d": "not finite", "e": "repeated", "f": "not finite", "m": "missing", "x": "unknown"}
