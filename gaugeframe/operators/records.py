@@ -303,3 +303,37 @@ def successors(systems: DataFrame, described: DataFrame, most_words: int = 8) ->
     by_text = starts.join(named, "name").filter("by <> id").groupBy("id").agg(F.min("by").alias("_text"))
     out = systems.groupBy("id").agg(F.min("superseded_by").alias("_attribute")).join(by_text, "id", "left").filter("_attribute IS NOT NULL OR _text IS NOT NULL")
     return out.select("id", F.coalesce("_attribute", "_text").alias("successor"), F.when(F.col("_attribute").isNotNull(), "attribute").otherwise("text").alias("how"))
+
+
+def use_case_facts(use_cases: DataFrame, described: DataFrame, clinical: Sequence[str], first: Sequence[str], second: Sequence[str]) -> DataFrame:
+    """``id, title, slug, question, contexts, clinical, tier`` of every use case, completed from the record of its id.
+
+    ``use_cases`` has ``id, title, slug, question, contexts, area``, all but the
+    id nullable; ``described`` has ``id, name, description, contexts, areas,
+    tier``, one row per id.  The record's contexts, areas and tier come first,
+    the use case's own title, slug and question.
+    """
+    r = described.select("id", F.col("name").alias("_name"), F.col("description").alias("_text"), F.col("contexts").alias("_contexts"), F.col("areas").alias("_areas"), F.col("tier").alias("_tier"))
+    none = F.array().cast("array<string>")
+    contexts = F.when(F.size("_contexts") > 0, F.col("_contexts")).otherwise(F.coalesce("contexts", none))
+    areas = F.when(F.size("_areas") > 0, F.col("_areas")).otherwise(F.array_compact(F.array("area")))
+    found = F.coalesce(F.arrays_overlap(contexts, F.array(*[F.lit(c) for c in clinical])), F.lit(False))
+    return use_cases.join(r, "id", "left").select(
+        "id", F.coalesce("title", "_name", "id").alias("title"), F.coalesce("slug", F.regexp_replace("id", "^use-case-", "")).alias("slug"), F.coalesce("question", "_text", F.lit("")).alias("question"),
+        contexts.alias("contexts"), found.alias("clinical"), F.coalesce("_tier", tier(areas, first, second)).alias("tier"),
+    )
+
+
+def valued(gaps: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``gaps`` with ``value, bucket, per_gpu_hour``, what ``proposals`` ranks by.
+
+    ``gaps`` has ``gap, rankings, estimate`` (cpu, gpu or another word) and
+    ``gpu_hours``; ``members`` has ``gap, use_case``; ``facts`` has ``id,
+    clinical``.  The value is one more than the rankings, twice that if any use
+    case is clinical.
+    """
+    weight = members.join(facts.select(F.col("id").alias("use_case"), "clinical"), "use_case").groupBy("gap").agg(F.bool_or("clinical").alias("_clinical"))
+    value = F.when(F.coalesce("_clinical", F.lit(False)), 2).otherwise(1) * (1 + F.col("rankings"))
+    bucket = F.when(F.col("estimate") == "cpu", 0).when(F.col("estimate") == "gpu", 1).otherwise(2)
+    out = gaps.join(weight, "gap", "left").withColumns({"value": value, "bucket": bucket}).drop("_clinical")
+    return out.withColumn("per_gpu_hour", F.when((F.col("estimate") == "gpu") & (F.col("gpu_hours") > 0), F.col("value") / F.col("gpu_hours")))

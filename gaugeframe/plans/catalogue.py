@@ -996,3 +996,36 @@ def contract_violations(spark, d):
     c = t(spark, d, "customer")
     bounds = c.filter(k % 11 != 0).select(k.alias("metric"), F.when(k % 3 > 0, 0.0).alias("low"), F.lit(5000.0).alias("high"), (k % 2 == 0).alias("whole"))
     return joins.contract_violations(c.filter(k % 9 != 0).select(k.alias("metric"), F.col("c_acctbal").cast("double").alias("value")), bounds)
+
+
+_FACTS = """
+WITH u AS (SELECT c_custkey AS k, 'use-case-' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS title, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey END AS slug, c_mktsegment AS area FROM customer),
+f AS (SELECT k, id, coalesce(title, CASE WHEN k % 5 > 0 THEN 'R' || k END, id) AS title, coalesce(slug, k::VARCHAR) AS slug, CASE WHEN k % 5 > 0 AND k % 2 = 0 THEN 'clinic' ELSE 'own' END AS context,
+  CASE WHEN k % 5 > 0 AND k % 7 = 0 THEN 9 WHEN area = 'BUILDING' THEN 1 WHEN area = 'MACHINERY' THEN 2 ELSE 3 END AS tier FROM u)
+"""
+
+
+def _facts(spark, d):
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer")
+    name = F.concat(F.lit("use-case-"), k.cast("string"))
+    u = c.select(name.alias("id"), F.when(k % 3 == 0, F.col("c_name")).alias("title"), F.when(k % 4 == 0, F.concat(F.lit("s"), k.cast("string"))).alias("slug"), F.lit(None).cast("string").alias("question"), F.array(F.lit("own")).alias("contexts"), F.col("c_mktsegment").alias("area"))
+    r = c.filter(k % 5 != 0).select(name.alias("id"), F.concat(F.lit("R"), k.cast("string")).alias("name"), F.lit("text").alias("description"), F.when(k % 2 == 0, F.array(F.lit("clinic"))).alias("contexts"), F.array().cast("array<string>").alias("areas"), F.when(k % 7 == 0, 9).alias("tier"))
+    return records.use_case_facts(u, r, ["clinic"], ["BUILDING"], ["MACHINERY"])
+
+
+@query(_FACTS + "SELECT id, title, slug, context, context = 'clinic' AS clinical, tier FROM f")
+def use_case_facts(spark, d):
+    return _facts(spark, d).select("id", "title", "slug", F.col("contexts")[0].alias("context"), "clinical", "tier")
+
+
+@query(
+    _FACTS
+    + """, g AS (SELECT o_orderkey // 8 AS gap, count(*) % 3 AS rankings, min(o_orderkey) % 3 AS kind, round(sum(o_totalprice)::DOUBLE / 1000, 3) AS hours, bool_or(f.context = 'clinic') AS clinical FROM orders JOIN f ON f.k = o_custkey GROUP BY 1)
+SELECT gap, ((CASE WHEN clinical THEN 2 ELSE 1 END) * (1 + rankings))::BIGINT AS value, kind::INT AS bucket, CASE WHEN kind = 1 THEN round((CASE WHEN clinical THEN 2 ELSE 1 END) * (1 + rankings) / hours, 6) END AS per_gpu_hour FROM g"""
+)
+def valued_gaps(spark, d):
+    o = t(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("gap"), "o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("p"))
+    gaps = o.groupBy("gap").agg((F.count("*") % 3).alias("rankings"), F.element_at(F.array(F.lit("cpu"), F.lit("gpu"), F.lit("none")), (F.min("o_orderkey") % 3 + 1).cast("int")).alias("estimate"), F.round(F.sum("p") / 1000, 3).alias("gpu_hours"))
+    members = o.select("gap", F.concat(F.lit("use-case-"), F.col("o_custkey").cast("string")).alias("use_case"))
+    return records.valued(gaps, members, _facts(spark, d)).select("gap", F.col("value").cast("bigint").alias("value"), "bucket", "per_gpu_hour")
