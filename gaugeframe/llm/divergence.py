@@ -72,10 +72,14 @@ def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: Call
     _, example, group = np.unique(hashes, return_index=True, return_inverse=True)
     lengths = ends - starts
     same = lengths == lengths[example][group]
-    at = np.flatnonzero(same)
-    if len(at):
-        equal = data[_positions(starts[at], lengths[at])] == data[_positions(starts[example][group[at]], lengths[at])]
-        same[at] = np.logical_and.reduceat(equal, np.cumsum(lengths[at]) - lengths[at])
+    candidates = np.flatnonzero(same)
+    # some bytes at a time, as a text may be long
+    parts = np.searchsorted(np.cumsum(lengths[candidates]), np.arange(CHUNK_BYTES, int(lengths.sum()) + CHUNK_BYTES, CHUNK_BYTES), side="right")
+    for a, b in zip([0, *parts], [*parts, len(candidates)], strict=True):
+        at = candidates[a:b]
+        if len(at):
+            equal = data[_positions(starts[at], lengths[at])] == data[_positions(starts[example][group[at]], lengths[at])]
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(lengths[at]) - lengths[at])
     if not same.all():  # slices that share a hash with other bytes
         more: dict[bytes, int] = {}
         added = []

@@ -86,6 +86,16 @@ def test_slices_of_one_hash_are_told_apart():
         assert len(set(group.tolist())) == len(set(words))
 
 
+def test_long_texts_are_compared_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abc"), size=int(rng.integers(1, 9)))) for _ in range(3000)] + ["z" * 5000]
+    data, starts, ends, _ = divergence.boundaries(pa.array([" ".join(words)]))
+    for size in (1 << 21, 100, 7):
+        monkeypatch.setattr(divergence, "CHUNK_BYTES", size)
+        group, example = divergence.grouped(data, starts, ends, len)
+        assert [words[example[g]] for g in group] == words and len(example) == len(set(words))
+
+
 def test_terms_end_with_their_text():
     data, starts, ends, text = divergence.boundaries(pa.array(["ab", "cd", "", "e"]))
     assert [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"e"] and text.tolist() == [0, 1, 3]
