@@ -246,19 +246,20 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, block_
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = shared.value.codes(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c[:, i]) for i in range(words)]], names=["rep", *[f"c{i}" for i in range(words)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.int64()), pa.array([r.tobytes() for r in c], pa.binary())], names=["rep", "query", "code"])
 
     table_rows = index.mapInArrow(index_rows, "rep bigint, key bigint")
-    codes = index.mapInArrow(coded, ", ".join(["rep bigint", *[f"c{i} bigint" for i in range(words)]]))
+    codes = index.mapInArrow(coded, "rep bigint, query bigint, code binary")
     found = []
     for b in range(blocks):
         block = queries.filter(F.col("block") == b).select("rep", "embedding")
         asks = block.toArrow()  # at most about block_queries rows
         of_block = spark.sparkContext.broadcast((asks["rep"].to_numpy(), _matrix(asks["embedding"]) if len(asks) else np.zeros((0, length["n"]))))
-        pairs = block.mapInArrow(probe_rows, "query bigint, key bigint").join(table_rows, "key").select("query", "rep").distinct()
-        query_codes = F.broadcast(codes.join(block.select("rep"), "rep", "left_semi").select(F.col("rep").alias("query"), *[F.col(f"c{i}").alias(f"q{i}") for i in range(words)]))
-        apart = sum((F.bit_count(F.col(f"c{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(words)), F.lit(0))
-        near = pairs.join(codes, "rep").join(query_codes, "query").filter(apart <= model.radius).select("query", "rep").join(index, "rep")
+        of_codes = spark.sparkContext.broadcast(model.codes(of_block.value[1]) if len(asks) else np.zeros((0, words), np.int64))
+        pairs = block.mapInArrow(probe_rows, "query bigint, key bigint").join(table_rows, "key").select("rep", "query", F.lit(None).cast("binary").alias("code"))
+        # a vector's code comes before the queries that found it, so what is out of reach ends here, repeats too
+        met = codes.unionByName(pairs).repartition("rep").sortWithinPartitions("rep", F.col("query").asc_nulls_first())
+        near = met.mapInArrow(_within(of_block, of_codes, model.radius), "query bigint, rep bigint").join(index, "rep")
         scored = materialise(_top(near.mapInArrow(_score_pairs(of_block, k), "query bigint, rep bigint, score double"), k))
         # a query needs k + 1 vectors (its own among them), or as many as there are
         short = block.select("rep").join(scored.groupBy(F.col("query").alias("rep")).count().filter(F.col("count") >= min(k + 1, size)), "rep", "left_anti")
@@ -287,6 +288,36 @@ def _rows(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(query), pa.array(rep), pa.array(score)], names=["query", "rep", "score"])
 
 
+def _within(of_block, of_codes, radius: int):
+    """Pairs within the Hamming radius, once each, of rows sorted by vector, each vector's code first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, _ = of_block.value
+        order = np.argsort(ids)
+        asked = of_codes.value.view(np.uint64)
+        code, last = np.zeros((1, asked.shape[1]), np.uint64), (0, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep = batch.column(0).to_numpy()
+            heads = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            # codes of this batch, after the one that is still open
+            code = np.concatenate([code[-1:], np.frombuffer(b"".join(batch.column(2).drop_null().to_pylist()), np.uint64).reshape(-1, asked.shape[1])])
+            of = np.cumsum(heads)
+            at = np.flatnonzero(~heads)
+            query = batch.column(1).drop_null().to_numpy()
+            if not len(at):
+                continue
+            again = np.r_[(int(rep[at[0]]), int(query[0])) == last, (rep[at[1:]] == rep[at[:-1]]) & (query[1:] == query[:-1])]
+            last = (int(rep[at[-1]]), int(query[-1]))
+            at, query = at[~again], query[~again]
+            bits = np.bitwise_count(code[of[at]] ^ asked[order[np.searchsorted(ids[order], query)]]).sum(axis=1)
+            near = bits <= radius
+            yield pa.RecordBatch.from_arrays([pa.array(query[near]), pa.array(rep[at[near]])], names=["query", "rep"])
+
+    return run
+
+
 def _score_pairs(of_block, k: int):
     """Exact distances of candidate pairs, the best of each query within a batch."""
 
