@@ -38,6 +38,11 @@ def round_even(c: Column, digits: int = 3) -> Column:
     return F.rint(c * s) / s
 
 
+def nearest_second(ts: Column) -> Column:
+    """Whole seconds since 1970, the nearest ones (halves to even), as SQL's cast of an epoch gives them; ``unix_timestamp`` cuts instead."""
+    return F.rint(F.unix_micros(ts.cast("timestamp")) / 1e6).cast("bigint")
+
+
 def unit_hash(seed: Column | str, key: Column) -> Column:
     """A number in [0, 1): the first 64 bits of sha256("seed:key") over 2**64."""
     seed = F.lit(seed) if isinstance(seed, str) else seed

@@ -360,7 +360,7 @@ def stratified_hash_sample(spark, d):
 WITH i AS (SELECT user_id, epoch(min(ts))::BIGINT AS a, epoch(max(ts))::BIGINT AS b FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT e.user_id, count(*) AS n FROM events e JOIN i ON i.user_id = e.user_id AND epoch(e.ts)::BIGINT BETWEEN a AND b GROUP BY 1""")
 def interval_join(spark, d):
-    e = t(spark, d, "events").select("user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    e = t(spark, d, "events").select("user_id", "event_type", scalars.nearest_second(F.col("ts")).alias("at"))
     spans = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("at").alias("a"), F.max("at").alias("b"))
     return intervals.point_in_interval(e.select("user_id", "at"), spans, "at", "a", "b", ["user_id"], width=86400).groupBy("user_id").agg(F.count("*").alias("n"))
 
