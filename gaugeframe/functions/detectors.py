@@ -165,23 +165,26 @@ def has_link(text: Column) -> Column:
 
 def reported_values(raw: Column) -> Column:
     """Numbers of ``name|position:value|...|Warnings:...`` chunks that commas join; fields without a number are skipped."""
-    fields = F.filter(F.flatten(F.transform(F.split(raw, ","), lambda c: F.split(c, r"\|"))), lambda f: F.contains(f, F.lit(":")) & ~f.startswith("Warnings"))
+    fields = F.filter(F.split(raw, "[,|]"), lambda f: F.contains(f, F.lit(":")) & ~f.startswith("Warnings"))
     return F.array_compact(F.transform(fields, lambda f: F.trim(F.substr(f, F.instr(f, ":") + 1)).try_cast("double")))
 
 
+def _largest(values: Column) -> Column:
+    """An array of the largest value, if there are values and that is below infinity; else empty. NaN counts as the largest. Each value is computed once."""
+    return F.filter(F.array(F.array_max(values)), lambda x: x < F.lit(float("inf")))
+
+
 def largest_change(raw: Column) -> Column:
     """The largest absolute reported value; null if there is none or one is not finite."""
-    v = reported_values(raw)
-    big = F.lit(float("inf"))
-    return F.when((F.size(v) > 0) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < big)), F.array_max(F.transform(v, lambda x: F.abs(x))))
+    return F.get(_largest(F.transform(reported_values(raw), lambda x: F.abs(x))), F.lit(0))
 
 
 def best_delta(entries: Column, first: int = 2, count: int = 4) -> Column:
     """The largest of ``count`` fields from ``first`` on over ``a|b|...`` entries, 0 at least; null if any field is no finite number."""
-    values = F.flatten(F.transform(entries, lambda e: F.transform(F.sequence(F.lit(first), F.lit(first + count - 1)), lambda i: F.get(F.split(e, r"\|"), i).try_cast("double"))))
-    big = F.lit(float("inf"))
-    fine = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
-    return F.when((F.size(values) > 0) & fine, F.greatest(F.lit(0.0), F.array_max(values)))
+    fields = F.transform(entries, lambda e: F.split(e, r"\|"))
+    values = F.flatten(F.transform(fields, lambda f: F.array(*[F.get(f, F.lit(i)).try_cast("double") for i in range(first, first + count)])))
+    finite_or_nan = F.transform(values, lambda x: F.when(F.abs(x) < F.lit(float("inf")), x).otherwise(F.lit(float("nan"))))
+    return F.get(F.transform(_largest(finite_or_nan), lambda x: F.greatest(F.lit(0.0), x)), F.lit(0))
 
 
 def joined_ends(spans: Column, field: str, shift: int = 0) -> Column:

@@ -670,9 +670,11 @@ def release_statements(spark, d):
 @query("""
 SELECT l_orderkey, l_linenumber, max(CASE WHEN l_linenumber = 7 THEN NULL ELSE greatest(l_discount, l_tax) END) AS change, max(greatest(l_discount, l_tax, 0.01e0)) AS delta FROM lineitem GROUP BY 1, 2""")
 def reported_changes(spark, d):
-    x = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by(F.struct("l_discount", "l_tax"), F.greatest("l_discount", "l_tax")).alias("v"))
-    raw = F.when(F.col("l_linenumber") == 7, "gene|Warnings:none").otherwise(F.concat(F.lit("gene|-12:"), F.col("v.l_discount").cast("string"), F.lit("|3:-"), F.col("v.l_tax").cast("string"), F.lit("|Warnings:x:1")))
-    entries = F.array(F.concat_ws("|", F.lit("A"), F.lit("gene"), F.col("v.l_discount").cast("string"), F.lit("0.0"), F.col("v.l_tax").cast("string"), F.lit("0.01"), F.lit("5")))
+    # two numbers by one order, as structs would sort all rows; both are of the same row
+    most = F.greatest("l_discount", "l_tax")
+    x = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_discount", most).alias("discount"), F.max_by("l_tax", most).alias("tax"))
+    raw = F.when(F.col("l_linenumber") == 7, "gene|Warnings:none").otherwise(F.concat(F.lit("gene|-12:"), F.col("discount").cast("string"), F.lit("|3:-"), F.col("tax").cast("string"), F.lit("|Warnings:x:1")))
+    entries = F.array(F.concat_ws("|", F.lit("A"), F.lit("gene"), F.col("discount").cast("string"), F.lit("0.0"), F.col("tax").cast("string"), F.lit("0.01"), F.lit("5")))
     return x.select("l_orderkey", "l_linenumber", detectors.largest_change(raw).alias("change"), detectors.best_delta(entries).alias("delta"))
 
 
