@@ -2,13 +2,18 @@
 
 Vectors become binary codes: signs of learned rotations of their principal
 components (iterative quantisation).  A code is split into substrings, each
-indexed: the index is a table of (substring and its value, vector).  A query
-probes in every substring all values within ``reach`` bits of its own, which is
-an equi-join on that key.  By the pigeonhole principle this retrieves every code
+indexed by its value.  A query probes in every substring all values within
+``reach`` bits of its own.  By the pigeonhole principle this retrieves every code
 within ``guaranteed`` bits of the query's, (reach + 1) * substrings - 1, and many
 of those beyond; codes within ``radius`` go on, and their vectors are ranked by
 exact distances.
 
+Vectors are dealt over shards, a fixed number whatever their count.  A shard
+indexes its vectors in pieces of bounded size and looks up the probes of all
+queries of a block there, so that probes, hits and codes are numbers inside a task
+and never rows: a shard gives at most k + 1 rows a query, and the best of all
+shards are chosen by a window.
+
 ``fit`` chooses the width of the substrings by the number of vectors, and their
 number, the reach and the radius by the neighbours within a sample, so that the
 wanted share of them is found with the fewest rows.  Queries for which too few
@@ -37,11 +42,15 @@ SAMPLE = 4096
 RECALL = (0.97, 0.99)
 #: Rotations that are learned at most, each of as many bits as there are dimensions.
 ROTATIONS = 16
-#: Bits of a substring: the logarithm of the number of vectors, within these bounds.
+#: Vectors that are indexed at once in a task at most, and their components.
+PIECE, PIECE_COMPONENTS = 1 << 17, 1 << 23
+#: Bits of a substring: the logarithm of the number of vectors, of a piece at most, within these bounds.
 WIDTHS = (6, 20)
+#: Shards of the vectors for each core of the session.
+SHARDS_PER_CORE = 2
 #: Queries whose vectors and codes are broadcast at once (about 1 kB each).
 BLOCK_QUERIES = 32_768
-#: Distances that a task computes at once, in pairs of vectors.
+#: Numbers that a task computes at once: components of distances, or marks of pairs of queries and vectors.
 BLOCK_PAIRS = 1 << 21
 
 
@@ -103,6 +112,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
 
 
+def _piece(dimension: int) -> int:
+    """Vectors of a piece at most."""
+    return max(1, min(PIECE, PIECE_COMPONENTS // dimension))
+
+
 def _rotations(centred: np.ndarray, copies: int, rounds: int = 5) -> np.ndarray:
     rng = np.random.default_rng(7)
     d = centred.shape[1]
@@ -125,7 +139,7 @@ def fit(x: np.ndarray, k: int, size: int, recall: tuple[float, float] = RECALL,
     vector count as a sample of this size holds of its k nearest, one at least.
     """
     mean, d = x.mean(axis=0), x.shape[1]
-    width = int(min(max(math.log2(max(2, size)), WIDTHS[0]), WIDTHS[1], d * copies))
+    width = int(min(max(math.log2(max(2, min(size, _piece(d)))), WIDTHS[0]), WIDTHS[1], d * copies))
     most = d * copies // width
     rotations = _rotations(x - mean, copies)[:, : most * width]
     if len(x) <= k + 1:
@@ -210,7 +224,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, block_
     one = materialise(one.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))))
     copies = one.filter(F.col("place") <= k + 1)
     first = one.filter("place = 1").select(F.col("vec_id").alias("rep"), "h1", "h2")
-    index = written(keyed.join(first.select(F.col("rep").alias("vec_id"), "h1", "h2"), ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding"))
+    shards = max(1, SHARDS_PER_CORE * spark.sparkContext.defaultParallelism)
+    index = written(keyed.join(first.select(F.col("rep").alias("vec_id"), "h1", "h2"), ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding").repartition(shards, "rep"))
     size = index.count()
     if size == 0:
         return spark.createDataFrame([], schema)
@@ -218,7 +233,6 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, block_
         rows = index.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
         model = fit(_matrix(rows["embedding"]), k, size)
     shared = spark.sparkContext.broadcast(model)
-    words = len(model.codes(np.zeros((1, length["n"])))[0])
 
     asked = one.filter(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(first, ["h1", "h2"]).select("query_id", "rep")
     asked = materialise(asked)
@@ -226,46 +240,17 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, block_
     blocks = max(1, math.ceil(asked.agg(F.count_distinct("rep")).first()[0] / block_queries))
     queries = materialise(index.join(asked.select("rep").distinct(), "rep", "left_semi").withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")))
 
-    def index_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), m.count))), pa.array(m.keys(_matrix(part.column(1))).ravel())], names=["rep", "key"])
-
-    def probe_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        near = m.near_values()
-        for batch in batches:
-            step = max(1, (1 << 20) // (m.count * len(near)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                probes = (m.keys(_matrix(part.column(1)))[:, :, None] ^ near).ravel()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), m.count * len(near)))), pa.array(probes)], names=["query", "key"])
-
-    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = shared.value.codes(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(batch.num_rows, pa.int64()), pa.array([r.tobytes() for r in c], pa.binary())], names=["rep", "query", "code"])
-
-    table_rows = index.mapInArrow(index_rows, "rep bigint, key bigint")
-    codes = index.mapInArrow(coded, "rep bigint, query bigint, code binary")
     found = []
     for b in range(blocks):
         block = queries.filter(F.col("block") == b).select("rep", "embedding")
         asks = block.toArrow()  # at most about block_queries rows
         of_block = spark.sparkContext.broadcast((asks["rep"].to_numpy(), _matrix(asks["embedding"]) if len(asks) else np.zeros((0, length["n"]))))
-        of_codes = spark.sparkContext.broadcast(model.codes(of_block.value[1]) if len(asks) else np.zeros((0, words), np.int64))
-        pairs = block.mapInArrow(probe_rows, "query bigint, key bigint").join(table_rows, "key").select("rep", "query", F.lit(None).cast("binary").alias("code"))
-        # a vector's code comes before the queries that found it, so what is out of reach ends here, repeats too
-        met = codes.unionByName(pairs).repartition("rep").sortWithinPartitions("rep", F.col("query").asc_nulls_first())
-        near = met.mapInArrow(_within(of_block, of_codes, model.radius), "query bigint, rep bigint").join(index, "rep")
-        scored = materialise(_top(near.mapInArrow(_score_pairs(of_block, k), "query bigint, rep bigint, score double"), k))
+        scored = materialise(_top(index.coalesce(shards).mapInArrow(_probed(shared, of_block, k), "query bigint, rep bigint, score double"), k))
         # a query needs k + 1 vectors (its own among them), or as many as there are
         short = block.select("rep").join(scored.groupBy(F.col("query").alias("rep")).count().filter(F.col("count") >= min(k + 1, size)), "rep", "left_anti")
         rest = [r["rep"] for r in short.collect()]  # queries of one block
         if rest:
-            every = index.mapInArrow(_score_all(of_block, rest, k), "query bigint, rep bigint, score double")
+            every = index.coalesce(shards).mapInArrow(_score_all(of_block, rest, k), "query bigint, rep bigint, score double")
             scored = scored.join(F.broadcast(short.select(F.col("rep").alias("query"))), "query", "left_anti").unionByName(_top(every, k))
         found.append(scored)
     best = found[0]
@@ -288,71 +273,113 @@ def _rows(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(query), pa.array(rep), pa.array(score)], names=["query", "rep", "score"])
 
 
-def _within(of_block, of_codes, radius: int):
-    """Pairs within the Hamming radius, once each, of rows sorted by vector, each vector's code first."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, _ = of_block.value
-        order = np.argsort(ids)
-        asked = of_codes.value.view(np.uint64)
-        code, last = np.zeros((1, asked.shape[1]), np.uint64), (0, 0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rep = batch.column(0).to_numpy()
-            heads = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            # codes of this batch, after the one that is still open
-            code = np.concatenate([code[-1:], np.frombuffer(b"".join(batch.column(2).drop_null().to_pylist()), np.uint64).reshape(-1, asked.shape[1])])
-            of = np.cumsum(heads)
-            at = np.flatnonzero(~heads)
-            query = batch.column(1).drop_null().to_numpy()
-            if not len(at):
-                continue
-            again = np.r_[(int(rep[at[0]]), int(query[0])) == last, (rep[at[1:]] == rep[at[:-1]]) & (query[1:] == query[:-1])]
-            last = (int(rep[at[-1]]), int(query[-1]))
-            at, query = at[~again], query[~again]
-            bits = np.bitwise_count(code[of[at]] ^ asked[order[np.searchsorted(ids[order], query)]]).sum(axis=1)
-            near = bits <= radius
-            yield pa.RecordBatch.from_arrays([pa.array(query[near]), pa.array(rep[at[near]])], names=["query", "rep"])
-
-    return run
-
-
-def _score_pairs(of_block, k: int):
-    """Exact distances of candidate pairs, the best of each query within a batch."""
+def _pieces(batches: Iterable[pa.RecordBatch], dimension: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a shard in pieces of bounded size."""
+    most = _piece(dimension)
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            if held and sum(b.num_rows for b in held) + part.num_rows > most:
+                t = pa.Table.from_batches(held)
+                yield t["rep"].to_numpy(), _matrix(t["embedding"])
+                held = []
+            held.append(part)
+    if any(b.num_rows for b in held):
+        t = pa.Table.from_batches(held)
+        yield t["rep"].to_numpy(), _matrix(t["embedding"])
+
+
+def _coded(m: CodeModel, x: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and keys of vectors, some at a time, as the bits of all would take much room."""
+    parts = [x[at : at + rows] for at in range(0, max(1, len(x)), rows)]
+    return np.concatenate([m.codes(p) for p in parts]).view(np.uint64), np.concatenate([m.keys(p).astype(np.int32) for p in parts])
+
+
+def _index(m: CodeModel, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of every key: they stand in ``order`` from ``start[key]`` up to ``start[key + 1]``."""
+    start = np.zeros((m.count << m.width) + 1, np.int32 if keys.size < 1 << 31 else np.int64)
+    order = np.empty(keys.size, np.int32)
+    for j in range(m.count):
+        first, last = j << m.width, (j + 1) << m.width
+        order[j * len(keys) : (j + 1) * len(keys)] = np.argsort(keys[:, j], kind="stable")
+        start[first + 1 : last + 1] = j * len(keys) + np.cumsum(np.bincount(keys[:, j] - first, minlength=1 << m.width))
+    return start, order
+
+
+def _retrieved(keys: np.ndarray, near: np.ndarray, start: np.ndarray, order: np.ndarray, vectors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of queries and vectors, once each, of which a key of the vector is within reach of the query's."""
+    seen = np.zeros((len(keys), vectors), bool)
+    for j in range(keys.shape[1]):
+        probes = keys[:, j][:, None] ^ near
+        begin = start[probes]
+        count = start[probes + 1] - begin
+        query, at = np.nonzero(count)
+        begin, count = begin[query, at].astype(np.int64), count[query, at]
+        ends = np.cumsum(count, dtype=np.int64)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + count, count)
+        seen[np.repeat(query, count), order[place]] = True
+    return np.nonzero(seen)
+
+
+def _probed(shared, of_block, k: int):
+    """Of the vectors of a shard that the probes of a query retrieve and the radius leaves, the best of each query by exact distance."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         ids, x = of_block.value
-        order = np.argsort(ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            query, rep = batch.column("query").to_numpy(), batch.column("rep").to_numpy()
-            at = order[np.searchsorted(ids[order], query)]
-            score = np.sqrt(((_matrix(batch.column("embedding")) - x[at]) ** 2).sum(axis=1))
+        if not len(ids):
+            return
+        near = m.near_values().astype(np.int32)
+        asked, probed = _coded(m, x)
+        query, rep, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for of, y in _pieces(batches, x.shape[1]):
+            codes, keys = _coded(m, y)
+            start, order = _index(m, keys)
+            found = [(query, rep, score)]
+            step = max(1, BLOCK_PAIRS // max(len(y), len(near)))
+            for at in range(0, len(ids), step):
+                q, v = _retrieved(probed[at : at + step], near, start, order, len(y))
+                q += at
+                some = max(1, BLOCK_PAIRS // max(codes.shape[1], y.shape[1]))
+                for a in range(0, len(q), some):
+                    of_q, of_v = q[a : a + some], v[a : a + some]
+                    within = np.bitwise_count(codes[of_v] ^ asked[of_q]).sum(axis=1, dtype=np.int64) <= m.radius
+                    of_q, of_v = of_q[within], of_v[within]
+                    apart = np.sqrt(((y[of_v] - x[of_q]) ** 2).sum(axis=1))
+                    keep = _best(of_q, of[of_v], apart, k + 1)
+                    found.append((ids[of_q[keep]], of[of_v[keep]], apart[keep]))
+            query, rep, score = (np.concatenate(c) for c in zip(*found, strict=True))
             keep = _best(query, rep, score, k + 1)
-            yield _rows(query[keep], rep[keep], score[keep])
+            query, rep, score = query[keep], rep[keep], score[keep]
+        yield _rows(query, rep, score)
 
     return run
 
 
 def _score_all(of_block, rest: list[int], k: int):
-    """Exact distances of some queries from all vectors, the best of each query within a batch."""
+    """Exact distances of some queries from all vectors, the best of each query within a shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = of_block.value
         own = np.flatnonzero(np.isin(ids, rest))
+        found = _rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             if not batch.num_rows:
                 continue
             rep, y = batch.column(0).to_numpy(), _matrix(batch.column(1))
             step = max(1, BLOCK_PAIRS // max(1, len(rep) * y.shape[1]))
+            parts = [[c.to_numpy() for c in found.columns]]
             for at in range(0, len(own), step):
                 q = own[at : at + step]
                 score = np.sqrt(((y[None, :, :] - x[q][:, None, :]) ** 2).sum(axis=2)).ravel()
                 query, of = np.repeat(ids[q], len(rep)), np.tile(rep, len(q))
                 keep = _best(query, of, score, k + 1)
-                yield _rows(query[keep], of[keep], score[keep])
+                parts.append([query[keep], of[keep], score[keep]])
+            query, of, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+            keep = _best(query, of, score, k + 1)
+            found = _rows(query[keep], of[keep], score[keep])
+        yield found
 
     return run
 

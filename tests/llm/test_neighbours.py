@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 from testpaths import SMALL
 from pyspark.sql import functions as F
 
@@ -93,3 +96,50 @@ def test_rows_of_one_id_that_differ(spark):
     data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9]), (3, [0.5, 0.6])]
     got = [rows(N.nearest_neighbours(spark.createDataFrame(d, "vec_id bigint, embedding array<double>").repartition(n), F.col("vec_id") == 0)) for d, n in ((data, 1), (data[::-1], 3))]
     assert got[0] == got[1] and [r["vec_id"] for r in got[0][0]] in ([1, 3, 2], [2, 3, 1])
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_grow_no_faster_than_the_vectors(spark):
+    """Probes and hits are no rows: on vectors without clusters, four times the vectors make some four times the rows."""
+    rng = np.random.default_rng(5)
+    made = []
+    for n in (1500, 6000):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 24)))], "vec_id bigint, embedding array<double>")
+        before = shuffled_rows(spark)
+        assert N.nearest_neighbours(df, F.col("vec_id") % 100 == 0).count() == n // 100 * 10
+        made.append(shuffled_rows(spark) - before)
+    assert made[0] < 20 * 1500 and made[1] < 5 * made[0]
+
+
+def test_pieces_and_batches_do_not_change_what_a_shard_finds(monkeypatch):
+    """The rows of a shard are those of a plain search in its keys and codes, the best of each query in one set."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 16))
+    ids, rep = np.arange(0, 700, 35), np.arange(700)
+    m = N.fit(x, 5, len(x))
+    keys, near, codes = m.keys(x), m.near_values(), m.codes(x)
+    want = []
+    for q in ids:
+        met = np.zeros(700, bool)
+        for j in range(m.count):
+            met |= np.isin(keys[:, j], keys[q, j] ^ near)
+        v = np.flatnonzero(met & (N.hamming(codes, codes[q]) <= m.radius))
+        d = np.sqrt(((x[v] - x[q]) ** 2).sum(1))
+        want += [(int(q), int(v[i]), float(d[i])) for i in np.lexsort((v, d))[:6]]
+    shared, block = SimpleNamespace(value=m), SimpleNamespace(value=(ids, x[ids]))
+    for piece, pairs, batch in ((1 << 17, 1 << 21, 700), (64, 1 << 21, 100), (50, 300, 7), (700, 1, 699)):
+        monkeypatch.setattr(N, "PIECE", piece)
+        monkeypatch.setattr(N, "BLOCK_PAIRS", pairs)
+        parts = [pa.RecordBatch.from_arrays([pa.array(rep[a : a + batch]), pa.array(x[a : a + batch].tolist())], names=["rep", "embedding"]) for a in range(0, 700, batch)]
+        out = [r for b in N._probed(shared, block, 5)(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(out) == sorted(want)
+        every = [r for b in N._score_all(block, [35, 70], 5)(iter(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(every) == sorted((int(q), int(v), float(d[v])) for q in (35, 70) for d in [np.sqrt(((x - x[q]) ** 2).sum(1))] for v in np.lexsort((rep, d))[:6])
+    assert [b.num_rows for b in N._probed(shared, block, 5)(iter([]))] == [0]
