@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; bounds the temporary arrays (about 60 bytes per byte of text).
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)

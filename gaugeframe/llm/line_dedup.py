@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .storage import materialise, table
+from .storage import in_batches, materialise, table
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 6
@@ -66,7 +66,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             )
 
     wanted = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.col("text").cast("string").alias("text"))
-    return wanted.mapInArrow(run, "doc_id bigint, row bigint, site string, pos int, line binary")
+    return in_batches(wanted).mapInArrow(run, "doc_id bigint, row bigint, site string, pos int, line binary")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
@@ -122,7 +122,7 @@ def _cut_by_lookup(docs: DataFrame, lines: DataFrame) -> DataFrame:
             columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 :], pa.array(total, pa.int32()), pa.array(cut, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_lines", "n_cut"])
 
-    return docs.mapInArrow(run, docs.withColumns({"n_lines": F.lit(0), "n_cut": F.lit(0)}).schema)
+    return in_batches(docs).mapInArrow(run, docs.withColumns({"n_lines": F.lit(0), "n_cut": F.lit(0)}).schema)
 
 
 def _cut(text: str | None, doc_id: int | None, known: dict[bytes, int | None]) -> tuple[str | None, int, int]:
@@ -167,7 +167,7 @@ def _with_n_lines(docs: DataFrame) -> DataFrame:
             total = [sum(1 for x in (text.as_py() or "").split("\n") if _normal(x)) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.int32())], names=[*names, "n_lines"])
 
-    return docs.mapInArrow(run, docs.withColumn("n_lines", F.lit(0)).schema)
+    return in_batches(docs).mapInArrow(run, docs.withColumn("n_lines", F.lit(0)).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

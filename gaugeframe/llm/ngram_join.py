@@ -32,7 +32,7 @@ from ..operators.graph import connected_components
 from . import hashing
 from .columns import shielded
 from .groups import complete_groups
-from .storage import materialise, table
+from .storage import in_batches, materialise, table
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Members of a block of a bucket, and bytes of their n-gram sets, about.
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, banding: Banding, n: int = SHINGLE) -> DataFrame
                     names=["doc_id", "k1", "k2", "n_shingles", "bands", "mh"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL").mapInArrow(run, _SIGNATURE)
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")).mapInArrow(run, _SIGNATURE)
 
 
 def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -138,7 +138,7 @@ def shingle_sets(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                     names=["rep", "k1", "k2", "shingles"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string")).mapInArrow(run, "rep bigint, k1 bigint, k2 bigint, shingles binary")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string"))).mapInArrow(run, "rep bigint, k1 bigint, k2 bigint, shingles binary")
 
 
 _CELL = ["band", "h", "bi", "bj"]
@@ -188,7 +188,7 @@ def _likely(cells: DataFrame, banding: Banding, threshold: float) -> DataFrame:
             if keep.any():
                 yield from t.filter(pa.array(keep)).drop_columns(["mh"]).to_batches()
 
-    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep").mapInArrow(run, "band int, h bigint, bi int, bj int, block int, rep bigint, k1 bigint, k2 bigint, copies bigint, bands array<bigint>")
+    return in_batches(cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep")).mapInArrow(run, "band int, h bigint, bi int, bj int, block int, rep bigint, k1 bigint, k2 bigint, copies bigint, bands array<bigint>")
 
 
 def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def _verify(cells: DataFrame, banding: Banding, threshold: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], names=["rep", "root", "links"])
 
-    return cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep").mapInArrow(run, "rep bigint, root bigint, links bigint")
+    return in_batches(cells.repartition(*_CELL).sortWithinPartitions(*_CELL, "rep")).mapInArrow(run, "rep bigint, root bigint, links bigint")
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:

@@ -25,7 +25,9 @@ partition's first ranks in a join.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, table
+from .storage import in_batches, materialise, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -71,32 +73,36 @@ def encoder(path: str):
     become their ids.  Where the same vocabulary lies beside it as ranks,
     tiktoken encodes what stands between these, several times as fast (a test
     compares the two); texts with very long runs of white space go to
-    ``tokenizers``.
+    ``tokenizers``, which is loaded when the first of them comes.
     """
     if path not in _encoders:
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        @functools.cache
+        def tokenizer():
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(path)
+
         ranks = Path(path).with_suffix(".tiktoken")
-        special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         if ranks.exists():
             import public_tokenizers
             import tiktoken
 
+            special = {x["content"]: x["id"] for x in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]}
             pairs = dict((base64.b64decode(a), int(b)) for a, b in map(bytes.split, ranks.read_bytes().splitlines()))
             of = tiktoken.Encoding(ranks.name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
             around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
 
             def encode(text: str) -> list[int]:
                 if len(text) >= _WHITE_RUN and _white_run.search(text):
-                    return t.encode(text, add_special_tokens=False).ids
+                    return tokenizer().encode(text, add_special_tokens=False).ids
                 if not any(x in text for x in special):
                     return of.encode_ordinary(text)
                 return [i for part in around.split(text) if part for i in ([special[part]] if part in special else of.encode_ordinary(part))]
 
             _encoders[path] = lambda texts: [encode(x) for x in texts]
         else:
-            _encoders[path] = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+            _encoders[path] = lambda texts: [e.ids for e in tokenizer().encode_batch(texts, add_special_tokens=False)]
     return _encoders[path]
 
 
@@ -130,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 )
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 @dataclass
@@ -306,7 +312,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
                 sequence, offset = plan.value.place(batch.column(3).to_numpy(), batch.column(5).to_numpy())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return in_batches(ranked).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

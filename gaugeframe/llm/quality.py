@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .columns import shielded
-from .storage import materialise, table
+from .storage import in_batches, materialise, table
 
 #: Hashed word features.
 BUCKETS = 1 << 16
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, hold_o
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(cells, pa.binary()), pa.array(weights, pa.binary()), pa.array([f.tobytes() for f in x.form], pa.binary())], names=["doc_id", "quality", "cells", "weights", "form"])
 
     # rows that repeat an id and its text are one, so at most max_rated rows reach the driver
-    rows = sample.mapInArrow(run, "doc_id bigint, quality double, cells binary, weights binary, form binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = in_batches(sample).mapInArrow(run, "doc_id bigint, quality double, cells binary, weights binary, form binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     if rows.num_rows == 0:
         return None
     sizes = np.array([len(c) // 4 for c in rows["cells"].to_pylist()])
@@ -227,7 +227,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None, good: float | None = None
                 tail.append(np.ones(len(texts)) if cut == 0 else tails[:, cut - 1] if cut <= tails.shape[1] else np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(expected)), pa.array(np.concatenate(tail))], names=[*kept, "expected_grade", "p_good"])
 
-    return docs.mapInArrow(run, docs.withColumns({"expected_grade": F.lit(0.0).try_cast("double"), "p_good": F.lit(0.0).try_cast("double")}).schema)
+    return in_batches(docs).mapInArrow(run, docs.withColumns({"expected_grade": F.lit(0.0).try_cast("double"), "p_good": F.lit(0.0).try_cast("double")}).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:

@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import ensure_checkpoint_dir, materialise, shared_folder, table
 
-__all__ = ["discard", "ensure_checkpoint_dir", "materialise", "shared_folder", "table", "written"]
+__all__ = ["discard", "ensure_checkpoint_dir", "in_batches", "materialise", "shared_folder", "table", "written"]
+
+#: Bytes of the Arrow batches of texts that go to Python, about. Spark counts rows by default, and 10,000 texts are of any size.
+BATCH_BYTES = 1 << 21
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, for mapInArrow(): its session bounds the bytes of Arrow batches from now on, unless the user has set a bound."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -84,3 +84,35 @@ def test_stages_leave_clashing_columns_alone(spark, odd):
             assert out.columns == docs.columns, name
             assert out.filter("`a.b` <> 77 OR n_lines <> 77 OR n_cut <> 77 OR p_good <> 77.5 OR expected_grade <> 7").count() == 0, name
             assert sorted(map(str, (r["doc_id"] for r in out.collect()))) == sorted(map(str, (r["doc_id"] for r in f(spark, odd, SMALL).collect()))), name
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    """One partition of 24 MB of texts in 3,000 rows, which Spark's own bound of 10,000 rows gives to Python at once."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat(md5(cast(id AS string)), 250)").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(8000).alias("n_chars"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    for name, f in P.STAGES:
+        if name == "decontamination":  # without Python
+            continue
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        f(spark, docs.limit(10), SMALL)
+        got = docs.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+        assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 4_000_000, name
+
+
+def test_a_bound_of_the_user_stays(spark, odd):
+    from gaugeframe.llm import packing
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    try:
+        packing.pieces(odd)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

@@ -150,3 +150,13 @@ def test_count_edits(spark, odd, odd_rows, empty):
     assert (one["n_edits"], one["n_tokens_after"]) == (2, len(encode([t[3:]])[0]))
     assert next(r for r in got if r["doc_id"] == 4)["n_chars_after"] == 4
     assert E.count_edits(E.with_edits(empty, edits)).count() == 0
+
+
+def test_encoder_loads_tokenizers_only_for_long_white_runs():
+    """A worker that encodes with tiktoken holds no second vocabulary."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; from gaugeframe.llm import packing as P; e = P.encoder(P.vocabulary()); e(['a <|endoftext|> b']); assert 'tokenizers' not in sys.modules; e([' ' * P._WHITE_RUN]); assert 'tokenizers' in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
