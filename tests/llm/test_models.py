@@ -194,6 +194,40 @@ def test_toxicity_equals_brute_force(spark, bound):
         assert got[i] == pytest.approx((np.mean(x), np.mean(x[: T.EXPRESSIONS])), rel=1e-9, abs=1e-9)
 
 
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    jvm, java = spark._jvm, spark.sparkContext._jsc.sc()
+    java.listenerBus().waitUntilEmpty()
+    stages = java.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_toxicity_of_a_large_model_shuffles_what_its_head_leaves_open(spark):
+    """A model above the bound gives the same means, also of copies in many tasks, and bigrams that it does not have or that are frequent are no rows."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(1500):
+        words = [f"w{min(rng.geometric(0.3), 12)}" for _ in range(60)] + [f"new{i}"]
+        if i % 6 == 0:
+            words[7:9] = ["vile", f"bad{rng.integers(60)}"]
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    odd = spark.createDataFrame([(5000, None), (5001, ""), (5002, "!"), (5003, "vile vile bad1 bad1 vile"), (5004, "nowhere"), (None, rows[0][1])], "doc_id bigint, text string")
+    texts = docs.select("doc_id", "text").union(docs.filter("doc_id % 300 = 0").crossJoin(spark.range(40)).selectExpr("doc_id + 10000 * (1 + id)", "text")).union(odd).repartition(8).cache()
+    bigrams = sum(len(set(zip(["", *t], t, strict=False))) for t in (r[1].split() for r in rows))
+    got = []
+    for bound in (T.BROADCAST_ROWS, 300, 40):
+        m = T.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), bound)
+        assert (m.arrays is None) == (bound < T.BROADCAST_ROWS)
+        before = shuffled(spark)
+        got.append(sorted(((r["doc_id"], r["evidence"], r["run_evidence"], r["score"]) for r in T.toxicity(texts, m).collect()), key=str))
+        if bound == 300:
+            assert shuffled(spark) - before < bigrams / 4
+    assert len(got[0]) == texts.count()
+    for other in got[1:]:
+        assert all(a[0] == b[0] and (a[1] is None) == (b[1] is None) and (a[1] is None or a[1:] == pytest.approx(b[1:], rel=1e-9, abs=1e-12)) for a, b in zip(got[0], other, strict=True))
+
+
 def test_quality_sample_is_of_the_documents(spark, mid):
     """Labels of other documents take no places in the sample, and repeated rows add none."""
     docs = mid["documents"].select("doc_id", "text").limit(200).cache()
