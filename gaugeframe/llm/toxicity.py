@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .bits import HashFilter
-from .storage import discard, materialise, shared_folder, table, written
+from .storage import discard, in_batches, materialise, shared_folder, table, written
 
 VOCABULARY = 1 << 31
 #: Taken from every continuation count for the back-off.
@@ -154,7 +154,7 @@ class Model:
                     e = _evidence(texts, arrays.value, scale, discounts)
                     yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in batch.columns[:-1]], *[pa.array(e[:, k], from_pandas=True) for k in (0, 1)]], names=names)
 
-        return docs.mapInArrow(run, docs.withColumns({"evidence": F.lit(0.0), "run_evidence": F.lit(0.0)}).drop("text").schema.simpleString()[7:-1].replace(":", " "))
+        return in_batches(docs).mapInArrow(run, docs.withColumns({"evidence": F.lit(0.0), "run_evidence": F.lit(0.0)}).drop("text").schema.simpleString()[7:-1].replace(":", " "))
 
     def _by_head(self, docs: DataFrame) -> DataFrame:
         """Without a bound on the tables; words that the head leaves open wait for a join, and the three strongest of both kinds are merged."""
@@ -175,7 +175,7 @@ class Model:
         # a key of each task's own, as copies of a text may be in any number of tasks
         keyed = docs.select(*docs.columns[:-1], F.xxhash64("text", F.spark_partition_id()).alias("_key"), "text")
         kinds = {"_sum": F.lit(0.0), "_n": F.lit(0).cast("bigint"), "_best": F.lit(None).cast("array<double>"), "_open": F.lit(None).cast("array<struct<pair:bigint,n:bigint,known:double>>")}
-        judged = written(keyed.mapInArrow(run, keyed.drop("text").withColumns(kinds).schema))
+        judged = written(in_batches(keyed).mapInArrow(run, keyed.drop("text").withColumns(kinds).schema))
         rows = judged.filter(F.size("_open") > 0).select("_key", F.inline("_open"))
         found = rows.join(self.rest.withColumnRenamed("id", "pair"), "pair", "left")
         ratio = [F.col("ratio"), F.col("known")]
@@ -428,7 +428,7 @@ def bigram_and_context_counts(labelled: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, summed(held))), names=["pair", "n0", "n1"])
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "pair bigint, n0 bigint, n1 bigint")
+    rows = in_batches(labelled.select("text", "toxic")).mapInArrow(run, "pair bigint, n0 bigint, n1 bigint")
     return rows.repartitionByRange("pair").groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
